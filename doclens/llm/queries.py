@@ -1,10 +1,11 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from doclens.llm import exact, mixing, packing, quality
+from doclens.llm import exact, minhash, mixing, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_prob_minhash": minhash.op3_prob_minhash,
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
