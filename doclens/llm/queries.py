@@ -1,12 +1,15 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from doclens.llm import exact, minhash, mixing, packing, quality
+from doclens.llm import exact, licenses, minhash, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_prob_minhash": minhash.op3_prob_minhash,
+    "op6_skip_chain_pii": pii.op6_skip_chain_pii,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_poisson_mix": mixing.op8_poisson_mix,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
