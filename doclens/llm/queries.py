@@ -1,11 +1,12 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from doclens.llm import exact, licenses, minhash, mixing, packing, pii, quality, toxicity
+from doclens.llm import exact, licenses, minhash, mixing, packing, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_prob_minhash": minhash.op3_prob_minhash,
+    "op5_token_counts": tokens.op5_token_counts,
     "op6_skip_chain_pii": pii.op6_skip_chain_pii,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_poisson_mix": mixing.op8_poisson_mix,
