@@ -1,11 +1,12 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from doclens.llm import exact, licenses, minhash, mixing, packing, pii, quality, tokens, toxicity
+from doclens.llm import exact, licenses, minhash, mixing, packing, pii, quality, substring, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_prob_minhash": minhash.op3_prob_minhash,
+    "op4_debruijn_repeats": substring.op4_debruijn_repeats,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_skip_chain_pii": pii.op6_skip_chain_pii,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op4_debruijn_repeats": substring.OP4_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }
