@@ -1,7 +1,645 @@
-"""Every registered query: name -> (spark, sf_dir) -> DataFrame, and its checking SQL."""
+"""Every registered query: name -> (spark, sf_dir) -> DataFrame, and its checking SQL for DuckDB."""
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from doclens.functions import artifact_columns as columns
+from doclens.functions.lens import lens, unlens
+from doclens.operators import biff, carve, findings, ooxml, pdf, rules, triage
+from doclens.plans import fixtures
+from doclens.plans.fixtures import cte, table
+from doclens.sources import artifacts as sources
+from doclens.streaming import stream
+
 FLAGSHIP = "flagship_top_risky"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    """documents as artifacts of text (every character of these is taken as one)."""
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("artifact_id"), F.coalesce("text", F.lit("")).alias("t"))
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as BIGINT, as DuckDB returns them."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+# --- SQL pieces ---
+
+DOCS = "docs AS (SELECT doc_id AS artifact_id, coalesce(text, '') AS t FROM documents)"
+OLE = fixtures.OLE
+
+
+def every(source: str, pattern: str, group: int = 0, keep: str = "artifact_id") -> str:
+    """DuckDB: (keep, pos, value) of all matches in t."""
+    return (
+        f"(SELECT {keep}, unnest(range(len(m))) AS pos, unnest(m) AS value FROM "
+        f"(SELECT *, regexp_extract_all(t, '{pattern}', {group}) AS m FROM {source}))"
+    )
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\x00", "'||chr(0)||'") + "'"
+
+
+def rule_sql(rule: rules.Rule, v: str) -> str:
+    any_in = [f"contains({v}, {quoted(x)})" for x in rule.includes]
+    if rule.regex:
+        any_in.append(f"regexp_matches({v}, {quoted(rule.regex)})")
+    sql = "(" + " OR ".join(any_in) + ")"
+    if rule.excludes:
+        sql += " AND NOT (" + " OR ".join(f"contains({v}, {quoted(x)})" for x in rule.excludes) + ")"
+    if rule.max_len is not None:
+        sql += f" AND length({v}) < {rule.max_len}"
+    return sql
+
+
+def rules_sql(source: str, keep: str, rule_list: list[rules.Rule], v: str = "value", described: dict[str, str] | None = None) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {keep}, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, '{r.indication}' AS indication, {(described or {}).get(r.rule_id, v)} AS description "
+        f"FROM {source} WHERE {rule_sql(r, v)}"
+        for r in rule_list
+    )
+
+
+MAGIC_SQL = (
+    f"CASE WHEN starts_with(t, {OLE}) THEN 'ole' WHEN starts_with(t, 'PK'||chr(3)||chr(4)) THEN 'ooxml' "
+    "WHEN starts_with(t, '{'||chr(92)||'rt') THEN 'rtf' WHEN starts_with(t, '%PDF-') THEN 'pdf' END"
+)
+
+# --- sources and columns ---
+
+
+@query("SELECT doc_id AS artifact_id, strlen(text)::BIGINT AS length, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def s2_p1_artifacts_from_table(spark, d):
+    found = sources.artifacts_from_table(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+    return columns.with_sha256(found.where("content is not null")).select("artifact_id", "length", "sha256")
+
+
+@query("SELECT doc_id AS artifact_id, 'doc/' || lang || '.txt' AS part_path, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def s3_expand_archives(spark, d):
+    """Zips every document with its language as the name, then expands the archives."""
+
+    @F.arrow_udf("binary")
+    def zipped(names: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for name, text in zip(names.to_pylist(), texts.to_pylist(), strict=True):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"doc/{name}.txt", text)
+            out.append(buffer.getvalue())
+        return pa.array(out, pa.binary())
+
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    packed = rows.select(F.col("doc_id").alias("artifact_id"), zipped("lang", "text").alias("content"))
+    return sources.expand_archives(packed).select("artifact_id", "part_path", F.sha2("content", 256).alias("sha256"))
+
+
+def _deflated_objects(spark, d) -> DataFrame:
+    @F.arrow_udf("binary")
+    def deflated(texts: pa.Array) -> pa.Array:
+        return pa.array([zlib.compress(b"var x; " + t.encode()) for t in texts.to_pylist()], pa.binary())
+
+    text = F.concat(F.when(F.col("artifact_id") % 2 == 0, F.lit("{\\rtf1 ")).otherwise(F.lit("")), F.left("t", F.lit(2000)))
+    body = F.concat(F.lit("4 0 obj <</Filter /FlateDecode>> stream\r\n"), lens(deflated(text)), F.lit("\r\nendstream endobj"))
+    return docs(spark, d).select("artifact_id", F.lit(0).alias("ordinal"), body.alias("body"))
+
+
+@query("WITH " + DOCS + r""" SELECT artifact_id, sha256('var x; ' || CASE WHEN artifact_id % 2 = 0 THEN '{\rtf1 ' ELSE '' END || left(t, 2000)) AS sha256 FROM docs""")
+def s4_inflate_pdf_streams(spark, d):
+    return pdf.expand_pdf_streams(_deflated_objects(spark, d)).select("artifact_id", F.sha2("content", 256).alias("sha256"))
+
+
+@query("WITH " + DOCS + " SELECT artifact_id, 'D15' AS rule_id, 'info' AS severity FROM docs")
+def d15_e10_stream_findings(spark, d):
+    found = pdf.stream_findings(pdf.expand_pdf_streams(_deflated_objects(spark, d)))
+    return found.select("artifact_id", "rule_id", "severity")
+
+
+@query(cte("mixed") + f"SELECT artifact_id, {MAGIC_SQL} AS kind FROM mixed")
+def p2_classify_magic(spark, d):
+    return columns.classify_magic(table(spark, d, "mixed").withColumn("content", unlens("t"))).select("artifact_id", "kind")
+
+
+@query(cte("mixed") + f"SELECT artifact_id, CASE WHEN {MAGIC_SQL} = 'ole' THEN CASE WHEN contains(t, 'Microsoft Excel') THEN 'excel' WHEN contains(t, 'Microsoft Office Word') OR contains(t, 'Word.Document') THEN 'word' END END AS host_app FROM mixed")
+def p3_classify_host_app(spark, d):
+    return columns.classify_host_app(table(spark, d, "mixed").withColumn("content", unlens("t"))).select("artifact_id", "host_app")
+
+
+@query(cte("parts") + "SELECT artifact_id, arg_max(kind, ordinal) AS doc_type FROM (SELECT *, CASE WHEN contains(part_path, 'xl/') THEN 'excel' WHEN contains(part_path, 'word/') THEN 'word' END AS kind FROM parts) WHERE kind IS NOT NULL GROUP BY artifact_id")
+def p4_ooxml_doc_type(spark, d):
+    return columns.ooxml_doc_type(table(spark, d, "parts"))
+
+
+@query(cte("xls") + "SELECT artifact_id, 62::BIGINT AS minor_version, (ord(t[27]) + 256 * ord(t[28]))::BIGINT AS major_version, 65534::BIGINT AS byte_order, CASE WHEN ord(t[31]) = 9 THEN 512::BIGINT END AS sector_size, CASE WHEN ord(t[31]) = 9 THEN 480::BIGINT END AS payload_size, ord(t[27]) = 3 AS version_3 FROM xls")
+def p5_cfb_header(spark, d):
+    return columns.cfb_header(table(spark, d, "xls"))
+
+
+PDF_OBJECTS = f"objects AS (SELECT artifact_id, pos AS ordinal, regexp_extract(value, '^([0-9]+) ', 1)::BIGINT AS obj_no, value AS body FROM {every('pdf', carve.PDF_OBJECT)})"
+
+
+@query(cte("pdf") + f", {PDF_OBJECTS} SELECT artifact_id, ordinal, obj_no, regexp_extract(body, '^([0-9]+ [0-9]+ obj ?<<[\\x00-\\xff]*?>>)', 1) AS header, body FROM objects")
+def g11_p6_pdf_objects(spark, d):
+    return longs(carve.carve_pdf_objects(table(spark, d, "pdf")))
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(chr(1) || url || chr(1), '/'), lambda x: regexp_replace(x, '^\\x01+|\\x01+$', '', 'g')), chr(92)) AS part_name FROM pages")
+def p7_clean_part_name(spark, d):
+    url = F.concat(F.lit("\x01"), F.col("url"), F.lit("\x01"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", columns.clean_part_name(url).alias("part_name"))
+
+
+@query("WITH " + DOCS + " SELECT artifact_id, left(t, 100) AS vba, left(t, 150) AS xlm, list_slice(string_split(t, ' '), 1, 20)::VARCHAR[] AS items FROM docs")
+def p8_l2_clip_description(spark, d):
+    items = columns.clip_description(F.split("t", " "), "base64")
+    t = F.col("t")
+    return docs(spark, d).select("artifact_id", columns.clip_description(t, "vba").alias("vba"), columns.clip_description(t, "xlm").alias("xlm"), items.alias("items"))
+
+
+@query(cte("mixed") + "SELECT artifact_id, regexp_replace(left(t, 1000), '[^\\x20-\\x7e\\n]', '.', 'g') AS preview FROM mixed")
+def p9_printable_preview(spark, d):
+    return table(spark, d, "mixed").select("artifact_id", columns.printable_preview(F.col("t")).alias("preview"))
+
+
+# --- carving ---
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    return longs(df.select("artifact_id", "kind", "pos", "value"))
+
+
+@query("WITH " + DOCS + f" SELECT artifact_id, 'ascii' AS kind, pos, value FROM {every('docs', carve.ASCII_RUN)}")
+def g1_carve_ascii(spark, d):
+    return _positions(carve.carve_ascii(docs(spark, d)))
+
+
+@query(cte("wide_probe") + f"SELECT artifact_id, 'wide' AS kind, pos, replace(value, chr(0), '') AS value FROM {every('wide_probe', carve.WIDE_RUN)}")
+def g2_carve_wide(spark, d):
+    return _positions(carve.carve_wide(table(spark, d, "wide_probe")))
+
+
+@query("WITH " + DOCS + f" SELECT artifact_id, 'printable' AS kind, pos, value FROM {every('docs', carve.PRINTABLE_RUN)}")
+def g3_carve_printable(spark, d):
+    return _positions(carve.carve_printable(docs(spark, d)))
+
+
+@query(cte("wide_probe") + f"SELECT artifact_id, 'base64' AS kind, pos, value FROM {every('wide_probe', carve.BASE64_RUN)} WHERE length(value) > 50 AND length(value) % 4 = 0")
+def g4_f6_e12_carve_base64(spark, d):
+    return _positions(carve.carve_base64(table(spark, d, "wide_probe")))
+
+
+@query(
+    cte("wide_probe")
+    + "SELECT artifact_id, kind, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT artifact_id, '{k}' AS kind FROM {every('wide_probe', p)}" for k, p in (("ascii", carve.ASCII_RUN), ("wide", carve.WIDE_RUN), ("printable", carve.PRINTABLE_RUN)))
+    + ") GROUP BY ALL"
+)
+def u3_union_of_strings(spark, d):
+    return carve.carve_strings(table(spark, d, "wide_probe")).groupBy("artifact_id", "kind").agg(F.count("*").alias("n"))
+
+
+def _clean(name: str) -> str:
+    return f"cleaned AS (SELECT artifact_id, translate(t, chr(13)||chr(10)||chr(9)||' ', '') AS t FROM {name})"
+
+
+def _hex(df: DataFrame) -> DataFrame:
+    return longs(df.select("artifact_id", "pos", "hex", F.lower(F.hex("content")).alias("content_hex")))
+
+
+VALID_HEX = "CASE WHEN regexp_matches(value, '^(?:[0-9a-fA-F]{2})+$') THEN lower(value) END"
+
+
+@query(cte("rtf_probe") + f", {_clean('rtf_probe')} SELECT artifact_id, pos, value AS hex, {VALID_HEX} AS content_hex FROM {every('cleaned', carve.RTF_OLE, 1)} WHERE length(value) > 200")
+def g5_g6_f1_carve_rtf_ole(spark, d):
+    return _hex(carve.carve_rtf_ole(table(spark, d, "rtf_probe")))
+
+
+@query(cte("rtf_probe") + f", {_clean('rtf_probe')} SELECT artifact_id, pos, value AS hex, {VALID_HEX} AS content_hex FROM {every('cleaned', carve.RTF_BLOB, 1)} WHERE length(value) > 200")
+def g7_carve_rtf_blobs(spark, d):
+    return _hex(carve.carve_rtf_blobs(table(spark, d, "rtf_probe")))
+
+
+@query(cte("aux_probe") + f", {_clean('aux_probe')}, first AS (SELECT artifact_id FROM {every('cleaned', carve.RTF_BLOB, 1)} WHERE length(value) > 200) SELECT artifact_id, pos, value AS hex, {VALID_HEX} AS content_hex FROM {every('cleaned', carve.RTF_AUX, 1)} WHERE length(value) > 200 AND artifact_id NOT IN (SELECT artifact_id FROM first)")
+def g8_carve_rtf_aux(spark, d):
+    return _hex(carve.carve_rtf_aux(table(spark, d, "aux_probe")))
+
+
+@query(cte("rtf_probe") + f", {_clean('rtf_probe')} SELECT artifact_id, hex FROM (SELECT artifact_id, regexp_extract(t, '(d0cf11e0a1b11ae1(?:[0-9a-f]{{2}})*)', 1) AS hex FROM cleaned) WHERE hex <> ''")
+def g9_carve_hex_ole(spark, d):
+    return carve.carve_hex_ole(table(spark, d, "rtf_probe")).select("artifact_id", "hex")
+
+
+@query(cte("part_probe") + f"SELECT artifact_id, (place - 1)::BIGINT AS \"offset\", substr(t, place) AS t FROM (SELECT *, instr(t, {OLE}) AS place FROM part_probe) WHERE place > 1")
+def g10_e5_carve_embedded_ole(spark, d):
+    return carve.carve_embedded_ole(table(spark, d, "part_probe"))
+
+
+@query(cte("pdf") + f", {PDF_OBJECTS}, h AS (SELECT artifact_id, ordinal, obj_no, lower(regexp_extract(replace(body, ' ', ''), 'stream((?:[0-9a-fA-F]{{2}})+)', 1)) AS hex FROM objects WHERE contains(body, 'ASCIIHexDecode')) SELECT artifact_id, ordinal, obj_no, hex, contains(hex, '5c7274') AS has_rtf FROM h WHERE hex <> ''")
+def g12_decode_pdf_ascii_hex(spark, d):
+    objects = carve.carve_pdf_objects(table(spark, d, "pdf"))
+    return longs(carve.decode_pdf_ascii_hex(objects).drop("content"))
+
+
+BOFS = "bofs AS (SELECT artifact_id, unnest([527, 594, 610, 626])::BIGINT AS \"offset\", unnest(['globals', 'worksheet', 'xlm', 'worksheet']) AS substream FROM xls)"
+SHEETS = "sheets AS (SELECT artifact_id, unnest([1, 2, 3])::BIGINT AS sheet_no, unnest([67, 83, 99])::BIGINT AS bof_offset, unnest(['visible', 'very hidden', 'hidden']) AS visibility, unnest([false, true, false]) AS xlm, t FROM xls)"
+# Read from the bytes, not from the layout: places of the marks, one after the other.
+MARKS = "SELECT artifact_id, i::BIGINT AS \"offset\" FROM (SELECT artifact_id, t, unnest(range(length(t))) AS i FROM xls) WHERE substr(t, i + 1, {n}) = {mark}"
+
+
+@query(cte("xls") + "SELECT artifact_id, i::BIGINT AS \"offset\", (ord(t[i + 3]) + 256 * ord(t[i + 4]))::BIGINT AS rec_len, CASE ord(t[i + 6]) WHEN 5 THEN '5/7' WHEN 6 THEN '8' END AS biff, CASE ord(t[i + 7]) WHEN 5 THEN 'globals' WHEN 16 THEN 'worksheet' WHEN 64 THEN 'xlm' END AS substream FROM (SELECT artifact_id, t, unnest(range(length(t) - 11)) AS i FROM xls) WHERE substr(t, i + 1, 2) = chr(9)||chr(8)")
+def g13_x2_carve_bof(spark, d):
+    return longs(carve.carve_bof(table(spark, d, "xls")))
+
+
+@query(cte("xls") + "SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY i) AS sheet_no, i::BIGINT AS record_offset, ord(t[i + 5])::BIGINT AS bof_offset, CASE ord(t[i + 9]) WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' ELSE 'very hidden' END AS visibility, ord(t[i + 10]) = 1 AS xlm, regexp_extract(substr(t, i + 11, 16), '^(S[0-9]+)', 1) AS sheet_name FROM (SELECT artifact_id, t, unnest(range(length(t) - 9)) AS i FROM xls) WHERE substr(t, i + 1, 4) = chr(133)||chr(0)||chr(14)||chr(0)")
+def g14_g15_carve_boundsheets(spark, d):
+    return longs(carve.carve_boundsheets(table(spark, d, "xls")))
+
+
+@query(cte("macro_probe") + ", m AS (SELECT artifact_id, value AS t FROM macro_probe WHERE contains(value, 'Function') OR contains(value, 'Sub ')) SELECT artifact_id, pos, value FROM " + every("m", carve.FUNCTION_NAME))
+def g17_carve_functions(spark, d):
+    return longs(carve.carve_functions(table(spark, d, "macro_probe").withColumnRenamed("value", "t")))
+
+
+# --- rules ---
+
+
+@query(cte("string_probe") + rules_sql("string_probe", "artifact_id, part_path, k", rules.STRING_RULES))
+def i_string_rules(spark, d):
+    return longs(rules.apply_rules(table(spark, d, "string_probe")))
+
+
+@query("WITH s AS (SELECT page_id AS artifact_id, url AS value FROM pages) " + rules_sql("s", "artifact_id", rules.STRING_RULES))
+def i2_page_urls(spark, d):
+    urls = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("artifact_id"), F.col("url").alias("value"))
+    return rules.apply_rules(urls)
+
+
+@query(cte("string_probe") + " UNION ALL ".join(f"SELECT artifact_id, '{r.rule_id}' AS rule_id, value AS description FROM string_probe WHERE {rule_sql(r, 'value')}" for r in rules.STRING_RULES[:4]))
+def j2_rule_table_join(spark, d):
+    rows = [(r.rule_id, r.includes, r.excludes) for r in rules.STRING_RULES[:4]]
+    rule_rows = spark.createDataFrame(rows, "rule_id string, includes array<string>, excludes array<string>")
+    return rules.match_rule_table(table(spark, d, "string_probe"), rule_rows)
+
+
+URL_SQL = """CASE WHEN regexp_extract(value, '(https?://[^\\n\\r]*\\.[^\\n\\r]*/[^\\n\\r]*")', 1) <> '' THEN regexp_extract(value, '(https?://[^\\n\\r]*\\.[^\\n\\r]*/[^\\n\\r]*")', 1) ELSE regexp_extract(value, '(http[^\\s"]*)', 1) END"""
+
+
+@query(cte("macro_probe") + rules_sql("macro_probe", "artifact_id, part_path, k", rules.MACRO_RULES, described={r.rule_id: URL_SQL if r.rule_id == "V4" else "left(value, 100)" for r in rules.MACRO_RULES}))
+def v_x1_macro_rules(spark, d):
+    return longs(rules.macro_findings(table(spark, d, "macro_probe")))
+
+
+@query(cte("mixed") + r"""SELECT artifact_id, len(list_filter(string_split(m, chr(10)), lambda s: NOT (trim(s) = '' OR starts_with(s, 'Attribute ') OR s = 'Option Explicit'))) = 0 AS only_attributes, regexp_replace(m, '^(?:Attribute VB_[^\n]+? = [^\n]+\n)+', '') AS code FROM (SELECT artifact_id, CASE WHEN artifact_id % 3 = 0 THEN 'Attribute VB_Name = "M"' || chr(10) || 'Option Explicit' ELSE t END AS m FROM mixed WHERE kind_no = 6)""")
+def v6_v7_attributes(spark, d):
+    rows = table(spark, d, "mixed").where("kind_no = 6")
+    m = F.when(F.col("artifact_id") % 3 == 0, F.lit('Attribute VB_Name = "M"\nOption Explicit')).otherwise(F.col("t"))
+    return rows.select("artifact_id", rules.only_attributes(m).alias("only_attributes"), rules.strip_attributes(m).alias("code"))
+
+
+@query(cte("xls") + "SELECT artifact_id, true AS x3_hidden_sheet, true AS x4_xlm_sheet, true AS x2_xlm_substream FROM xls")
+def a2_x2_x3_x4_sheet_flags(spark, d):
+    xls = table(spark, d, "xls")
+    return biff.sheet_flags(carve.carve_boundsheets(xls), carve.carve_bof(xls))
+
+
+@query(cte("part_probe") + f""", f AS (SELECT artifact_id, contains(t, {fixtures._CLSID}) AS c, contains(t, 'Microsoft Equation 3.0') AS p FROM part_probe WHERE length(t) > 50)
+SELECT artifact_id, CASE WHEN c AND p THEN 'E1' WHEN c THEN 'E2' ELSE 'E3' END AS rule_id, CASE WHEN c THEN 'high' ELSE 'info' END AS severity, CASE WHEN p THEN 'Microsoft Equation 3.0' ELSE 'class id' END AS description FROM f WHERE c OR p""")
+def e1_e2_e3_f2_equation(spark, d):
+    return rules.equation_findings(table(spark, d, "part_probe")).select("artifact_id", "rule_id", "severity", "description")
+
+
+@query(cte("part_probe") + "SELECT artifact_id, 'E11' AS rule_id, 'info' AS severity, part_path AS description FROM part_probe WHERE artifact_id % 3 < 2")
+def e11_f8_encrypted(spark, d):
+    return rules.encrypted_containers(table(spark, d, "part_probe"))
+
+
+@query(cte("rtf_probe") + f""", {_clean('rtf_probe')}, blobs AS (SELECT artifact_id, value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', carve.RTF_BLOB, 1)} WHERE length(value) > 200),
+t AS (SELECT artifact_id, hex, coalesce(decode(from_hex(ok), 'replace'), '') AS t FROM blobs WHERE ok IS NULL OR NOT contains(ok, 'd0cf11'))
+SELECT artifact_id, 'E4' AS rule_id FROM t WHERE regexp_matches(t, '(?i)equation') UNION ALL SELECT artifact_id, 'E7' FROM t
+UNION ALL SELECT artifact_id, 'E8' FROM t WHERE contains(t, 'Function') OR contains(t, 'Sub ') UNION ALL SELECT artifact_id, 'E9' FROM t WHERE regexp_matches(hex, '{rules.PE_IN_HEX}')""")
+def e4_e7_e8_e9_blob_findings(spark, d):
+    blobs = carve.carve_rtf_blobs(table(spark, d, "rtf_probe")).where("content is null or not contains(lower(hex), 'd0cf11')")
+    return rules.blob_findings(blobs.withColumn("t", lens("content"))).select("artifact_id", "rule_id")
+
+
+@query(cte("part_probe") + "SELECT artifact_id, pos, value AS description, 'D16' AS rule_id, 'high' AS severity FROM " + every("part_probe", r"\x13\s*DDEAUTO[^\x14]+"))
+def d16_dde_fields(spark, d):
+    return longs(rules.dde_fields(table(spark, d, "part_probe")))
+
+
+# --- containers ---
+
+
+@query(cte("parts") + "SELECT artifact_id, part_path, min(ordinal) AS ordinal, arg_min(t, ordinal) AS t FROM parts GROUP BY artifact_id, part_path")
+def u1_distinct_parts(spark, d):
+    return ooxml.distinct_parts(table(spark, d, "parts"))
+
+
+@query(cte("parts") + "SELECT artifact_id, part_path, array_to_string(regexp_extract_all(t, '<t>([^<]*)</t>', 1), ', ') AS value FROM parts WHERE contains(part_path, 'sharedStrings')")
+def s5_o9_a1_shared_strings(spark, d):
+    return ooxml.xml_shared_strings(table(spark, d, "parts"))
+
+
+@query(cte("parts") + "SELECT artifact_id, part_path, 'A1' AS cell_ref, regexp_extract(t, '<v>([^<]*)</v>', 1) AS value FROM parts WHERE contains(part_path, 'xl/worksheets/')")
+def s6_f7_cells(spark, d):
+    return ooxml.xml_cells(table(spark, d, "parts"))
+
+
+@query(cte("parts") + "SELECT artifact_id, part_path, CASE WHEN part_path LIKE '%.bin' THEN 'binary' WHEN part_path LIKE '%.rels' THEN 'relationships' WHEN part_path LIKE '%sharedStrings.xml%' THEN 'shared strings' WHEN part_path LIKE '%webSettings.xml%' THEN 'web settings' WHEN part_path LIKE '%document.xml%' OR part_path LIKE '%workbook.xml%' THEN 'main' WHEN part_path LIKE '%xl/worksheets/%' THEN 'sheet' END AS part_role FROM parts")
+def f11_part_role(spark, d):
+    return ooxml.with_role(table(spark, d, "parts")).select("artifact_id", "part_path", "part_role")
+
+
+def _rels_sql(p: str) -> str:
+    return quoted(f"({p})")
+
+
+@query(cte("parts") + " UNION ALL ".join(f"SELECT artifact_id, part_path, '{r}' AS rule_id, unnest(regexp_extract_all(t, {quoted(p)}, 0)) AS description FROM parts WHERE part_path LIKE '%.rels'" for r, _, _, p in ooxml.RELS))
+def g16_carve_rels(spark, d):
+    return ooxml.carve_rels(table(spark, d, "parts"))
+
+
+@query(
+    cte("parts")
+    + "SELECT * FROM (SELECT artifact_id, part_path, CASE "
+    + " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN '{r}' " for r, _, _, p in ooxml.RELS)
+    + "END AS rule_id, CASE "
+    + " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN regexp_extract(t, {_rels_sql(p)}, 1) " for r, _, _, p in ooxml.RELS)
+    + "END AS description FROM parts WHERE part_path LIKE '%.rels') WHERE rule_id IS NOT NULL"
+)
+def o1_o4_rels_findings(spark, d):
+    return ooxml.rels_findings(table(spark, d, "parts")).select("artifact_id", "part_path", "rule_id", "description")
+
+
+@query(
+    cte("parts")
+    + f"SELECT artifact_id, part_path, 'O5' AS rule_id, regexp_extract(t, {_rels_sql(ooxml.FRAME)}, 1) AS description FROM parts WHERE part_path LIKE '%webSettings%' "
+    + "UNION ALL SELECT artifact_id, part_path, 'O6', regexp_extract(t, '<instrText>([^<]*)<', 1) FROM parts WHERE part_path LIKE '%document.xml' "
+    + "UNION ALL SELECT artifact_id, part_path, 'O7', left(regexp_extract(t, '>&lt([^\\n\\r]*)', 1), 100) FROM parts WHERE part_path LIKE '%workbook.xml' "
+    + "UNION ALL SELECT artifact_id, part_path, 'O8', '<oleObjects>a</oleObjects>' FROM parts WHERE part_path LIKE '%worksheets%'"
+)
+def o5_o8_part_findings(spark, d):
+    return ooxml.part_findings(table(spark, d, "parts")).select("artifact_id", "part_path", "rule_id", "description")
+
+
+@query(cte("parts") + "SELECT artifact_id, string_agg(DISTINCT part_path, ', ') AS description, 'O10' AS rule_id, 'low' AS severity FROM parts WHERE part_path LIKE '%xl/activeX%.bin%' GROUP BY artifact_id")
+def o10_activex(spark, d):
+    return ooxml.activex_findings(table(spark, d, "parts"))
+
+
+# --- PDF ---
+
+_FLAGS = [
+    ("D2", "/Type ?/EmbeddedFile"), ("D3", "/Type ?/ObjStm"), ("D8", r"/AA\b"), ("D9", "/OpenAction"), ("D12", "/Launch"), ("D14", "/SubmitForm"),
+]
+_FIRSTS = [("D4", pdf.EXPORT), ("D6", pdf.UNC), ("D7", r"JS \d+ 0 R"), ("D10", r"/O \d+ 0 R"), ("D11", r"/OpenAction \d+ 0 R"), ("D13", "/GoTo[RE]?")]
+
+
+@query(
+    cte("pdf")
+    + f", {PDF_OBJECTS} SELECT artifact_id, ordinal, 'D1' AS rule_id, unnest(regexp_extract_all(body, '{pdf.URI}', 0)) AS description FROM objects "
+    + "".join(f"UNION ALL SELECT artifact_id, ordinal, '{r}', '' FROM objects WHERE regexp_matches(body, '{p}') " for r, p in _FLAGS)
+    + "".join(f"UNION ALL SELECT artifact_id, ordinal, '{r}', regexp_extract(body, '({p})', 1) FROM objects WHERE regexp_matches(body, '{p}') " for r, p in _FIRSTS)
+    + f"UNION ALL SELECT artifact_id, ordinal, 'D5', regexp_extract(body, '({pdf.FILE_REF})', 1) FROM objects WHERE regexp_matches(body, '/Type ?/Filespec') AND regexp_matches(body, '{pdf.FILE_REF}')"
+)
+def d1_d14_object_findings(spark, d):
+    found = pdf.object_findings(carve.carve_pdf_objects(table(spark, d, "pdf")))
+    return longs(found.select("artifact_id", "ordinal", "rule_id", "description"))
+
+
+@query(cte("pdf") + "SELECT artifact_id, true AS has_js, true AS has_aa, true AS has_open_action, true AS has_launch FROM pdf")
+def a2_pdf_flags(spark, d):
+    return pdf.object_flags(carve.carve_pdf_objects(table(spark, d, "pdf")))
+
+
+@query(
+    cte("pdf")
+    + f", {PDF_OBJECTS}, refs AS ("
+    + " UNION ALL ".join(f"SELECT artifact_id, obj_no AS src_obj, '{k}' AS kind, unnest(regexp_extract_all(body, '{p}', 1))::BIGINT AS dst_obj FROM objects" for k, p in pdf.REFS)
+    + ") SELECT r.artifact_id, r.dst_obj, r.src_obj, r.kind, o.ordinal AS dst_ordinal FROM refs r LEFT JOIN objects o ON o.artifact_id = r.artifact_id AND o.obj_no = r.dst_obj"
+)
+def j3_resolve_pdf_refs(spark, d):
+    objects = carve.carve_pdf_objects(table(spark, d, "pdf"))
+    return pdf.resolve_pdf_refs(pdf.pdf_refs(objects), objects)
+
+
+# --- workbook records ---
+
+
+def _placed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    xls = table(spark, d, "xls")
+    bofs = carve.carve_bof(xls)
+    placed = biff.sheet_to_bof(carve.carve_boundsheets(xls), bofs)
+    return placed, bofs, xls.select("artifact_id", F.length("t").cast("bigint").alias("length"))
+
+
+@query(cte("xls") + f", {BOFS}, {SHEETS} SELECT s.artifact_id, s.sheet_no, s.visibility, 527 + s.bof_offset AS bof_at, b.substream FROM sheets s LEFT JOIN bofs b ON b.artifact_id = s.artifact_id AND b.\"offset\" = 527 + s.bof_offset")
+def j4_w2_f9_f10_sheet_to_bof(spark, d):
+    placed, _, lengths = _placed(spark, d)
+    return carve.valid_sheets(placed, lengths).select("artifact_id", "sheet_no", "visibility", "bof_at", "substream")
+
+
+@query(cte("xls") + f", {BOFS}, eofs AS ({MARKS.format(n=4, mark='chr(10)||chr(0)||chr(0)||chr(0)')}) SELECT b.artifact_id, b.\"offset\", coalesce(min(e.\"offset\"), max(length(t)))::BIGINT AS end_at, (coalesce(min(e.\"offset\"), max(length(t))) - b.\"offset\")::BIGINT AS size FROM bofs b JOIN xls USING (artifact_id) LEFT JOIN eofs e ON e.artifact_id = b.artifact_id AND e.\"offset\" > b.\"offset\" GROUP BY b.artifact_id, b.\"offset\"")
+def j5_w4_a3_bof_extent(spark, d):
+    _, bofs, lengths = _placed(spark, d)
+    return biff.bof_extent(bofs, carve.carve_eof(table(spark, d, "xls")), lengths)
+
+
+@query(cte("xls") + f", {SHEETS} SELECT artifact_id, sheet_no, 527 + bof_offset AS bof_at, coalesce(lead(527 + bof_offset) OVER w, length(t))::BIGINT AS end_at, (coalesce(lead(527 + bof_offset) OVER w, length(t)) - 527 - bof_offset)::BIGINT AS size FROM sheets WINDOW w AS (PARTITION BY artifact_id ORDER BY bof_offset)")
+def w1_next_sheet(spark, d):
+    placed, _, lengths = _placed(spark, d)
+    return biff.next_sheet(placed, lengths)
+
+
+# --- findings ---
+
+
+@query(cte("findings") + "SELECT artifact_id, description, seq, rule_id, indication, severity FROM (SELECT *, row_number() OVER (PARTITION BY artifact_id, description ORDER BY seq) AS rn FROM findings) WHERE rn = 1")
+def k1_w3_dedup_exact(spark, d):
+    return findings.dedup_findings(table(spark, d, "findings"))
+
+
+@query(cte("findings") + "SELECT * FROM findings d WHERE NOT EXISTS (SELECT 1 FROM findings e WHERE e.artifact_id = d.artifact_id AND e.seq < d.seq AND (contains(e.description, d.description) OR contains(e.indication, d.description)))")
+def k1_j6_dedup_contains(spark, d):
+    return findings.dedup_findings(table(spark, d, "findings"), "contains")
+
+
+@query(cte("findings") + "SELECT artifact_id, string_agg(description, ', ' ORDER BY seq) AS joined FROM findings GROUP BY artifact_id")
+def a1_join_strings(spark, d):
+    return findings.join_strings(table(spark, d, "findings").select("artifact_id", F.col("seq").alias("pos"), F.col("description").alias("value")))
+
+
+@query(cte("findings") + "SELECT artifact_id, arg_min(description, seq) AS first_value, arg_max(description, seq) AS last_value FROM findings GROUP BY artifact_id")
+def a4_first_last(spark, d):
+    return findings.first_last(table(spark, d, "findings").select("artifact_id", F.col("seq").alias("pos"), F.col("description").alias("value")))
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in findings.SEVERITIES)
+
+
+@query(cte("findings") + f"SELECT artifact_id, {_COUNTS} FROM findings GROUP BY artifact_id")
+def a5_severity_rollup(spark, d):
+    return findings.severity_rollup(table(spark, d, "findings"))
+
+
+@query(cte("findings") + "SELECT regexp_extract(rule_id, '^([A-Z]+)', 1) AS family, rule_id, count(DISTINCT artifact_id) AS n_artifacts, count(*) AS n_findings FROM findings GROUP BY ROLLUP (regexp_extract(rule_id, '^([A-Z]+)', 1), rule_id)")
+def a6_rule_prevalence(spark, d):
+    return findings.rule_prevalence(table(spark, d, "findings"))
+
+
+@query(cte("findings") + "SELECT artifact_id, ['info', 'low', 'medium', 'high'][max(list_position(['info', 'low', 'medium', 'high'], severity))] AS verdict FROM findings WHERE seq >= artifact_id % 4 GROUP BY artifact_id")
+def a7_verdict(spark, d):
+    return findings.verdict(table(spark, d, "findings").where("seq >= artifact_id % 4"))
+
+
+@query(cte("findings") + "SELECT * FROM findings ORDER BY artifact_id, seq")
+def l1_document_order(spark, d):
+    return findings.document_order(table(spark, d, "findings"))
+
+
+@query(cte("findings") + "SELECT * FROM findings QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY seq) <= 2")
+def l2_first_findings(spark, d):
+    return findings.first_findings(table(spark, d, "findings"), 2)
+
+
+@query("WITH a AS (SELECT doc_id AS artifact_id, sha256(text) AS sha256 FROM documents) SELECT artifact_id, sha256, n_copies FROM a JOIN (SELECT sha256, count(*) AS n_copies FROM a GROUP BY sha256 HAVING count(*) > 1) USING (sha256)")
+def j7_duplicate_artifacts(spark, d):
+    found = sources.artifacts_from_table(spark.read.parquet(f"{d}/documents.parquet").where("text is not null"), "doc_id", "text")
+    return findings.duplicate_artifacts(columns.with_sha256(found))
+
+
+@query(cte("findings") + "SELECT description, count(DISTINCT artifact_id) AS n_artifacts, min(artifact_id) AS first_artifact FROM findings GROUP BY description HAVING count(DISTINCT artifact_id) > 1")
+def j8_shared_indicators(spark, d):
+    return findings.shared_indicators(table(spark, d, "findings"))
+
+
+# Class ids (as text order) and what they are; each is stored in both byte orders.
+SIGNATURES = [
+    ("0002CE02-0000-0000-C000-000000000046", "equation editor"),
+    ("00020906-0000-0000-C000-000000000046", "word document"),
+    ("00020820-0000-0000-C000-000000000046", "excel workbook"),
+    ("0003000C-0000-0000-C000-000000000046", "OLE package"),
+    ("F20DA720-C02F-11CE-927B-0800095AE340", "OLE package object"),
+]
+
+
+def signature_rows(signatures: list[tuple[str, str]] = SIGNATURES) -> list[tuple[str, str]]:
+    """(lens text, label) in text order and in the order of the bytes on disk."""
+    return [(b.decode("latin-1"), label) for uid, label in signatures for b in (uuid.UUID(uid).bytes, uuid.UUID(uid).bytes_le)]
+
+
+@query(cte("part_probe") + f"SELECT artifact_id, 'equation editor' AS label FROM part_probe WHERE contains(t, {fixtures._CLSID})")
+def j1_match_signatures(spark, d):
+    return findings.match_signatures(table(spark, d, "part_probe"), spark.createDataFrame(signature_rows(), "sig string, label string"))
+
+
+@query(
+    cte("string_probe", "macro_probe", "part_probe", "parts")
+    + f"SELECT rule_id, count(*) AS n FROM ({rules_sql('string_probe', 'artifact_id', rules.STRING_RULES)} UNION ALL {rules_sql('macro_probe', 'artifact_id', rules.MACRO_RULES)} "
+    + "UNION ALL SELECT artifact_id, 'E11', 'info', '', part_path FROM part_probe WHERE artifact_id % 3 < 2 "
+    + "UNION ALL SELECT artifact_id, 'O10', 'low', '', '' FROM parts WHERE part_path LIKE '%xl/activeX%') GROUP BY rule_id"
+)
+def u2_union_of_families(spark, d):
+    families = [
+        rules.apply_rules(table(spark, d, "string_probe")),
+        rules.macro_findings(table(spark, d, "macro_probe")),
+        rules.encrypted_containers(table(spark, d, "part_probe")),
+        ooxml.activex_findings(table(spark, d, "parts")),
+    ]
+    return findings.union_findings(families).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def _flagship_sql(k: int) -> str:
+    found = rules_sql("strings", "artifact_id, pos", rules.STRING_RULES)
+    return (
+        cte("mixed")
+        + f", strings AS {every('mixed', carve.ASCII_RUN)}, found AS ({found}), kept AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY artifact_id, description ORDER BY pos, indication, rule_id) = 1), "
+        + f"counts AS (SELECT artifact_id, {_COUNTS} FROM kept GROUP BY artifact_id) "
+        + f"SELECT artifact_id, n_high * 100 + n_medium * 10 + n_low AS score, n_high, n_medium, n_low FROM counts ORDER BY score DESC, artifact_id LIMIT {k}"
+    )
+
+
+@query(_flagship_sql(20))
+def flagship_top_risky(spark, d):
+    """The documents with the most severe distinct indicators (L3)."""
+    found = triage.string_findings(table(spark, d, "mixed")).select("artifact_id", "description", "seq", "indication", "rule_id", "severity")
+    return findings.top_risky(findings.dedup_findings(found), 20)
+
+
+_DEPTH = f"""{{cte}}, c AS (SELECT artifact_id, regexp_extract(translate(t, ' ', ''), '(d0cf11e[\\x00-\\x66]+)\\}}', 1) AS h FROM rtf_probe)
+SELECT artifact_id AS root_id, 0::BIGINT AS depth, 'rtf' AS kind FROM rtf_probe
+UNION ALL SELECT artifact_id, 1::BIGINT, 'ole' FROM c WHERE length(h) > 200 AND length(h) % 2 = 0"""
+
+
+@query(_DEPTH.replace("{cte}", cte("rtf_probe")).replace("\\}}", "\\}"))
+def c1_triage(spark, d):
+    return triage.triage(table(spark, d, "rtf_probe"), 2).select("root_id", "depth", "kind")
+
+
+# --- streams ---
+
+
+def _stream_over(spark, d, build, mode: str = "append") -> DataFrame:
+    """Runs build over documents as a stream that ends, and reads back what it wrote."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="spark-doclens-")
+    base = f"{base}/doclens/stream-{uuid.uuid4().hex}"
+    path = f"{d}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    if spark.read.parquet(path).inputFiles()[0].endswith("/documents.parquet"):  # one file: streams read folders
+        rows = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    else:
+        rows = spark.readStream.schema(schema).parquet(path)
+    timed = rows.select(F.col("doc_id").alias("artifact_id"), F.coalesce("text", F.lit("")).alias("t"), F.timestamp_seconds(F.col("doc_id") % 7200).alias("modificationTime"))
+    out = build(timed)
+    q = out.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+_STREAMED = f"s AS {every('docs', carve.ASCII_RUN)}, f AS ({rules_sql('s', 'artifact_id, pos', rules.STRING_RULES)})"
+
+
+@query("WITH " + DOCS + f", {_STREAMED} SELECT artifact_id, pos, rule_id, severity, description FROM f")
+def t1_stream_findings(spark, d):
+    found = _stream_over(spark, d, stream.stream_findings)
+    return longs(found.select("artifact_id", "pos", "rule_id", "severity", "description"))
+
+
+@query("WITH " + DOCS + f", {_STREAMED} SELECT DISTINCT artifact_id, description FROM f")
+def t2_dedup_stream(spark, d):
+    found = _stream_over(spark, d, lambda a: stream.dedup_stream(stream.stream_findings(a), "3 hours"))
+    return found.select("artifact_id", "description")
+
+
+@query("WITH " + DOCS + f", {_STREAMED} SELECT to_timestamp((artifact_id % 7200) // 3600 * 3600)::TIMESTAMP AS window_start, rule_id, count(*) AS n FROM f GROUP BY ALL")
+def t3_findings_per_window(spark, d):
+    timed = docs(spark, d).withColumn("modificationTime", F.timestamp_seconds(F.col("artifact_id") % 7200))
+    return stream.findings_per_window(stream.stream_findings(timed)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
