@@ -8,31 +8,33 @@ from pyspark.sql import functions as F
 from doclens.llm.shared import written
 
 
+def relabelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """df with column replaced by its label (node, comp), where it has one."""
+    own = labels.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
+    joined = df.join(own, df[column] == own["_node"], "left")
+    return joined.withColumn(column, F.coalesce("_comp", column)).drop("_node", "_comp")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of links (a, b): comp is the smallest node it is connected to.
+    """(node, comp) for every node of links (a, b): one comp for all nodes that are connected.
 
-    Each step takes the smallest label of the neighbours and then the label of that label, so
-    that paths shorten by doubling. Labels are written between steps, and the loop ends when
-    none changes. Nodes without links are not in the result.
+    Every step hooks each node to the smallest of its neighbours and itself, and that one to
+    its own, then contracts the links to what is left between different labels. Labels only
+    fall, so hooks make no circles; a step at least halves the nodes that still have links.
+    Links and labels are written between steps. Nodes without links are not in the result.
     """
     edges = written(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges"
     )
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("node"), F.least("a", "m").alias("comp")
-    ), "labels")
+    steps = []
     while True:
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.least("comp", "m").alias("comp"), F.col("comp").alias("before")
-        )
-        jump = labels.select(F.col("node").alias("via"), F.col("comp").alias("beyond"))
-        moved = written(
-            lower.join(jump, lower["comp"] == jump["via"], "left").select(
-                "node", F.least("comp", F.coalesce("beyond", "comp")).alias("comp"), "before"
-            ),
-            "labels",
-        )
-        labels = moved.select("node", "comp")
-        if moved.where("comp <> before").isEmpty():
-            return labels
+        up = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
+        labels = written(relabelled(up, "comp", up), "labels")
+        steps.append(labels)
+        edges = written(relabelled(relabelled(edges, "a", labels), "b", labels).where("a <> b").distinct(), "edges")
+        if edges.isEmpty():
+            break
+    found = steps[0]
+    for labels in steps[1:]:
+        found = relabelled(found, "comp", labels)
+    return found if len(steps) == 1 else written(found, "labels")

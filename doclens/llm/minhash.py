@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.components import components
+from doclens.llm.components import components, relabelled
 from doclens.llm.shared import documents, words_of, written
 
 SHINGLE = 5
@@ -174,17 +174,21 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float((1.0 / (from_a / x + from_b / y)).sum())
 
 
+PAIR_COLUMNS = ["a", "b", "ca", "cb"]
+PAIR = "a bigint, b bigint, ca bigint, cb bigint"
+
+
 def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, sig_a, sig_b), the pairs (a, b) whose signatures agree in SAFE_MATCHES components or more."""
+    """Of (a, b, ca, cb, sig_a, sig_b), the pairs whose signatures agree in SAFE_MATCHES components or more."""
     for batch in batches:
         left = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
         right = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
         keep = (left == right).sum(axis=1) >= SAFE_MATCHES
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield batch.select(PAIR_COLUMNS).filter(pa.array(keep))
 
 
 def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, items and counts of both), the pairs (a, b) of probability Jaccard SIMILARITY or more."""
+    """Of (a, b, ca, cb, items and counts of both), the pairs of probability Jaccard SIMILARITY or more."""
     for batch in batches:
         keep = []
         columns = [batch.column(c).to_pylist() for c in ("items_a", "counts_a", "items_b", "counts_b")]
@@ -193,11 +197,11 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.frombuffer(ia, np.uint64), np.frombuffer(ca, np.int32), np.frombuffer(ib, np.uint64), np.frombuffer(cb, np.int32)
             )
             keep.append(value >= SIMILARITY)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
 
 
 def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs (a, b) with table's columns for both nodes, as column_a and column_b."""
+    """pairs (a, b, ...) with table's columns for both nodes, as column_a and column_b."""
     for side in "ab":
         own = table.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
         pairs = pairs.join(own, side)
@@ -205,10 +209,9 @@ def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFr
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) that are similar: first by signature, then exactly."""
-    likely = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, "a bigint, b bigint")
-    likely = written(likely, "likely-pairs")
-    return written(both_sides(likely, sets, ["items", "counts"]).mapInArrow(similar, "a bigint, b bigint"), "links")
+    """The distinct pairs (a, b, ca, cb) that are similar: first by signature, then exactly."""
+    likely = written(both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR), "likely-pairs")
+    return written(both_sides(likely, sets, ["items", "counts"]).mapInArrow(similar, PAIR), "links")
 
 
 def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,42 +223,36 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
     components of the same bucket (or after PIVOT_ROUNDS), all of those are compared, so no
     candidate pair between different components is left out.
     """
-    nodes = members.select("node").distinct()
-    links, known = None, None
+    steps = []
     live = members.withColumn("comp", F.col("node"))
     for step in range(PIVOT_ROUNDS + 1):
+        last = step == PIVOT_ROUNDS
         if step:
-            comp = members.join(known, "node", "left").select(
-                "key", "node", F.coalesce("comp", "node").alias("comp")
-            )
-            mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            live = written(comp.join(mixed.select("key"), "key"), "live-members")
+            moved = relabelled(live, "comp", steps[-1])
+            mixed = moved.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            live = written(moved.join(mixed.select("key"), "key"), "live-members")
             by_comp = live.groupBy("key", "comp").agg(F.count("*").alias("n"))
             by_key = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
             total = by_key.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
             if not total.n:
                 break
-            last = step == PIVOT_ROUNDS or total.pairs <= PAIRS_PER_MEMBER * total.n
-        else:
-            last = False
+            last = last or total.pairs <= PAIRS_PER_MEMBER * total.n
         if last:
-            other = live.select("key", F.col("node").alias("b"), F.col("comp").alias("other"))
-            pairs = live.join(other, "key").where("comp <> other and node < b").select(F.col("node").alias("a"), "b")
+            other = live.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+            pairs = live.join(other, "key").where("comp <> cb and node < b").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
         else:
             rank = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("rank"), "node", "comp")
-            pivots = live.groupBy("key").agg(F.min(rank).alias("p")).select(
-                "key", F.col("p.node").alias("p"), F.col("p.comp").alias("other")
-            )
-            pairs = live.join(pivots, "key").where("comp <> other").select(
-                F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")
-            )
+            pivots = live.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("cb"))
+            pairs = live.join(pivots, "key").where("comp <> cb").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
         found = verified(pairs, sigs, sets)
-        links = found if links is None else links.union(found)
-        known = components(links)
+        # Links between components: what was joined in earlier rounds is one node here.
+        steps.append(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
         if last:
             break
-    comp = known.select("node", "comp") if known is not None else nodes.select("node", F.col("node").alias("comp"))
-    return comp
+    nodes = members.select("node").distinct().withColumn("comp", F.col("node"))
+    for labels in steps:
+        nodes = relabelled(nodes, "comp", labels)
+    return nodes
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
