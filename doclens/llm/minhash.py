@@ -17,13 +17,18 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 COMPONENTS = BANDS * ROWS
-#: Matching components below which a pair cannot reasonably be similar: 6.7 standard deviations under the mean.
-SAFE_MATCHES = int(COMPONENTS * SIMILARITY - 6.7 * (COMPONENTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Matching components below which a pair is not similar: 4.5 standard deviations under the mean of a pair at
+#: the limit, which is missed with probability 7e-6, below what the bands miss.
+SAFE_MATCHES = int(COMPONENTS * SIMILARITY - 4.5 * (COMPONENTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Words handled at once in a task; a longer document is handled alone.
 CHUNK_WORDS = 500_000
-#: The rest of a bucket's pairs are listed once there are at most this many for each of its members.
-PAIRS_PER_MEMBER = 4
-PIVOT_ROUNDS = 8
+#: Rounds in which every bucket compares its members with one pivot.
+PIVOT_ROUNDS = 2
+#: Buckets of at most SMALL members, or more than LARGE, list their pairs by a join; the others compare
+#: signatures in one task.
+SMALL, LARGE = 8, 4096
+#: Bytes of shingle sets that one task verifies together; larger families verify their pairs by joins.
+FAMILY_BYTES = 48 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -145,7 +150,7 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(docs, np.arange(len(part) + 1))
             wanted = part.column("node").to_pylist()
             rows = [
-                (node, items[cuts[i] : cuts[i + 1]].tobytes(), counts[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes())
+                (node, items[cuts[i] : cuts[i + 1]].tobytes(), packed_weights(counts[cuts[i] : cuts[i + 1]]))
                 for i, node in enumerate(wanted)
                 if node == node_of(values[offsets[i] : offsets[i + 1]])
             ]
@@ -155,6 +160,15 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def packed_weights(counts: np.ndarray) -> bytes:
+    """Counts as bytes; none where all are 1."""
+    return counts.astype(np.int32).tobytes() if counts.max(initial=1) > 1 else b""
+
+
+def weights_of(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int32) if packed else np.ones(n, np.int32)
+
+
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Sum over common items i of 1 / sum over j of max(a_j / a_i, b_j / b_i); items sorted and distinct.
 
@@ -194,7 +208,7 @@ def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("items_a", "counts_a", "items_b", "counts_b")]
         for ia, ca, ib, cb in zip(*columns, strict=True):
             value = probability_jaccard(
-                np.frombuffer(ia, np.uint64), np.frombuffer(ca, np.int32), np.frombuffer(ib, np.uint64), np.frombuffer(cb, np.int32)
+                np.frombuffer(ia, np.uint64), weights_of(ca, len(ia) // 8), np.frombuffer(ib, np.uint64), weights_of(cb, len(ib) // 8)
             )
             keep.append(value >= SIMILARITY)
         yield batch.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
@@ -208,47 +222,118 @@ def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFr
     return pairs
 
 
-def verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b, ca, cb) that are similar: first by signature, then exactly."""
-    likely = written(both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR), "likely-pairs")
-    return written(both_sides(likely, sets, ["items", "counts"]).mapInArrow(similar, PAIR), "links")
+def same_bucket(table: pa.Table) -> pa.Table:
+    """Pairs of different components in one bucket (node, comp, sig) whose signatures agree enough.
+
+    A pair that meets in several buckets is given by the first band in which it agrees.
+    """
+    node = table.column("node").to_numpy()
+    comp = table.column("comp").to_numpy()
+    band = int(table.column("band")[0].as_py())
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+    out = []
+    for i in range(len(node) - 1):
+        near = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        equal = sig[near] == sig[i]
+        enough = equal.sum(axis=1) >= SAFE_MATCHES
+        near, equal = near[enough], equal[enough]
+        own = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        near = near[own]
+        out.append(np.stack([np.full(len(near), node[i]), node[near], np.full(len(near), comp[i]), comp[near]]))
+    columns = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+    return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], PAIR_COLUMNS)
+
+
+def same_family(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Of a family's pairs, similar ones enough to join all its components that similar pairs join."""
+    place = {n: k for k, n in enumerate(sets.column("node").to_pylist())}
+    items = [np.frombuffer(b, np.uint64) for b in sets.column("items").to_pylist()]
+    counts = [weights_of(b, len(i)) for b, i in zip(sets.column("counts").to_pylist(), items, strict=True)]
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    keep = []
+    for a, b, ca, cb in zip(*[pairs.column(c).to_pylist() for c in PAIR_COLUMNS], strict=True):
+        ra, rb, ia, ib = top(ca), top(cb), place[a], place[b]
+        linked = ra != rb and probability_jaccard(items[ia], counts[ia], items[ib], counts[ib]) >= SIMILARITY
+        if linked:
+            up[ra] = rb
+        keep.append(linked)
+    return pairs.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs among the likely ones (a, b, ca, cb), enough of them to join what they join.
+
+    Pairs that hang together form a family; a family's shingle sets meet in one task, each
+    once, as long as they are at most FAMILY_BYTES. Beyond that its pairs are joined with
+    their sets one by one.
+    """
+    family = written(
+        components(likely.select("a", "b")).join(sets.select("node", F.octet_length("items").alias("bytes")), "node"), "families"
+    )
+    large = family.groupBy("comp").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > FAMILY_BYTES).select("comp")
+    large = written(large, "large-families")
+    of_a = likely.join(family.select(F.col("node").alias("a"), F.col("comp").alias("family")), "a")
+    of_set = sets.join(family.select("node", F.col("comp").alias("family")), "node")
+    few = large.isEmpty()
+
+    def small(df: DataFrame) -> DataFrame:
+        return df if few else df.join(large, df["family"] == large["comp"], "left_anti")
+
+    found = (
+        small(of_a).groupBy("family").cogroup(small(of_set).groupBy("family")).applyInArrow(same_family, PAIR)
+    )
+    if not few:
+        rest = of_a.join(large, of_a["family"] == large["comp"], "left_semi").select(*PAIR_COLUMNS)
+        found = found.unionByName(both_sides(rest, sets, ["items", "counts"]).mapInArrow(similar, PAIR))
+    return written(found, "links")
+
+
+def crossing(live: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Likely pairs of different components in one bucket: all of them."""
+    size = live.groupBy("key").agg(F.count("*").alias("n"))
+    sized = live.join(size, "key")
+    listed = sized.where((F.col("n") <= SMALL) | (F.col("n") > LARGE))
+    other = listed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    pairs = listed.join(other, "key").where("comp <> cb and node < b").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
+    by_join = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
+    grouped = sized.where((F.col("n") > SMALL) & (F.col("n") <= LARGE)).join(sigs, "node").select("key", "band", "node", "comp", "sig")
+    return by_join.unionByName(grouped.groupBy("key").applyInArrow(same_bucket, PAIR)).distinct()
 
 
 def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, comp) over the similar pairs among all nodes that share a bucket (key).
+    """(node, comp) over the similar pairs among all nodes that share a bucket (key, band).
 
-    Every round, each bucket that still holds several components elects a pivot, and the
-    members outside the pivot's component are compared with it: a group of copies falls into
-    one component in a few rounds, at one pair a member. When few pairs are left between
-    components of the same bucket (or after PIVOT_ROUNDS), all of those are compared, so no
-    candidate pair between different components is left out.
+    In each of PIVOT_ROUNDS rounds, every bucket that still holds several components elects a
+    pivot, and the members outside the pivot's component are compared with it: a group of
+    copies falls into one component at one pair a member. Then all pairs of different
+    components in a bucket are compared, so no candidate pair is left out; of those only the
+    likely ones leave the task that compares their signatures.
     """
     steps = []
     live = members.withColumn("comp", F.col("node"))
     for step in range(PIVOT_ROUNDS + 1):
-        last = step == PIVOT_ROUNDS
         if step:
             moved = relabelled(live, "comp", steps[-1])
             mixed = moved.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
             live = written(moved.join(mixed.select("key"), "key"), "live-members")
-            by_comp = live.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            by_key = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            total = by_key.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-            if not total.n:
+            if live.isEmpty():
                 break
-            last = last or total.pairs <= PAIRS_PER_MEMBER * total.n
-        if last:
-            other = live.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            pairs = live.join(other, "key").where("comp <> cb and node < b").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
+        if step == PIVOT_ROUNDS:
+            likely = crossing(live, sigs)
         else:
             rank = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("rank"), "node", "comp")
             pivots = live.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("cb"))
             pairs = live.join(pivots, "key").where("comp <> cb").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
-        found = verified(pairs, sigs, sets)
+            likely = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
         # Links between components: what was joined in earlier rounds is one node here.
+        found = verified(written(likely, "likely-pairs"), sets)
         steps.append(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-        if last:
-            break
     nodes = members.select("node").distinct().withColumn("comp", F.col("node"))
     for labels in steps:
         nodes = relabelled(nodes, "comp", labels)
@@ -271,9 +356,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashes = F.transform(words_of("text"), lambda w: F.xxhash64(w)).alias("hashes")
     signed = written(rows.select("doc_id", hashes).mapInArrow(sign, SIGNED), "signatures")
     worded = signed.where(F.col("node").isNotNull())
-    bands = worded.select(F.explode("bands").alias("key"), "node")
+    bands = worded.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = written(bands.join(shared, "key").distinct(), "members")
+    members = written(bands.join(shared, "key").select("key", "band", "node").distinct(), "members")
 
     firsts = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     candidates = members.select("node").distinct()
