@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclens.llm.exact import DIGEST, exact_dedup, fresh_index, with_digest
+from doclens.llm.exact import DIGEST, exact_dedup, fresh_index
 from doclens.llm.minhash import near_dedup
 from doclens.llm.mixing import poisson_mix
 from doclens.llm.packing import pack
 from doclens.llm.quality import quality_rules
-from doclens.llm.shared import documents, written
+from doclens.llm.shared import BLANKS, documents, written
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,13 +31,12 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = with_ids(docs, kept)
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rows
-    digest = with_digest(rows).select(DIGEST).columns[0]
-    text = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    first = W.partitionBy("doc_id", digest).orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), "source")
+    text = F.coalesce("text", F.lit(""))
+    own = rows.withColumn("own_digest", F.sha2(F.regexp_replace(text, BLANKS, ""), 256))
     pairs = kept.select(F.col("doc_id").alias("kept_id"), F.col(DIGEST).alias("kept_text")).distinct()
-    own = rows.withColumn(digest, text)
+    first = W.partitionBy("doc_id", "own_digest").orderBy(F.length(text).desc(), "source")
     return (
-        own.join(pairs, own["doc_id"].eqNullSafe(pairs["kept_id"]) & (own[digest] == pairs["kept_text"]), "left_semi")
+        own.join(pairs, own["doc_id"].eqNullSafe(pairs["kept_id"]) & (own["own_digest"] == pairs["kept_text"]), "left_semi")
         .withColumn("copy_no", F.row_number().over(first))
         .where("copy_no = 1")
         .select(*docs.columns)

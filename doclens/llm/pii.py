@@ -101,11 +101,11 @@ def features(token: str) -> list[int]:
 
 
 def key_of(token: str) -> str | None:
-    """What like tokens share: the digits if there are four or more, else the word around an @."""
+    """What like tokens share: the digits if there are six or more, or the word around an @."""
     digits = "".join(c for c in token if c.isdigit())
     if "@" in token:
         return token.strip(_TRIM).lower()
-    return digits if len(digits) >= 4 else None
+    return digits if len(digits) >= 6 else None
 
 
 def nodes_of(text: str, spans: list[list[Span]]) -> list[tuple[int, int, str, int, int]]:
@@ -145,19 +145,27 @@ class Field:
 
 
 def fit(texts: list[str]) -> Field:
-    """Unary potentials by softmax regression, edge tables from how often labels meet, on the patterns' own labels."""
+    """Unary potentials by softmax regression, edge tables from how often labels meet, on the patterns' own labels.
+
+    A token outside the patterns whose like is inside one somewhere in its text counts as
+    unlabelled, not as outside: it is what the field is to decide, so it takes no part.
+    """
     size = OUTSIDE + 1
     rows, labels, chain, skip = [], [], np.ones((size, size)), np.ones((size, size))
     for text in texts:
         if not _EVIDENCE.search(text):
             continue
         nodes = nodes_of(text, base_spans(text))
-        for node in nodes:
-            rows.append(features(node[2]))
-            labels.append(node[3])
+        inside = {key_of(node[2]) for node in nodes if node[3] != OUTSIDE}
+        open_ = [node[3] == OUTSIDE and (key := key_of(node[2])) is not None and key in inside for node in nodes]
+        for node, unlabelled in zip(nodes, open_, strict=True):
+            if not unlabelled:
+                rows.append(features(node[2]))
+                labels.append(node[3])
         for table, edges in zip((chain, skip), edges_of(nodes), strict=True):
             for i, j in edges:
-                table[nodes[i][3], nodes[j][3]] += 1
+                if not (open_[i] or open_[j]):
+                    table[nodes[i][3], nodes[j][3]] += 1
     weights = np.zeros((N_FEATURES, size))
     if rows:
         x = np.zeros((len(rows), N_FEATURES))

@@ -301,8 +301,8 @@ class Counter:
         self.merger, self.machine, self.table = Merger(merges), splitter(), class_table()
         longest_first = sorted(specials, key=len, reverse=True)
         self.specials = re.compile("|".join(map(re.escape, longest_first))) if specials else None
-        # After a line end, what is not blank always starts a piece: a long text may be cut there.
-        self.cut = re.compile(r"\n(?=\S)")
+        # A single line end between other characters is a piece of its own: a long text may be cut after it.
+        self.cut = re.compile(r"(?<=\S)\n(?=\S)")
 
     def segments(self, text: str) -> tuple[list[str], int]:
         """The text between special strings, cut into stretches of about STREAM characters; and how many specials."""
