@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.functions.lens import byte_at, little_endian, offsets_of, text_of, u16, u32, unhexed
+from doclens.functions.lens import byte_at, offsets_of, u16, u32, unhexed
 
 MIN_BLOB = 200
 ASCII_RUN = r"[\x20-\x7e]{10,1000}"
@@ -60,6 +60,21 @@ def carve_strings(df: DataFrame) -> DataFrame:
     return carve_ascii(df).unionByName(carve_wide(df)).unionByName(carve_printable(df))
 
 
+# Streams whose strings are left out.
+SKIPPED_PARTS = ("CompObj", "Summary")
+
+
+def carved_parts(parts: DataFrame) -> DataFrame:
+    """parts whose strings are carved: not the ones named CompObj or Summary."""
+    skipped = F.contains("part_path", F.lit(SKIPPED_PARTS[0])) | F.contains("part_path", F.lit(SKIPPED_PARTS[1]))
+    return parts.where(~F.coalesce(skipped, F.lit(False)))
+
+
+def scannable(strings: DataFrame) -> DataFrame:
+    """strings long enough for rules: more than 15 characters if printable, else more than 8."""
+    return strings.where(F.length("value") > F.when(F.col("kind") == "printable", 15).otherwise(8))
+
+
 def rtf_clean_hex(t: Column) -> Column:
     """Without line ends, tabs and spaces."""
     return F.translate(t, "\r\n\t ", "")
@@ -174,6 +189,3 @@ def carve_functions(df: DataFrame) -> DataFrame:
     """Names of script functions, of texts that hold Function or Sub."""
     coded = df.where(F.contains("t", F.lit("Function")) | F.contains("t", F.lit("Sub ")))
     return coded.select("artifact_id", F.posexplode(all_matches(F.col("t"), FUNCTION_NAME)).alias("pos", "value"))
-
-
-__all__ = [name for name in dir() if name.startswith(("carve_", "rtf_", "decode_", "sheet_", "valid_"))] + ["little_endian", "text_of"]

@@ -221,6 +221,21 @@ def u3_union_of_strings(spark, d):
     return carve.carve_strings(table(spark, d, "wide_probe")).groupBy("artifact_id", "kind").agg(F.count("*").alias("n"))
 
 
+_PART_NAMES = "SELECT doc_id AS artifact_id, CASE doc_id % 4 WHEN 0 THEN 'CompObj' WHEN 1 THEN 'x/SummaryInformation' ELSE 'WordDocument' END AS part_path, coalesce(text, '') AS t FROM documents"
+
+
+@query(
+    f"WITH p AS (SELECT * FROM ({_PART_NAMES}) WHERE artifact_id % 4 > 1), s AS (SELECT artifact_id, 'ascii' AS kind, value FROM {every('p', carve.ASCII_RUN)} "
+    f"UNION ALL SELECT artifact_id, 'printable', value FROM {every('p', carve.PRINTABLE_RUN)}) "
+    "SELECT artifact_id, kind, count(*) AS n, sum(length(value))::BIGINT AS chars FROM s WHERE length(value) > CASE kind WHEN 'printable' THEN 15 ELSE 8 END GROUP BY artifact_id, kind"
+)
+def f3_f5_scanned_strings(spark, d):
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")
+    parts = carve.carved_parts(spark.sql(_PART_NAMES))
+    strings = carve.scannable(carve.carve_ascii(parts).unionByName(carve.carve_printable(parts)))
+    return strings.groupBy("artifact_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
 def _clean(name: str) -> str:
     return f"cleaned AS (SELECT artifact_id, translate(t, chr(13)||chr(10)||chr(9)||' ', '') AS t FROM {name})"
 
