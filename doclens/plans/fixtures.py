@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclens.sources.artifacts import spread
+
 OLE = "chr(208)||chr(207)||chr(17)||chr(224)||chr(161)||chr(177)||chr(26)||chr(225)"
 BS = "chr(92)"
 NUL = "chr(0)"
@@ -146,7 +148,7 @@ def sql_of(name: str, engine: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the documents of sf_dir."""
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("documents")
+    spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).createOrReplaceTempView("documents")
     return spark.sql(sql_of(name, "spark"))
 
 

@@ -38,7 +38,8 @@ def query(sql: str | None = None):
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """documents as artifacts of text (every character of these is taken as one)."""
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("artifact_id"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = sources.spread(spark.read.parquet(f"{d}/documents.parquet"))
+    return rows.select(F.col("doc_id").alias("artifact_id"), F.coalesce("text", F.lit("")).alias("t"))
 
 
 def longs(df: DataFrame) -> DataFrame:

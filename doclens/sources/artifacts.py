@@ -16,6 +16,15 @@ from doclens.functions.lens import lens
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make far fewer partitions than there are; else df as it is.
+
+    A file of one row group is one task. Inputs with enough splits are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
 def scan_artifacts(spark: SparkSession, path: str, glob: str = "*", max_length: int | None = None) -> DataFrame:
     """One row per file below path, with artifact_id (hash of the path) and lens text t."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
