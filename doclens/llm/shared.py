@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens.sources.artifacts import spread
+
 #: Blank characters of the word contracts, as a class for Java, RE2 and Python regexes.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -54,4 +56,4 @@ def without(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
