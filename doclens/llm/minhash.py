@@ -310,13 +310,17 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
     """(node, comp) over the similar pairs among all nodes that share a bucket (key, band).
 
     In each of PIVOT_ROUNDS rounds, every bucket that still holds several components elects a
-    pivot, and the members outside the pivot's component are compared with it: a group of
-    copies falls into one component at one pair a member. Then all pairs of different
+    pivot, and the members outside the pivot's component are compared with it. First that is
+    the member with the most company in all its buckets: in a group of edited copies the text
+    that they were made from, so that the group falls into one component at one pair a member;
+    then a random member. Then all pairs of different
     components in a bucket are compared, so no candidate pair is left out; of those only the
     likely ones leave the task that compares their signatures.
     """
     steps = []
-    live = members.withColumn("comp", F.col("node"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    company = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company"))
+    live = written(members.join(company, "node").withColumn("comp", F.col("node")), "live-members")
     for step in range(PIVOT_ROUNDS + 1):
         if step:
             moved = relabelled(live, "comp", steps[-1])
@@ -327,7 +331,7 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
         if step == PIVOT_ROUNDS:
             likely = crossing(live, sigs)
         else:
-            rank = F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("rank"), "node", "comp")
+            rank = F.struct((F.xxhash64("node", F.lit(step)) if step else -F.col("company")).alias("rank"), "node", "comp")
             pivots = live.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("cb"))
             pairs = live.join(pivots, "key").where("comp <> cb").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
             likely = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
