@@ -24,8 +24,8 @@ SAFE_MATCHES = int(COMPONENTS * SIMILARITY - 4.5 * (COMPONENTS * SIMILARITY * (1
 CHUNK_WORDS = 500_000
 #: Rounds in which every bucket compares its members with one pivot.
 PIVOT_ROUNDS = 2
-#: Buckets of at most SMALL members, or more than LARGE, list their pairs by a join; the others compare
-#: signatures in one task.
+#: Buckets of at most SMALL members, or more than LARGE, or of more than FAMILY_BYTES, list their pairs by a
+#: join; the others are compared in one task.
 SMALL, LARGE = 8, 4096
 #: Bytes of shingle sets that one task verifies together; larger families verify their pairs by joins.
 FAMILY_BYTES = 48 << 20
@@ -222,47 +222,73 @@ def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFr
     return pairs
 
 
+class Sets:
+    """Shingle sets of nodes in one task, and the components that similar pairs have joined so far."""
+
+    def __init__(self, table: pa.Table):
+        self.place = {n: k for k, n in enumerate(table.column("node").to_pylist())}
+        self.items = [np.frombuffer(b, np.uint64) for b in table.column("items").to_pylist()]
+        self.counts = table.column("counts").to_pylist()
+        self.plain: dict[int, set] = {}
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up = self.up
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    def plain_set(self, k: int) -> set:
+        if k not in self.plain:
+            self.plain[k] = set(self.items[k].tolist())
+        return self.plain[k]
+
+    def joins(self, a: int, b: int, ca: int, cb: int) -> bool:
+        """Whether nodes a and b are similar and their components ca and cb not joined yet; then joins them."""
+        ra, rb = self.top(ca), self.top(cb)
+        if ra == rb:
+            return False
+        i, j = self.place[a], self.place[b]
+        n, m = len(self.items[i]), len(self.items[j])
+        if not self.counts[i] and not self.counts[j]:  # all weights are 1: plain Jaccard
+            if min(n, m) < SIMILARITY * max(n, m) - 1e-9:
+                return False
+            common = len(self.plain_set(i) & self.plain_set(j))
+            value = common / (n + m - common)
+        else:
+            value = probability_jaccard(self.items[i], weights_of(self.counts[i], n), self.items[j], weights_of(self.counts[j], m))
+        if value >= SIMILARITY:
+            self.up[ra] = rb
+        return value >= SIMILARITY
+
+
 def same_bucket(table: pa.Table) -> pa.Table:
-    """Pairs of different components in one bucket (node, comp, sig) whose signatures agree enough.
+    """Similar pairs of one bucket's members, enough to join all its components that similar pairs join.
 
-    A pair that meets in several buckets is given by the first band in which it agrees.
+    Signatures are compared first. A pair that meets in several buckets is looked at in the
+    first band in which it agrees.
     """
-    node = table.column("node").to_numpy()
-    comp = table.column("comp").to_numpy()
+    node, comp = table.column("node").to_pylist(), table.column("comp").to_numpy()
     band = int(table.column("band")[0].as_py())
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-    out = []
+    sets, out = Sets(table), []
     for i in range(len(node) - 1):
         near = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
         equal = sig[near] == sig[i]
         enough = equal.sum(axis=1) >= SAFE_MATCHES
         near, equal = near[enough], equal[enough]
-        own = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        near = near[own]
-        out.append(np.stack([np.full(len(near), node[i]), node[near], np.full(len(near), comp[i]), comp[near]]))
-    columns = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-    return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in columns], PAIR_COLUMNS)
+        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        for j in near[first].tolist():
+            pair = (node[i], node[j], int(comp[i]), int(comp[j]))
+            if sets.joins(*pair):
+                out.append(pair)
+    return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(4)], PAIR_COLUMNS)
 
 
 def same_family(pairs: pa.Table, sets: pa.Table) -> pa.Table:
     """Of a family's pairs, similar ones enough to join all its components that similar pairs join."""
-    place = {n: k for k, n in enumerate(sets.column("node").to_pylist())}
-    items = [np.frombuffer(b, np.uint64) for b in sets.column("items").to_pylist()]
-    counts = [weights_of(b, len(i)) for b, i in zip(sets.column("counts").to_pylist(), items, strict=True)]
-    up: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while up.get(x, x) != x:
-            up[x] = x = up.get(up[x], up[x])
-        return x
-
-    keep = []
-    for a, b, ca, cb in zip(*[pairs.column(c).to_pylist() for c in PAIR_COLUMNS], strict=True):
-        ra, rb, ia, ib = top(ca), top(cb), place[a], place[b]
-        linked = ra != rb and probability_jaccard(items[ia], counts[ia], items[ib], counts[ib]) >= SIMILARITY
-        if linked:
-            up[ra] = rb
-        keep.append(linked)
+    own = Sets(sets)
+    keep = [own.joins(*pair) for pair in zip(*[pairs.column(c).to_pylist() for c in PAIR_COLUMNS], strict=True)]
     return pairs.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
 
 
@@ -294,16 +320,19 @@ def verified(likely: DataFrame, sets: DataFrame) -> DataFrame:
     return written(found, "links")
 
 
-def crossing(live: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs of different components in one bucket: all of them."""
-    size = live.groupBy("key").agg(F.count("*").alias("n"))
+def crossing(live: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components of one bucket, over all of their pairs."""
+    sized = live.join(sets.select("node", F.octet_length("items").alias("bytes")), "node")
+    size = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sized = live.join(size, "key")
-    listed = sized.where((F.col("n") <= SMALL) | (F.col("n") > LARGE))
+    one_task = (F.col("n") > SMALL) & (F.col("n") <= LARGE) & (F.col("bytes") <= FAMILY_BYTES)
+    listed = sized.where(~one_task)
     other = listed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = listed.join(other, "key").where("comp <> cb and node < b").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
-    by_join = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
-    grouped = sized.where((F.col("n") > SMALL) & (F.col("n") <= LARGE)).join(sigs, "node").select("key", "band", "node", "comp", "sig")
-    return by_join.unionByName(grouped.groupBy("key").applyInArrow(same_bucket, PAIR)).distinct()
+    likely = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
+    by_join = verified(written(likely, "likely-pairs"), sets)
+    grouped = sized.where(one_task).select("key", "band", "node", "comp").join(sigs, "node").join(sets, "node")
+    return written(by_join.unionByName(grouped.groupBy("key").applyInArrow(same_bucket, PAIR)), "links")
 
 
 def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,8 +343,8 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
     the member with the most company in all its buckets: in a group of edited copies the text
     that they were made from, so that the group falls into one component at one pair a member;
     then a random member. Then all pairs of different
-    components in a bucket are compared, so no candidate pair is left out; of those only the
-    likely ones leave the task that compares their signatures.
+    components in a bucket are compared, so no candidate pair is left out; only similar ones
+    leave the task that compares a bucket.
     """
     steps = []
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
@@ -328,15 +357,15 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
             live = written(moved.join(mixed.select("key"), "key"), "live-members")
             if live.isEmpty():
                 break
+        # Links are between components: what was joined in earlier rounds is one node here.
         if step == PIVOT_ROUNDS:
-            likely = crossing(live, sigs)
+            found = crossing(live, sigs, sets)
         else:
             rank = F.struct((F.xxhash64("node", F.lit(step)) if step else -F.col("company")).alias("rank"), "node", "comp")
             pivots = live.groupBy("key").agg(F.min(rank).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("cb"))
             pairs = live.join(pivots, "key").where("comp <> cb").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
             likely = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
-        # Links between components: what was joined in earlier rounds is one node here.
-        found = verified(written(likely, "likely-pairs"), sets)
+            found = verified(written(likely, "likely-pairs"), sets)
         steps.append(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     nodes = members.select("node").distinct().withColumn("comp", F.col("node"))
     for labels in steps:
