@@ -89,6 +89,22 @@ def vectors(terms: list[str]):
     return extract
 
 
+def document_frequencies(sparse: DataFrame, n_terms: int) -> np.ndarray:
+    """Documents that hold each term. Tasks count their own rows: a row for each term and task is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("ids").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["id", "n"])
+
+    frequency = np.zeros(n_terms)
+    for r in sparse.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        frequency[r.id] = r.n
+    return frequency
+
+
 class BlockMaxIndex:
     """Postings of the labelled examples in blocks of BLOCK_DOCS, with each term's largest weight by block."""
 
@@ -215,9 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     terms = chosen_terms(found, toxic)
     sparse = written(rows.mapInArrow(vectors(terms), "doc_id bigint, ids array<int>, counts array<bigint>"), "term-vectors")
     n_docs = sparse.count()
-    frequency = np.zeros(len(terms))
-    for r in sparse.select(F.explode("ids").alias("id")).groupBy("id").count().collect():  # a row for each term
-        frequency[r.id] = r["count"]
+    frequency = document_frequencies(sparse, len(terms))
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1e-3
     places = {t: k for k, t in enumerate(terms)}
     ids = [np.array(sorted(places[t] for t in f if t in places), int) for f in found]
@@ -259,7 +273,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             )
 
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    return sparse.mapInArrow(score, SCORED).select(
+    # The vectors are a small table of few splits; scoring them is most of the work, so it is dealt out evenly.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sparse.repartition(parts).mapInArrow(score, SCORED).select(
         "doc_id",
         F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         "score",
