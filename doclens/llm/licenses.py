@@ -17,8 +17,10 @@ from doclens.llm.shared import documents, written
 CONTAINMENT = 0.9
 #: A line of more words than BLOCK is cut into blocks that start every STEP words.
 BLOCK, STEP = 64, 32
+#: Share of extra words between those of a notice that a window is sure to hold (comment marks of words, line numbers).
+SLACK = 0.25
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Notices by label. None has more than BLOCK - STEP words, so each lies whole in some block.
+#: Notices by label. None has more than BLOCK - STEP words, so each that stands on one line lies whole in some block.
 NOTICES = [
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -46,6 +48,15 @@ def notice_table(notices: list[tuple[str, str]]) -> list[tuple[int, str, list[st
     return [(k, label, sorted(set(tokens(text)))) for k, (label, text) in enumerate(notices)]
 
 
+def window_step(n_words: int) -> int:
+    """Step of the windows for a notice of so many words; a window has two steps.
+
+    Whatever spans one step of words or fewer, wherever it begins, lies whole in some window.
+    Powers of two, so notices of like length share their windows.
+    """
+    return 1 << max(3, math.ceil(n_words * (1 + SLACK)) - 1).bit_length()
+
+
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: set[str]) -> dict[str, int]:
     """Documents that hold each word of the notices, counted over all documents.
 
@@ -85,15 +96,23 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 SCANNED = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>, "
-    "blocks array<struct<block: int, first: bigint, words: array<string>>>"
+    "blocks array<struct<block: int, step: int, first: bigint, words: array<string>>>"
 )
 
 
-def scanner(prefix_words: set[str]):
-    """Per document: word count, base phrases, and the blocks that hold a prefix word of some notice."""
+def scanner(prefix_words: set[str], windows: dict[int, set[str]]):
+    """Per document: word count, base phrases, and the blocks that hold a prefix word of some notice.
+
+    windows: steps, and the prefix words of the notices that are looked for in windows of two
+    steps over the words of the whole document, whatever its lines. step is 0 for lines.
+    """
     rare = {w.encode() for w in prefix_words}
+    by_step = {step: {w.encode() for w in own} for step, own in windows.items()}
+
+    def held(part: set[bytes]) -> list[str]:
+        return sorted(w.decode("utf-8", "replace") for w in part)
 
-    def blocks_of(low: bytes) -> list[dict]:
+    def blocks_of(low: bytes, every: list[bytes]) -> list[dict]:
         found: list[dict] = []
         first = 0
         for line in low.split(b"\n"):
@@ -102,14 +121,19 @@ def scanner(prefix_words: set[str]):
                 for start in range(0, max(1, len(words) - STEP), STEP) if len(words) > BLOCK else (0,):
                     part = set(words[start : start + BLOCK])
                     if not rare.isdisjoint(part):
-                        held = sorted(w.decode("utf-8", "replace") for w in part)
-                        found.append({"block": len(found), "first": first + start, "words": held})
+                        found.append({"block": len(found), "step": 0, "first": first + start, "words": held(part)})
             first += len(words)
+        for step, own in by_step.items():
+            # The last window may be short; one that begins in it would hold nothing more.
+            last = max(0, (len(every) - 1) // step - 1)
+            places = {min(k, last) for i, w in enumerate(every) if w in own for k in (max(0, i // step - 1), i // step)}
+            for start in (k * step for k in sorted(places)):
+                found.append({"block": len(found), "step": step, "first": start, "words": held(set(every[start : start + 2 * step]))})
         return found
 
     schema = pa.schema(
         [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")], ("base", pa.list_(pa.string())),
-         ("blocks", pa.list_(pa.struct([("block", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string()))])))]
+         ("blocks", pa.list_(pa.struct([("block", pa.int32()), ("step", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string()))])))]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +148,7 @@ def scanner(prefix_words: set[str]):
                     out.append({
                         "doc_id": doc_id, "n_words": len(words), "n_base": len(places),
                         "first_word": places[0][0] if places else None, "last_word": places[-1][0] if places else None,
-                        "base": sorted({label for _, label in places}), "blocks": [] if rare.isdisjoint(words) else blocks_of(low),
+                        "base": sorted({label for _, label in places}), "blocks": [] if rare.isdisjoint(words) else blocks_of(low, words),
                     })
                 yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -137,10 +161,15 @@ def license_scan(
     threshold: float = CONTAINMENT,
     id_col: str = "doc_id",
     text_col: str = "text",
+    across_lines: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(scanned, matches): base phrases by document, and every block that holds a notice.
 
-    A block is a line, or BLOCK words of a longer one. It matches a notice when it holds at
+    A block is a line, or BLOCK words of a longer one. Notices of more than BLOCK - STEP words
+    are looked for in windows over the words of the document as well, and so is every notice
+    with across_lines: it is then found however its lines are broken. A window has twice the
+    notice's words at least and they overlap by half, so a notice of any length lies whole in
+    one, with SLACK extra words between its own. A block matches a notice when it holds at
     least threshold of the notice's distinct words. Words are ordered by their document
     frequency over docs, rarest first; a match must share one of a notice's first
     size - needed + 1 words (prefix), have needed words or more (length), and enough words
@@ -152,31 +181,37 @@ def license_scan(
     table = notice_table(notices)
     frequency = document_frequencies(docs, text_col, {w for _, _, words in table for w in words})
     ordered = [(k, label, sorted(words, key=lambda w: (frequency[w], w))) for k, label, words in table]
-    prefix_rows, notice_rows = [], []
+    prefix_rows, notice_rows, windows = [], [], {}
     for k, label, words in ordered:
+        n_words = len(tokens(notices[k][1]))
+        step = window_step(n_words) if across_lines or n_words > BLOCK - STEP else None
         needed = math.ceil(threshold * len(words) - 1e-9)
         notice_rows.append((k, label, words, len(words), needed))
-        prefix_rows += [(w, k, p) for p, w in enumerate(words[: len(words) - needed + 1])]
+        prefix = words[: len(words) - needed + 1]
+        prefix_rows += [(w, k, p, step) for p, w in enumerate(prefix)]
+        if step:
+            windows.setdefault(step, set()).update(prefix)
     scanned = written(
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            scanner({w for w, _, _ in prefix_rows}), SCANNED
+            scanner({w for w, _, _, _ in prefix_rows}, windows), SCANNED
         ),
         "license-blocks",
     )
     # One row for each notice and prefix word: a fixed, small table.
-    prefixes = spark.createDataFrame(prefix_rows, "word string, notice int, position int")
+    prefixes = spark.createDataFrame(prefix_rows, "word string, notice int, position int, notice_step int")
     whole = spark.createDataFrame(notice_rows, "notice int, label string, notice_words array<string>, size int, needed int")
     rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    blocks = scanned.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.block", "b.first", "b.words")
+    blocks = scanned.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.block", "b.step", "b.first", "b.words")
     # Words outside the notices cannot match; they count for the length filter alone.
     known = F.sort_array(F.transform(F.filter("words", lambda w: F.map_contains_key(ranks, w)), lambda w: F.struct(ranks[w].alias("rank"), w.alias("word"))))
-    known_blocks = blocks.select("doc_id", "block", "first", F.size("words").alias("n"), known.alias("known"))
+    known_blocks = blocks.select("doc_id", "block", "step", "first", F.size("words").alias("n"), known.alias("known"))
     probes = known_blocks.select(
-        "doc_id", "block", "first", "n", F.transform("known", lambda x: x["word"]).alias("held"), F.posexplode("known").alias("at", "x")
-    ).select("doc_id", "block", "first", "n", "held", "at", F.col("x.word").alias("word"))
+        "doc_id", "block", "step", "first", "n", F.transform("known", lambda x: x["word"]).alias("held"), F.posexplode("known").alias("at", "x")
+    ).select("doc_id", "block", "step", "first", "n", "held", "at", F.col("x.word").alias("word"))
     candidates = (
         probes.join(F.broadcast(prefixes), "word")
+        .where("step = 0 or step = notice_step")
         .join(F.broadcast(whole), "notice")
         .where("n >= needed")
         .where("1 + least(size - position - 1, size(held) - at - 1) >= needed")
@@ -192,7 +227,7 @@ def license_scan(
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned, matches = license_scan(documents(spark, sf_dir))
+    scanned, matches = license_scan(documents(spark, sf_dir), across_lines=True)
     found = written(
         matches.groupBy(F.col("doc_id").alias("match_id")).agg(
             F.collect_set("label").alias("more"), F.max("containment").alias("containment")

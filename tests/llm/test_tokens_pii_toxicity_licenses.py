@@ -162,3 +162,28 @@ def test_license_phrases(spark, tmp_path, docs):
     assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels, one.score) == (9, 3, 1, 6, "apache,gpl,mit", 1.0)
     assert (found[2].n_base, found[2].first_word, found[2].base_labels, found[3].n_words) == (0, None, "", 0)
     assert found[None].n_base == 1
+
+
+def test_license_notices_over_several_lines(spark, tmp_path, docs):
+    rng = random.Random(10)
+    filler = [f"w{k}" for k in range(50)]
+    rows, labels = [], []
+    for label, text in licenses.NOTICES:
+        for width in (1, 3, 5, 8, 13):
+            words = text.split()
+            wrapped = "\n * ".join(" ".join(words[s : s + width]) for s in range(0, len(words), width))
+            rows.append((len(rows), " ".join(rng.choices(filler, k=rng.randint(0, 200))) + "\n * " + wrapped + "\n" + " ".join(rng.choices(filler, k=rng.randint(0, 9)))))
+            labels.append(label)
+    docs(*rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.labels.split(",") for r in licenses.op9_license_scan(spark, str(tmp_path)).collect()}
+    assert [k for k, label in enumerate(labels) if label not in found[k]] == []
+
+
+@pytest.mark.parametrize("n_words", [33, 48, 100, 700])
+def test_long_license_notices(docs, n_words):
+    notice = [f"term{k}" for k in range(n_words)]
+    rows = [(k, "\n".join(["x"] * k + [" ".join(notice[s : s + 9]) for s in range(0, n_words, 9)])) for k in range(0, 150, 7)]
+    rows += [(k + 1000, "x " * k + " ".join(notice)) for k in range(0, 150, 7)] + [(2000, " ".join(notice[: n_words // 2]))]
+    _, matches = licenses.license_scan(docs(*rows), [("own", " ".join(notice))])
+    assert {r.doc_id for r in matches.where("containment = 1").collect()} == {k for k, _ in rows} - {2000}
+    assert matches.where("doc_id = 2000").count() == 0
