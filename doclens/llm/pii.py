@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ SAMPLE_ROWS = 3000
 MAX_SAMPLE_CHARS = 20_000
 #: Rounds of message passing, and the belief at which a token joins a kind.
 ROUNDS, BELIEF = 10, 0.9
+#: Skip edges of equal labels that the fit starts from, for each label: texts rarely repeat what the patterns find.
+LIKE_PRIOR = 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,16 +103,45 @@ def features(token: str) -> list[int]:
     return found
 
 
-def key_of(token: str) -> str | None:
-    """What like tokens share: the digits if there are six or more, or the word around an @."""
-    digits = "".join(c for c in token if c.isdigit())
-    if "@" in token:
-        return token.strip(_TRIM).lower()
-    return digits if len(digits) >= 6 else None
+#: Digits from the end that like numbers share, and digits that a number in several tokens has at most.
+SUFFIX, MOST_DIGITS = 7, 15
+_NUMBER = re.compile(r"[+()0-9./-]*[0-9][+()0-9./-]*")
+_NOT_DIGIT = re.compile(r"[^0-9]+")
+
+
+def digits_of(text: str) -> str:
+    return _NOT_DIGIT.sub("", text) if text.isascii() else "".join(c for c in text if c.isdigit())
+
+
+def keys_of(text: str) -> list[str]:
+    """What like mentions share: the local part before an @ (or what follows a leading one); all digits, of six or more; the last SUFFIX digits."""
+    if "@" in text:
+        word = text.strip(_TRIM).lower()
+        return ["@" + (word.partition("@")[0] or word[1:])] if word.strip("@") else []
+    digits = digits_of(text)
+    if len(digits) < 6:
+        return []
+    return [digits] if len(digits) < SUFFIX or len(digits) > MOST_DIGITS else [digits, "~" + digits[-SUFFIX:]]
 
 
-def nodes_of(text: str, spans: list[list[Span]]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, token, label, order) of each node; order is the token's place among all tokens."""
+class Node(NamedTuple):
+    start: int
+    end: int
+    token: str
+    label: int
+    order: int
+    #: Tokens that it takes the places of: one, but for numbers written in several.
+    width: int
+    keys: list[str]
+
+
+def nodes_of(text: str, spans: list[list[Span]]) -> list[Node]:
+    """Tokens with evidence, in order; order is the first token's place among all tokens.
+
+    The last token of a span of several tokens has the keys of the whole span besides its own.
+    A number outside the spans that is written in several tokens is one node where it is like
+    a phone of the text.
+    """
     cover = sorted((s, e, k) for k, own in enumerate(spans) for s, e in own)
     found, at = [], 0
     for order, m in enumerate(_TOKEN.finditer(text)):
@@ -119,22 +151,102 @@ def nodes_of(text: str, spans: list[list[Span]]) -> list[tuple[int, int, str, in
         start, end = m.span()
         while at < len(cover) and cover[at][1] <= start:
             at += 1
-        label = cover[at][2] if at < len(cover) and cover[at][0] < end else OUTSIDE
-        found.append((start, end, token, label, order))
-    return found
+        inside = at < len(cover) and cover[at][0] < end
+        keys = keys_of(token)
+        if inside and cover[at][1] <= end:
+            keys = list(dict.fromkeys(keys + keys_of(text[cover[at][0] : cover[at][1]])))
+        found.append(Node(start, end, token, cover[at][2] if inside else OUTSIDE, order, 1, keys))
+    return joined_numbers(text, found, [text[s:e] for s, e in spans[KINDS.index("phone")]])
 
 
-def edges_of(nodes: list[tuple[int, int, str, int, int]]) -> tuple[list[Span], list[Span]]:
-    """Chain edges between neighbouring nodes, and skip edges from each node to the next with its key."""
-    chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][4] == nodes[i][4] + 1]
-    skip, last = [], {}
+def joined_numbers(text: str, nodes: list[Node], phones: list[str]) -> list[Node]:
+    """nodes, with neighbouring number tokens as one where their digits together are like those of a phone.
+
+    Like is: the last SUFFIX digits are equal. The number goes on to the left as long as one
+    of the two, without leading zeros, ends with the other.
+    """
+    like = defaultdict(set)
+    for phone in phones:
+        like[digits_of(phone)[-SUFFIX:]].add(digits_of(phone))
+    if not like:
+        return nodes
+    out: list[Node] = []
+    for node in nodes:
+        out.append(node)
+        if node.label != OUTSIDE or not _NUMBER.fullmatch(node.token.strip(_TRIM)):
+            continue
+        digits, best = digits_of(node.token), 0
+        if len(digits) > MOST_DIGITS:
+            continue
+        for back in range(1, len(out)):
+            left, right = out[-1 - back], out[-back]
+            if left.label != OUTSIDE or left.width > 1 or left.order + 1 != right.order or not _NUMBER.fullmatch(left.token.lstrip(_TRIM)):
+                break
+            longer = digits_of(left.token) + digits
+            if len(longer) > MOST_DIGITS:
+                break
+            if len(longer) >= SUFFIX:
+                own = longer.lstrip("0")
+                if not any(len(own) >= SUFFIX and (d.endswith(own) or own.endswith(d)) for d in like.get(longer[-SUFFIX:], ())):
+                    break
+                best = back
+            digits = longer
+        if best:
+            first = out[-1 - best]
+            start, end = bare(text, first.start, node.end)
+            token = text[start:end]
+            del out[-1 - best :]
+            out.append(Node(start, end, token, OUTSIDE, first.order, best + 1, keys_of(token)))
+    return out
+
+
+def bare(text: str, start: int, end: int) -> Span:
+    """The span without the punctuation around it; brackets that close inside stay."""
+    outer = _TRIM.replace("(", "").replace(")", "")
+    while True:
+        if text[start] in outer or text[start] == "(" and ")" not in text[start : end - 1]:
+            start += 1
+        elif text[end - 1] in outer or text[end - 1] == ")" and "(" not in text[start:end]:
+            end -= 1
+        else:
+            return start, end
+
+
+def edges_of(nodes: list[Node]) -> tuple[list[Span], list[Span]]:
+    """Chain edges between neighbouring nodes, and skip edges from each node to the one before it with one of its keys.
+
+    A node outside the spans has a skip edge to one inside as well: the last before it, or the first after it.
+    """
+    chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1].order == nodes[i].order + nodes[i].width]
+    skip, last, inside, waiting = {}, {}, {}, defaultdict(list)
     for i, node in enumerate(nodes):
-        key = key_of(node[2])
-        if key:
+        for key in node.keys:
             if key in last:
-                skip.append((last[key], i))
+                skip[last[key], i] = None
             last[key] = i
-    return chain, skip
+            if node.label != OUTSIDE:
+                skip |= dict.fromkeys((j, i) for j in waiting.pop(key, ()))
+                inside[key] = i
+            elif key in inside:
+                skip[inside[key], i] = None
+            else:
+                waiting[key].append(i)
+    return chain, list(skip)
+
+
+def carried(nodes: list[Node]) -> dict[str, set[int]]:
+    """The kinds that nodes inside spans give to each key; endings of numbers carry phones only."""
+    kinds: dict[str, set[int]] = defaultdict(set)
+    for node in nodes:
+        if node.label != OUTSIDE:
+            for key in node.keys:
+                if key[0] != "~" or KINDS[node.label] == "phone":
+                    kinds[key].add(node.label)
+    return kinds
+
+
+def kinds_for(node: Node, kinds: dict[str, set[int]]) -> set[int]:
+    return set().union(*(kinds.get(key, ()) for key in node.keys))
 
 
 class Field:
@@ -151,21 +263,28 @@ def fit(texts: list[str]) -> Field:
     unlabelled, not as outside: it is what the field is to decide, so it takes no part.
     """
     size = OUTSIDE + 1
-    rows, labels, chain, skip = [], [], np.ones((size, size)), np.ones((size, size))
+    rows, labels, chain, skip = [], [], np.ones((size, size)), np.ones((size, size)) + LIKE_PRIOR * np.eye(size)
     for text in texts:
         if not _EVIDENCE.search(text):
             continue
-        nodes = nodes_of(text, base_spans(text))
-        inside = {key_of(node[2]) for node in nodes if node[3] != OUTSIDE}
-        open_ = [node[3] == OUTSIDE and (key := key_of(node[2])) is not None and key in inside for node in nodes]
+        spans = base_spans(text)
+        nodes = nodes_of(text, spans)
+        kinds = carried(nodes)
+        open_ = [node.label == OUTSIDE and bool(kinds_for(node, kinds)) for node in nodes]
         for node, unlabelled in zip(nodes, open_, strict=True):
             if not unlabelled:
-                rows.append(features(node[2]))
-                labels.append(node[3])
+                rows.append(features(node.token))
+                labels.append(node.label)
+        # What a whole span looks like, for numbers in other spellings that are one node.
+        for label, own in enumerate(spans):
+            for whole in (text[s:e] for s, e in own):
+                if _TOKEN.fullmatch(whole) is None:
+                    rows.append(features(whole))
+                    labels.append(label)
         for table, edges in zip((chain, skip), edges_of(nodes), strict=True):
             for i, j in edges:
                 if not (open_[i] or open_[j]):
-                    table[nodes[i][3], nodes[j][3]] += 1
+                    table[nodes[i].label, nodes[j].label] += 1
     weights = np.zeros((N_FEATURES, size))
     if rows:
         x = np.zeros((len(rows), N_FEATURES))
@@ -226,28 +345,26 @@ def added_spans(text: str, base: list[list[Span]], field: Field) -> list[list[Sp
         return more
     nodes = nodes_of(text, base)
     chain, skip = edges_of(nodes)
-    group: dict = defaultdict(set)
-    for node in nodes:
-        if node[3] != OUTSIDE:
-            group[key_of(node[2])].add(node[3])
-    open_nodes = [i for i, node in enumerate(nodes) if node[3] == OUTSIDE and (k := key_of(node[2])) and group.get(k)]
+    kinds = carried(nodes)
+    open_nodes = {i: own for i, node in enumerate(nodes) if node.label == OUTSIDE and (own := kinds_for(node, kinds))}
     if not open_nodes:
         return more
     unary = np.zeros((len(nodes), OUTSIDE + 1))
     for i, node in enumerate(nodes):
-        unary[i] = field.unary[features(node[2])].sum(axis=0)
-        if node[3] != OUTSIDE:
+        unary[i] = field.unary[features(node.token)].sum(axis=0)
+        if node.label != OUTSIDE:
             unary[i] = -50.0
-            unary[i, node[3]] = 50.0
+            unary[i, node.label] = 50.0
     edges = np.array(chain + skip, int).reshape(-1, 2)
     tables = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)])
     belief = beliefs(unary, edges, tables)
     taken = sorted(s for own in base for s in own)
-    for i in open_nodes:
-        start, end, token, _, _ = nodes[i]
+    for i, own in open_nodes.items():
+        start, end, token = nodes[i][:3]
         kind = int(belief[i].argmax())
-        start, end = start + len(token) - len(token.lstrip(_TRIM)), end - len(token) + len(token.rstrip(_TRIM))
-        if kind in group[key_of(token)] and kind != OUTSIDE and belief[i, kind] >= BELIEF and start < end:
+        if nodes[i].width == 1:
+            start, end = start + len(token) - len(token.lstrip(_TRIM)), end - len(token) + len(token.rstrip(_TRIM))
+        if kind in own and kind != OUTSIDE and belief[i, kind] >= BELIEF and start < end:
             if not any(s < end and start < e for s, e in taken):
                 more[kind].append((start, end))
     return more

@@ -187,3 +187,22 @@ def test_long_license_notices(docs, n_words):
     _, matches = licenses.license_scan(docs(*rows), [("own", " ".join(notice))])
     assert {r.doc_id for r in matches.where("containment = 1").collect()} == {k for k, _ in rows} - {2000}
     assert matches.where("doc_id = 2000").count() == 0
+
+
+def test_field_joins_like_mentions():
+    texts = [
+        "Call +1 (234) 555-0100 now. Again 234-555-0100 or 555-0100 please.",
+        "London +44 20 7946 0958, at home 020 7946 0958 and (0)20 7946 0958. It has 3 rooms",
+        "Mail to jane.doe@example.com or jane.doe@intranet, not to john@intranet",
+    ]
+    field = pii.fit([f"{t} {k}" for k in range(30) for t in texts])
+
+    def added(text):
+        return [(pii.KINDS[k], text[s:e]) for k, own in enumerate(pii.added_spans(text, pii.base_spans(text), field)) for s, e in own]
+
+    assert added(texts[0]) == [("phone", "234-555-0100"), ("phone", "555-0100")]
+    assert added(texts[1]) == [("phone", "020 7946 0958"), ("phone", "(0)20 7946 0958")]
+    assert added("Call +44 20 7946 0958, or (020 7946 0958).") == [("phone", "020 7946 0958")]
+    assert added(texts[2]) == [("email", "jane.doe@intranet")]
+    assert added("Call +1 (234) 555-0100 or room 0100 or 12 555-0199") == []
+    assert added("Card 4111111111111111 and 1111111") == []
