@@ -119,18 +119,24 @@ def s3_expand_archives(spark, d):
 
 
 def _deflated_objects(spark, d) -> DataFrame:
+    """Every document as a deflated stream of its whole text, after a mark and, in every other one, an RTF head."""
+
     @F.arrow_udf("binary")
     def deflated(texts: pa.Array) -> pa.Array:
         return pa.array([zlib.compress(b"var x; " + t.encode()) for t in texts.to_pylist()], pa.binary())
 
-    text = F.concat(F.when(F.col("artifact_id") % 2 == 0, F.lit("{\\rtf1 ")).otherwise(F.lit("")), F.left("t", F.lit(2000)))
+    text = F.concat(F.when(F.col("artifact_id") % 2 == 0, F.lit("{\\rtf1 ")).otherwise(F.lit("")), F.col("t"))
     body = F.concat(F.lit("4 0 obj <</Filter /FlateDecode>> stream\r\n"), lens(deflated(text)), F.lit("\r\nendstream endobj"))
     return docs(spark, d).select("artifact_id", F.lit(0).alias("ordinal"), body.alias("body"))
 
 
 @query("WITH " + DOCS + r""" SELECT artifact_id, sha256('var x; ' || CASE WHEN artifact_id % 2 = 0 THEN '{\rtf1 ' ELSE '' END || left(t, 2000)) AS sha256 FROM docs""")
 def s4_inflate_pdf_streams(spark, d):
-    return pdf.expand_pdf_streams(_deflated_objects(spark, d)).select("artifact_id", F.sha2("content", 256).alias("sha256"))
+    """Inflates whole texts; the SQL asks for the digest of a text's first 2000 characters and what stands before them."""
+    found = pdf.expand_pdf_streams(_deflated_objects(spark, d))
+    before = F.when(F.col("artifact_id") % 2 == 0, len("var x; {\\rtf1 ")).otherwise(len("var x; "))
+    asked = F.left(F.decode("content", "UTF-8"), before + 2000)
+    return found.select("artifact_id", F.sha2(F.encode(asked, "UTF-8"), 256).alias("sha256"))
 
 
 @query("WITH " + DOCS + " SELECT artifact_id, 'D15' AS rule_id, 'info' AS severity FROM docs")

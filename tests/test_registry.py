@@ -45,3 +45,11 @@ def test_entry_names():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert registry.FLAGSHIP in entry.queries()
+
+
+def test_streams_hold_whole_texts(spark):
+    found = registry.pdf.expand_pdf_streams(registry._deflated_objects(spark, SF)).select("artifact_id", "content").collect()
+    texts = {r.artifact_id: r.t for r in registry.docs(spark, SF).collect()}
+    assert max(map(len, texts.values())) > 2000
+    whole = {k: ("var x; " + "{\\rtf1 " * (k % 2 == 0) + t).encode() for k, t in texts.items()}
+    assert {r.artifact_id: bytes(r.content) for r in found} == whole
