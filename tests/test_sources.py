@@ -3,6 +3,7 @@
 import io
 import warnings
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,25 @@ def test_windows_of_findings(spark):
     df = spark.createDataFrame([(1, "I1", 10), (2, "I1", 20), (3, "I2", 4000)], "artifact_id long, rule_id string, s long")
     out = stream.findings_per_window(df.withColumn("modificationTime", F.timestamp_seconds("s"))).collect()
     assert sorted((r.rule_id, r.n) for r in out) == [("I1", 2), ("I2", 1)]
+
+
+def test_triage_of_zip_pdf_and_ole_roots(spark):
+    ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+
+    def docx(members):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in members:
+                z.writestr(name, data)
+        return buffer.getvalue()
+
+    macro, sheet = ole + b"macro " * 50, ole + b"sheet " * 50
+    inner = docx([("xl/embeddings/oleObject1.bin", b"head" + sheet), ("xl/workbook.xml", b"<x/>")])
+    stream_ = b"4 0 obj <</Filter /FlateDecode>> stream\r\n" + zlib.compress(ole + b"in pdf") + b"\r\nendstream endobj"
+    roots = [docx([("word/vbaProject.bin", macro), ("word/document.xml", b"<w/>"), ("word/embeddings/a.xlsx", inner)]), b"%PDF-1.4\n" + stream_, ole + b"a" + ole + b"b", docx([("a", b"b")])[:40]]
+    table = spark.createDataFrame([(k, r.decode("latin-1")) for k, r in enumerate(roots)], "artifact_id long, t string")
+    found = {(r.root_id, r.depth, r.kind, r.t.encode("latin-1")) for r in triage.triage(table, 3).where("depth > 0").collect()}
+    assert found == {
+        (0, 1, "ole", macro), (0, 1, "ooxml", inner), (0, 2, None, b"head" + sheet), (0, 3, "ole", sheet),
+        (1, 1, "ole", ole + b"in pdf"), (2, 1, "ole", ole + b"b"),
+    }
