@@ -560,12 +560,53 @@ def j8_shared_indicators(spark, d):
 
 
 # Class ids (as text order) and what they are; each is stored in both byte orders.
+# All 47 entries of the reference; two of them are the other byte order of another.
 SIGNATURES = [
     ("0002CE02-0000-0000-C000-000000000046", "equation editor"),
     ("00020906-0000-0000-C000-000000000046", "word document"),
     ("00020820-0000-0000-C000-000000000046", "excel workbook"),
     ("0003000C-0000-0000-C000-000000000046", "OLE package"),
     ("F20DA720-C02F-11CE-927B-0800095AE340", "OLE package object"),
+    ("00020810-0000-0000-C000-000000000046", "Microsoft Excel.Sheet.5"),
+    ("00020811-0000-0000-C000-000000000046", "Microsoft Excel.Chart.5"),
+    ("00020821-0000-0000-C000-000000000046", "Microsoft Excel.Chart.8"),
+    ("00020830-0000-0000-C000-000000000046", "Microsoft Excel.Sheet.12"),
+    ("00020832-0000-0000-C000-000000000046", "Microsoft Excel sheet with macro enabled (Excel.SheetMacroEnabled.12)"),
+    ("00020833-0000-0000-C000-000000000046", "Microsoft Excel binary sheet with macro enabled (Excel.SheetBinaryMacroEnabled.12)"),
+    ("00020900-0000-0000-C000-000000000046", "Microsoft Word 6.0-7.0 Document (Word.Document.6)"),
+    ("00020907-0000-0000-C000-000000000046", "Microsoft Word Picture (Word.Picture.8)"),
+    ("00020C01-0000-0000-C000-000000000046", "OLE Package Object (may contain and run any file)"),
+    ("00021401-0000-0000-C000-000000000046", "Windows LNK Shortcut file"),
+    ("00021700-0000-0000-C000-000000000046", "Microsoft Equation 2.0 (Known Related to CVE-2017-11882 or CVE-2018-0802)"),
+    ("00022601-0000-0000-C000-000000000046", "OLE Package Object (may contain and run any file)"),
+    ("00022602-0000-0000-C000-000000000046", "OLE Package Object (may contain and run any file)"),
+    ("00022603-0000-0000-C000-000000000046", "OLE Package Object (may contain and run any file)"),
+    ("0002CE03-0000-0000-C000-000000000046", "MathType Equation Object"),
+    ("0003000B-0000-0000-C000-000000000046", "Microsoft Equation (Known Related to CVE-2017-11882 or CVE-2018-0802)"),
+    ("0003000D-0000-0000-C000-000000000046", "OLE Package Object (may contain and run any file)"),
+    ("0003000E-0000-0000-C000-000000000046", "OLE Package Object (may contain and run any file)"),
+    ("048EB43E-2059-422F-95E0-557DA96038AF", "Microsoft Powerpoint.Slide.12"),
+    ("06290BD3-48AA-11D2-8432-006008C3FBFC", "Script Moniker, aka Moniker to a Windows Script Component (may trigger CVE-2017-0199)"),
+    ("18A06B6B-2F3F-4E2B-A611-52BE631B2D22", "Word.DocumentMacroEnabled.12 (DOCM)"),
+    ("3050F4D8-98B5-11CF-BB82-00AA00BDCE0B", "HTML Application (may trigger CVE-2017-0199)"),
+    ("44F9A03B-A3EC-4F3B-9364-08E0007F21DF", "Control.TaskSymbol (Known Related to CVE-2015-1642 & CVE-2015-2424)"),
+    ("46E31370-3F7A-11CE-BED6-00AA00611080", "Forms.MultiPage"),
+    ("4C599241-6926-101B-9992-00000B65C6F9", "Forms.Image (may trigger CVE-2015-2424)"),
+    ("64818D10-4F9B-11CF-86EA-00AA00B929E8", "Microsoft Powerpoint.Show.8"),
+    ("64818D11-4F9B-11CF-86EA-00AA00B929E8", "Microsoft Powerpoint.Slide.8"),
+    ("6E182020-F460-11CE-9BCD-00AA00608E01", "ActiveX Control: Forms.Frame"),
+    ("88D969EB-F192-11D4-A65F-0040963251E5", "Msxml2.ServerXMLHTTP.5.0"),
+    ("88D969EA-F192-11D4-A65F-0040963251E5", "Msxml2.XMLHTTP.5.0"),
+    ("88D969E7-F192-11D4-A65F-0040963251E5", "Msxml2.XMLSchemaCache.5.0"),
+    ("88D969E8-F192-11D4-A65F-0040963251E5", "Msxml2.XSLTemplate.5.0"),
+    ("978C9E23-D4B0-11CE-BF2D-00AA003F40D0", "Microsoft Forms 2.0 Label (Forms.Label.1)"),
+    ("B801CA65-A1FC-11D0-85AD-444553540000", "Adobe Acrobat Document - PDF file"),
+    ("C08AFD90-F2A1-11D1-8455-00A0C91F3880", "ShellBrowserWindow"),
+    ("C62A69F0-16DC-11CE-9E98-00AA00574A4F", "Forms.Form"),
+    ("CF4F55F4-8F87-4D47-80BB-5808164BB3F8", "Microsoft Powerpoint.Show.12"),
+    ("D7053240-CE69-11CD-A777-00DD01143C57", "Microsoft Forms 2.0 CommandButton"),
+    ("F414C260-6AC0-11CF-B6D1-00AA00BBBB58", "jscript.dll - JScript Language (ProgID: ECMAScript, JavaScript, JScript, LiveScript)"),
+    ("F4754C9B-64F5-4B40-8AF4-679732AC0607", "Microsoft Word Document (Word.Document.12)"),
 ]
 
 
