@@ -15,157 +15,219 @@ from doclens.llm.shared import documents, written
 
 #: Labelled rows of each class that the index holds at most: those with the smallest hashes of their id.
 SAMPLE_PER_CLASS = 2000
-#: Longer texts are not taken as labelled examples (they are scored like any other).
-MAX_EXAMPLE_CHARS = 20_000
-MAX_TERMS = 800
-#: Chi-square at which a term counts as tied to the label (one in a thousand by chance).
-MIN_CHI2 = 10.83
-PREFIXES = (4, 5, 6, 7, 8)
+#: Letters of a stem: longer words count as one term with those that begin alike, besides their own.
+STEM = 5
 NEIGHBOURS = 15
 BLOCK_DOCS = 64
+#: Blocks that a search scores before it knows what the nearest examples have at least.
+HEAD_BLOCKS = 4
+#: Cosines are compared to so many decimals: what is closer counts as a tie.
+DECIMALS = 6
 THRESHOLD = 0.7
+#: Counts of so many terms travel as one row.
+SLICE_TERMS = 8192
+#: Words whose terms a task remembers at most.
+MEMO_WORDS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str | None) -> Counter:
-    """Lower-cased words, and prefixes of longer words (with a hyphen), with their counts."""
-    found: Counter = Counter()
-    for word, n in Counter(WORD.findall((text or "").lower())).items():
-        found[word] += n
-        for k in PREFIXES:
-            if len(word) <= k:
-                break
-            found[word[:k] + "-"] += n
-    return found
-
-
-def chosen_terms(examples: list[Counter], toxic: np.ndarray) -> list[str]:
-    """Terms whose presence depends on the label by the chi-square test; the strongest MAX_TERMS."""
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    if not n1 or not n0:
-        return []
-    with_term: list[Counter] = [Counter(), Counter()]
-    for found, label in zip(examples, toxic, strict=True):
-        with_term[int(label)].update(found.keys())
-    names = sorted(set(with_term[0]) | set(with_term[1]))
-    a = np.array([with_term[1][t] for t in names], float)
-    b = np.array([with_term[0][t] for t in names], float)
-    n = n1 + n0
-    spread = (a + b) * (n - a - b) * n1 * n0
-    chi2 = np.where(spread > 0, n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum(spread, 1), 0)
-    order = np.lexsort((np.arange(len(names)), -chi2))[:MAX_TERMS]
-    return [names[k] for k in order if chi2[k] >= MIN_CHI2]
-
-
-def vectors(terms: list[str]):
-    """Task function: (doc_id, text) -> (doc_id, ids, counts) of the chosen terms."""
-    places = {t: k for k, t in enumerate(terms)}
-    words = {t: k for t, k in places.items() if not t.endswith("-")}
-    stems = {t[:-1]: k for t, k in places.items() if t.endswith("-")}
-    lengths = sorted({len(t) for t in stems})
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, counts = [], []
-            for text in batch.column("text").to_pylist():
-                found: dict[int, int] = {}
-                for word, n in Counter(WORD.findall((text or "").lower())).items():
-                    if word in words:
-                        found[words[word]] = found.get(words[word], 0) + n
-                    for k in lengths:
-                        if len(word) <= k:
-                            break
-                        if word[:k] in stems:
-                            at = stems[word[:k]]
-                            found[at] = found.get(at, 0) + n
-                ids.append(list(found))
-                counts.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))],
-                ["doc_id", "ids", "counts"],
-            )
+def terms_of(word: str) -> list[str]:
+    """A word, and the stem of a longer one (with a hyphen)."""
+    return [word, word[:STEM] + "-"] if len(word) > STEM else [word]
+
+
+class Vocabulary:
+    """All terms of the labelled examples."""
+
+    def __init__(self, examples: list[dict[str, int]]):
+        names = sorted({t for words in examples for w in words for t in terms_of(w)})
+        self.places = {t: k for k, t in enumerate(names)}
+        self.memo: dict[str, list[int]] = {}
+
+    def __len__(self) -> int:
+        return len(self.places)
 
-    return extract
+    def __getstate__(self):
+        return self.places
 
+    def __setstate__(self, places):
+        self.places, self.memo = places, {}
 
-def document_frequencies(sparse: DataFrame, n_terms: int) -> np.ndarray:
-    """Documents that hold each term. Tasks count their own rows: a row for each term and task is shuffled."""
+    def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the terms of counted words, in order, and how often each occurs."""
+        ids: list[int] = []
+        times: list[int] = []
+        memo, places = self.memo, self.places
+        for word, n in words.items():
+            own = memo.get(word)
+            if own is None:
+                if len(memo) >= MEMO_WORDS:
+                    memo.clear()
+                own = memo[word] = [places[t] for t in terms_of(word) if t in places]
+            ids += own
+            times += [n] * len(own)
+        found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return found, np.bincount(at, np.array(times, float), minlength=len(found))
+
+
+def words_in(text: str | None) -> dict[str, int]:
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def document_frequencies(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """Documents that hold each term, and documents in all, over all rows.
+
+    Tasks count their own rows and send slices of SLICE_TERMS counts, which are added up by
+    slice; as many counts as there are terms reach the driver.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    size = len(vocabulary)
+    slices = -(-size // SLICE_TERMS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms, np.int64)
+        vocabulary = shipped.value
+        total = np.zeros(slices * SLICE_TERMS, np.int64)
+        n = 0
         for batch in batches:
-            total += np.bincount(batch.column("ids").flatten().to_numpy(zero_copy_only=False), minlength=n_terms)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["id", "n"])
+            n += len(batch)
+            for text in batch.column(0).to_pylist():
+                total[vocabulary.vector(words_in(text))[0]] += 1
+        parts = [total[s * SLICE_TERMS : (s + 1) * SLICE_TERMS] for s in range(slices)]
+        held = [s for s, part in enumerate(parts) if part.any()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([-1, *held], pa.int32()),
+                pa.array([np.array([n], np.int64).tobytes(), *[parts[s].tobytes() for s in held]], pa.binary()),
+            ],
+            ["slice", "counts"],
+        )
 
-    frequency = np.zeros(n_terms)
-    for r in sparse.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        frequency[r.id] = r.n
-    return frequency
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist())
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    frequency, n_docs = np.zeros(slices * SLICE_TERMS), 0
+    counted = rows.select("text").mapInArrow(count, "slice int, counts binary")
+    for r in counted.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
+        own = np.frombuffer(r.counts, np.int64)
+        if r.slice < 0:
+            n_docs = int(own[0])
+        else:
+            frequency[r.slice * SLICE_TERMS : (r.slice + 1) * SLICE_TERMS] = own
+    return frequency[:size], n_docs
+
+
+def relevance(ids: list[np.ndarray], toxic: np.ndarray, n_terms: int) -> np.ndarray:
+    """How far each term's presence goes with the label in the examples: the size of their correlation."""
+    a = np.bincount(np.concatenate([i for i, t in zip(ids, toxic, strict=True) if t] or [np.zeros(0, int)]), minlength=n_terms).astype(float)
+    b = np.bincount(np.concatenate([i for i, t in zip(ids, toxic, strict=True) if not t] or [np.zeros(0, int)]), minlength=n_terms).astype(float)
+    n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
+    spread = (a + b) * (n1 + n0 - a - b) * n1 * n0
+    return np.where(spread > 0, np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(np.maximum(spread, 1)), 0)
+
+
+def expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for counts[0] places, then the same from starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 class BlockMaxIndex:
-    """Postings of the labelled examples in blocks of BLOCK_DOCS, with each term's largest weight by block."""
+    """Inverted lists of the examples' terms, in blocks of BLOCK_DOCS examples with the largest weight of each.
+
+    weight holds each term's inverse document frequency by its relevance; a vector's parts are
+    that times one plus the logarithm of the count, to length 1. Terms of weight 0 have no list.
+    """
 
-    def __init__(self, doc_ids: np.ndarray, toxic: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray):
-        self.idf = idf
+    def __init__(self, doc_ids: np.ndarray, toxic: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], weight: np.ndarray):
+        self.weight = weight
         weighted = [self.weights(i, c) for i, c in zip(ids, counts, strict=True)]
-        # Examples with the same leading term stand together, so that blocks differ in their maxima.
-        lead = [int(i[np.argmax(w)]) if len(i) else -1 for i, w in zip(ids, weighted, strict=True)]
-        order = np.lexsort((doc_ids, lead))
+        # Examples with the same leading terms stand together, so that blocks differ in their maxima.
+        leads = [i[np.argsort(-w, kind="stable")[:2]].tolist() for i, w in zip(ids, weighted, strict=True)]
+        order = sorted(range(len(ids)), key=lambda k: (leads[k], len(ids[k])))
         self.doc_ids, self.toxic = doc_ids[order], toxic[order]
-        self.blocks = -(-len(order) // BLOCK_DOCS)
-        self.postings = np.zeros((len(idf), self.blocks, BLOCK_DOCS), np.float32)
-        for at, source in enumerate(order):
-            self.postings[ids[source], at // BLOCK_DOCS, at % BLOCK_DOCS] = weighted[source]
-        self.maxima = self.postings.max(axis=2)
+        self.n = len(order)
+        self.blocks = -(-self.n // BLOCK_DOCS)
+        place = np.repeat(np.arange(self.n), [len(ids[k]) for k in order])
+        term = np.concatenate([ids[k] for k in order]) if order else np.zeros(0, int)
+        value = np.concatenate([weighted[k] for k in order]) if order else np.zeros(0)
+        use = value > 0
+        place, term, value = place[use], term[use], value[use]
+        by = np.lexsort((place, term))
+        term, self.place, self.value = term[by], place[by], value[by]
+        # Entries: a term's postings in one block.
+        key = term * max(self.blocks, 1) + self.place // BLOCK_DOCS
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        self.entry_start = head
+        self.entry_count = np.diff(np.append(head, len(key)))
+        self.entry_block = self.place[head] // BLOCK_DOCS
+        self.entry_max = np.maximum.reduceat(self.value, head) if len(head) else np.zeros(0)
+        self.term_start = np.searchsorted(term[head], np.arange(len(weight) + 1))
+        self.term_count = np.diff(self.term_start)
 
     def weights(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[ids]
+        w = (1 + np.log(counts)) * self.weight[ids]
         norm = np.sqrt((w * w).sum())
-        return (w / norm if norm else w).astype(np.float32)
+        return w / norm if norm else w
 
     def nearest(self, ids: np.ndarray, counts: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the NEIGHBOURS most similar examples (not the one at leave), exactly.
+        """Places and cosines of the NEIGHBOURS most similar examples and all that tie with the last, nearest first.
 
-        Blocks are taken by falling bound; a block whose bound is below the last neighbour's
-        cosine cannot hold a nearer example and is skipped.
+        The example at leave takes no part. Blocks with the highest bounds are scored first; a
+        block whose bound is below the last neighbour's cosine then cannot hold a nearer
+        example and is skipped.
         """
-        if not len(ids) or not self.blocks:
-            return np.zeros(0, int), np.zeros(0)
         w = self.weights(ids, counts)
-        bound = w @ self.maxima[ids]
+        ids, w = ids[w > 0], w[w > 0]
+        entries = self.term_count[ids]
+        entry = expanded(self.term_start[ids], entries)
+        if not len(entry):
+            return np.zeros(0, int), np.zeros(0)
+        own, block = np.repeat(w, entries), self.entry_block[entry]
+        bound = np.bincount(block, own * self.entry_max[entry], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        head = order[: 1 + NEIGHBOURS // BLOCK_DOCS + 3]
-        score = (w @ self.postings[ids][:, head].reshape(len(ids), -1)).reshape(len(head), -1)
-        if 0 <= leave and leave // BLOCK_DOCS in head:
-            score[head == leave // BLOCK_DOCS, leave % BLOCK_DOCS] = -1
-        flat = score.ravel()
-        floor = np.partition(flat, -NEIGHBOURS)[-NEIGHBOURS] if len(flat) >= NEIGHBOURS else 0.0
-        rest = order[len(head) :]
-        rest = rest[bound[rest] >= max(floor - 1e-6, 1e-6)]
+        score = np.zeros(self.n)
+        done = np.zeros(self.blocks, bool)
+
+        def add(blocks: np.ndarray) -> None:
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            done[blocks] = True
+            use = wanted[block]
+            count = self.entry_count[entry[use]]
+            at = expanded(self.entry_start[entry[use]], count)
+            score[:] += np.bincount(self.place[at], np.repeat(own[use], count) * self.value[at], minlength=self.n)
+
+        def last() -> float:
+            some = score if leave < 0 else np.delete(score, leave)
+            return float(np.partition(some, -NEIGHBOURS)[-NEIGHBOURS]) if len(some) >= NEIGHBOURS else 0.0
+
+        slack = 10.0**-DECIMALS
+        add(order[:HEAD_BLOCKS])
+        rest = order[HEAD_BLOCKS:]
+        rest = rest[bound[rest] >= max(last() - slack, slack)]
         if len(rest):
-            more = (w @ self.postings[np.ix_(ids, rest)].reshape(len(ids), -1)).reshape(len(rest), -1)
-            if 0 <= leave and leave // BLOCK_DOCS in rest:
-                more[rest == leave // BLOCK_DOCS, leave % BLOCK_DOCS] = -1
-            head, score = np.concatenate([head, rest]), np.concatenate([score, more])
-        places = (head[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
-        flat = score.ravel()
-        use = (places < len(self.doc_ids)) & (flat > 1e-6)
-        places, flat = places[use], flat[use]
-        best = np.lexsort((places, -flat))[:NEIGHBOURS]
-        return places[best], flat[best].astype(np.float64)
-
-    def features(self, ids: np.ndarray, counts: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(1, vote, nearness of toxic examples) and the places of the neighbours, nearest first."""
+            add(rest)
+        near = np.round(score, DECIMALS)
+        if leave >= 0:
+            near[leave] = 0
+        places = np.flatnonzero(near > 0)
+        if len(places) > NEIGHBOURS:
+            floor = np.partition(near[places], -NEIGHBOURS)[-NEIGHBOURS]
+            places = places[near[places] >= floor]
+        places = places[np.lexsort((self.doc_ids[places], -near[places]))]
+        return places, near[places]
+
+    def features(self, ids: np.ndarray, counts: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(1, vote, nearness of toxic examples), and the neighbours' places and cosines."""
         places, near = self.nearest(ids, counts, leave)
         if not len(places):
-            return np.array([1.0, 0.0, 0.0]), places
+            return np.array([1.0, 0.0, 0.0]), places, near
         votes = near * near
-        share = float(votes[self.toxic[places]].sum() / votes.sum())
         toxic = near[self.toxic[places]]
-        return np.array([1.0, share, float(toxic.max()) if len(toxic) else 0.0]), places
+        share = float((toxic * toxic).sum() / votes.sum())
+        return np.array([1.0, share, float(toxic.max()) if len(toxic) else 0.0]), places, near
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> np.ndarray:
@@ -182,30 +244,40 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
     return beta
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list, dict[int, float]]:
-    """Examples (doc_id, toxic, text) of the folds other than 1, and each class's rows per example."""
+def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, words, counts)."""
+    for batch in batches:
+        found = [words_in(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array([list(f) for f in found], pa.list_(pa.string())),
+                pa.array([list(f.values()) for f in found], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "words", "counts"],
+        )
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, int, dict[str, int]]], dict[int, float]]:
+    """Examples (doc_id, toxic, counted words) of the folds other than 1, and each class's rows per example."""
     usable = labels.where("toxic in (0, 1) and doc_id is not null").where(
         F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
     ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = written(usable, "train-labels")
     totals = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    rows = []
-    for label in (0, 1):
-        ids = written(
-            usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS).select("doc_id"),
-            "examples",
-        )
-        # At most SAMPLE_PER_CLASS ids are broadcast, and as many texts of bounded length collected.
-        rows += [
-            (r.doc_id, label, r.text)
-            for r in docs.where(F.length("text") <= MAX_EXAMPLE_CHARS)
-            .join(F.broadcast(ids), "doc_id")
-            .dropDuplicates(["doc_id"])
-            .select("doc_id", "text")
-            .collect()
-        ]
+    chosen = [
+        usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for label in (0, 1)
+    ]
+    ids = written(chosen[0].unionByName(chosen[1]), "examples")
+    # At most SAMPLE_PER_CLASS ids of each class are broadcast. Rows that repeat an id: the first text in order.
+    texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    label_of = {r.doc_id: r.toxic for r in ids.collect()}
+    rows = [
+        (r.doc_id, label_of[r.doc_id], dict(zip(r.words, r.counts, strict=True)))
+        for r in texts.mapInArrow(counted_words, "doc_id bigint, words array<string>, counts array<bigint>").collect()
+    ]
     held = Counter(label for _, label, _ in rows)
-    return sorted(rows), {k: totals.get(k, 0) / held[k] for k in held}
+    return sorted(rows, key=lambda r: r[0]), {k: totals.get(k, 0) / held[k] for k in held}
 
 
 SCORED = "doc_id bigint, score double, evidence array<struct<doc_id: bigint, toxic: int, cosine: double>>"
@@ -214,68 +286,57 @@ SCORED = "doc_id bigint, score double, evidence array<struct<doc_id: bigint, tox
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
-    Terms are words and word prefixes that depend on the label in a bounded sample of the
-    training folds (SAMPLE_PER_CLASS rows of each class); their document frequencies are
-    counted over all documents. A score is the calibrated vote of the NEIGHBOURS nearest
-    examples by exact TF-IDF cosine, weighted by the squared cosine; evidence holds the
-    nearest three. A text without any of the terms (empty and null texts too) has no
+    Examples are a bounded sample of the training folds (SAMPLE_PER_CLASS rows of each class),
+    with whole texts. Terms are all their words and stems; document frequencies are
+    counted over all documents. A term weighs its inverse document frequency times its
+    relevance. A score is the calibrated vote of the NEIGHBOURS nearest examples (and those
+    that tie with the last) by exact TF-IDF cosine, weighted by the squared cosine; evidence
+    holds the nearest three. A text without any of the terms (empty and null texts too) has no
     neighbours and gets the calibrated score of no vote. Repeated rows are scored each; a
     null id counts as not held out; without examples of both classes all scores are the
     share of toxic labels. Extra columns are left out; empty input gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    examples, weight = training_rows(rows, labels)
-    found = [terms_of(text) for _, _, text in examples]
+    examples, class_weight = training_rows(rows, labels)
     toxic = np.array([label == 1 for _, label, _ in examples], bool)
-    terms = chosen_terms(found, toxic)
-    sparse = written(rows.mapInArrow(vectors(terms), "doc_id bigint, ids array<int>, counts array<bigint>"), "term-vectors")
-    n_docs = sparse.count()
-    frequency = document_frequencies(sparse, len(terms))
-    idf = np.log((1 + n_docs) / (1 + frequency)) + 1e-3
-    places = {t: k for k, t in enumerate(terms)}
-    ids = [np.array(sorted(places[t] for t in f if t in places), int) for f in found]
-    counts = [np.array([f[terms[k]] for k in i], float) for f, i in zip(found, ids, strict=True)]
-    index = BlockMaxIndex(np.array([e[0] for e in examples], np.int64), toxic, ids, counts, idf)
+    both = bool(toxic.any() and not toxic.all())
+    vocabulary = Vocabulary([words for _, _, words in examples] if both else [])
+    vectors = [vocabulary.vector(words) for _, _, words in examples]
+    frequency, n_docs = document_frequencies(rows, vocabulary) if both else (np.zeros(0), 0)
+    ids, counts = [v[0] for v in vectors], [v[1] for v in vectors]
+    weight = (np.log((1 + n_docs) / (1 + frequency)) + 1e-3) * relevance(ids, toxic, len(vocabulary)) if both else np.zeros(0)
+    index = BlockMaxIndex(np.array([e[0] for e in examples], np.int64), toxic, ids, counts, weight)
     beta = np.zeros(3)
-    if terms:
+    if both:
         at = {int(d): k for k, d in enumerate(index.doc_ids)}
         x = np.array([index.features(i, c, at[e[0]])[0] for e, i, c in zip(examples, ids, counts, strict=True)])
-        beta = logistic(x, toxic.astype(float), np.array([weight[int(t)] for t in toxic]))
+        beta = logistic(x, toxic.astype(float), np.array([class_weight[int(t)] for t in toxic]))
     else:
-        total = sum(weight[int(t)] for t in toxic)
-        share = sum(weight[1] for t in toxic if t) / total if total else 0.0
+        total = sum(class_weight[int(t)] for t in toxic)
+        share = sum(class_weight[1] for t in toxic if t) / total if total else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         beta[0] = np.log(share / (1 - share))
-    shipped = spark.sparkContext.broadcast((index, beta))
+    shipped = spark.sparkContext.broadcast((vocabulary, index, beta))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, beta = shipped.value
+        vocabulary, index, beta = shipped.value
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             scores, evidence = [], []
-            for own, n in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                at, n = np.array(own, int), np.array(n, float)
-                features, near = index.features(at, n)
+            for text in batch.column("text").to_pylist():
+                features, places, near = index.features(*vocabulary.vector(words_in(text)))
                 scores.append(float(1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))))
-                if len(near):
-                    w = index.weights(at, n)
-                    top = near[:3]
-                    cosines = [float(w @ index.postings[at, p // BLOCK_DOCS, p % BLOCK_DOCS]) for p in top]
-                    evidence.append([
-                        {"doc_id": int(index.doc_ids[p]), "toxic": int(index.toxic[p]), "cosine": c} for p, c in zip(top, cosines, strict=True)
-                    ])
-                else:
-                    evidence.append([])
+                evidence.append([
+                    {"doc_id": int(index.doc_ids[p]), "toxic": int(index.toxic[p]), "cosine": float(c)} for p, c in zip(places[:3], near[:3], strict=True)
+                ])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, evidence_type)],
                 ["doc_id", "score", "evidence"],
             )
 
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    # The vectors are a small table of few splits; scoring them is most of the work, so it is dealt out evenly.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sparse.repartition(parts).mapInArrow(score, SCORED).select(
+    return rows.mapInArrow(score, SCORED).select(
         "doc_id",
         F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         "score",

@@ -1,7 +1,10 @@
 """Token counts, personal data, toxicity and license scans against their libraries and brute force."""
 
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -92,21 +95,92 @@ def test_beliefs_equal_enumeration_on_a_tree():
     assert np.allclose(pii.beliefs(unary, edges, tables), total / total.sum(axis=1, keepdims=True), atol=0.02)
 
 
-def test_block_max_search_is_exact():
+def dense_cosines(index, ids, counts, own_ids, own_counts):
+    """Cosines of one vector with all examples, in the order of ids, term by term."""
+
+    def dense(i, c):
+        v = np.zeros(len(index.weight))
+        v[i] = (1 + np.log(c)) * index.weight[i]
+        return v / (np.sqrt((v * v).sum()) or 1)
+
+    own = dense(own_ids, own_counts)
+    return np.array([dense(i, c) @ own for i, c in zip(ids, counts)])
+
+
+@pytest.mark.parametrize("n, n_terms", [(500, 40), (1000, 5000), (3, 10), (700, 3)])
+def test_block_max_search_is_exact(n, n_terms):
     rng = np.random.default_rng(2)
-    n, terms = 500, 40
-    ids = [np.sort(rng.choice(terms, rng.integers(0, 8), replace=False)) for _ in range(n)]
+    ids = [np.sort(rng.choice(n_terms, rng.integers(0, min(n_terms, 30)), replace=False)) for _ in range(n)]
     counts = [rng.integers(1, 4, len(i)).astype(float) for i in ids]
-    index = toxicity.BlockMaxIndex(np.arange(n), rng.random(n) < 0.3, ids, counts, rng.random(terms) + 0.1)
-    dense = np.zeros((n, terms))
-    for k in range(n):
-        dense[k, ids[index.doc_ids[k]]] = index.weights(ids[index.doc_ids[k]], counts[index.doc_ids[k]])
-    for q in range(60):
-        own = np.zeros(terms)
-        own[ids[q]] = index.weights(ids[q], counts[q])
-        exact = np.sort(dense @ own)[::-1][: toxicity.NEIGHBOURS]
-        _, near = index.nearest(ids[q], counts[q])
-        assert np.allclose(near, exact[exact > 1e-6][: len(near)], atol=1e-5) and len(near) == (exact > 1e-6).sum()
+    weight = rng.random(n_terms) * (rng.random(n_terms) < 0.9)
+    toxic, names = rng.random(n) < 0.3, rng.permutation(n)
+    index = toxicity.BlockMaxIndex(names, toxic, ids, counts, weight)
+    at, source = {int(d): k for k, d in enumerate(index.doc_ids)}, {int(d): k for k, d in enumerate(names)}
+    for q in range(min(n, 60)):
+        for leave in (-1, at[int(names[q])]):
+            exact = dense_cosines(index, ids, counts, ids[q], counts[q])
+            if leave >= 0:
+                exact[q] = 0
+            exact = np.round(exact, toxicity.DECIMALS)
+            floor = max(np.sort(exact)[-toxicity.NEIGHBOURS :][0], 10.0**-toxicity.DECIMALS)
+            features, places, near = index.features(ids[q], counts[q], leave)
+            found = {int(index.doc_ids[p]): c for p, c in zip(places, near)}
+            sure = {int(names[k]) for k in np.flatnonzero(exact > floor + 2e-6)}
+            assert sure <= set(found) and all(abs(exact[source[d]] - c) < 3e-6 and c >= floor - 3e-6 for d, c in found.items())
+            assert len(found) >= min(toxicity.NEIGHBOURS, (exact > 2e-6).sum())
+            votes = [exact[source[d]] ** 2 for d in found]
+            share = sum(v for d, v in zip(found, votes) if toxic[source[d]]) / sum(votes) if votes else 0.0
+            assert abs(features[1] - share) < 1e-3
+
+
+def test_tied_neighbours_all_vote_whatever_their_ids():
+    ids = [np.array([0, k % 2 + 1]) for k in range(200)]
+    counts = [np.ones(2)] * 200
+    toxic = np.arange(200) % 4 == 0
+    scores = set()
+    for names in (np.arange(200), np.arange(200)[::-1], np.random.default_rng(3).permutation(200)):
+        index = toxicity.BlockMaxIndex(names, toxic, ids, counts, np.array([1.0, 2.0, 2.0]))
+        features, places, _ = index.features(np.array([0, 1]), np.ones(2))
+        scores.add((round(features[1], 9), len(places)))
+    assert scores == {(0.5, 100)}
+
+
+def test_scores_equal_brute_force_over_all_terms(spark, docs):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "gammas", "gammata", "omega", "x", "bad", "worse"]) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    texts += ["word " * 30_000 + "bad", None, ""]
+    labels = [(k, int("bad" in (texts[k] or ""))) for k in range(150)] + [(150, 1)]
+    found = {r.doc_id: r for r in toxicity.toxicity(docs(*enumerate(texts)), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    terms = [Counter(x for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for x in ([w, w[:5] + "-"] if len(w) > 5 else [w])) for t in texts]
+    train = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 3 != 1]
+    toxic = {k for k, label in labels if label}
+    every = sorted({t for k in train for t in terms[k]})
+    n1, n0 = sum(k in toxic for k in train), sum(k not in toxic for k in train)
+    weight = {}
+    for t in every:
+        a, b = sum(t in terms[k] for k in train if k in toxic), sum(t in terms[k] for k in train if k not in toxic)
+        spread = (a + b) * (n1 + n0 - a - b) * n1 * n0
+        phi = abs(a * n0 - b * n1) / math.sqrt(spread) if spread else 0.0
+        weight[t] = phi * (math.log((1 + len(texts)) / (1 + sum(t in x for x in terms))) + 1e-3)
+
+    def vector(k):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in terms[k].items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()} if norm else {}
+
+    vectors = {k: vector(k) for k in range(len(texts))}
+    by_features = defaultdict(set)
+    for k in range(len(texts)):
+        near = {j: round(sum(x * vectors[j].get(t, 0) for t, x in vectors[k].items()), 6) for j in train}
+        near = {j: c for j, c in near.items() if c > 0}
+        floor = sorted(near.values())[-15] if len(near) >= 15 else 0
+        near = {j: c for j, c in near.items() if c >= floor}
+        share = sum(c * c for j, c in near.items() if j in toxic) / sum(c * c for c in near.values()) if near else 0.0
+        top = max([c for j, c in near.items() if j in toxic], default=0.0)
+        by_features[round(share, 4), round(top, 4)].add(round(found[k].score, 2))
+        if near:
+            assert abs(found[k].evidence[0].cosine - max(near.values())) < 2e-6
+    assert all(max(s) - min(s) < 0.03 for s in by_features.values())
 
 
 def test_toxicity_on_held_out_rows(spark, docs):
