@@ -13,17 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.shared import documents
+from doclens.llm.shared import documents, written
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Rows that the field's potentials are fitted on at most: those with the smallest hashes of their id.
+#: Rows that the field is fitted on at most: different texts, those with the smallest hashes of id and text.
 SAMPLE_ROWS = 3000
-MAX_SAMPLE_CHARS = 20_000
 #: Rounds of message passing, and the belief at which a token joins a kind.
 ROUNDS, BELIEF = 10, 0.9
-#: Skip edges of equal labels that the fit starts from, for each label: texts rarely repeat what the patterns find.
-LIKE_PRIOR = 20
+#: Means of the priors of the skip tables' diagonals, for like mentions and for those alike in shape and word before:
+#: texts rarely repeat what the patterns find, so the data alone say little.
+LIKE_PRIOR, ALIKE_PRIOR = 4.0, 2.0
+#: Precision of the Gaussian priors of all parameters, and steps of the fit.
+RIDGE, STEPS = 1.0, 300
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,6 +105,9 @@ def features(token: str) -> list[int]:
     return found
 
 
+_CUE = re.compile(r"[^\W\d_]{2,}")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]")
+
 #: Digits from the end that like numbers share, and digits that a number in several tokens has at most.
 SUFFIX, MOST_DIGITS = 7, 15
 _NUMBER = re.compile(r"[+()0-9./-]*[0-9][+()0-9./-]*")
@@ -124,6 +129,14 @@ def keys_of(text: str) -> list[str]:
     return [digits] if len(digits) < SUFFIX or len(digits) > MOST_DIGITS else [digits, "~" + digits[-SUFFIX:]]
 
 
+def alike_key(before: str, token: str) -> str | None:
+    """What mentions alike share: the shape of the token and the word before it."""
+    cue = before.strip(_TRIM)
+    if not _CUE.fullmatch(cue):
+        return None
+    return f"^{cue.lower()} " + _LETTER.sub("a", _DIGIT.sub("9", token.strip(_TRIM)))
+
+
 class Node(NamedTuple):
     start: int
     end: int
@@ -138,14 +151,15 @@ class Node(NamedTuple):
 def nodes_of(text: str, spans: list[list[Span]]) -> list[Node]:
     """Tokens with evidence, in order; order is the first token's place among all tokens.
 
-    The last token of a span of several tokens has the keys of the whole span besides its own.
+    The last token of a span of several tokens has the keys of the whole span besides its own;
+    its tokens have no key by shape, which is for mentions of one token.
     A number outside the spans that is written in several tokens is one node where it is like
     a phone of the text.
     """
     cover = sorted((s, e, k) for k, own in enumerate(spans) for s, e in own)
-    found, at = [], 0
+    found, at, before, token = [], 0, "", ""
     for order, m in enumerate(_TOKEN.finditer(text)):
-        token = m[0]
+        before, token = token, m[0]
         if not _EVIDENCE.search(token):
             continue
         start, end = m.span()
@@ -155,6 +169,8 @@ def nodes_of(text: str, spans: list[list[Span]]) -> list[Node]:
         keys = keys_of(token)
         if inside and cover[at][1] <= end:
             keys = list(dict.fromkeys(keys + keys_of(text[cover[at][0] : cover[at][1]])))
+        if not inside or start <= cover[at][0] and cover[at][1] <= end:
+            keys += [key for key in [alike_key(before, token)] if key]
         found.append(Node(start, end, token, cover[at][2] if inside else OUTSIDE, order, 1, keys))
     return joined_numbers(text, found, [text[s:e] for s, e in spans[KINDS.index("phone")]])
 
@@ -212,15 +228,18 @@ def bare(text: str, start: int, end: int) -> Span:
             return start, end
 
 
-def edges_of(nodes: list[Node]) -> tuple[list[Span], list[Span]]:
+def edges_of(nodes: list[Node]) -> tuple[list[Span], list[Span], list[Span]]:
     """Chain edges between neighbouring nodes, and skip edges from each node to the one before it with one of its keys.
 
-    A node outside the spans has a skip edge to one inside as well: the last before it, or the first after it.
+    A node outside the spans has a skip edge to one inside as well: the last before it, or the
+    first after it. Skip edges come in two lists, of like mentions and of those that are only
+    alike in shape and word before.
     """
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1].order == nodes[i].order + nodes[i].width]
-    skip, last, inside, waiting = {}, {}, {}, defaultdict(list)
+    like, alike, last, inside, waiting = {}, {}, {}, {}, defaultdict(list)
     for i, node in enumerate(nodes):
         for key in node.keys:
+            skip = alike if key[0] == "^" else like
             if key in last:
                 skip[last[key], i] = None
             last[key] = i
@@ -231,7 +250,7 @@ def edges_of(nodes: list[Node]) -> tuple[list[Span], list[Span]]:
                 skip[inside[key], i] = None
             else:
                 waiting[key].append(i)
-    return chain, list(skip)
+    return chain, list(like), [edge for edge in alike if edge not in like]
 
 
 def carried(nodes: list[Node]) -> dict[str, set[int]]:
@@ -250,62 +269,70 @@ def kinds_for(node: Node, kinds: dict[str, set[int]]) -> set[int]:
 
 
 class Field:
-    """Potentials: unary by shape, one table for chain edges, one for skip edges (log scale)."""
+    """Potentials: unary by shape, and a table for each kind of edge: chain, like, alike (log scale)."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, like: np.ndarray, alike: np.ndarray):
+        self.unary, self.chain, self.like, self.alike = unary, chain, like, alike
 
 
 def fit(texts: list[str]) -> Field:
-    """Unary potentials by softmax regression, edge tables from how often labels meet, on the patterns' own labels.
+    """The field by pseudo-likelihood: each node's label given those of its neighbours, on the patterns' own labels.
 
     A token outside the patterns whose like is inside one somewhere in its text counts as
     unlabelled, not as outside: it is what the field is to decide, so it takes no part.
     """
     size = OUTSIDE + 1
-    rows, labels, chain, skip = [], [], np.ones((size, size)), np.ones((size, size)) + LIKE_PRIOR * np.eye(size)
+    shapes, labels, ends = [], [], [[], [], []]
     for text in texts:
         if not _EVIDENCE.search(text):
             continue
         spans = base_spans(text)
         nodes = nodes_of(text, spans)
         kinds = carried(nodes)
-        open_ = [node.label == OUTSIDE and bool(kinds_for(node, kinds)) for node in nodes]
-        for node, unlabelled in zip(nodes, open_, strict=True):
-            if not unlabelled:
-                rows.append(features(node.token))
+        place = {}
+        for i, node in enumerate(nodes):
+            if node.label != OUTSIDE or not kinds_for(node, kinds):
+                place[i] = len(labels)
+                shapes.append(features(node.token))
                 labels.append(node.label)
+        for own, edges in zip(ends, edges_of(nodes), strict=True):
+            own += [(place[i], place[j]) for i, j in edges if i in place and j in place]
         # What a whole span looks like, for numbers in other spellings that are one node.
         for label, own in enumerate(spans):
             for whole in (text[s:e] for s, e in own):
                 if _TOKEN.fullmatch(whole) is None:
-                    rows.append(features(whole))
+                    shapes.append(features(whole))
                     labels.append(label)
-        for table, edges in zip((chain, skip), edges_of(nodes), strict=True):
-            for i, j in edges:
-                if not (open_[i] or open_[j]):
-                    table[nodes[i].label, nodes[j].label] += 1
-    weights = np.zeros((N_FEATURES, size))
-    if rows:
-        x = np.zeros((len(rows), N_FEATURES))
-        for k, own in enumerate(rows):
-            x[k, own] = 1
-        y = np.eye(size)[labels]
-        for step in range(300):
-            score = x @ weights
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            weights += 2.0 / (1 + step / 100) * (x.T @ (y - p) / len(rows) - 1e-4 * weights)
-    else:
-        weights[0, OUTSIDE] = 5.0
-
-    def lift(table: np.ndarray) -> np.ndarray:
-        table = table + table.T
-        share = table / table.sum()
-        alone = share.sum(axis=1)
-        return np.clip(np.log(share / np.outer(alone, alone)), -4, 4)
-
-    return Field(weights, lift(chain), lift(skip))
+    x = np.zeros((len(labels), N_FEATURES))
+    for k, own in enumerate(shapes):
+        x[k, own] = 1
+    y = np.eye(size)[np.array(labels, int)]
+    # Labels of a node's neighbours by kind of edge: to the right, to the left, like, alike.
+    near = [np.zeros((len(labels), size)) for _ in range(4)]
+    for k, own in enumerate(ends):
+        first, second = np.array(own, int).reshape(-1, 2).T
+        np.add.at(near[0 if k == 0 else k + 1], first, y[second])
+        np.add.at(near[1 if k == 0 else k + 1], second, y[first])
+    prior = [np.zeros((N_FEATURES, size)), np.zeros((size, size)), LIKE_PRIOR * np.eye(size), ALIKE_PRIOR * np.eye(size)]
+    if not labels:
+        prior[0][0, OUTSIDE] = 5.0
+        return Field(*prior)
+    value = [p.copy() for p in prior]
+    mean, square = [np.zeros_like(p) for p in prior], [np.zeros_like(p) for p in prior]
+    for step in range(1, STEPS + 1):  # Adam
+        unary, chain, like, alike = value
+        score = x @ unary + near[0] @ chain.T + near[1] @ chain + near[2] @ like + near[3] @ alike
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        g = y - p / p.sum(axis=1, keepdims=True)
+        slopes = [x.T @ g, g.T @ near[0] + near[1].T @ g, near[2].T @ g, near[3].T @ g]
+        for k, slope in enumerate(slopes):
+            if k >= 2:
+                slope = slope + slope.T
+            slope = slope - RIDGE * (value[k] - prior[k])
+            mean[k] = 0.9 * mean[k] + 0.1 * slope
+            square[k] = 0.99 * square[k] + 0.01 * slope * slope
+            value[k] = value[k] + 0.1 / (1 + step / 50) * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+    return Field(*value)
 
 
 def beliefs(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -344,7 +371,7 @@ def added_spans(text: str, base: list[list[Span]], field: Field) -> list[list[Sp
     if not any(base):
         return more
     nodes = nodes_of(text, base)
-    chain, skip = edges_of(nodes)
+    lists = edges_of(nodes)
     kinds = carried(nodes)
     open_nodes = {i: own for i, node in enumerate(nodes) if node.label == OUTSIDE and (own := kinds_for(node, kinds))}
     if not open_nodes:
@@ -355,8 +382,8 @@ def added_spans(text: str, base: list[list[Span]], field: Field) -> list[list[Sp
         if node.label != OUTSIDE:
             unary[i] = -50.0
             unary[i, node.label] = 50.0
-    edges = np.array(chain + skip, int).reshape(-1, 2)
-    tables = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(field.skip[None], len(skip), 0)])
+    edges = np.array(sum(lists, []), int).reshape(-1, 2)
+    tables = np.concatenate([np.repeat(t[None], len(own), 0) for t, own in zip((field.chain, field.like, field.alike), lists, strict=True)])
     belief = beliefs(unary, edges, tables)
     taken = sorted(s for own in base for s in own)
     for i, own in open_nodes.items():
@@ -405,14 +432,18 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field, fitted on SAMPLE_ROWS rows at most that hold a digit or an @."""
-    sample = (
-        docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= MAX_SAMPLE_CHARS))
-        .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(text_col).alias("text"))
-        .orderBy("h", "i")
-        .limit(SAMPLE_ROWS)
-    )
-    return fit([r.text for r in sample.select("text").collect()])
+    """The field, fitted on SAMPLE_ROWS rows at most that hold a digit or an @, whole texts.
+
+    Rows are chosen by a hash of id and text below a limit that leaves about SAMPLE_ROWS of
+    them, and rows equal in both count once; so the sample is a small table before any of it
+    reaches the driver, however many tasks there are.
+    """
+    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    n = rows.count()
+    limit = int(min(1.0, SAMPLE_ROWS / n if n else 1.0) * 2**62)
+    chosen = rows.where(F.shiftrightunsigned("h", 2) <= limit).groupBy("h").agg(F.min("text").alias("text"))
+    sample = written(chosen, "pii-sample").orderBy("h").limit(SAMPLE_ROWS)
+    return fit([r.text for r in sample.collect()])
 
 
 def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

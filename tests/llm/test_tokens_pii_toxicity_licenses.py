@@ -280,3 +280,52 @@ def test_field_joins_like_mentions():
     assert added(texts[2]) == [("email", "jane.doe@intranet")]
     assert added("Call +1 (234) 555-0100 or room 0100 or 12 555-0199") == []
     assert added("Card 4111111111111111 and 1111111") == []
+
+
+def test_skip_edges_decide_what_is_added(monkeypatch):
+    rng = random.Random(13)
+    field = pii.fit([f"Phone +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} and room {rng.randint(1, 999)} until {k}.5.2020" for k in range(200)])
+    added = wanted = right = without = 0
+    edges = pii.edges_of
+    for k in range(100):
+        a, b, c = rng.randint(200, 999), rng.randint(1000, 9999), rng.randint(1000, 9999)
+        text = f"Phone +1 ({a}) 555-{b} or {a}-555-{b}, also {a} 555 {b}. Not {a}-556-{c} or {c}{b} or 1.2.2021"
+        planted = {(text.index(x), text.index(x) + len(x)) for x in (f"{a}-555-{b}", f"{a} 555 {b}")}
+        base = pii.base_spans(text)
+        found = {x for own in pii.added_spans(text, base, field) for x in own}
+        added, wanted, right = added + len(found), wanted + len(planted), right + len(found & planted)
+        monkeypatch.setattr(pii, "edges_of", lambda nodes: (edges(nodes)[0], [], []))
+        without += sum(map(len, pii.added_spans(text, base, field)))
+        monkeypatch.setattr(pii, "edges_of", edges)
+    assert right / added > 0.95 and right / wanted > 0.95 and without == 0
+
+
+def test_mentions_alike_in_shape_and_word_before():
+    texts = [f"Server 10.0.0.{k} replaced server 10.0.1.{k}, version 1.2.{k}." for k in range(100)]
+    field = pii.fit(texts)
+
+    def added(text, end):
+        return [text[s:e] for s, e in pii.added_spans(text, [[], [(7, end)], [], []], field)[1]]
+
+    assert added("Server 100.20.30.40 replaced server 100.20.300.40, version 1.2.3", 19) == []
+    assert added("Server 100.20.30.140 replaced server 100.20.30.940, version 1.2.3", 20) == ["100.20.30.940"]
+    assert added("Server 100.20.30.140 replaced Windows 100.20.30.940, version 1.2.3", 20) == []
+
+
+def test_field_is_fitted_on_a_bounded_table(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(pii, "fit", seen.append)
+    rows = [(k, f"number {k}") for k in range(500)] + [(None, "same 1")] * 300 + [(7, "no digits"), (8, None), (9, "")]
+    pii.fitted(docs(*rows, extra=CLASHING))
+    assert 5 <= len(seen[0]) <= 20 and len(set(seen[0])) == len(seen[0])
+    pii.fitted(docs().limit(0))
+    assert seen[1] == []
+
+
+def test_registered_pii_query_on_repeated_and_no_rows(spark, docs, tmp_path):
+    docs((1, "a@b.cd 1.2.3.4"), (1, "a@b.cd 1.2.3.4"), (1, "none"), (None, None)).write.parquet(f"{tmp_path}/a/documents.parquet")
+    found = pii.op6_skip_chain_pii(spark, f"{tmp_path}/a").collect()
+    assert sorted((r.doc_id or 0, r.n_email, r.n_ip) for r in found) == [(0, 0, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1)]
+    docs().limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert pii.op6_skip_chain_pii(spark, f"{tmp_path}/b").count() == 0
