@@ -8,7 +8,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from doclens.llm.shared import documents, written
@@ -20,7 +22,7 @@ BLOCK, STEP = 64, 32
 #: Share of extra words between those of a notice that a window is sure to hold (comment marks of words, line numbers).
 SLACK = 0.25
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Notices by label. None has more than BLOCK - STEP words, so each that stands on one line lies whole in some block.
+#: Notices by label. One whose words are all in another's as well needs that other here, for the larger match to rule it out.
 NOTICES = [
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -28,10 +30,16 @@ NOTICES = [
     ("gpl-3", "licensed under the GNU General Public License, version 3"),
     ("gpl-2", "licensed under the GNU General Public License, version 2"),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
+    ("lgpl", "licensed under the GNU Lesser General Public License, version 3"),
+    ("lgpl", "licensed under the GNU Lesser General Public License, version 2.1"),
     ("agpl", "licensed under the GNU Affero General Public License"),
+    ("agpl", "licensed under the GNU Affero General Public License, version 3"),
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0"),
     ("cc0-1.0", "released into the public domain under CC0 1.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
@@ -80,8 +88,18 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: set[str]) -
     return {w: counted.get(w, 0) for w in vocabulary}
 
 
+#: Phrases of the base labels.
+PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+
+
+def phrase_scores(notices: list[tuple[str, str]]) -> dict[str, float]:
+    """What a phrase alone is worth: the share it has of a notice's distinct words, at most."""
+    sets = [set(words) for _, _, words in notice_table(notices)]
+    return {label: max([len(words) / len(s) for s in sets if s.issuperset(words)], default=0.0) for label, words in PHRASES.items()}
+
+
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
-    """(start, label) of every phrase: mit license, apache license, general public license."""
+    """(start, label) of every phrase of PHRASES."""
     places = []
     for i, w in enumerate(words):
         if w == b"license" and i:
@@ -95,13 +113,13 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 
 SCANNED = (
-    "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>, "
+    "row bigint, doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>, "
     "blocks array<struct<block: int, step: int, first: bigint, words: array<string>>>"
 )
 
 
 def scanner(prefix_words: set[str], windows: dict[int, set[str]]):
-    """Per document: word count, base phrases, and the blocks that hold a prefix word of some notice.
+    """Per row: a key of its own, word count, base phrases, and the blocks that hold a prefix word of some notice.
 
     windows: steps, and the prefix words of the notices that are looked for in windows of two
     steps over the words of the whole document, whatever its lines. step is 0 for lines.
@@ -132,11 +150,12 @@ def scanner(prefix_words: set[str], windows: dict[int, set[str]]):
         return found
 
     schema = pa.schema(
-        [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")], ("base", pa.list_(pa.string())),
+        [("row", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_words", "n_base", "first_word", "last_word")], ("base", pa.list_(pa.string())),
          ("blocks", pa.list_(pa.struct([("block", pa.int32()), ("step", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.string()))])))]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for start in range(0, len(batch), 1000):
                 part = batch.slice(start, 1000)
@@ -145,8 +164,9 @@ def scanner(prefix_words: set[str], windows: dict[int, set[str]]):
                     low = (text or b"").lower()
                     words = WORD.findall(low)
                     places = base_places(words) if b"license" in low else []
+                    row += 1
                     out.append({
-                        "doc_id": doc_id, "n_words": len(words), "n_base": len(places),
+                        "row": row, "doc_id": doc_id, "n_words": len(words), "n_base": len(places),
                         "first_word": places[0][0] if places else None, "last_word": places[-1][0] if places else None,
                         "base": sorted({label for _, label in places}), "blocks": [] if rare.isdisjoint(words) else blocks_of(low, words),
                     })
@@ -163,7 +183,7 @@ def license_scan(
     text_col: str = "text",
     across_lines: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scanned, matches): base phrases by document, and every block that holds a notice.
+    """(scanned, matches): base phrases by row of docs, and every block that holds a notice.
 
     A block is a line, or BLOCK words of a longer one. Notices of more than BLOCK - STEP words
     are looked for in windows over the words of the document as well, and so is every notice
@@ -174,8 +194,11 @@ def license_scan(
     frequency over docs, rarest first; a match must share one of a notice's first
     size - needed + 1 words (prefix), have needed words or more (length), and enough words
     from the first shared one on, in both (position); survivors are counted exactly.
-    matches has (doc_id, block, first, notice, label, containment). Null and empty texts have
-    no words; repeated rows are scanned each; null ids are kept; other columns are left out.
+    matches has (row, doc_id, block, first, notice, label, containment, best): row is the key
+    of the row in scanned. best is false for what the block does not say: a notice all of whose
+    words are in a larger one that the block matches too, and a larger one without the words
+    that tell it from the smaller. Null and empty texts have no words; repeated rows, also of
+    one id or none, are scanned each; other columns are left out.
     """
     spark = docs.sparkSession
     table = notice_table(notices)
@@ -186,7 +209,8 @@ def license_scan(
         n_words = len(tokens(notices[k][1]))
         step = window_step(n_words) if across_lines or n_words > BLOCK - STEP else None
         needed = math.ceil(threshold * len(words) - 1e-9)
-        notice_rows.append((k, label, words, len(words), needed))
+        telling = sorted({w for _, _, other in table if set(other) < set(words) for w in set(words) - set(other)})
+        notice_rows.append((k, label, words, telling, len(words), needed))
         prefix = words[: len(words) - needed + 1]
         prefix_rows += [(w, k, p, step) for p, w in enumerate(prefix)]
         if step:
@@ -199,19 +223,18 @@ def license_scan(
     )
     # One row for each notice and prefix word: a fixed, small table.
     prefixes = spark.createDataFrame(prefix_rows, "word string, notice int, position int, notice_step int")
-    whole = spark.createDataFrame(notice_rows, "notice int, label string, notice_words array<string>, size int, needed int")
+    whole = spark.createDataFrame(notice_rows, "notice int, label string, notice_words array<string>, telling array<string>, size int, needed int")
     rank = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    blocks = scanned.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.block", "b.step", "b.first", "b.words")
+    blocks = scanned.select("row", "doc_id", F.explode("blocks").alias("b")).select("row", "doc_id", "b.block", "b.step", "b.first", "b.words")
     # Words outside the notices cannot match; they count for the length filter alone.
     known = F.sort_array(F.transform(F.filter("words", lambda w: F.map_contains_key(ranks, w)), lambda w: F.struct(ranks[w].alias("rank"), w.alias("word"))))
-    known_blocks = blocks.select("doc_id", "block", "step", "first", F.size("words").alias("n"), known.alias("known"))
+    known_blocks = blocks.select("row", "doc_id", "block", "step", "first", F.size("words").alias("n"), known.alias("known"))
     probes = known_blocks.select(
-        "doc_id", "block", "step", "first", "n", F.transform("known", lambda x: x["word"]).alias("held"), F.posexplode("known").alias("at", "x")
-    ).select("doc_id", "block", "step", "first", "n", "held", "at", F.col("x.word").alias("word"))
+        "row", "doc_id", "block", "step", "first", "n", F.transform("known", lambda x: x["word"]).alias("held"), F.posexplode("known").alias("at", "x")
+    ).select("row", "doc_id", "block", "step", "first", "n", "held", "at", F.col("x.word").alias("word"))
     candidates = (
         probes.join(F.broadcast(prefixes), "word")
-        .where("step = 0 or step = notice_step")
         .join(F.broadcast(whole), "notice")
         .where("n >= needed")
         .where("1 + least(size - position - 1, size(held) - at - 1) >= needed")
@@ -220,22 +243,34 @@ def license_scan(
     matches = (
         candidates.withColumn("overlap", overlap)
         .where("overlap >= needed")
-        .select("doc_id", "block", "first", "notice", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+        .select(
+            "row", "doc_id", "block", "first", "notice", "label", (F.col("overlap") / F.col("size")).alias("containment"),
+            (F.size(F.array_except("telling", "held")) == 0).alias("told"),
+            # Windows of other notices' steps only show what else a block holds.
+            F.expr("step = 0 or step <=> notice_step").alias("own"),
+        )
         .distinct()
     )
-    return scanned, matches
+    # Which notices each lies in: at most as many numbers as notices, whatever the data.
+    larger = {k: [j for j, _, other in table if set(words) < set(other)] for k, _, words in table}
+    inside = F.create_map(*[x for k, own in larger.items() for x in (F.lit(k), F.array(*[F.lit(j) for j in own]).cast("array<int>"))])
+    together = F.collect_set(F.when(F.col("told"), F.col("notice"))).over(W.partitionBy("row", "block"))
+    best = F.col("told") & ~F.arrays_overlap(inside[F.col("notice")], together)
+    return scanned, matches.withColumn("best", best).where("own").drop("told", "own")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the best matches; score: the largest containment of these, or what the base phrases are worth."""
     scanned, matches = license_scan(documents(spark, sf_dir), across_lines=True)
     found = written(
-        matches.groupBy(F.col("doc_id").alias("match_id")).agg(
+        matches.where("best").groupBy(F.col("row").alias("match_row")).agg(
             F.collect_set("label").alias("more"), F.max("containment").alias("containment")
         ),
         "license-labels",
     )
-    joined = scanned.join(found, scanned["doc_id"].eqNullSafe(found["match_id"]), "left")
+    joined = scanned.join(found, scanned["row"] == found["match_row"], "left")
     every = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
+    worth = F.create_map(*[F.lit(x) for pair in phrase_scores(NOTICES).items() for x in pair])
     return joined.select(
         "doc_id",
         "n_words",
@@ -244,5 +279,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_word",
         F.array_join("base", ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
+        F.coalesce(F.greatest("containment", F.array_max(F.transform("base", lambda label: worth[label]))), F.lit(0.0)).alias("score"),
     )

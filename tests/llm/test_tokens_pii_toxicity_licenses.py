@@ -233,7 +233,7 @@ def test_license_phrases(spark, tmp_path, docs):
     docs(*rows).write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r for r in licenses.op9_license_scan(spark, str(tmp_path)).collect()}
     one = found[1]
-    assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels, one.score) == (9, 3, 1, 6, "apache,gpl,mit", 1.0)
+    assert (one.n_words, one.n_base, one.first_word, one.last_word, one.base_labels, one.score) == (9, 3, 1, 6, "apache,gpl,mit", 0.4)
     assert (found[2].n_base, found[2].first_word, found[2].base_labels, found[3].n_words) == (0, None, "", 0)
     assert found[None].n_base == 1
 
@@ -329,3 +329,38 @@ def test_registered_pii_query_on_repeated_and_no_rows(spark, docs, tmp_path):
     assert sorted((r.doc_id or 0, r.n_email, r.n_ip) for r in found) == [(0, 0, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1)]
     docs().limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert pii.op6_skip_chain_pii(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_license_rows_keep_their_own_labels(spark, tmp_path, docs):
+    mit = next(t for _, t in licenses.NOTICES if t.startswith("Permission is hereby"))
+    rows = [
+        (1, mit[:78] + "\n" + mit[78:]), (2, mit), (5, "nothing here"), (5, "Licensed under CC BY 4.0"), (6, "Licensed under CC BY-NC 4.0"),
+        (None, "nothing"), (None, "Licensed under CC BY 4.0"), (7, "licensed under the GNU Lesser General Public License, version 3"),
+        (8, "Licensed under CC BY-NC 4.0\nLicensed under CC BY 4.0"), (9, "licensed under the GNU General Public License, version 3"),
+    ]
+    docs(*rows, extra=CLASHING).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(((r.doc_id or 0, r.labels, r.base_labels, r.score) for r in licenses.op9_license_scan(spark, str(tmp_path)).collect()))
+    assert found == [
+        (0, "", "", 0.0), (0, "cc-by-4.0", "", 1.0), (1, "mit", "", 1.0), (2, "mit", "", 1.0), (5, "", "", 0.0), (5, "cc-by-4.0", "", 1.0),
+        (6, "cc-by-nc-4.0", "", 1.0), (7, "gpl,lgpl", "gpl", 1.0), (8, "cc-by-4.0,cc-by-nc-4.0", "", 1.0), (9, "gpl,gpl-3", "gpl", 1.0),
+    ]
+
+
+def test_license_contract_equals_brute_force(spark, tmp_path, docs):
+    rng = random.Random(14)
+    parts = ["MIT", "License", "license", "apache", "General", "PUBLIC", "-", "x", "ümit", "mit\u00a0license", "\n", "the", "4.0", "é"]
+    parts += [t for _, t in licenses.NOTICES]
+    rows = [(rng.choice([None, *range(40)]), "".join(rng.choice(parts) + rng.choice([" ", "  ", "\n", ", ", ""]) for _ in range(rng.randint(0, 25)))) for _ in range(150)]
+    rows += [(50, None), (51, ""), (52, "mit license " * 20_000)]
+    docs(*rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = licenses.op9_license_scan(spark, str(tmp_path)).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    expected = []
+    for k, text in rows:
+        words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", (text or "").translate(low))
+        places = [(i, label) for i in range(len(words)) for label, own in licenses.PHRASES.items() if words[i : i + len(own)] == own]
+        starts = [i for i, _ in places]
+        expected.append((-1 if k is None else k, len(words), len(places), min(starts, default=-1), max(starts, default=-1), ",".join(sorted({x for _, x in places}))))
+    own = [tuple(-1 if x is None else x for x in (r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in found]
+    assert sorted(own) == sorted(expected)
+    assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) for r in found)
