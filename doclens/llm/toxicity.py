@@ -15,10 +15,10 @@ from doclens.llm.shared import documents, written
 
 #: Labelled rows of each class that the index holds at most: those with the smallest hashes of their id.
 SAMPLE_PER_CLASS = 2000
-#: Letters of a stem: longer words count as one term with those that begin alike, besides their own.
-STEM = 5
 NEIGHBOURS = 15
 BLOCK_DOCS = 64
+#: A term that one in so many examples has is kept as whole rows of weights rather than as a list of postings.
+DENSE_SHARE = 16
 #: Blocks that a search scores before it knows what the nearest examples have at least.
 HEAD_BLOCKS = 4
 #: Cosines are compared to so many decimals: what is closer counts as a tie.
@@ -26,73 +26,76 @@ DECIMALS = 6
 THRESHOLD = 0.7
 #: Counts of so many terms travel as one row.
 SLICE_TERMS = 8192
-#: Words whose terms a task remembers at most.
-MEMO_WORDS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    """A word, and the stem of a longer one (with a hyphen)."""
-    return [word, word[:STEM] + "-"] if len(word) > STEM else [word]
-
-
 class Vocabulary:
-    """All terms of the labelled examples."""
+    """All words of the labelled examples: the terms."""
 
     def __init__(self, examples: list[dict[str, int]]):
-        names = sorted({t for words in examples for w in words for t in terms_of(w)})
-        self.places = {t: k for k, t in enumerate(names)}
-        self.memo: dict[str, list[int]] = {}
+        self.places = {t: k for k, t in enumerate(sorted({w for words in examples for w in words}))}
 
     def __len__(self) -> int:
         return len(self.places)
 
-    def __getstate__(self):
-        return self.places
-
-    def __setstate__(self, places):
-        self.places, self.memo = places, {}
-
     def vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the terms of counted words, in order, and how often each occurs."""
-        ids: list[int] = []
-        times: list[int] = []
-        memo, places = self.memo, self.places
-        for word, n in words.items():
-            own = memo.get(word)
-            if own is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                own = memo[word] = [places[t] for t in terms_of(word) if t in places]
-            ids += own
-            times += [n] * len(own)
-        found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return found, np.bincount(at, np.array(times, float), minlength=len(found))
+        """Ids of the terms among counted words, in order, and how often each occurs."""
+        places = self.places
+        known = [(places[w], n) for w, n in words.items() if w in places]
+        ids, times = np.array(known, np.int64).reshape(-1, 2).T
+        order = np.argsort(ids)
+        return ids[order], times[order].astype(float)
 
 
 def words_in(text: str | None) -> dict[str, int]:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def document_frequencies(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+VECTORS = "doc_id bigint, ids array<int>, counts array<int>"
+
+
+def vectors_of(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, ids, counts) of the terms in every row's text, written once."""
+    shipped = rows.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shipped.value
+        for batch in batches:
+            found = [vocabulary.vector(words_in(text)) for text in batch.column("text").to_pylist()]
+            offsets = pa.array(np.cumsum([0, *[len(i) for i, _ in found]]).astype(np.int32))
+            columns = [pa.array(np.concatenate([v[k] for v in found] or [np.zeros(0)]).astype(np.int32)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.ListArray.from_arrays(offsets, c) for c in columns]], ["doc_id", "ids", "counts"]
+            )
+
+    return written(rows.mapInArrow(extract, VECTORS), "term-vectors")
+
+
+def each_vector(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and counts of each row of a batch of vectors."""
+    lists = batch.column("ids")
+    offsets = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = batch.column("counts").values.to_numpy(zero_copy_only=False).astype(float)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        yield ids[a:b], counts[a:b]
+
+
+def document_frequencies(vectors: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and documents in all, over all rows.
 
     Tasks count their own rows and send slices of SLICE_TERMS counts, which are added up by
     slice; as many counts as there are terms reach the driver.
     """
-    shipped = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary)
     slices = -(-size // SLICE_TERMS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shipped.value
         total = np.zeros(slices * SLICE_TERMS, np.int64)
         n = 0
         for batch in batches:
             n += len(batch)
-            for text in batch.column(0).to_pylist():
-                total[vocabulary.vector(words_in(text))[0]] += 1
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=len(total))
         parts = [total[s * SLICE_TERMS : (s + 1) * SLICE_TERMS] for s in range(slices)]
         held = [s for s, part in enumerate(parts) if part.any()]
         yield pa.RecordBatch.from_arrays(
@@ -108,7 +111,7 @@ def document_frequencies(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.nd
         return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     frequency, n_docs = np.zeros(slices * SLICE_TERMS), 0
-    counted = rows.select("text").mapInArrow(count, "slice int, counts binary")
+    counted = vectors.select("ids").mapInArrow(count, "slice int, counts binary")
     for r in counted.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
         own = np.frombuffer(r.counts, np.int64)
         if r.slice < 0:
@@ -136,7 +139,8 @@ def expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Inverted lists of the examples' terms, in blocks of BLOCK_DOCS examples with the largest weight of each.
 
-    weight holds each term's inverse document frequency by its relevance; a vector's parts are
+    Lists of terms that DENSE_SHARE and more of the examples have are stored as rows of weights,
+    others as postings; both have the blocks' maxima. weight holds each term's inverse document frequency by its relevance; a vector's parts are
     that times one plus the logarithm of the count, to length 1. Terms of weight 0 have no list.
     """
 
@@ -154,6 +158,13 @@ class BlockMaxIndex:
         value = np.concatenate([weighted[k] for k in order]) if order else np.zeros(0)
         use = value > 0
         place, term, value = place[use], term[use], value[use]
+        frequent = np.bincount(term, minlength=len(weight)) * DENSE_SHARE >= max(self.n, 1)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        dense = frequent[term]
+        self.rows = np.zeros((int(frequent.sum()), self.blocks * BLOCK_DOCS), np.float32)
+        self.rows[self.row[term[dense]], place[dense]] = value[dense]
+        self.row_max = self.rows.reshape(len(self.rows), self.blocks, BLOCK_DOCS).max(axis=2)
+        place, term, value = place[~dense], term[~dense], value[~dense]
         by = np.lexsort((place, term))
         term, self.place, self.value = term[by], place[by], value[by]
         # Entries: a term's postings in one block.
@@ -180,35 +191,41 @@ class BlockMaxIndex:
         """
         w = self.weights(ids, counts)
         ids, w = ids[w > 0], w[w > 0]
+        row = self.row[ids]
+        row, in_rows = row[row >= 0], w[row >= 0].astype(np.float32)
         entries = self.term_count[ids]
-        entry = expanded(self.term_start[ids], entries)
-        if not len(entry):
+        entry, own = expanded(self.term_start[ids], entries), np.repeat(w, entries)
+        if not len(row) and not len(entry):
             return np.zeros(0, int), np.zeros(0)
-        own, block = np.repeat(w, entries), self.entry_block[entry]
-        bound = np.bincount(block, own * self.entry_max[entry], minlength=self.blocks)
+        block = self.entry_block[entry]
+        bound = np.bincount(block, own * self.entry_max[entry], minlength=self.blocks) + in_rows @ self.row_max[row]
         order = np.argsort(-bound, kind="stable")
-        score = np.zeros(self.n)
-        done = np.zeros(self.blocks, bool)
+        score = np.zeros((self.blocks, BLOCK_DOCS))
 
         def add(blocks: np.ndarray) -> None:
             wanted = np.zeros(self.blocks, bool)
             wanted[blocks] = True
-            done[blocks] = True
             use = wanted[block]
             count = self.entry_count[entry[use]]
             at = expanded(self.entry_start[entry[use]], count)
-            score[:] += np.bincount(self.place[at], np.repeat(own[use], count) * self.value[at], minlength=self.n)
-
-        def last() -> float:
-            some = score if leave < 0 else np.delete(score, leave)
-            return float(np.partition(some, -NEIGHBOURS)[-NEIGHBOURS]) if len(some) >= NEIGHBOURS else 0.0
+            score.reshape(-1)[:] += np.bincount(self.place[at], np.repeat(own[use], count) * self.value[at], minlength=score.size)
+            if 2 * len(blocks) > self.blocks:
+                score[wanted] += (in_rows @ self.rows[row]).reshape(score.shape)[wanted]
+            else:
+                whole = self.rows.reshape(len(self.rows), self.blocks, BLOCK_DOCS)
+                score[blocks] += (in_rows @ whole[row[:, None], blocks].reshape(len(row), len(blocks) * BLOCK_DOCS)).reshape(-1, BLOCK_DOCS)
 
         slack = 10.0**-DECIMALS
         add(order[:HEAD_BLOCKS])
+        if leave >= 0:
+            score[leave // BLOCK_DOCS, leave % BLOCK_DOCS] = 0
+        head = score[order[:HEAD_BLOCKS]].ravel()
+        last = float(np.partition(head, -NEIGHBOURS)[-NEIGHBOURS]) if len(head) >= NEIGHBOURS else 0.0
         rest = order[HEAD_BLOCKS:]
-        rest = rest[bound[rest] >= max(last() - slack, slack)]
+        rest = rest[bound[rest] >= max(last - slack, slack)]
         if len(rest):
             add(rest)
+        score = score.ravel()[: self.n]
         near = np.round(score, DECIMALS)
         if leave >= 0:
             near[leave] = 0
@@ -287,7 +304,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted, evidence) of every row of docs.
 
     Examples are a bounded sample of the training folds (SAMPLE_PER_CLASS rows of each class),
-    with whole texts. Terms are all their words and stems; document frequencies are
+    with whole texts. Terms are all their words; document frequencies are
     counted over all documents. A term weighs its inverse document frequency times its
     relevance. A score is the calibrated vote of the NEIGHBOURS nearest examples (and those
     that tie with the last) by exact TF-IDF cosine, weighted by the squared cosine; evidence
@@ -302,9 +319,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     toxic = np.array([label == 1 for _, label, _ in examples], bool)
     both = bool(toxic.any() and not toxic.all())
     vocabulary = Vocabulary([words for _, _, words in examples] if both else [])
-    vectors = [vocabulary.vector(words) for _, _, words in examples]
-    frequency, n_docs = document_frequencies(rows, vocabulary) if both else (np.zeros(0), 0)
-    ids, counts = [v[0] for v in vectors], [v[1] for v in vectors]
+    known = [vocabulary.vector(words) for _, _, words in examples]
+    ids, counts = [v[0] for v in known], [v[1] for v in known]
+    vectors = vectors_of(rows, vocabulary)
+    frequency, n_docs = document_frequencies(vectors, len(vocabulary)) if both else (np.zeros(0), 0)
     weight = (np.log((1 + n_docs) / (1 + frequency)) + 1e-3) * relevance(ids, toxic, len(vocabulary)) if both else np.zeros(0)
     index = BlockMaxIndex(np.array([e[0] for e in examples], np.int64), toxic, ids, counts, weight)
     beta = np.zeros(3)
@@ -317,15 +335,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         share = sum(class_weight[1] for t in toxic if t) / total if total else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         beta[0] = np.log(share / (1 - share))
-    shipped = spark.sparkContext.broadcast((vocabulary, index, beta))
+    shipped = spark.sparkContext.broadcast((index, beta))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index, beta = shipped.value
+        index, beta = shipped.value
         evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column("text").to_pylist():
-                features, places, near = index.features(*vocabulary.vector(words_in(text)))
+            for vector in each_vector(batch):
+                features, places, near = index.features(*vector)
                 scores.append(float(1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))))
                 evidence.append([
                     {"doc_id": int(index.doc_ids[p]), "toxic": int(index.toxic[p]), "cosine": float(c)} for p, c in zip(places[:3], near[:3], strict=True)
@@ -336,7 +354,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             )
 
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    return rows.mapInArrow(score, SCORED).select(
+    # The vectors are a small table of few splits; scoring them is most of the work, so it is dealt out evenly.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.repartition(parts).mapInArrow(score, SCORED).select(
         "doc_id",
         F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         "score",
