@@ -13,13 +13,15 @@ DIGEST = "text_sha256"
 INDEX_SCHEMA = f"{DIGEST} STRING, keep_id BIGINT, n_code_points BIGINT"
 
 
-def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_code_points, text_sha256): SHA-256 of the text without its blanks.
+def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(row_no, doc_id, n_code_points, text_sha256): SHA-256 of the text without its blanks.
 
-    A null text counts as empty. Repeated rows stay repeated; other columns are left out.
+    row_no is row_col, or else a number that the row gets here. A null text counts as empty.
+    Repeated rows stay repeated; other columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_no"),
         F.col(id_col).alias("doc_id"),
         F.length(text).cast("bigint").alias("n_code_points"),
         F.sha2(F.regexp_replace(text, BLANKS, ""), 256).alias(DIGEST),
@@ -48,6 +50,16 @@ class DigestIndex:
         """Rows of digests that the index lacks, by a sort-merge anti-join."""
         return digests.join(self.rows().select(DIGEST).hint("merge"), DIGEST, "left_anti")
 
+    def close(self) -> None:
+        """Forget the table's name in the catalog; the files stay the index."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def compacted(self, path: str) -> DigestIndex:
+        """The same index at a new path, with one sorted file a bucket again after many appends."""
+        other = DigestIndex(self.spark, path, self.buckets)
+        other.append(self.rows())
+        return other
+
     def append(self, keepers: DataFrame) -> None:
         """Add (text_sha256, keep_id, n_code_points) rows whose digests are new; each digest at most once."""
         (
@@ -65,18 +77,19 @@ class DigestIndex:
 
 
 def exact_dedup(
-    docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
     """Deduplicate docs against themselves and the index, then append what is new to it.
 
     Returns one row per input row: doc_id, keep_id, group_size (rows of docs with this
     text), kept, text_sha256. Of equal texts the row with the most code points stays, then
     the smallest id (null ids last); a text that the index had before keeps its earlier
-    keep_id and no row of docs is kept. Two rows that tie in everything, ids included, are
-    both marked kept, as no column tells them apart. Empty input gives an empty result.
+    keep_id and no row of docs is kept. Of rows that tie in all this, ids included, one
+    stays: that with the smallest row_col, a unique number of each row, if given. Then the
+    result has it as row_no. Empty input gives an empty result.
     """
-    digests = written(with_digest(docs, id_col, text_col), "digests")
-    order = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), F.col("doc_id"))
+    digests = written(with_digest(docs, id_col, text_col, row_col), "digests")
+    order = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))
     groups = written(
         digests.groupBy(DIGEST)
         .agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
@@ -84,6 +97,7 @@ def exact_dedup(
             DIGEST,
             "group_size",
             F.col("first.doc_id").alias("best_id"),
+            F.col("first.row_no").alias("best_row"),
             (-F.col("first.col1")).alias("n_code_points"),
         ),
         "groups",
@@ -94,7 +108,7 @@ def exact_dedup(
         groups.join(known.hint("merge"), DIGEST, "left").select(
             DIGEST,
             "group_size",
-            "best_id",
+            "best_row",
             F.coalesce("known", F.lit(False)).alias("known"),
             F.when(F.col("known"), F.col("known_id")).otherwise(F.col("best_id")).alias("keep_id"),
         ),
@@ -106,8 +120,9 @@ def exact_dedup(
         "doc_id",
         "keep_id",
         "group_size",
-        (~F.col("known") & F.col("doc_id").eqNullSafe(F.col("best_id"))).alias("kept"),
+        (~F.col("known") & (F.col("row_no") == F.col("best_row"))).alias("kept"),
         DIGEST,
+        *(["row_no"] if row_col else []),
     )
 
 
@@ -116,7 +131,10 @@ def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir), fresh_index(spark))
+    index = fresh_index(spark)
+    found = exact_dedup(documents(spark, sf_dir), index)
+    index.close()
+    return found
 
 
 OP10_SQL = r"""

@@ -54,8 +54,9 @@ def _bits(values: pd.Series) -> list[int]:
 
 
 def pack_shard(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
-    """Packs the pieces of one shard, largest first, then by id and piece."""
-    rows = rows.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    """Packs the pieces of one shard, largest first, then by id and piece; what still ties in source and cluster is alike."""
+    order = ["n_words", "doc_id", "no_id", "piece", "first_word", "cluster", "source"]
+    rows = rows.sort_values(order, ascending=[False] + [True] * 6, kind="stable")
     items = zip(rows["n_words"].astype(int), _bits(rows["source"]), _bits(rows["cluster"]), strict=True)
     placed = best_fit(items, capacity)
     out = rows[["doc_id", "piece", "first_word", "n_words", "shard", "no_id"]].copy()
@@ -71,22 +72,26 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    cluster_col: str | None = None,
 ) -> DataFrame:
     """Best-fit-decreasing bins of at most capacity words, in which no two pieces conflict.
 
-    Two pieces conflict when they share a source or a cluster of equal texts (blanks aside).
+    Two pieces conflict when they share a source or a duplicate cluster: the values of
+    cluster_col, or else equal texts (blanks aside). Texts without words are in no cluster.
     A document longer than the capacity is cut into pieces; every piece comes back once, as
     (doc_id, piece, first_word, n_words, shard, bin, bin_offset): bin counts from 0 within
-    its shard. Shards are dealt by a hash of id and repetition, so that a hot source, cluster
-    or id spreads over all of them; each is packed by one task and holds about shard_rows
-    pieces. Null and empty texts are a piece of no words; a null source conflicts with none;
+    its shard. Shards are dealt by a hash of all that tells pieces apart, so that a hot source,
+    cluster or id spreads over all of them; each is packed by one task and holds about
+    shard_rows pieces. Bins do not depend on the order of the rows. Null and empty texts are a piece of no words; a null source conflicts with none;
     repeated rows are packed each; null ids are kept. Empty input gives an empty result.
     """
+    content = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "")
+    cluster = F.col(cluster_col).cast("string") if cluster_col else F.when(content != "", F.substring(F.sha2(content, 256), 1, 32))
     sizes = written(
         docs.select(
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
-            F.xxhash64(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, "")).alias("cluster"),
+            cluster.alias("cluster"),
             F.size(words_of(text_col)).cast("bigint").alias("total"),
         )
         .groupBy("doc_id", "source", "cluster", "total")
@@ -107,7 +112,7 @@ def pack(
         "piece",
         (F.col("piece") * capacity).alias("first_word"),
         F.least(F.lit(capacity).cast("bigint"), F.col("total") - F.col("piece") * capacity).alias("n_words"),
-        F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "source", "cluster", "total", "copy", "piece"), F.lit(shards)).alias("shard"),
     )
     packed = dealt.groupBy("shard").applyInPandas(lambda rows: pack_shard(rows, capacity), PACKED)
     return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

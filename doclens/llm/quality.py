@@ -14,11 +14,14 @@ WINDOW = 8
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
 MIN_MEAN_WORD, MAX_MEAN_WORD = 2, 15
-#: A host is suspect when its shrunken failure rate is above this.
-SUSPECT_RATE = 0.5
+#: A host is suspect when its shrunken failure rate is above SUSPECT_RATE, or SUSPECT_RATIO times the pooled rate.
+SUSPECT_RATE, SUSPECT_RATIO = 0.5, 1.25
 #: Bounds of the fitted prior's strength (its a + b), in documents.
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 
+#: Column that holds a row of the input whole, for callers that go on with it.
+ROW = "input_row"
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -27,6 +30,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW),
         F.col(id_col).alias("doc_id"),
         F.col(host_col).alias("host"),
         words_of(text_col).alias("words"),
@@ -35,6 +39,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
     )
     hashed = split.select(
+        ROW,
         "doc_id",
         "host",
         "word_chars",
@@ -81,6 +86,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     )
     empty = F.size("ordered") == 0
     return repeated.select(
+        ROW,
         "doc_id",
         "host",
         "n_words",
@@ -121,7 +127,8 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     """(host, n_docs, n_failed, rate, suspect): failure rates by host, shrunk to an empirical beta prior.
 
     The prior has the pooled failure rate as its mean; its strength follows from the spread
-    of the hosts' own rates by the method of moments, within MIN_STRENGTH and MAX_STRENGTH.
+    of the hosts' own rates by the method of moments, within MIN_STRENGTH and MAX_STRENGTH. So
+    a host of few documents, or among hosts that hardly differ, needs more to become suspect.
     """
     hosts = written(
         rows.groupBy("host").agg(
@@ -141,22 +148,24 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     strength = mean * (1 - mean) / spread - 1 if spread > 0 else MAX_STRENGTH
     strength = min(MAX_STRENGTH, max(MIN_STRENGTH, strength))
     rate = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.withColumn("rate", rate).withColumn("suspect", F.col("rate") > SUSPECT_RATE)
+    return hosts.withColumn("rate", rate).withColumn("suspect", F.col("rate") > min(SUSPECT_RATE, SUSPECT_RATIO * mean))
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_rows: bool = False
 ) -> DataFrame:
     """Rule measures and verdict of every document, with its host's verdict.
 
     A document that fails a base rule (too few words, too many words in repeated 8-word
-    windows) goes. In a host whose shrunken failure rate is above SUSPECT_RATE, one goes
-    also when it fails a strict rule (symbols, repeated lines, mean word length); a document
-    that fails no rule is kept whatever its host. One row per input row. Null text has no
-    words; null hosts are one host; rows that repeat an id are judged each; other columns
-    are left out; empty input gives an empty result.
+    windows) goes. In a suspect host one goes also when it fails a strict rule (symbols,
+    repeated lines, mean word length); a document that fails no rule is kept whatever its
+    host. One row per input row. Null text has no words; null hosts are one host; rows that
+    repeat an id are judged each; other columns are left out, but with keep_rows each row
+    carries its input whole, as the struct input_row, so that nothing has to be joined back.
+    Empty input gives an empty result.
     """
-    rows = written(judged(measured(docs, id_col, text_col, host_col)), "measures")
+    rows = judged(measured(docs, id_col, text_col, host_col))
+    rows = written(rows if keep_rows else rows.drop(ROW), "measures")
     suspects = host_verdicts(rows).where("suspect").select(F.col("host").alias("bad_host"), "suspect")
     joined = rows.join(suspects, rows["host"].eqNullSafe(suspects["bad_host"]), "left")
     suspect = F.coalesce("suspect", F.lit(False))
@@ -167,6 +176,7 @@ def quality_rules(
         (~F.col("base_failed") & ~(suspect & F.col("rule_failed"))).alias("kept"),
         "rule_failed",
         suspect.alias("host_suspect"),
+        *([ROW] if keep_rows else []),
     )
 
 
@@ -206,7 +216,7 @@ pooled AS (SELECT sum(f) / sum(n) AS mean FROM hosts),
 spread AS (SELECT any_value(mean) AS mean, avg(pow(f / n - mean, 2)) AS v FROM hosts, pooled),
 prior AS (
   SELECT mean, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, mean * (1 - mean) / v - 1)) ELSE 1000.0 END AS strength FROM spread),
-verdict AS (SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS suspect FROM hosts, prior)
+verdict AS (SELECT source, (f + mean * strength) / (n + strength) > least(0.5, 1.25 * mean) AS suspect FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (suspect AND rule_failed) AS kept, rule_failed, suspect AS host_suspect
 FROM j JOIN verdict ON j.source IS NOT DISTINCT FROM verdict.source

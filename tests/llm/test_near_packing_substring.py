@@ -123,7 +123,8 @@ def test_pack(docs):
         ids = [None if pd.isna(d) else int(d) for d in own.doc_id]
         named = [source[d] for d in ids if source[d] is not None]
         assert len(named) == len(set(named))
-        assert len({text[d] or "" for d in ids}) == len(ids)
+        worded = [d for d in ids if text[d]]
+        assert len({text[d] for d in worded}) == len(worded)
         spans = sorted(zip(own.bin_offset, own.n_words))
         assert all(a + n <= b for (a, n), (b, _) in zip(spans, spans[1:]))
     assert packing.pack(docs().limit(0)).count() == 0
@@ -172,3 +173,25 @@ def test_spans_have_sources(docs):
     rows = [(1, " ".join(["a"] * 3 + words)), (2, " ".join(["b"] * 5 + words + ["c"])), (2, "other")]
     spans = substring.repeated_spans(substring.repeated_runs(docs(*rows))).collect()
     assert [tuple(s) for s in spans] == [(2, 5, 60, 1, 3)]
+
+
+def test_bins_do_not_depend_on_the_order_of_rows(docs):
+    rng = random.Random(15)
+    rows = [(rng.choice([None, 1, 2, 3]), " ".join(rng.choice("abcdefgh") for _ in range(rng.choice([5, 6, 7]))), rng.choice(["s", "t", "u", None])) for _ in range(200)]
+    packed = []
+    for _ in range(3):
+        rng.shuffle(rows)
+        packed.append(Counter(tuple(r) for r in packing.pack(docs(*rows), capacity=20, shard_rows=50).collect()))
+    assert packed[0] == packed[1] == packed[2]
+
+
+def test_hot_ids_spread_over_shards(docs):
+    rows = [(None, f"w{k} x y", "s") for k in range(400)]
+    shards = Counter(r.shard for r in packing.pack(docs(*rows), capacity=20, shard_rows=50).collect())
+    assert len(shards) == 8 and max(shards.values()) < 100
+
+
+def test_given_clusters(spark, docs):
+    df = docs(*[(k, f"w{k}", f"s{k}") for k in range(20)])
+    packed = packing.pack(df, capacity=20, cluster_col="n_chars").collect()
+    assert len({r.bin for r in packed}) == 20

@@ -61,7 +61,7 @@ def test_exact_dedup(spark, docs):
         keep[r.keep_id].add((r.doc_id, r.group_size, r.kept))
     assert keep[3] == {(5, 3, False), (3, 3, True), (9, 3, False)}
     assert keep[2] == {(4, 2, False), (2, 2, True)}
-    assert keep[1] == {(1, 2, True)} and keep[7] == {(None, 2, False), (7, 2, True)}
+    assert keep[1] == {(1, 2, True), (1, 2, False)} and sum(r.kept for r in found if r.keep_id == 1) == 1 and keep[7] == {(None, 2, False), (7, 2, True)}
     assert {r.text_sha256 for r in found if r.doc_id == 5} == {hashlib.sha256(b"ab").hexdigest()}
     assert exact_dedup(docs().limit(0), fresh_index(spark, 4)).count() == 0
 
@@ -113,3 +113,28 @@ def test_mix_weights_and_empty(docs):
     assert poisson_mix(docs(*rows), {"a": 1.0}).where("source = 'b'").count() == 0
     assert poisson_mix(docs().limit(0)).count() == 0
     assert mixing.poisson_mix(docs((1, None), (2, ""))).count() == 0
+
+
+def test_host_verdicts_act_on_the_given_hosts(docs):
+    good = " ".join(f"word{k}" for k in range(30))
+    odd = " ".join(f"#{k}#" for k in range(30))
+    rows = [(k, f"{odd if k % 100 < 20 + 60 * (k % 10 == 0) else good} {k}", f"h{k % 10}") for k in range(1000)]
+    found = quality_rules(docs(*rows), keep_rows=True).collect()
+    assert {r.input_row.source for r in found if r.host_suspect} == {"h0"}
+    assert all(r.kept == (not (r.rule_failed and r.host_suspect)) and r.input_row.doc_id == r.doc_id for r in found)
+    assert sum(not r.kept for r in found) == 80
+
+
+def test_compacted_index(spark, docs):
+    index = fresh_index(spark, 4)
+    for k in range(3):
+        exact_dedup(docs((k, f"text {k}"), (9, "same")), index).count()
+    other = index.compacted(new_path(spark, "index"))
+    assert sorted(r.keep_id for r in other.rows().collect()) == [0, 1, 2, 9]
+    index.close()
+    other.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in (index.table, other.table)]
+
+
+def test_mixing_long_texts(docs):
+    assert {r.mix_rate for r in poisson_mix(docs((1, "w " * 100_000), (2, "w")), {"s": 3.0}).collect()} <= {1.0}
