@@ -354,9 +354,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             )
 
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    # The vectors are a small table of few splits; scoring them is most of the work, so it is dealt out evenly.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return vectors.repartition(parts).mapInArrow(score, SCORED).select(
+    return vectors.mapInArrow(score, SCORED).select(
         "doc_id",
         F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         "score",
