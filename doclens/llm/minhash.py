@@ -24,11 +24,9 @@ SAFE_MATCHES = int(COMPONENTS * SIMILARITY - 4.5 * (COMPONENTS * SIMILARITY * (1
 CHUNK_WORDS = 500_000
 #: Rounds in which every bucket compares its members with one pivot.
 PIVOT_ROUNDS = 2
-#: Buckets of at most SMALL members, or more than LARGE, or of more than FAMILY_BYTES, list their pairs by a
-#: join; the others are compared in one task.
-SMALL, LARGE = 8, 4096
-#: Bytes of shingle sets that one task verifies together; larger families verify their pairs by joins.
-FAMILY_BYTES = 48 << 20
+#: Buckets of at most SMALL members list their pairs by a join; the others are compared in blocks of about
+#: BLOCK_ROWS members and BLOCK_BYTES of shingle sets, each block with each.
+SMALL, BLOCK_ROWS, BLOCK_BYTES = 8, 2048, 16 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -108,17 +106,16 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         start = end
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """A 64-bit id of a word sequence."""
-    digest = hashlib.blake2b(np.ascontiguousarray(hashes).tobytes(), digest_size=8).digest()
-    return int.from_bytes(digest, "little", signed=True)
+def digest_of(hashes: np.ndarray) -> bytes:
+    """A 128-bit digest of a word sequence, given as 64-bit hashes of its words."""
+    return hashlib.blake2b(np.ascontiguousarray(hashes).tobytes(), digest_size=16).digest()
 
 
-SIGNED = "doc_id bigint, node bigint, bands array<bigint>, sig binary"
+SIGNED = "row_no bigint, doc_id bigint, text_hash bigint, digest binary, bands array<bigint>, sig binary"
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, hashes) -> (doc_id, node, bands, sig); node is null and bands are empty without words."""
+    """(row_no, doc_id, text_hash, hashes) -> SIGNED; digest is null and bands are empty without words."""
     for batch in batches:
         for part, values, offsets in chunks(batch, "hashes"):
             n = len(part)
@@ -130,29 +127,28 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = keys * _BASE + found.reshape(n, BANDS, ROWS)[:, :, k]
             keys = mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN).view(np.int64)
             short = (mix(found + _GOLDEN) >> np.uint64(48)).astype(np.uint16)
-            nodes = [node_of(values[offsets[i] : offsets[i + 1]]) if has[i] else None for i in range(n)]
+            digests = [digest_of(values[offsets[i] : offsets[i + 1]]) if has[i] else None for i in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"),
-                    pa.array(nodes, pa.int64()),
+                    *[part.column(c) for c in ("row_no", "doc_id", "text_hash")],
+                    pa.array(digests, pa.binary()),
                     pa.array([keys[i] if has[i] else [] for i in range(n)], pa.list_(pa.int64())),
                     pa.array([short[i].tobytes() for i in range(n)], pa.binary()),
                 ],
-                ["doc_id", "node", "bands", "sig"],
+                ["row_no", "doc_id", "text_hash", "digest", "bands", "sig"],
             )
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, hashes) -> (node, items, counts) of the rows whose words make that node."""
+    """(node, digest, hashes) -> (node, items, counts) of the rows whose words have that digest."""
     for batch in batches:
         for part, values, offsets in chunks(batch, "hashes"):
             docs, items, counts = shingles(values, offsets)
             cuts = np.searchsorted(docs, np.arange(len(part) + 1))
-            wanted = part.column("node").to_pylist()
             rows = [
                 (node, items[cuts[i] : cuts[i + 1]].tobytes(), packed_weights(counts[cuts[i] : cuts[i + 1]]))
-                for i, node in enumerate(wanted)
-                if node == node_of(values[offsets[i] : offsets[i + 1]])
+                for i, (node, digest) in enumerate(zip(part.column("node").to_pylist(), part.column("digest").to_pylist(), strict=True))
+                if digest == digest_of(values[offsets[i] : offsets[i + 1]])
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
@@ -201,19 +197,6 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(PAIR_COLUMNS).filter(pa.array(keep))
 
 
-def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, ca, cb, items and counts of both), the pairs of probability Jaccard SIMILARITY or more."""
-    for batch in batches:
-        keep = []
-        columns = [batch.column(c).to_pylist() for c in ("items_a", "counts_a", "items_b", "counts_b")]
-        for ia, ca, ib, cb in zip(*columns, strict=True):
-            value = probability_jaccard(
-                np.frombuffer(ia, np.uint64), weights_of(ca, len(ia) // 8), np.frombuffer(ib, np.uint64), weights_of(cb, len(ib) // 8)
-            )
-            keep.append(value >= SIMILARITY)
-        yield batch.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
-
-
 def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (a, b, ...) with table's columns for both nodes, as column_a and column_b."""
     for side in "ab":
@@ -263,30 +246,32 @@ class Sets:
 
 
 def same_bucket(table: pa.Table) -> pa.Table:
-    """Similar pairs of one bucket's members, enough to join all its components that similar pairs join.
+    """Similar pairs between two blocks of one bucket (or within one), enough to join all components that they join.
 
     Signatures are compared first. A pair that meets in several buckets is looked at in the
-    first band in which it agrees.
+    one of the first band whose keys both have.
     """
     node, comp = table.column("node").to_pylist(), table.column("comp").to_numpy()
-    band = int(table.column("band")[0].as_py())
+    band, one, two = (int(table.column(c)[0].as_py()) for c in ("band", "one", "two"))
+    block = table.column("block").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+    keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     sets, out = Sets(table), []
-    for i in range(len(node) - 1):
-        near = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-        equal = sig[near] == sig[i]
-        enough = equal.sum(axis=1) >= SAFE_MATCHES
-        near, equal = near[enough], equal[enough]
-        first = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
-        for j in near[first].tolist():
+    second = np.flatnonzero(block == two)
+    for i in np.flatnonzero(block == one).tolist():
+        near = second[(second > i) | (one != two)]
+        near = near[comp[near] != comp[i]]
+        near = near[(sig[near] == sig[i]).sum(axis=1) >= SAFE_MATCHES]
+        near = near[(keys[near] == keys[i]).argmax(axis=1) == band]
+        for j in near.tolist():
             pair = (node[i], node[j], int(comp[i]), int(comp[j]))
             if sets.joins(*pair):
                 out.append(pair)
     return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(4)], PAIR_COLUMNS)
 
 
-def same_family(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """Of a family's pairs, similar ones enough to join all its components that similar pairs join."""
+def same_group(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Of a group's pairs, similar ones enough to join all components that its similar pairs join."""
     own = Sets(sets)
     keep = [own.joins(*pair) for pair in zip(*[pairs.column(c).to_pylist() for c in PAIR_COLUMNS], strict=True)]
     return pairs.select(PAIR_COLUMNS).filter(pa.array(keep, pa.bool_()))
@@ -295,44 +280,43 @@ def same_family(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 def verified(likely: DataFrame, sets: DataFrame) -> DataFrame:
     """Similar pairs among the likely ones (a, b, ca, cb), enough of them to join what they join.
 
-    Pairs that hang together form a family; a family's shingle sets meet in one task, each
-    once, as long as they are at most FAMILY_BYTES. Beyond that its pairs are joined with
-    their sets one by one.
+    Pairs with one b (a pivot, mostly) are verified together, dealt to groups by a so that a
+    group's shingle sets are about BLOCK_BYTES; each set reaches a group once.
     """
-    family = written(
-        components(likely.select("a", "b")).join(sets.select("node", F.octet_length("items").alias("bytes")), "node"), "families"
+    sizes = sets.select("node", F.octet_length("items").alias("bytes"))
+    of_a = likely.join(sizes.withColumnRenamed("node", "a"), "a")
+    groups = written(of_a.groupBy("b").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("groups")), "verify-groups")
+    dealt = written(
+        likely.join(groups, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.greatest("groups", F.lit(1)))).withColumn("star", F.col("b")),
+        "dealt-pairs",
     )
-    large = family.groupBy("comp").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > FAMILY_BYTES).select("comp")
-    large = written(large, "large-families")
-    of_a = likely.join(family.select(F.col("node").alias("a"), F.col("comp").alias("family")), "a")
-    of_set = sets.join(family.select("node", F.col("comp").alias("family")), "node")
-    few = large.isEmpty()
-
-    def small(df: DataFrame) -> DataFrame:
-        return df if few else df.join(large, df["family"] == large["comp"], "left_anti")
-
-    found = (
-        small(of_a).groupBy("family").cogroup(small(of_set).groupBy("family")).applyInArrow(same_family, PAIR)
+    needed = written(
+        dealt.select("star", "part", F.col("a").alias("node")).union(dealt.select("star", "part", F.col("b").alias("node"))).distinct(),
+        "needed-sets",
     )
-    if not few:
-        rest = of_a.join(large, of_a["family"] == large["comp"], "left_semi").select(*PAIR_COLUMNS)
-        found = found.unionByName(both_sides(rest, sets, ["items", "counts"]).mapInArrow(similar, PAIR))
+    own = sets.join(needed, "node")
+    found = dealt.select("star", "part", *PAIR_COLUMNS).groupBy("star", "part").cogroup(own.groupBy("star", "part")).applyInArrow(same_group, PAIR)
     return written(found, "links")
 
 
 def crossing(live: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different components of one bucket, over all of their pairs."""
-    sized = live.join(sets.select("node", F.octet_length("items").alias("bytes")), "node")
-    size = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    sized = live.join(size, "key")
-    one_task = (F.col("n") > SMALL) & (F.col("n") <= LARGE) & (F.col("bytes") <= FAMILY_BYTES)
-    listed = sized.where(~one_task)
+    sizes = sets.select("node", F.octet_length("items").alias("bytes"))
+    size = live.join(sizes, "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES))
+    sized = written(live.join(size.select("key", "n", blocks.alias("blocks")), "key"), "sized-members")
+    listed = sized.where(F.col("n") <= SMALL)
     other = listed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = listed.join(other, "key").where("comp <> cb and node < b").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), "cb")
     likely = both_sides(pairs.distinct(), sigs, ["sig"]).mapInArrow(agreeing, PAIR)
     by_join = verified(written(likely, "likely-pairs"), sets)
-    grouped = sized.where(one_task).select("key", "band", "node", "comp").join(sigs, "node").join(sets, "node")
-    return written(by_join.unionByName(grouped.groupBy("key").applyInArrow(same_bucket, PAIR)), "links")
+    # Every block of a bucket meets every other and itself: a member goes along once for each.
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
+    meets = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    large = sized.where(F.col("n") > SMALL).withColumn("block", block).withColumn("meets", meets)
+    large = large.select("key", "band", "node", "comp", "block", F.least("block", "meets").alias("one"), F.greatest("block", "meets").alias("two"))
+    grouped = large.join(sigs, "node").join(sets, "node").groupBy("key", "one", "two").applyInArrow(same_bucket, PAIR)
+    return written(by_join.unionByName(grouped), "links")
 
 
 def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -347,7 +331,7 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
     leave the task that compares a bucket.
     """
     steps = []
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")), "bucket-sizes")
     company = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("company"))
     live = written(members.join(company, "node").withColumn("comp", F.col("node")), "live-members")
     for step in range(PIVOT_ROUNDS + 1):
@@ -373,50 +357,67 @@ def linked_nodes(members: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFr
     return nodes
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size): classes of documents linked by near-duplicate pairs.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, class_id, class_size, stays): classes of documents linked by near-duplicate pairs.
 
     A pair is near-duplicate when the probability Jaccard of its counted five-word shingles is
     SIMILARITY or more; candidates share one of BANDS bands of ROWS ProbMinHash components
     (a pair at the limit is missed with probability 5e-5) and each is verified exactly. Equal
-    word sequences are one node, so copies are never expanded into pairs. class_id is the
-    smallest doc_id of the class. Null and empty texts are classes of their own; texts of
-    fewer than five words are one shingle; repeated rows return repeated rows; a null id is
-    never a class_id unless it is alone. Other columns are left out; empty input gives an
-    empty result.
+    word sequences (by a 128-bit digest) are one node, so copies are never expanded into
+    pairs. class_id is the smallest doc_id of the class; stays holds for one row of each class,
+    one with that id. Null and empty texts are classes of their own; texts of fewer than five
+    words are one shingle; repeated rows return repeated rows; a null id is never a class_id
+    unless all of its class are null. With row_col, a unique number of each row, the result
+    has it as row_no. Other columns are left out; empty input gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     hashes = F.transform(words_of("text"), lambda w: F.xxhash64(w)).alias("hashes")
-    signed = written(rows.select("doc_id", hashes).mapInArrow(sign, SIGNED), "signatures")
-    worded = signed.where(F.col("node").isNotNull())
-    bands = worded.select(F.posexplode("bands").alias("band", "key"), "node")
+    rows = docs.select(
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("bigint").alias("row_no"),
+        F.col(id_col).cast("bigint").alias("doc_id"),
+        F.col(text_col).alias("text"),
+    ).withColumn("text_hash", F.xxhash64("text"))
+    signed = written(rows.select("row_no", "doc_id", "text_hash", hashes).mapInArrow(sign, SIGNED), "signatures")
+    # The row that stands for a node: smallest id, nulls last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no", "text_hash")).alias("first")
+    nodes = written(
+        signed.where(F.col("digest").isNotNull())
+        .groupBy("digest")
+        .agg(first, F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "nodes",
+    )
+    bands = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = written(bands.join(shared, "key").select("key", "band", "node").distinct(), "members")
-
-    firsts = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    candidates = members.select("node").distinct()
-    sigs = written(
-        worded.join(candidates, "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig")), "candidate-sigs"
+    members = written(bands.join(written(shared, "shared-keys"), "key").select("key", "band", "node"), "members")
+    candidates = written(members.select("node").distinct(), "candidates")
+    sigs = written(nodes.join(candidates, "node", "left_semi").select("node", "bands", "sig"), "candidate-sigs")
+    texts = nodes.join(candidates, "node", "left_semi").select(
+        "node", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")
     )
-    texts = candidates.join(firsts, "node").select("node", "first_id")
+    # Rows are found again by the hash of their text and their id; a row of another digest is left out.
     sets = written(
-        rows.join(texts, rows["doc_id"].eqNullSafe(texts["first_id"]))
-        .select("node", hashes)
+        rows.join(written(texts, "candidate-texts"), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .select("node", "digest", hashes)
         .mapInArrow(gather, "node bigint, items binary, counts binary")
         .groupBy("node")
         .agg(F.first("items").alias("items"), F.first("counts").alias("counts")),
         "shingle-sets",
     )
     comps = linked_nodes(members, sigs, sets)
-    classed = firsts.join(comps, "node", "left").select(
-        "node", "first_id", "n", F.coalesce("comp", "node").alias("comp")
+    classed = nodes.select("digest", "node", "first", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = classed.groupBy("comp").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
+    verdicts = written(
+        classed.select("digest", "comp").join(sizes, "comp").select(
+            "digest", F.col("best.doc_id").alias("class_id"), F.col("best.row_no").alias("best_row"), "class_size"
+        ),
+        "classes",
     )
-    sizes = classed.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    verdicts = written(classed.join(sizes, "comp").select("node", "class_id", "class_size"), "classes")
-    return signed.select("doc_id", "node").join(verdicts, "node", "left").select(
+    return signed.select("row_no", "doc_id", "digest").join(verdicts, "digest", "left").select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.when(F.col("best_row").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"),
+        F.coalesce(F.col("row_no") == F.col("best_row"), F.lit(True)).alias("stays"),
+        *(["row_no"] if row_col else []),
     )
 
 

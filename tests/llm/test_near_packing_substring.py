@@ -62,7 +62,7 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - exact) < 0.03
 
 
-@pytest.mark.parametrize("limits", [{}, {"FAMILY_BYTES": 2000}, {"SMALL": 1, "PIVOT_ROUNDS": 0}, {"LARGE": 2, "SMALL": 1, "PIVOT_ROUNDS": 0}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_BYTES": 2000}, {"SMALL": 1, "PIVOT_ROUNDS": 0}, {"BLOCK_ROWS": 3, "SMALL": 1, "PIVOT_ROUNDS": 0}])
 def test_near_dedup(docs, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(minhash, name, value)
@@ -75,6 +75,7 @@ def test_near_dedup(docs, monkeypatch, limits):
     for r in found:
         groups[r.class_id].append(r.doc_id)
     assert sorted(sorted(g) for g in groups.values()) == classes(rows)
+    assert sorted(r.doc_id for r in found if r.stays) == sorted(groups)
     assert all(min(g) == c and all(r.class_size == len(g) for r in found if r.class_id == c) for c, g in groups.items())
 
 
@@ -84,6 +85,17 @@ def test_near_dedup_edges(docs):
     assert minhash.near_dedup(docs().limit(0)).count() == 0
 
 
+def test_near_dedup_without_ids(docs):
+    rng = random.Random(16)
+    texts = list(family(rng, 6, 60, 1)) * 2
+    rows = [(None, t) for t in texts] + [(k, f"other {k} words here and there") for k in range(5)] + [(None, "x y z"), (None, "p q"), (7, "p  q")]
+    found = minhash.near_dedup(docs(*rows)).collect()
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in found) == Counter(
+        [(None, None, 12)] * 12 + [(k, k, 1) for k in range(5)] + [(None, None, 1), (None, 7, 2), (7, 7, 2)]
+    )
+    assert sum(r.stays for r in found) == 8
+
+
 def naive_fit(items, capacity):
     bins, placed = [], []
     for size, source, cluster in items:
