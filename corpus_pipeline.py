@@ -3,49 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclens.llm.exact import DIGEST, exact_dedup, fresh_index
+from doclens.llm.exact import exact_dedup, fresh_index
 from doclens.llm.minhash import near_dedup
 from doclens.llm.mixing import poisson_mix
 from doclens.llm.packing import pack
-from doclens.llm.quality import quality_rules
-from doclens.llm.shared import BLANKS, documents, written
+from doclens.llm.quality import ROW, quality_rules
+from doclens.llm.shared import documents, without, written
 
+#: Number of each row within a stage: rows may repeat an id, and all else.
+NUMBER = "pipeline_row_no"
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids (doc_id); null matches null."""
-    kept = ids.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+def numbered(docs: DataFrame) -> DataFrame:
+    return written(without(docs, (NUMBER,)).withColumn(NUMBER, F.monotonically_increasing_id()), "numbered-rows")
+
+
+def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Numbered rows but for those whose number is in dropped (row_no).
+
+    The dropped numbers are a written table of known size: Spark broadcasts it as long as that
+    is below spark.sql.autoBroadcastJoinThreshold, and shuffles both sides by number beyond.
+    """
+    gone = written(dropped.select(F.col("row_no").alias(NUMBER)), "dropped-rows")
+    return rows.join(gone, NUMBER, "left_anti").drop(NUMBER)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and their host's verdict keep."""
-    return with_ids(docs, quality_rules(docs).where("kept"))
+    return quality_rules(docs, keep_rows=True).where("kept").select(f"{ROW}.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text, blanks aside; also of rows that repeat an id."""
-    kept = exact_dedup(docs, fresh_index(spark)).where("kept")
-    rows = with_ids(docs, kept)
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows
-    text = F.coalesce("text", F.lit(""))
-    own = rows.withColumn("own_digest", F.sha2(F.regexp_replace(text, BLANKS, ""), 256))
-    pairs = kept.select(F.col("doc_id").alias("kept_id"), F.col(DIGEST).alias("kept_text")).distinct()
-    first = W.partitionBy("doc_id", "own_digest").orderBy(F.length(text).desc(), "source")
-    return (
-        own.join(pairs, own["doc_id"].eqNullSafe(pairs["kept_id"]) & (own["own_digest"] == pairs["kept_text"]), "left_semi")
-        .withColumn("copy_no", F.row_number().over(first))
-        .where("copy_no = 1")
-        .select(*docs.columns)
-    )
+    """One row of each text, blanks aside."""
+    rows, index = numbered(docs), fresh_index(spark)
+    found = exact_dedup(rows, index, row_col=NUMBER)
+    index.close()
+    return without_rows(rows, found.where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
-    return with_ids(docs, near_dedup(docs).where("doc_id <=> class_id"))
+    """One document of each near-duplicate class: one with the smallest doc_id."""
+    rows = numbered(docs)
+    return without_rows(rows, near_dedup(rows, row_col=NUMBER).where("not stays"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
