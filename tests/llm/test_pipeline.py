@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from conftest import SCHEMA
+from conftest import CLASHING, SCHEMA
 from test_near_packing_substring import classes, family
 
 
@@ -32,7 +32,7 @@ def test_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
 
 
-def test_repeated_ids_and_empty_input(spark, docs):
+def test_repeated_ids_and_empty_input(spark, docs, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     df = docs((1, "a"), (1, "a"), (1, "b"), (2, "b "), (None, "c"), (None, "c"))
     out = stages["exact dedup"](spark, df, "")
@@ -40,3 +40,27 @@ def test_repeated_ids_and_empty_input(spark, docs):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_verdicts_stay_with_their_rows(spark, docs):
+    """Rows of one id, or of none, each get their own verdict in every stage."""
+    rng = random.Random(17)
+    good = list(family(rng, 4, 60, 1)) + [" ".join(f"w{k}_{i}" for i in range(40)) for k in range(4)]
+    rows = [(1, t) for t in good] + [(1, "short"), (1, good[5])] + [(None, t) for t in good[4:6]] + [(None, "short"), (2, good[6] + " ")]
+    stages = dict(corpus_pipeline.STAGES)
+    df = docs(*rows, extra=["kept", "row_no", "input_row", "pipeline_row_no"])
+    quality = stages["quality rules"](spark, df, "")
+    assert sorted(r.text for r in quality.collect()) == sorted(t for _, t in rows if t != "short") and quality.columns == df.columns
+    exact = stages["exact dedup"](spark, df, "")
+    assert sorted(r.text for r in exact.collect()) == sorted([*good[:6], good[6] + " ", good[7], "short"])
+    near = stages["near dedup"](spark, df, "")
+    texts = [r.text for r in near.collect()]
+    assert len(texts) == 6 and len(set(texts) & set(good[:4])) == 1 and {good[4], good[5], good[7], "short"} < set(texts)
+
+
+def test_run_with_extra_columns(spark, docs, tmp_path):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs(*[(k, f"{text} {k}", "s") for k in range(20)], extra=CLASHING).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "piece", "first_word", "n_words", "shard", "bin", "bin_offset"]
