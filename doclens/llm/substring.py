@@ -3,7 +3,9 @@
 Edges of the graph are windows of EDGE consecutive words. The graph is cut by minimizers: the
 smallest-hashed seed of SEED words inside a window names its part, and the neighbouring
 windows of a document with one seed form a path, which is handled as a whole. Equal windows
-have equal seeds, so each part of the graph is complete in one task.
+have equal seeds, so each part of the graph is complete in one task. Runs of repeated windows
+that go on in each other are compacted to spans, and a span counts only if the words at its
+source are the same.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ EDGE, SEED = 13, 6
 WIDTH = EDGE - SEED + 1
 #: Bytes of a window's fingerprint. Windows are only compared when their 64-bit seeds agree.
 MARK = 6
+#: Characters of text for each part of the graph; a part's task reads about twice as many bytes.
+PART_CHARS = 32 << 20
+#: Contents of paths that a task remembers as repeated at most; beyond that it forgets them all.
+MEMO_PATHS = 200_000
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -90,25 +96,29 @@ def _unpacked(blob: bytes, *types: type) -> list[np.ndarray]:
 
 
 PARTS = "part int, seeds binary, places binary, marks binary, sure binary"
-PLACE = (np.int64, np.uint32, np.uint8)
-SURE = (np.int64, np.uint32, np.uint8, np.int64, np.uint32)
+#: Columns of packed paths: document, version of its text, first window, windows.
+PLACE = (np.int64, np.int64, np.uint32, np.uint8)
+#: Columns of packed runs: a path and the document, version and first window of its source.
+SURE = (*PLACE, np.int64, np.int64, np.uint32)
 
 
 def cut(parts: int):
-    """Task function: (doc_id, hashes) -> the paths of a stretch of documents, dealt to parts by seed.
+    """Task function: (doc_id, version, hashes) -> the paths of a stretch of documents, dealt to parts by seed.
 
     Of equal paths in the stretch only those of the smallest doc_id stand for all; the others
-    are repeats for sure and travel as coordinates alone. So a passage that a third of all
-    documents hold reaches its part once for each stretch.
+    are repeats for sure and travel as coordinates alone, to any part. Contents that repeat in
+    a stretch are remembered for the next ones. So a passage that a third of all documents
+    hold reaches its part about once for each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             for part, values, offsets in chunks(batch.filter(pa.compute.is_valid(batch.column("doc_id"))), "hashes"):
                 doc, first, count, seed, windows = paths(values.astype(np.uint64), offsets)
                 if not len(doc):
                     continue
-                ids = part.column("doc_id").to_numpy()[doc]
+                ids, versions = part.column("doc_id").to_numpy()[doc], part.column("version").to_numpy()[doc]
                 ends = np.cumsum(count)
                 # A path's content: its windows in order.
                 step = np.arange(len(windows)) - np.repeat(ends - count, count)
@@ -116,38 +126,52 @@ def cut(parts: int):
                 order = np.lexsort((first, ids, content))
                 new = np.ones(len(order), bool)
                 new[1:] = content[order][1:] != content[order][:-1]
-                leader = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-                stands = np.zeros(len(order), bool)
-                stands[order] = ids[order] == ids[leader]
-                source = np.zeros(len(order), np.int64)
-                source[order] = leader
+                group = np.cumsum(new) - 1
+                leader = order[np.flatnonzero(new)]
+                source = np.stack([ids[leader], versions[leader], first[leader]])
+                several = np.bincount(group) > 1
+                for g, c in enumerate(content[leader].tolist()):
+                    known = memo.get(c)
+                    if known is not None and known[0] < source[0, g]:
+                        source[:, g] = known
+                    elif several[g] or known is not None:
+                        memo[c] = tuple(source[:, g].tolist())
+                if len(memo) > MEMO_PATHS:
+                    memo.clear()
+                origin = np.zeros((3, len(order)), np.int64)
+                origin[:, order] = source[:, group]
+                stands = ids == origin[0]
+                sure = np.flatnonzero(~stands)
                 home = (seed % np.uint64(parts)).astype(np.int64)
-                by_home = np.argsort(home, kind="stable")
-                edges = np.searchsorted(home[by_home], np.arange(parts + 1))
+                kept = np.flatnonzero(stands)
+                kept = kept[np.argsort(home[kept], kind="stable")]
+                edges = np.searchsorted(home[kept], np.arange(parts + 1))
                 raw = windows.view(np.uint8).reshape(-1, 8)[:, :MARK]
                 rows = []
                 for p in np.flatnonzero(np.diff(edges)):
-                    own = by_home[edges[p] : edges[p + 1]]
-                    kept, sure = own[stands[own]], own[~stands[own]]
-                    # The windows of the paths in kept, in order.
-                    n = count[kept]
-                    which = np.repeat(ends[kept] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    rows.append((
-                        int(p), seed[kept].tobytes(), _packed(ids[kept], first[kept].astype(np.uint32), n.astype(np.uint8)), raw[which].tobytes(),
-                        _packed(ids[sure], first[sure].astype(np.uint32), count[sure].astype(np.uint8), ids[source[sure]], first[source[sure]].astype(np.uint32)) if len(sure) else None,
-                    ))
+                    own = kept[edges[p] : edges[p + 1]]
+                    # The windows of the paths in own, in order.
+                    n = count[own]
+                    which = np.repeat(ends[own] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    places = _packed(ids[own], versions[own], first[own].astype(np.uint32), n.astype(np.uint8))
+                    rows.append((int(p), seed[own].tobytes(), places, raw[which].tobytes(), None))
+                if len(sure):
+                    coordinates = _packed(
+                        ids[sure], versions[sure], first[sure].astype(np.uint32), count[sure].astype(np.uint8), *origin[:2, sure], origin[2, sure].astype(np.uint32)
+                    )
+                    rows.append((int(content[sure[0]] % np.uint64(parts)), None, None, None, coordinates))
                 types = [pa.int32(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["part", "seeds", "places", "marks", "sure"])
 
     return run
 
 
-RUNS = "doc_id bigint, first bigint, n bigint, source_id bigint, source_first bigint"
+RUN = ("doc_id", "version", "first", "n", "source_id", "source_version", "source_first")
+RUNS = ", ".join(f"{c} bigint" for c in RUN)
 
 
-def _runs(doc, first, n, source, source_first) -> pa.Table:
-    columns = [pa.array(np.asarray(c).astype(np.int64)) for c in (doc, first, n, source, source_first)]
-    return pa.Table.from_arrays(columns, ["doc_id", "first", "n", "source_id", "source_first"])
+def _runs(*columns) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(np.asarray(c).astype(np.int64)) for c in columns], list(RUN))
 
 
 def repeats(table: pa.Table) -> pa.Table:
@@ -158,96 +182,146 @@ def repeats(table: pa.Table) -> pa.Table:
     """
     sure = [_unpacked(b, *SURE) for b in table.column("sure").to_pylist() if b]
     out = [_runs(*[np.concatenate(c) for c in zip(*sure, strict=True)])] if sure else []
-    seeds = np.frombuffer(b"".join(table.column("seeds").to_pylist()), np.uint64)
-    ids, first, count = (np.concatenate(c) for c in zip(*[_unpacked(b, *PLACE) for b in table.column("places").to_pylist()], strict=True))
-    marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, MARK)
-    count, first = count.astype(np.int64), first.astype(np.int64)
-    ends = np.cumsum(count)
-    # Paths whose seed is that of other paths too.
-    order = np.argsort(seeds, kind="stable")
-    same = seeds[order][1:] == seeds[order][:-1]
-    shared = np.zeros(len(seeds), bool)
-    shared[order[1:]] |= same
-    shared[order[:-1]] |= same
-    kept = np.flatnonzero(shared)
-    if len(kept):
+    packed = [_unpacked(b, *PLACE) for b in table.column("places").to_pylist() if b]
+    if packed:
+        seeds = np.frombuffer(b"".join(b for b in table.column("seeds").to_pylist() if b), np.uint64)
+        ids, versions, first, count = (np.concatenate(c) for c in zip(*packed, strict=True))
+        marks = np.frombuffer(b"".join(b for b in table.column("marks").to_pylist() if b), np.uint8).reshape(-1, MARK)
+        count, first = count.astype(np.int64), first.astype(np.int64)
+        ends = np.cumsum(count)
+        # Paths whose seed is that of other paths too.
+        order = np.argsort(seeds, kind="stable")
+        same = seeds[order][1:] == seeds[order][:-1]
+        shared = np.zeros(len(seeds), bool)
+        shared[order[1:]] |= same
+        shared[order[:-1]] |= same
+        kept = np.flatnonzero(shared)
         n = count[kept]
         local = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         which = np.repeat(ends[kept] - n, n) + local
         wide = np.zeros((len(which), 8), np.uint8)
         wide[:, :MARK] = marks[which]
-        key = mix(wide.view(np.uint64).ravel() * _BASE + np.repeat(seeds[kept], n))
-        doc, place, path = np.repeat(ids[kept], n), np.repeat(first[kept], n) + local, np.repeat(kept, n)
-        by = np.lexsort((place, doc, key))
+        mark, seed = wide.view(np.uint64).ravel(), np.repeat(seeds[kept], n)
+        doc, version, place, path = np.repeat(ids[kept], n), np.repeat(versions[kept], n), np.repeat(first[kept], n) + local, np.repeat(kept, n)
+        by = np.lexsort((place, version, doc, mark, seed))
         new = np.ones(len(by), bool)
-        new[1:] = key[by][1:] != key[by][:-1]
+        new[1:] = (mark[by][1:] != mark[by][:-1]) | (seed[by][1:] != seed[by][:-1])
         origin = np.zeros(len(by), np.int64)
         origin[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
         gone = np.flatnonzero(doc > doc[origin])
         if len(gone):
-            source, source_place = doc[origin[gone]], place[origin[gone]]
+            at = origin[gone]
+            source, source_version, source_place = doc[at], version[at], place[at]
             starts = np.ones(len(gone), bool)
             starts[1:] = (
                 (path[gone][1:] != path[gone][:-1])
                 | (place[gone][1:] != place[gone][:-1] + 1)
                 | (source[1:] != source[:-1])
+                | (source_version[1:] != source_version[:-1])
                 | (source_place[1:] != source_place[:-1] + 1)
             )
             head = np.flatnonzero(starts)
             sizes = np.diff(np.append(head, len(gone)))
-            out.append(_runs(doc[gone][head], place[gone][head], sizes, source[head], source_place[head]))
-    return pa.concat_tables(out) if out else _runs(*[[]] * 5)
+            out.append(_runs(doc[gone][head], version[gone][head], place[gone][head], sizes, source[head], source_version[head], source_place[head]))
+    return pa.concat_tables(out) if out else _runs(*[[]] * len(RUN))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n, source_id, source_first): runs of windows that start in a smaller doc_id too."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.transform(words_of(text_col), lambda w: F.xxhash64(w)).alias("hashes")
-    )
+def versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, text): rows that share an id differ in version where their texts differ."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
+
+
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """(doc_id, version, first, n, source_id, source_version, source_first): runs of windows that start in a smaller doc_id too."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    hashed = rows.select("doc_id", "version", F.transform(words_of("text"), lambda w: F.xxhash64(w)).alias("hashes"))
     dealt = hashed.mapInArrow(cut(parts), PARTS)
-    return dealt.groupBy("part").applyInArrow(repeats, RUNS)
+    # As many partitions as parts: a partition's size does not grow with the input.
+    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(repeats, RUNS)
 
 
-def repeated_spans(runs: DataFrame) -> DataFrame:
-    """Runs glued where one goes on in the next, in the document and in its source: nonbranching paths.
+def compacted(runs: DataFrame) -> DataFrame:
+    """Runs joined where one goes on in the next, in the document and in its source: nonbranching paths.
 
-    (doc_id, first_word, n_words, source_id, source_first_word), in words.
+    (doc_id, version, first_word, n_words, source_id, source_version, source_first_word), in words.
     """
-    own = W.partitionBy("doc_id").orderBy("first", "source_id", "source_first")
+    own = W.partitionBy("doc_id", "version").orderBy("first", "source_id", "source_version", "source_first")
     follows = (
         (F.col("first") == F.lag(F.col("first") + F.col("n")).over(own))
         & (F.col("source_id") == F.lag("source_id").over(own))
+        & (F.col("source_version") == F.lag("source_version").over(own))
         & (F.col("source_first") == F.lag(F.col("source_first") + F.col("n")).over(own))
     )
-    numbered = runs.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn(
+    numbered = runs.distinct().withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn(
         "span", F.sum("new").over(own)
     )
-    return numbered.groupBy("doc_id", "span").agg(
+    return numbered.groupBy("doc_id", "version", "span").agg(
         F.min("first").alias("first_word"),
         (F.sum("n") + EDGE - 1).alias("n_words"),
         F.first("source_id").alias("source_id"),
+        F.first("source_version").alias("source_version"),
         F.min("source_first").alias("source_first_word"),
     ).drop("span")
 
 
+def words_digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+DIGESTS = "source_id bigint, source_version bigint, source_first_word bigint, n_words bigint, digest binary"
+
+
+def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "version", "wanted")]
+        for doc_id, version, wanted, text in zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            words = WORD.findall(text or b"")
+            out += [(doc_id, version, w["first"], w["n"], words_digest(words[w["first"] : w["first"] + w["n"]])) for w in wanted]
+        types = [pa.int64()] * 4 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["source_id", "source_version", "source_first_word", "n_words", "digest"]
+        )
+
+
+def with_source_digests(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """spans with the digest of the words at their sources.
+
+    Sources are asked once for each stretch, however many documents repeat it. The texts that
+    are sources at all are picked first, by a written table of their ids.
+    """
+    asked = written(
+        spans.select("source_id", "source_version", F.col("source_first_word").alias("first"), F.col("n_words").alias("n"))
+        .distinct()
+        .groupBy("source_id", "source_version")
+        .agg(F.collect_list(F.struct("first", "n")).alias("wanted")),
+        "asked-sources",
+    )
+    ids = written(asked.select(F.col("source_id").alias("doc_id")).distinct(), "source-ids")
+    asked = asked.select(F.col("source_id").alias("doc_id"), F.col("source_version").alias("version"), "wanted")
+    digests = rows.join(ids, "doc_id", "left_semi").join(asked, ["doc_id", "version"]).mapInArrow(_source_digests, DIGESTS)
+    digests = written(digests.distinct(), "source-digests")
+    return spans.join(digests, ["source_id", "source_version", "source_first_word", "n_words"])
+
+
 CLEANED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        runs_of = batch.column("runs").to_pylist()
-        for text, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), runs_of, strict=True):
+        spans_of = batch.column("spans").to_pylist()
+        for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), spans_of, strict=True):
             words = WORD.findall(text or b"")
             n = len(words)
-            if runs:
-                # Every window covers its EDGE words.
+            if spans:
                 change = np.zeros(n + 1, np.int64)
-                first = np.array([r["first"] for r in runs])
-                end = first + np.array([r["n"] for r in runs]) + EDGE - 1
-                np.add.at(change, np.minimum(first, n), 1)
-                np.add.at(change, np.minimum(end, n), -1)
+                for x in spans:
+                    first, end = x["first_word"], x["first_word"] + x["n_words"]
+                    if words_digest(words[first:end]) == x["digest"]:
+                        change[first] += 1
+                        change[end] -= 1
                 keep = np.cumsum(change[:n]) == 0
                 words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
             out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
@@ -257,19 +331,30 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Compacted repeats of docs with the digest of the words at their sources (see compacted)."""
+    rows = versioned(docs, id_col, text_col)
+    spans = written(compacted(written(repeated_runs(rows), "repeated-runs")), "repeated-spans")
+    return with_source_digests(spans, rows)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256): every row without the words of repeated windows.
+    """(doc_id, n_words, n_removed, kept_sha256): every row without the words of repeated spans.
 
     A word goes when a window of EDGE words over it also starts in a document with a smaller
-    id; windows are those of the input. Null and empty texts, and texts shorter than a window,
-    lose nothing. Rows that repeat an id count as that one document: none is smaller than the
-    other, and all lose the words found for the id. Rows with a null id are compared with
-    nothing. Other columns are left out; empty input gives an empty result.
+    id; windows are those of the input. Spans of such windows go only where the row's words
+    have the digest of the words at the source, so what merely hashes alike stays. Null and
+    empty texts, and texts shorter than a window, lose nothing. Of rows that repeat an id none
+    is smaller than the other, and each loses its own spans. Rows with a null id are compared
+    with nothing. Other columns are left out; empty input gives an empty result.
     """
-    found = written(repeated_runs(docs, id_col, text_col), "repeated-runs")
-    by_doc = found.groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(by_doc, rows["doc_id"] == by_doc["run_id"], "left").select("doc_id", "text", "runs").mapInArrow(_clean, CLEANED)
+    found = repeated_spans(docs, id_col, text_col)
+    by_doc = found.groupBy(F.col("doc_id").alias("span_id"), F.col("version").alias("span_version")).agg(
+        F.collect_list(F.struct("first_word", "n_words", "digest")).alias("spans")
+    )
+    rows = versioned(docs, id_col, text_col)
+    own = (rows["doc_id"] == by_doc["span_id"]) & (rows["version"] == by_doc["span_version"])
+    return rows.join(by_doc, own, "left").select("doc_id", "text", "spans").mapInArrow(_clean, CLEANED)
 
 
 def op4_debruijn_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

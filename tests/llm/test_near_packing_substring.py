@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import CLASHING
+from pyspark.sql import functions as F
 
 from doclens.llm import minhash, packing, substring
 
@@ -159,9 +160,11 @@ def without_repeats(rows):
         yield k, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("chunk", [500_000, 60])
-def test_repeated_passages(docs, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, memo, part", [(500_000, 10, 1 << 25), (60, 200_000, 1 << 25), (60, 3, 500)])
+def test_repeated_passages(docs, monkeypatch, chunk, memo, part):
     monkeypatch.setattr("doclens.llm.minhash.CHUNK_WORDS", chunk)
+    monkeypatch.setattr(substring, "MEMO_PATHS", memo)
+    monkeypatch.setattr(substring, "PART_CHARS", part)
     rng = random.Random(6)
     passages = [[f"p{j}_{i}" for i in range(rng.randint(10, 40))] for j in range(5)]
     rows = []
@@ -183,8 +186,22 @@ def test_repeated_passages(docs, monkeypatch, chunk):
 def test_spans_have_sources(docs):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(["a"] * 3 + words)), (2, " ".join(["b"] * 5 + words + ["c"])), (2, "other")]
-    spans = substring.repeated_spans(substring.repeated_runs(docs(*rows))).collect()
-    assert [tuple(s) for s in spans] == [(2, 5, 60, 1, 3)]
+    spans = substring.repeated_spans(docs(*rows)).collect()
+    assert [(s.doc_id, s.first_word, s.n_words, s.source_id, s.source_first_word) for s in spans] == [(2, 5, 60, 1, 3)]
+    assert spans[0].digest == substring.words_digest([w.encode() for w in words])
+
+
+def test_spans_decide_what_is_removed(docs, monkeypatch):
+    """What is not verified at the source stays: each row of an id is judged by its own words."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:30])), (2, " ".join(words[5:])), (2, "x " + " ".join(words[3:20])), (2, "other " * 50)]
+    found = sorted((r.n_words, r.n_removed) for r in substring.remove_repeats(docs(*rows)).collect())
+    assert found == [(18, 17), (30, 30), (35, 35), (40, 0), (50, 0)]
+    monkeypatch.setattr(substring, "compacted", lambda runs: compact(runs).withColumn("source_first_word", F.col("source_first_word") + 1))
+    assert {r.n_removed for r in substring.remove_repeats(docs(*rows[:2])).collect()} == {0}
+
+
+compact = substring.compacted
 
 
 def test_bins_do_not_depend_on_the_order_of_rows(docs):
