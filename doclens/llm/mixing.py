@@ -100,9 +100,11 @@ def poisson_mix(
     )
     keyed = copies.withColumn("mix_key", unit_hash(F.lit(seed + "-order"), id_col, "mix_copy"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The key is uniform, so equal stretches of it are equal parts, and no sample of it is needed.
+    stretch = F.least(F.floor(F.col("mix_key") * parts), F.lit(parts - 1)).cast("int")
     return (
         keyed.select(*docs.columns, "mix_rate", "mix_copies", "mix_copy", "mix_key")
-        .repartitionByRange(parts, "mix_key")
+        .repartitionById(parts, stretch)
         .sortWithinPartitions("mix_key")
     )
 

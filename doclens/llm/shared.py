@@ -19,11 +19,13 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is set once and
-    removed when the driver ends.
+    Where the setting is absent in a local session (tests, a laptop) a temporary folder is set
+    once and removed when the driver ends; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-doclens-")
         atexit.register(shutil.rmtree, folder, True)
         folder = f"file://{folder}"
@@ -36,7 +38,11 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: computed once, and safe from lost executors."""
+    """The rows of df from a table in the shared folder: computed once, and safe from lost executors.
+
+    The table stays, as results are read from such tables when an action runs; the folder
+    doclens/ below spark.checkpoint.dir may be removed when no job runs.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
