@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,10 +110,11 @@ def carve_hex_ole(df: DataFrame) -> DataFrame:
 
 
 def carve_embedded_ole(parts: DataFrame) -> DataFrame:
-    """From an OLE magic inside a part (not at its start) to the part's end."""
-    at = F.locate(bytes.fromhex(OLE_MAGIC).decode("latin-1"), F.col("t"), 2)
-    inner = parts.withColumn("at", at).where("at > 0")
-    return inner.select("artifact_id", (F.col("at") - 1).cast("bigint").alias("offset"), F.expr("substring(t, at)").alias("t"))
+    """From every OLE magic inside a part (not at its start) to the part's end."""
+    t = F.col("t")
+    places = offsets_of(all_matches(t, "\\x" + "\\x".join(re.findall("..", OLE_MAGIC))), t, 8)
+    inner = parts.select("artifact_id", "t", F.explode(F.filter(places, lambda p: p > 0)).alias("offset"))
+    return inner.select("artifact_id", "offset", F.expr("substring(t, cast(offset AS INT) + 1)").alias("t"))
 
 
 def carve_pdf_objects(df: DataFrame) -> DataFrame:

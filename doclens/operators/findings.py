@@ -27,14 +27,20 @@ def first_per_key(findings: DataFrame) -> DataFrame:
 
 
 def drop_known(findings: DataFrame) -> DataFrame:
-    """Findings whose description no earlier finding of the artifact holds, in either column."""
-    d, e = findings.alias("d"), findings.alias("e")
+    """Findings whose description no earlier finding of the artifact holds, in either column.
+
+    Equal descriptions and equal containers are combined before they meet: what is compared
+    are the different texts of an artifact, each at its first place.
+    """
+    texts = findings.select("artifact_id", "seq", F.explode(F.array("description", "indication")).alias("text"))
+    held = texts.groupBy("artifact_id", "text").agg(F.min("seq").alias("seq"))
+    d, e = first_per_key(findings).alias("d"), held.alias("e")
     earlier = (
         (F.col("d.artifact_id") == F.col("e.artifact_id"))
         & (F.col("e.seq") < F.col("d.seq"))
-        & (F.contains(F.col("e.description"), F.col("d.description")) | F.contains(F.col("e.indication"), F.col("d.description")))
+        & F.contains(F.col("e.text"), F.col("d.description"))
     )
-    return d.join(e, earlier, "left_anti")
+    return d.join(e, earlier, "left_anti").select(*findings.columns)
 
 
 def dedup_findings(findings: DataFrame, mode: str = "exact") -> DataFrame:

@@ -142,6 +142,24 @@ def encrypted_containers(parts: DataFrame) -> DataFrame:
     return parts.where(marked).select("artifact_id", F.lit("E11").alias("rule_id"), F.lit("info").alias("severity"), F.col("part_path").alias("description"))
 
 
+def embedded_ole_findings(embedded: DataFrame) -> DataFrame:
+    """E5: OLE files inside parts (artifact_id, offset)."""
+    place = F.concat(F.lit("at byte "), F.col("offset").cast("string"))
+    return embedded.select("artifact_id", _finding("E5", "info", "embedded OLE file", place).alias("f")).select("artifact_id", "f.*")
+
+
+def hex_ole_findings(blobs: DataFrame) -> DataFrame:
+    """OLE files in the hex of RTF."""
+    return blobs.select("artifact_id", _finding("E6", "medium", "OLE file in hex", F.left("hex", F.lit(100))).alias("f")).select("artifact_id", "f.*")
+
+
+def base64_findings(strings: DataFrame) -> DataFrame:
+    """An artifact's possible base64, its first 20 runs."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("pos", "value"))), 1, 20)
+    listed = strings.where(F.col("pos") < 20).groupBy("artifact_id").agg(F.array_join(F.transform(first, lambda x: x["value"]), ", ").alias("d"))
+    return listed.select("artifact_id", _finding("E12", "low", "possible base64", F.col("d")).alias("f")).select("artifact_id", "f.*")
+
+
 PE_IN_HEX = r"4d5a[a-z0-9]{100,500}546869732070726f6772616d"
 
 

@@ -21,12 +21,16 @@ def _bytes(*values: int) -> str:
 
 
 def _text(sql: str, engine: str) -> str:
-    """Fills in BODY(n): the first n letters and spaces of a document."""
+    """Fills in BODY: the letters and spaces of a whole document."""
     flags = "" if engine == "spark" else ", 'g'"
-    return re.sub(r"BODY\((\d+)\)", rf"substr(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ''{flags}), 1, \1)", sql)
+    return re.sub(r"\bBODY\b", f"regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ''{flags})", sql)
 
 
-_HEADER = f"{OLE}||repeat({NUL}, 16)||{_bytes(62, 0, 3, 0, 254, 255, 9, 0)}||repeat({NUL}, 480)"
+# Every fifth header is of version 4 with sectors of 4096 bytes.
+_HEADER = (
+    f"{OLE}||repeat({NUL}, 16)||{_bytes(62, 0)}||CASE WHEN doc_id % 5 = 1 THEN chr(4) ELSE chr(3) END||{_bytes(0, 254, 255)}"
+    f"||CASE WHEN doc_id % 5 = 1 THEN chr(12) ELSE chr(9) END||{_bytes(0)}||repeat({NUL}, 480)"
+)
 _BOF = "chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr({kind})||chr(0)||chr(1)||chr(2)||chr(3)||chr(4)"
 
 
@@ -34,36 +38,45 @@ def _bof(kind: int) -> str:
     return _BOF.format(kind=kind)
 
 
-def _sheet(offset: int, visibility: int, xlm: int) -> str:
-    return f"{_bytes(133, 0, 14, 0, offset, 0, 0, 0, visibility, xlm)}||'S'||lpad(cast(doc_id AS VARCHAR(20)), 6, '0')"
+def _sheet(offset: int, visibility: str, xlm: str, name: str = "'S'||lpad(cast(doc_id AS VARCHAR(20)), 6, '0')") -> str:
+    return f"{_bytes(133, 0, 14, 0, offset, 0, 0, 0)}||{visibility}||{xlm}||{name}"
+
+
+def _unless_plain(value: int) -> str:
+    """A byte that is 0 in every fifth workbook: one without hidden sheets and macros."""
+    return f"CASE WHEN doc_id % 5 = 0 THEN chr(0) ELSE chr({value}) END"
 
 
+# A name that no sheet may have, in every seventh workbook.
+_ODD_NAME = "CASE WHEN doc_id % 7 = 3 THEN 'S?'||lpad(cast(doc_id AS VARCHAR(20)), 5, '0') ELSE 'S'||lpad(cast(doc_id AS VARCHAR(20)), 6, '0') END"
 _EOF = _bytes(10, 0, 0, 0)
 XLS = (
-    f"SELECT doc_id AS artifact_id, {_HEADER}||'Microsoft Excel'||{_bof(5)}||{_sheet(67, 0, 0)}||{_sheet(83, 2, 1)}||{_sheet(99, 1, 0)}"
-    f"||{_EOF}||{_bof(16)}||{_EOF}||{_bof(64)}||{_EOF}||{_bof(16)}||{_EOF} AS t FROM documents"
+    f"SELECT doc_id AS artifact_id, {_HEADER}||'Microsoft Excel'||{_bof(5)}||{_sheet(67, 'chr(0)', 'chr(0)')}"
+    f"||{_sheet(83, _unless_plain(2), _unless_plain(1), _ODD_NAME)}||{_sheet(99, _unless_plain(1), 'chr(0)')}"
+    f"||{_EOF}||{_bof(16)}||{_EOF}||CASE WHEN doc_id % 5 = 0 THEN {_bof(16)} ELSE {_bof(64)} END||{_EOF}||{_bof(16)}||{_EOF} AS t FROM documents"
 )
 
 _PDF = (
-    "'%PDF-1.4'||chr(10)||'1 0 obj <</Type /Catalog /OpenAction 3 0 R /AA /JS 3 0 R /O 77 0 R>> endobj'||chr(10)"
-    "||'3 0 obj <</Launch /URI (http://u'||cast(doc_id % 50 AS VARCHAR(20))||'.test) /URI(https://b.test)>> stream '||BODY(30)||' endstream endobj'||chr(10)"
+    "'%PDF-1.4'||chr(10)||'1 0 obj <</Type /Catalog /'||CASE WHEN doc_id % 7 = 0 THEN 'OpenAct' ELSE 'OpenAction' END||' 3 0 R /'||CASE WHEN doc_id % 3 = 0 THEN 'AX' ELSE 'AA' END"
+    "||' /'||CASE WHEN doc_id % 5 = 0 THEN 'JX' ELSE 'JS' END||' 3 0 R /O 77 0 R>> endobj'||chr(10)"
+    "||'3 0 obj <</'||CASE WHEN doc_id % 4 = 0 THEN 'Lunch' ELSE 'Launch' END||' /URI (http://u'||cast(doc_id % 50 AS VARCHAR(20))||'.test) /URI(https://b.test)>> stream '||BODY||' endstream endobj'||chr(10)"
     "||'12 0 obj <</GoToR /SubmitForm /AAx>> endobj'||chr(10)"
-    "||'123 0 obj <</Type /EmbeddedFile>> this.exportDataObject('||BODY(8)||') endobj'||chr(10)"
+    "||'123 0 obj <</Type /EmbeddedFile>> this.exportDataObject('||BODY||') endobj'||chr(10)"
     "||'5 0 obj <</Type /Filespec /F (downl.SettingContent-ms)>> /Type /ObjStm endobj'||chr(10)"
     "||'6 0 obj <</Type/Filespec /F (plain.txt) /F(' || " + f"{BS}||{BS}||'10.1.2.3'||{BS}||'share)>> endobj'||chr(10)"
-    "||'7 0 obj <</Filter /ASCIIHexDecode>> stream '||lower(hex(" + f"{BS}||'rtf1 '||BODY(20)" + "))||' endstream endobj'"
+    "||'7 0 obj <</Filter /ASCIIHexDecode>> stream '||lower(hex(" + f"{BS}||'rtf1 '||BODY" + "))||' endstream endobj'"
 )
 PDF = f"SELECT doc_id AS artifact_id, {_PDF} AS t FROM documents"
 
 _MIXED = [
-    "BODY(200)||' http://h'||cast(doc_id % 50 AS VARCHAR(20))||'.test/p.exe powershell'",
-    f"'{{'||{BS}||'rtf1 }}'||'d0cf11e0a1b11ae1'||lower(hex(BODY(200)))||'}}'",
+    "BODY||' http://h'||cast(doc_id % 50 AS VARCHAR(20))||'.test/p.exe powershell'",
+    f"'{{'||{BS}||'rtf1 }}'||'d0cf11e0a1b11ae1'||lower(hex(BODY))||'}}'",
     _PDF,
     f"{_HEADER}||'Microsoft Excel'||{_bof(5)}",
     """'<Relationships><Relationship Type="attachedTemplate" Target="http://t'||cast(doc_id % 50 AS VARCHAR(20))||'.test" TargetMode="External"/></Relationships>'""",
-    "'<sst><si><t>'||BODY(60)||'</t></si><si><t>two</t></si></sst>'",
-    """'Attribute VB_Name = "M"'||chr(10)||'Sub Auto_Open()'||chr(10)||'Shell("cmd /c '||BODY(20)||'")'""",
-    "'plain '||BODY(200)",
+    "'<sst><si><t>'||BODY||'</t></si><si><t>two</t></si></sst>'",
+    """'Attribute VB_Name = "M"'||chr(10)||'Sub Auto_Open()'||chr(10)||'Shell("cmd /c '||BODY||'")'""",
+    "'plain '||BODY",
 ]
 MIXED = (
     "SELECT doc_id AS artifact_id, doc_id % 8 AS kind_no, CASE doc_id % 8 "
@@ -72,13 +85,15 @@ MIXED = (
 )
 
 
-def _probe(tokens: list[str], body: int = 40) -> str:
+def _probe(tokens: list[str], bare: int = -1) -> str:
+    """Whole texts with a token each; the token of number bare stands alone."""
     cases = " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(tokens))
-    return f"SELECT doc_id AS artifact_id, 'p' AS part_path, doc_id % {len(tokens)} AS k, BODY({body})||' '||(CASE doc_id % {len(tokens)} {cases} END) AS value FROM documents"
+    return f"SELECT doc_id AS artifact_id, 'p' AS part_path, doc_id % {len(tokens)} AS k, CASE doc_id % {len(tokens)} WHEN {bare} THEN '' ELSE BODY||' ' END||(CASE doc_id % {len(tokens)} {cases} END) AS value FROM documents"
 
 
 STRING_PROBE = _probe(
-    ["'URLMON'", "'http://a.test/x'", "'CreateFile'", "'cmd /c dir'", "'p.exe'", "'DOS mode'", "'Equation'", "'http://a.microsoft.test/x'", "'kernel32.dll'", "repeat('x.exe', 24)", "'none here'"]
+    ["'URLMON'", "'http://a.test/x'", "'CreateFile'", "'cmd /c dir'", "'p.exe'", "'DOS mode'", "'Equation'", "'http://a.microsoft.test/x'", "'kernel32.dll'", "repeat('x.exe', 24)", "'none here'"],
+    bare=4,
 )
 MACRO_PROBE = _probe(
     ["'Document_Open'", "'Auto_Close'", "'WScript.Shell'", "'\"http://a.test/b/c\"'", "'FORMULA('", "'Option Explicit'", "'http alone'", "chr(0)||'Attribut'||chr(0)||'e '", "'Sub x Function abc_'||cast(doc_id % 5 AS VARCHAR(20))",
@@ -87,28 +102,29 @@ MACRO_PROBE = _probe(
 _CLSID = _bytes(2, 206, 2, 0, 0, 0, 0, 0, 192, 0, 0, 0, 0, 0, 0, 70)
 PART_PROBE = (
     "SELECT doc_id AS artifact_id, CASE doc_id % 3 WHEN 0 THEN 'EncryptedPackage' WHEN 1 THEN 'root/Encryption/data' ELSE 'WordDocument' END AS part_path, "
-    f"CASE doc_id % 6 WHEN 0 THEN BODY(60)||'Microsoft Equation 3.0'||{_CLSID} WHEN 1 THEN BODY(60)||{_CLSID} WHEN 2 THEN BODY(60)||'Microsoft Equation 3.0' "
-    f"WHEN 3 THEN 'Microsoft Equation 3.0' WHEN 4 THEN BODY(60)||{OLE}||BODY(30) ELSE BODY(60)||chr(19)||' DDEAUTO cmd '||BODY(10)||chr(20) END AS t FROM documents"
+    f"CASE doc_id % 6 WHEN 0 THEN BODY||'Microsoft Equation 3.0'||{_CLSID} WHEN 1 THEN BODY||{_CLSID} WHEN 2 THEN BODY||'Microsoft Equation 3.0' "
+    f"WHEN 3 THEN 'Microsoft Equation 3.0' WHEN 4 THEN BODY||{OLE}||BODY ELSE BODY||chr(19)||' DDEAUTO cmd '||BODY||chr(20) END AS t FROM documents"
 )
 RTF_PROBE = (
     f"SELECT doc_id AS artifact_id, '{{'||{BS}||'rtf1 '||{BS}||'objdata '||CASE doc_id % 4 "
-    "WHEN 0 THEN lower(hex('x Equation '||BODY(200))) WHEN 1 THEN lower(hex('Function abc Sub '||BODY(200)))||'0' "
-    "WHEN 2 THEN 'd0cf11e0a1b11ae1'||lower(hex(BODY(200))) ELSE '4d5a'||repeat('0a', 60)||'546869732070726f6772616d'||repeat('20', 60) END||'}' AS t FROM documents"
+    "WHEN 0 THEN lower(hex('x Equation '||BODY)) WHEN 1 THEN lower(hex('Function abc Sub '||BODY))||'0' "
+    "WHEN 2 THEN 'd0cf11e0a1b11ae1'||lower(hex(BODY)) ELSE '4d5a'||repeat('0a', 60)||'546869732070726f6772616d'||repeat('20', 60) END||'}' AS t FROM documents"
 )
-AUX_PROBE = "SELECT doc_id AS artifact_id, '{q z'||lower(hex(BODY(150)))||'{' AS t FROM documents"
+AUX_PROBE = "SELECT doc_id AS artifact_id, '{q z'||lower(hex(BODY))||'{' AS t FROM documents"
 WIDE_PROBE = (
-    "SELECT doc_id AS artifact_id, chr(1)||regexp_replace(BODY(30), '(.)', CHARWISE)||chr(1)||repeat('QUJD', 20)||chr(1)||repeat('QUJD', 5) AS t FROM documents"
+    "SELECT doc_id AS artifact_id, chr(1)||regexp_replace(BODY, '(.)', CHARWISE)||chr(1)||repeat('QUJD', 20)||chr(1)||repeat('QUJD', 5) AS t FROM documents"
 )
 
 _PARTS = [
-    ("word/document.xml", "'<w><p><r><instrText>DDEAUTO cmd '||BODY(20)||'</instrText></r></p></w>'"),
-    ("xl/worksheets/sheet1.xml", "'<s><sheetData><row><c r=\"A1\"><v>'||BODY(20)||' http:x</v></c><c r=\"B1\"><v>7</v></c></row></sheetData><oleObjects>a</oleObjects></s>'"),
-    ("xl/sharedStrings.xml", "'<sst><si><t>'||BODY(30)||'x</t></si><si><r><t>rich</t></r></si></sst>'"),
+    ("word/document.xml", "'<w><p><r><instrText>DDEAUTO cmd '||BODY||'</instrText></r></p></w>'"),
+    ("xl/worksheets/sheet1.xml", "'<s><sheetData><row><c r=\"A1\"><v>'||BODY||' http:x</v></c><c r=\"B1\"><v>7</v></c><c r=\"C1\" t=\"inlineStr\"><is><t>inline</t></is></c></row></sheetData><oleObjects>a</oleObjects></s>'"),
+    ("xl/sharedStrings.xml", "'<sst><si><t xml:space=\"preserve\"/></si><si><t>'||BODY||'x</t></si><si><r><t>rich</t></r></si></sst>'"),
     ("_rels/.rels", "RELS"),
-    ("xl/activeX/a.bin", "BODY(10)"),
+    ("xl/activeX/a.bin", "BODY"),
     ("xl/webSettings.xml", "'<Relationships><Relationship Type=\"frame\" Target=\"http://f.test\" TargetMode=\"External\"/></Relationships>'"),
-    ("xl/workbook.xml", "'x>&lt;'||BODY(40)"),
+    ("xl/workbook.xml", "'x>&lt;'||BODY"),
     ("_rels/.rels", "'second'"),
+    ("ppt/slides/slide1.xml", "'<p>'||BODY||'</p>'"),
 ]
 _RELS = (
     "'<Relationships><Relationship Type=\"'||CASE doc_id % 5 "
@@ -123,11 +139,11 @@ PARTS = " UNION ALL ".join(
     for k, (path, t) in enumerate(_PARTS)
 )
 _FINDINGS = [
-    ("'seen'", "'long '||BODY(30)||' tail'", "high"),
-    ("'part'", "'long '||BODY(20)", "medium"),
-    ("'again'", "'long '||BODY(30)||' tail'", "low"),
-    ("'note '||BODY(12)||' end'", "'other '||cast(doc_id % 7 AS VARCHAR(20))", "info"),
-    ("'inner'", "'note '||BODY(12)", "medium"),
+    ("'seen'", "'long '||BODY||' tail'", "high"),
+    ("'part'", "'long '||BODY", "medium"),
+    ("'again'", "'long '||BODY||' tail'", "low"),
+    ("'note '||BODY||' end'", "'other '||cast(doc_id % 7 AS VARCHAR(20))", "info"),
+    ("'inner'", "'note '||BODY", "medium"),
 ]
 FINDINGS = " UNION ALL ".join(
     f"SELECT doc_id AS artifact_id, cast({k} AS BIGINT) AS seq, 'R'||cast((doc_id + {k}) % 4 AS VARCHAR(20)) AS rule_id, {i} AS indication, {d} AS description, '{s}' AS severity FROM documents"

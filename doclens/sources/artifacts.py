@@ -98,23 +98,26 @@ def expand_archives(artifacts: DataFrame, max_parts: int = 10_000, max_bytes: in
 
 
 def inflate(stream: Column, max_bytes: int = 64 << 20) -> Column:
-    """Zlib-inflated bytes of a binary column; null where the stream is damaged or too long."""
+    """(content, problem) of a zlib stream in a binary column; content is null where problem says why."""
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<content: binary, problem: string>")
     def run(streams: pa.Array) -> pa.Array:
-        out = []
+        contents, problems = [], []
         for data in streams.to_pylist():
-            value = None
+            value, problem = None, None if data else "no stream"
             if data:
                 try:
                     machine = zlib.decompressobj()
                     value = machine.decompress(data, max_bytes)
-                    if machine.unconsumed_tail or not machine.eof:
-                        value = None
-                except zlib.error:
-                    value = None
-            out.append(value)
-        return pa.array(out, pa.binary())
+                    if machine.unconsumed_tail or len(value) >= max_bytes and not machine.eof:
+                        value, problem = None, "larger than max_bytes"
+                    elif not machine.eof:
+                        value, problem = None, "cut short"
+                except zlib.error as e:
+                    value, problem = None, f"damaged: {e}"
+            contents.append(value)
+            problems.append(problem)
+        return pa.StructArray.from_arrays([pa.array(contents, pa.binary()), pa.array(problems, pa.string())], ["content", "problem"])
 
     return run(stream)
 

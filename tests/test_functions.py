@@ -37,4 +37,6 @@ def test_magic_and_host(spark):
 def test_inflate(spark):
     rows = [(zlib.compress(b"hello"),), (zlib.compress(b"hello")[:-3],), (b"junk",), (None,)]
     df = spark.createDataFrame(rows, "s binary").select(sources.inflate(F.col("s")).alias("x"))
-    assert [r.x and bytes(r.x) for r in df.collect()] == [b"hello", None, None, None]
+    assert [(r.x.content and bytes(r.x.content), (r.x.problem or "")[:9]) for r in df.collect()] == [(b"hello", ""), (None, "cut short"), (None, "damaged: "), (None, "no stream")]
+    long = spark.createDataFrame([(zlib.compress(b"a" * 100),), (zlib.compress(b"a" * 10),)], "s binary").select(sources.inflate(F.col("s"), 10).alias("x"))
+    assert [(r.x.content and bytes(r.x.content), r.x.problem) for r in long.collect()] == [(None, "larger than max_bytes"), (b"a" * 10, None)]

@@ -1,10 +1,12 @@
 """Every registered query of the reference's operators against its SQL, on the smallest tables."""
 
 import math
+import uuid
 
 import duckdb
 import pytest
 
+from doclens.operators import signatures
 from doclens.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +53,7 @@ def test_streams_hold_whole_texts(spark):
     found = registry.pdf.expand_pdf_streams(registry._deflated_objects(spark, SF)).select("artifact_id", "content").collect()
     texts = {r.artifact_id: r.t for r in registry.docs(spark, SF).collect()}
     assert max(map(len, texts.values())) > 2000
-    whole = {k: ("var x; " + "{\\rtf1 " * (k % 2 == 0) + t).encode() for k, t in texts.items()}
+    whole = {k: (["{\\rtf1 ", "var x; ", ""][k % 3] + t).encode() for k, t in texts.items()}
     assert {r.artifact_id: bytes(r.content) for r in found} == whole
 
 
@@ -65,10 +67,9 @@ def test_signatures_of_many_class_ids(spark):
         "6E182020-F460-11CE-9BCD-00AA00608E01": "Forms.Frame",
         "02CE0200-0000-0000-C000-000000000046": "equation editor",
     }
-    orders = [(uid, getattr(registry.uuid.UUID(uid), order)) for uid in planted for order in ("bytes", "bytes_le")]
+    orders = [(uid, getattr(uuid.UUID(uid), order)) for uid in planted for order in ("bytes", "bytes_le")]
     parts = spark.createDataFrame([(k, "x" * 60 + b.decode("latin-1") + "y") for k, (_, b) in enumerate(orders)], "artifact_id long, t string")
-    signatures = spark.createDataFrame(registry.signature_rows(), "sig string, label string")
-    found = registry.findings.match_signatures(parts, signatures).collect()
+    found = registry.findings.match_signatures(parts, signatures.table(spark)).collect()
     assert sorted(r.artifact_id for r in found) == list(range(len(orders)))
     assert all(planted[orders[r.artifact_id][0]] in r.label for r in found)
-    assert len({sig for sig, _ in registry.signature_rows()}) == len(registry.signature_rows()) == 90
+    assert len({sig for sig, _ in signatures.signature_rows()}) == len(signatures.signature_rows()) == 90
