@@ -614,6 +614,94 @@ def c1_triage(spark, d):
     return triage.triage(table(spark, d, "rtf_probe"), 2).select("root_id", "depth", "kind")
 
 
+def _triage_roots(spark, d) -> DataFrame:
+    """Artifacts of every kind from the derived tables: text, RTF, PDF, workbooks, parts, and containers zipped from parts."""
+
+    def zipped(members: pa.Table) -> pa.Table:
+        buffer = io.BytesIO()
+        rows = members.sort_by("ordinal").to_pylist()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for path, r in {r["part_path"]: r for r in reversed(rows)}.items():  # U1: a path's first member
+                z.writestr(path, r["t"])
+        return pa.table({"artifact_id": pa.array([rows[0]["artifact_id"]], pa.int64()), "content": pa.array([buffer.getvalue()], pa.binary())})
+
+    containers = table(spark, d, "parts").select("artifact_id", "ordinal", "part_path", "t").groupBy("artifact_id").applyInArrow(zipped, "artifact_id long, content binary")
+    tables = [
+        table(spark, d, "macro_probe").select("artifact_id", F.col("value").alias("t")),
+        *[table(spark, d, name).select("artifact_id", "t") for name in ("rtf_probe", "pdf", "xls", "part_probe")],
+        containers.select("artifact_id", lens("content").alias("t")),
+    ]
+    numbered = [t.select((F.col("artifact_id") * 8 + k).alias("artifact_id"), "t") for k, t in enumerate(tables)]
+    every_kind = numbered[0]
+    for t in numbered[1:]:
+        every_kind = every_kind.unionByName(t)
+    return every_kind
+
+
+def _triage_sql() -> str:
+    """Findings of every family, by rule and depth, from the derived tables alone."""
+    ctes = [
+        f"hexed AS (SELECT artifact_id, regexp_extract(translate(t, ' ', ''), '{expected.RTF_OLE}', 1) AS h FROM rtf_probe)",
+        f"ole AS (SELECT artifact_id * 8 + 3 AS artifact_id, 0 AS depth, t FROM xls UNION ALL SELECT artifact_id * 8 + 1, 1, {OLE} || decode(from_hex(substr(h, 17))) FROM hexed WHERE length(h) > 200 AND length(h) % 2 = 0 "
+        f"UNION ALL SELECT artifact_id * 8 + 4, 1, substr(t, instr(t, {OLE})) FROM part_probe WHERE instr(t, {OLE}) > 1)",
+        "content AS (SELECT * FROM ole UNION ALL SELECT artifact_id * 8, 0, value FROM macro_probe UNION ALL SELECT artifact_id * 8 + 4, 0, t FROM part_probe "
+        "UNION ALL SELECT artifact_id * 8 + 2, 1, chr(92) || 'rtf1 ' || regexp_extract(t, '123 0 obj <</Type /EmbeddedFile>> this.exportDataObject.(.*). endobj', 1) FROM pdf "
+        "UNION ALL SELECT artifact_id * 8 + 5, 1, t FROM parts WHERE part_path LIKE '%.bin')",
+        f"strings AS (SELECT artifact_id, depth, value FROM {every('content', expected.ASCII_RUN, keep='artifact_id, depth')} "
+        f"UNION ALL SELECT artifact_id, depth, replace(value, chr(0), '') FROM {every('content', expected.WIDE_RUN, keep='artifact_id, depth')})",
+        f"objects AS (SELECT artifact_id, value AS body FROM {every('pdf', expected.PDF_OBJECT)})",
+        _clean("rtf_probe"),
+        f"blobs AS (SELECT artifact_id, value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', expected.RTF_BLOB, 1)} WHERE length(value) > 200)",
+        f"aux AS (SELECT artifact_id, value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', expected.RTF_AUX, 1)} WHERE length(value) > 200 AND artifact_id NOT IN (SELECT artifact_id FROM blobs))",
+        "every_blob AS (SELECT artifact_id, hex, coalesce(CASE WHEN starts_with(ok, 'd0cf11e0a1b11ae1') THEN decode(from_hex(substr(ok, 17))) ELSE decode(from_hex(ok), 'replace') END, '') AS t FROM (SELECT * FROM blobs UNION ALL SELECT * FROM aux))",
+        "members AS (SELECT artifact_id * 8 + 5 AS artifact_id, part_path, arg_min(t, ordinal) AS t FROM parts GROUP BY ALL)",
+        "cells AS (SELECT artifact_id, regexp_extract(t, '<v>([^<]*)</v>', 1) AS value FROM members WHERE part_path LIKE '%worksheets%' UNION ALL SELECT artifact_id, 'inline' FROM members WHERE part_path LIKE '%worksheets%')",
+    ]
+    flags = [
+        ("D2", "/Type ?/EmbeddedFile"), ("D3", "/Type ?/ObjStm"), ("D8", r"/AA\b"), ("D9", "/OpenAction"), ("D12", "/Launch"), ("D14", "/SubmitForm"),
+        ("D4", expected.EXPORT), ("D6", expected.UNC), ("D7", "JS [0-9]+ 0 R"), ("D10", "/O [0-9]+ 0 R"), ("D11", "/OpenAction [0-9]+ 0 R"), ("D13", "/GoTo[RE]?"),
+    ]
+    rels = "CASE " + " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN '{r}'" for r, p in expected.RELS) + " END"
+    sheets = "chr(133)||chr(0)||chr(14)||chr(0)||chr(83)||chr(0)||chr(0)||chr(0)||chr(2)"
+    found = [
+        f"SELECT rule_id, depth FROM ({rules_sql('strings', 'artifact_id, depth', expected.STRING_RULES)})",
+        f"SELECT rule_id, depth FROM ({rules_sql('content', 'artifact_id, depth', expected.MACRO_RULES, v='t')})",
+        f"SELECT CASE WHEN c AND p THEN 'E1' WHEN c THEN 'E2' ELSE 'E3' END, depth FROM (SELECT depth, contains(t, {fixtures._CLSID}) AS c, contains(t, 'Microsoft Equation 3.0') AS p FROM content WHERE length(t) > 50) WHERE c OR p",
+        f"SELECT 'E12', depth FROM content WHERE regexp_matches(t, '{expected.BASE64_RUN}')",
+        f"SELECT 'D16', depth FROM {every('content', chr(92) + 'x13' + chr(92) + 's*DDEAUTO[^' + chr(92) + 'x14]+', keep='artifact_id, depth')}",
+        f"SELECT 'J1', depth FROM ole WHERE contains(t, {fixtures._CLSID})",
+        f"SELECT 'X3', depth FROM ole WHERE contains(t, {sheets})",
+        f"SELECT 'X4', depth FROM ole WHERE contains(t, {sheets}||chr(1))",
+        "SELECT 'X2', depth FROM ole WHERE contains(t, chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr(64))",
+        "SELECT 'E6', 0 FROM hexed WHERE length(h) > 200",
+        "SELECT 'E7', 0 FROM every_blob",
+        "SELECT 'E4', 0 FROM every_blob WHERE regexp_matches(t, '(?i)equation')",
+        "SELECT 'E8', 0 FROM every_blob WHERE contains(t, 'Function') OR contains(t, 'Sub ')",
+        f"SELECT 'E9', 0 FROM every_blob WHERE regexp_matches(hex, '{expected.PE_IN_HEX}')",
+        f"SELECT 'D1', 0 FROM {every('pdf', expected.URI)}",
+        *[f"SELECT '{r}', 0 FROM objects WHERE regexp_matches(body, '{p}')" for r, p in flags],
+        f"SELECT 'D5', 0 FROM objects WHERE regexp_matches(body, '/Type ?/Filespec') AND regexp_matches(body, '{expected.FILE_REF}')",
+        "SELECT 'E10', 0 FROM pdf",
+        f"SELECT {rels}, 0 FROM members WHERE part_path LIKE '%.rels' AND {rels} IS NOT NULL",
+        "SELECT 'O5', 0 FROM members WHERE part_path LIKE '%webSettings%'",
+        "SELECT 'O6', 0 FROM members WHERE part_path LIKE '%document.xml'",
+        "SELECT 'O7', 0 FROM members WHERE part_path LIKE '%workbook.xml'",
+        "SELECT 'O8', 0 FROM members WHERE part_path LIKE '%worksheets%'",
+        "SELECT 'O9', 0 FROM members WHERE part_path LIKE '%sharedStrings%'",
+        "SELECT 'O10', 0 FROM members WHERE part_path LIKE '%activeX%'",
+        f"SELECT rule_id, 0 FROM ({rules_sql('cells', 'artifact_id', expected.STRING_RULES)})",
+    ]
+    tables = cte("macro_probe", "rtf_probe", "pdf", "xls", "part_probe", "parts").rstrip()
+    return f"{tables}, {', '.join(ctes)}, found(rule_id, depth) AS ({' UNION ALL '.join(found)}) SELECT rule_id, depth::BIGINT AS depth, count(*) AS n FROM found GROUP BY ALL"
+
+
+@query(_triage_sql())
+def triage_all_families(spark, d):
+    """Every rule of every family over artifacts of all kinds, and what is embedded in them: findings by rule and depth."""
+    found = triage.triage_all(_triage_roots(spark, d), 2, dedup=None)
+    return found.groupBy("rule_id", "depth").agg(F.count("*").alias("n"))
+
+
 # --- streams ---
 
 

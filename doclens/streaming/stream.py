@@ -47,3 +47,16 @@ def triage_stream(spark: SparkSession, path: str, out: str, checkpoint: str, ded
     if dedup:
         found = dedup_stream(found)
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def triage_all_stream(artifacts: DataFrame, out: str, checkpoint: str, max_depth: int = 3) -> StreamingQuery:
+    """All families on a stream of artifacts, over what is present: each batch's findings as Parquet below out.
+
+    A batch is triaged as a table is (triage_all); a batch that runs again replaces its folder.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        found = triage.triage_all(batch.select("artifact_id", "t"), max_depth)
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return artifacts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Directories, archives, the sink, and streams against batches."""
 
 import io
+import uuid
 import warnings
 import zipfile
 import zlib
@@ -92,3 +93,78 @@ def test_triage_of_zip_pdf_and_ole_roots(spark):
         (0, 1, "ole", macro), (0, 1, "ooxml", inner), (0, 2, None, b"head" + sheet), (0, 3, "ole", sheet),
         (1, 1, "ole", ole + b"in pdf"), (2, 1, "ole", ole + b"b"),
     }
+
+
+def lens_of(*rows):
+    return [(k, r.decode("latin-1") if r is not None else None) for k, r in enumerate(rows)]
+
+
+def test_triage_all_kinds(spark):
+    ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    clsid = uuid.UUID("F414C260-6AC0-11CF-B6D1-00AA00BBBB58").bytes_le
+
+    def container(members):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in members:
+                z.writestr(name, data)
+        return buffer.getvalue()
+
+    book = container([
+        ("xl/sharedStrings.xml", b"<sst><si><t xml:space='preserve'/></si><si><t>one</t></si></sst>"),
+        ("xl/worksheets/sheet1.xml", b'<s><c r="A1"/><c r="B2" t="inlineStr"><is><t>http://cell.test</t></is></c><c r="C3"><f>1</f><v>powershell</v></c></s>'),
+        ("xl/embeddings/a.bin", b"x" + ole + b"first powershell -x " + ole + b"second " + clsid),
+        ("EncryptedPackage", b""),
+    ])
+    roots = [book, b"plain cmd /c run " + b"QUJD" * 20, b"%PDF-1.4 1 0 obj <</Launch>> endobj", b"{\\rtf1 \\o " + (ole + b"Equation " * 20).hex().encode() + b"}", None, b"", b"nothing"]
+    table = spark.createDataFrame(lens_of(*roots), "artifact_id long, t string")
+    found = {(r.artifact_id, r.depth, r.rule_id, r.description) for r in triage.triage_all(table).collect()}
+    rule = {(a, d, r) for a, d, r, _ in found}
+    assert {(0, 0, "O9"), (0, 0, "I2"), (0, 0, "I4"), (0, 0, "E11"), (1, 0, "I4"), (1, 0, "E12"), (2, 0, "D12"), (3, 0, "E6"), (3, 0, "E7"), (3, 0, "E4")} <= rule
+    assert {(0, 2, "E5"), (0, 2, "J1")} <= rule and (0, 0, "O9", "one") in found and (0, 0, "I2", "http://cell.test") in found
+    assert not {a for a, _, _, _ in found} & {4, 5, 6}
+    assert len([f for f in found if f[0] == 2]) == 1
+    empty = spark.createDataFrame([], "artifact_id long, t string")
+    assert triage.triage_all(empty).count() == 0
+    every = triage.triage_all(table, dedup=None)
+    assert every.count() >= len(found) and triage.findings.top_risky(triage.triage_all(table)).first().artifact_id in (0, 3)
+
+
+def test_sheet_findings_need_their_marks(spark):
+    sheets = spark.createDataFrame([(1, 1, "visible", False, "a"), (1, 2, "hidden", False, "b"), (1, 3, "very hidden", True, "c"), (2, 1, "visible", False, "d")], "artifact_id long, sheet_no long, visibility string, xlm boolean, sheet_name string")
+    bofs = spark.createDataFrame([(1, "globals"), (2, "worksheet"), (3, "xlm")], "artifact_id long, substream string")
+    found = sorted((r.artifact_id, r.rule_id, r.description) for r in triage.biff.sheet_findings(sheets, bofs).collect())
+    assert found == [(1, "X3", "b, c"), (1, "X4", "c"), (3, "X2", "1")]
+
+
+def test_stream_of_all_families_equals_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"see cmd /c one now")
+    (tmp_path / "in" / "b").write_bytes(b"%PDF-1.4 1 0 obj <</Launch>> endobj")
+    q = stream.triage_all_stream(stream.artifact_stream(spark, f"file://{tmp_path}/in", files_per_batch=1), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    q.awaitTermination()
+    streamed = {(r.artifact_id, r.rule_id, r.description) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    batch = triage.triage_all(sources.scan_artifacts(spark, f"file://{tmp_path}/in"))
+    assert streamed == {(r.artifact_id, r.rule_id, r.description) for r in batch.collect()} and {r for _, r, _ in streamed} == {"I4", "D12"}
+
+
+def test_late_findings_are_dropped(spark, tmp_path):
+    """T3 with a watermark: what comes later than the delay after newer data is not counted."""
+    (tmp_path / "in").mkdir()
+    schema = "artifact_id long, rule_id string, s long"
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+
+    def run():
+        rows = spark.readStream.schema(schema).json(f"file://{tmp_path}/in").withColumn("modificationTime", F.timestamp_seconds("s"))
+        counted = stream.findings_per_window(rows, "1 hour", "1 hour")
+        q = counted.writeStream.format("parquet").outputMode("append").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    put("a", [(1, "I1", 10), (2, "I1", 20), (3, "I1", 20_000)])
+    run()
+    put("b", [(4, "I1", 30), (5, "I1", 40_000)])  # 30 is hours before 20000
+    run()
+    found = {r.window_start.hour: r.n for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert found[0] == 2 and found[5] == 1
