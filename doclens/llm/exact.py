@@ -85,8 +85,8 @@ def exact_dedup(
     text), kept, text_sha256. Of equal texts the row with the most code points stays, then
     the smallest id (null ids last); a text that the index had before keeps its earlier
     keep_id and no row of docs is kept. Of rows that tie in all this, ids included, one
-    stays: that with the smallest row_col, a unique number of each row, if given. Then the
-    result has it as row_no. Empty input gives an empty result.
+    stays: that with the smallest row_col, a number that tells rows apart, if given (all with
+    that number do). Then the result has it as row_no. Empty input gives an empty result.
     """
     digests = written(with_digest(docs, id_col, text_col, row_col), "digests")
     order = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))

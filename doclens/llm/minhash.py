@@ -367,8 +367,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs. class_id is the smallest doc_id of the class; stays holds for one row of each class,
     one with that id. Null and empty texts are classes of their own; texts of fewer than five
     words are one shingle; repeated rows return repeated rows; a null id is never a class_id
-    unless all of its class are null. With row_col, a unique number of each row, the result
-    has it as row_no. Other columns are left out; empty input gives an empty result.
+    unless all of its class are null. With row_col, a number that tells rows apart, the result
+    has it as row_no, and all rows with the number of the one that stays do so. Other columns are left out; empty input gives an empty result.
     """
     hashes = F.transform(words_of("text"), lambda w: F.xxhash64(w)).alias("hashes")
     rows = docs.select(
@@ -395,8 +395,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "node", "digest", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")
     )
     # Rows are found again by the hash of their text and their id; a row of another digest is left out.
+    # The texts are shuffled for this at every size, also where the candidates could be broadcast.
     sets = written(
-        rows.join(written(texts, "candidate-texts"), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        rows.join(written(texts, "candidate-texts").hint("merge"), (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
         .select("node", "digest", hashes)
         .mapInArrow(gather, "node bigint, items binary, counts binary")
         .groupBy("node")

@@ -165,7 +165,8 @@ def quality_rules(
     Empty input gives an empty result.
     """
     rows = judged(measured(docs, id_col, text_col, host_col))
-    rows = written(rows if keep_rows else rows.drop(ROW), "measures")
+    # With the inputs the measures would be a copy of all texts: they are made twice instead of written.
+    rows = rows if keep_rows else written(rows.drop(ROW), "measures")
     suspects = host_verdicts(rows).where("suspect").select(F.col("host").alias("bad_host"), "suspect")
     joined = rows.join(suspects, rows["host"].eqNullSafe(suspects["bad_host"]), "left")
     suspect = F.coalesce("suspect", F.lit(False))
