@@ -1,54 +1,19 @@
-"""What the operators share: word expressions and tables written between jobs."""
+"""What the operators share: word expressions, and tables written between jobs (doclens.sources.tables)."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.sources.artifacts import spread
+from doclens.sources.tables import new_path, written
+
+__all__ = ["BLANKS", "documents", "new_path", "without", "words_of", "written"]
 
 #: Blank characters of the word contracts, as a class for Java, RE2 and Python regexes.
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is absent in a local session (tests, a laptop) a temporary folder is set
-    once and removed when the driver ends; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-doclens-")
-        atexit.register(shutil.rmtree, folder, True)
-        folder = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/doclens/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: computed once, and safe from lost executors.
-
-    The table stays, as results are read from such tables when an action runs; the folder
-    doclens/ below spark.checkpoint.dir may be removed when no job runs.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: str | Column) -> Column:
     """Array of the maximal runs of non-blank characters; null text has none."""
     column = F.col(text) if isinstance(text, str) else text

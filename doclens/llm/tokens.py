@@ -132,6 +132,11 @@ def piece_starts(classes: np.ndarray, machine: tuple[np.ndarray, np.ndarray]) ->
     return starts
 
 
+#: Bits of a change in a packed transition. A change is at most as large as the longest token has bytes, which the machine checks.
+CHANGE_BITS = 24
+CHANGE_ZERO, CHANGE_MASK = 1 << CHANGE_BITS - 1, (1 << CHANGE_BITS) - 1
+
+
 class Merger:
     """Transducer of the merges: reads a piece's bytes and counts its tokens.
 
@@ -145,6 +150,8 @@ class Merger:
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.parts = {a + b: (a, b) for a, b in reversed(merges)}
         self.made = {token: self.rank[pair] for token, pair in self.parts.items()}
+        if max(map(len, self.parts), default=0) >= CHANGE_ZERO:
+            raise ValueError(f"tokens of {CHANGE_ZERO} bytes and more are not counted")
         # Nodes are the prefixes of tokens.
         self.children: list[dict[int, int]] = [{}]
         self.token: list[bytes | None] = [None]
@@ -225,7 +232,7 @@ class Merger:
         return found
 
     def move(self, state: int, b: int) -> int:
-        """Makes the transition of state by byte b: (next state) * 64 + (change of the count + 32)."""
+        """Makes the transition of state by byte b: next state and change of the count, packed (see CHANGE_BITS)."""
         node, last, back = self.states[state]
         at = node
         while at and b not in self.children[at]:
@@ -246,7 +253,7 @@ class Merger:
         if new is None:
             new = self.ids[key] = len(self.states)
             self.states.append(key)
-        packed = self.moves[state << 8 | b] = new << 6 | change + 32
+        packed = self.moves[state << 8 | b] = new << CHANGE_BITS | change + CHANGE_ZERO
         return packed
 
     def count(self, piece: str) -> int:
@@ -256,8 +263,8 @@ class Merger:
             packed = moves.get(state << 8 | b)
             if packed is None:
                 packed = self.move(state, b)
-            state = packed >> 6
-            total += (packed & 63) - 32
+            state = packed >> CHANGE_BITS
+            total += (packed & CHANGE_MASK) - CHANGE_ZERO
         return total
 
     def counts(self, pieces: list[str]) -> list[int]:
