@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.exact import exact_dedup, fresh_index
@@ -12,22 +12,35 @@ from doclens.llm.packing import pack
 from doclens.llm.quality import ROW, quality_rules
 from doclens.llm.shared import documents, without, written
 
-#: Number of each row within a stage: rows may repeat an id, and all else.
-NUMBER = "pipeline_row_no"
+#: A hash of all of a row's columns: with the id, what tells rows apart that are not equal in everything.
+NUMBER = "pipeline_row_hash"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return written(without(docs, (NUMBER,)).withColumn(NUMBER, F.monotonically_increasing_id()), "numbered-rows")
+    docs = without(docs, (NUMBER,))
+    return docs.withColumn(NUMBER, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
-def without_rows(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Numbered rows but for those whose number is in dropped (row_no).
+def staying(rows: DataFrame, found: DataFrame, stays: str) -> DataFrame:
+    """Numbered rows that stay by found (doc_id, row_no, and the boolean column stays), one of those equal in everything.
 
-    The dropped numbers are a written table of known size: Spark broadcasts it as long as that
-    is below spark.sql.autoBroadcastJoinThreshold, and shuffles both sides by number beyond.
+    The others' hashes are taken away by a sort-merge anti-join, at every size.
     """
-    gone = written(dropped.select(F.col("row_no").alias(NUMBER)), "dropped-rows")
-    return rows.join(gone, NUMBER, "left_anti").drop(NUMBER)
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("row_no").alias("found_no"), F.col(stays).alias("stays"))
+
+    def same(other: DataFrame) -> Column:
+        return (rows[NUMBER] == other["found_no"]) & rows["doc_id"].eqNullSafe(other["found_id"])
+
+    # Of rows equal in everything exact dedup keeps one and drops others, near dedup keeps all.
+    keys = written(
+        found.groupBy("found_id", "found_no").agg(F.count_if("stays").alias("n_stay"), F.count("*").alias("n")).where("n_stay = 0 or n > 1"),
+        "dropped-rows",
+    )
+    kept = rows.join(keys.hint("merge"), same(keys), "left_anti")
+    twins = keys.where("n_stay > 0")
+    if not twins.isEmpty():
+        kept = kept.unionByName(rows.join(twins.hint("merge"), same(twins), "left_semi").dropDuplicates())
+    return kept.drop(NUMBER)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +53,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, index = numbered(docs), fresh_index(spark)
     found = exact_dedup(rows, index, row_col=NUMBER)
     index.close()
-    return without_rows(rows, found.where("not kept"))
+    return staying(rows, found, "kept")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: one with the smallest doc_id."""
     rows = numbered(docs)
-    return without_rows(rows, near_dedup(rows, row_col=NUMBER).where("not stays"))
+    return staying(rows, near_dedup(rows, row_col=NUMBER), "stays")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
