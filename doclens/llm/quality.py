@@ -164,7 +164,10 @@ def quality_rules(
     carries its input whole, as the struct input_row, so that nothing has to be joined back.
     Empty input gives an empty result.
     """
-    rows = judged(measured(docs, id_col, text_col, host_col))
+    rows = measured(docs, id_col, text_col, host_col)
+    # A generator keeps the optimizer from copying the measures into every use of them.
+    every = F.explode(F.array(F.struct(*[c for c in rows.columns if c != ROW])))
+    rows = judged(rows.select(ROW, every.alias("m")).select(ROW, "m.*"))
     # With the inputs the measures would be a copy of all texts: they are made twice instead of written.
     rows = rows if keep_rows else written(rows.drop(ROW), "measures")
     suspects = host_verdicts(rows).where("suspect").select(F.col("host").alias("bad_host"), "suspect")
