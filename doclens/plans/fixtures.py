@@ -134,10 +134,23 @@ _RELS = (
     "WHEN 3 THEN 'oleObject\" TargetMode=\"External\" Target=\"http://o.test\"/>' "
     "ELSE 'hyperlink\" Target=\"http://i.test\" TargetMode=\"Internal\"/>' END||'</Relationships>'"
 )
-PARTS = " UNION ALL ".join(
-    f"SELECT doc_id AS artifact_id, cast((doc_id + {k * 7}) % 3 * 10 + {k} AS BIGINT) AS ordinal, '{path}' AS part_path, {t.replace('RELS', _RELS)} AS t FROM documents"
-    for k, (path, t) in enumerate(_PARTS)
-)
+
+
+def _several(columns: str, n: int) -> str:
+    """n rows of columns for each document, numbered k, whose text is read once; BODY is made before it is repeated."""
+    rows = ", ".join(f"({k})" for k in range(n))
+    return f"SELECT {columns.replace('BODY', 'body')} FROM (SELECT doc_id, BODY AS body FROM documents) AS d CROSS JOIN (VALUES {rows}) AS v(k)"
+
+
+def _by_number(values: list[str]) -> str:
+    return "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+PARTS = _several(
+    "doc_id AS artifact_id, cast((doc_id + k * 7) % 3 * 10 + k AS BIGINT) AS ordinal, "
+    + _by_number([f"'{path}'" for path, _ in _PARTS]) + " AS part_path, " + _by_number([t.replace("RELS", _RELS) for _, t in _PARTS]) + " AS t",
+    len(_PARTS),
+)
 _FINDINGS = [
     ("'seen'", "'long '||BODY||' tail'", "high"),
     ("'part'", "'long '||BODY", "medium"),
@@ -145,10 +158,13 @@ _FINDINGS = [
     ("'note '||BODY||' end'", "'other '||cast(doc_id % 7 AS VARCHAR(20))", "info"),
     ("'inner'", "'note '||BODY", "medium"),
 ]
-FINDINGS = " UNION ALL ".join(
-    f"SELECT doc_id AS artifact_id, cast({k} AS BIGINT) AS seq, 'R'||cast((doc_id + {k}) % 4 AS VARCHAR(20)) AS rule_id, {i} AS indication, {d} AS description, '{s}' AS severity FROM documents"
-    for k, (i, d, s) in enumerate(_FINDINGS)
-)
+FINDINGS = _several(
+    "doc_id AS artifact_id, cast(k AS BIGINT) AS seq, 'R'||cast((doc_id + k) % 4 AS VARCHAR(20)) AS rule_id, "
+    + ", ".join(f"{_by_number(values)} AS {name}" for name, values in (
+        ("indication", [i for i, _, _ in _FINDINGS]), ("description", [d for _, d, _ in _FINDINGS]), ("severity", [f"'{s}'" for _, _, s in _FINDINGS]),
+    )),
+    len(_FINDINGS),
+)
 TABLES = {
     "xls": XLS, "pdf": PDF, "mixed": MIXED, "string_probe": STRING_PROBE, "macro_probe": MACRO_PROBE, "part_probe": PART_PROBE,
     "rtf_probe": RTF_PROBE, "aux_probe": AUX_PROBE, "wide_probe": WIDE_PROBE, "parts": PARTS, "findings": FINDINGS,
