@@ -288,8 +288,8 @@ def _source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def with_source_digests(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """spans with the digest of the words at their sources.
 
-    Sources are asked once for each stretch, however many documents repeat it. The texts that
-    are sources at all are picked first, by a written table of their ids.
+    Sources are asked once for each stretch, however many documents repeat it; their texts are
+    found by a sort-merge join at every size.
     """
     asked = written(
         spans.select("source_id", "source_version", F.col("source_first_word").alias("first"), F.col("n_words").alias("n"))
@@ -298,9 +298,8 @@ def with_source_digests(spans: DataFrame, rows: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("first", "n")).alias("wanted")),
         "asked-sources",
     )
-    ids = written(asked.select(F.col("source_id").alias("doc_id")).distinct(), "source-ids")
     asked = asked.select(F.col("source_id").alias("doc_id"), F.col("source_version").alias("version"), "wanted")
-    digests = rows.join(ids, "doc_id", "left_semi").join(asked, ["doc_id", "version"]).mapInArrow(_source_digests, DIGESTS)
+    digests = rows.join(asked.hint("merge"), ["doc_id", "version"]).mapInArrow(_source_digests, DIGESTS)
     digests = written(digests.distinct(), "source-digests")
     return spans.join(digests, ["source_id", "source_version", "source_first_word", "n_words"])
 
