@@ -100,10 +100,13 @@ MACRO_PROBE = _probe(
      "chr(10)||'Attribute VB_Name = 1'"]
 )
 _CLSID = _bytes(2, 206, 2, 0, 0, 0, 0, 0, 192, 0, 0, 0, 0, 0, 0, 70)
+# A shortcut's class id in the order of the bytes on disk, and a script moniker's in text order.
+_SHORTCUT = _bytes(1, 20, 2, 0, 0, 0, 0, 0, 192, 0, 0, 0, 0, 0, 0, 70)
+_MONIKER = _bytes(6, 41, 11, 211, 72, 170, 17, 210, 132, 50, 0, 96, 8, 195, 251, 252)
 PART_PROBE = (
     "SELECT doc_id AS artifact_id, CASE doc_id % 3 WHEN 0 THEN 'EncryptedPackage' WHEN 1 THEN 'root/Encryption/data' ELSE 'WordDocument' END AS part_path, "
     f"CASE doc_id % 6 WHEN 0 THEN BODY||'Microsoft Equation 3.0'||{_CLSID} WHEN 1 THEN BODY||{_CLSID} WHEN 2 THEN BODY||'Microsoft Equation 3.0' "
-    f"WHEN 3 THEN 'Microsoft Equation 3.0' WHEN 4 THEN BODY||{OLE}||BODY ELSE BODY||chr(19)||' DDEAUTO cmd '||BODY||chr(20) END AS t FROM documents"
+    f"WHEN 3 THEN 'Microsoft Equation 3.0' WHEN 4 THEN BODY||{OLE}||BODY||{_MONIKER} ELSE BODY||{_SHORTCUT}||chr(19)||' DDEAUTO cmd '||BODY||chr(20) END AS t FROM documents"
 )
 RTF_PROBE = (
     f"SELECT doc_id AS artifact_id, '{{'||{BS}||'rtf1 '||{BS}||'objdata '||CASE doc_id % 4 "

@@ -566,7 +566,13 @@ def j8_shared_indicators(spark, d):
     return findings.shared_indicators(table(spark, d, "findings"))
 
 
-@query(cte("part_probe") + f"SELECT artifact_id, 'equation editor' AS label FROM part_probe WHERE contains(t, {fixtures._CLSID})")
+_CLASS_IDS = (
+    f"(VALUES ({fixtures._CLSID}, 'equation editor'), ({fixtures._SHORTCUT}, 'Windows LNK Shortcut file'), "
+    f"({fixtures._MONIKER}, 'Script Moniker, aka Moniker to a Windows Script Component (may trigger CVE-2017-0199)')) AS ids(sig, label)"
+)
+
+
+@query(cte("part_probe") + f"SELECT artifact_id, label FROM part_probe, {_CLASS_IDS} WHERE contains(t, sig)")
 def j1_match_signatures(spark, d):
     return findings.match_signatures(table(spark, d, "part_probe"), signatures.table(spark))
 
@@ -669,7 +675,7 @@ def _triage_sql() -> str:
         f"SELECT CASE WHEN c AND p THEN 'E1' WHEN c THEN 'E2' ELSE 'E3' END, depth FROM (SELECT depth, contains(t, {fixtures._CLSID}) AS c, contains(t, 'Microsoft Equation 3.0') AS p FROM content WHERE length(t) > 50) WHERE c OR p",
         f"SELECT 'E12', depth FROM content WHERE regexp_matches(t, '{expected.BASE64_RUN}')",
         f"SELECT 'D16', depth FROM {every('content', chr(92) + 'x13' + chr(92) + 's*DDEAUTO[^' + chr(92) + 'x14]+', keep='artifact_id, depth')}",
-        f"SELECT 'J1', depth FROM ole WHERE contains(t, {fixtures._CLSID})",
+        f"SELECT 'J1', depth FROM ole, {_CLASS_IDS} WHERE contains(t, sig)",
         f"SELECT 'X3', depth FROM ole WHERE contains(t, {sheets})",
         f"SELECT 'X4', depth FROM ole WHERE contains(t, {sheets}||chr(1))",
         "SELECT 'X2', depth FROM ole WHERE contains(t, chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr(64))",
