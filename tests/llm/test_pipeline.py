@@ -1,10 +1,12 @@
 """The pipeline's stages against brute force."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from conftest import CLASHING, SCHEMA
 from test_near_packing_substring import classes, family
+from test_quality_exact_mixing import inverse, unit
 
 
 def test_stages(spark, docs, tmp_path):
@@ -29,7 +31,21 @@ def test_stages(spark, docs, tmp_path):
     assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= set(wanted)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed.collect()}
+    # The words of every document that is left, times its Poisson count.
+    tokens = Counter()
+    for k in wanted:
+        tokens[f"s{k % 3}"] += len(texts[k].split())
+    rooted = {s: t**0.5 for s, t in tokens.items()}
+    rates = {s: rooted[s] / sum(rooted.values()) * sum(tokens.values()) / tokens[s] for s in tokens}
+    copies = Counter({k: inverse(rates[f"s{k % 3}"], unit("mix-1", k)) for k in wanted})
+    assert Counter(r.doc_id for r in mixed.collect()) == +copies
+    words = Counter()
+    for r in packed:
+        words[r.doc_id] += r.n_words
+    assert words == +Counter({k: copies[k] * len(texts[k].split()) for k in wanted})
+    for own in {(r.shard, r.bin) for r in packed}:
+        inside = [r for r in packed if (r.shard, r.bin) == own]
+        assert len({r.doc_id % 3 for r in inside}) == len(inside)
 
 
 def test_repeated_ids_and_empty_input(spark, docs, tmp_path):
