@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that checks them."""
 
-from doclens.llm import exact, licenses, minhash, mixing, packing, pii, quality, substring, tokens, toxicity
+from doclens.llm import exact, licenses, lines, merkle, minhash, mixing, packing, phrases, pii, quality, substring, tokens, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_poisson_mix": mixing.op8_poisson_mix,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_collocations": phrases.op11_collocations,
+    "op12_line_dedup": lines.op12_line_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -20,4 +23,7 @@ ORACLES = {
     "op4_debruijn_repeats": substring.OP4_SQL,
     "op8_poisson_mix": mixing.OP8_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
+    "op11_collocations": phrases.OP11_SQL,
+    "op12_line_dedup": lines.OP12_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }

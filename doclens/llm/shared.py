@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doclens.sources.artifacts import spread
 from doclens.sources.tables import new_path, written
 
-__all__ = ["BLANKS", "documents", "new_path", "without", "words_of", "written"]
+__all__ = ["BLANKS", "ascii_lower", "documents", "new_path", "without", "words_of", "written"]
 
 #: Blank characters of the word contracts, as a class for Java, RE2 and Python regexes.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -20,6 +20,14 @@ def words_of(text: str | Column) -> Column:
     return F.filter(F.split(F.coalesce(column, F.lit("")), BLANKS), lambda w: w != F.lit(""))
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column) -> Column:
+    """text with A-Z lower-cased and nothing else; pure ASCII takes the faster way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
 def without(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """df without columns of these names, which the operator makes itself (case does not count)."""
     taken = {n.lower() for n in names}
