@@ -16,8 +16,8 @@ PRINTABLE_RUN = r"[\x20-\x7e\t\n\r\x0b\x0c]{7,}"
 BASE64_RUN = r"(?:[A-Za-z0-9+/]{4}){13,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"
 PDF_OBJECT = r"\d+ \d+ obj[\x00-\xff]*?endobj"
 RTF_OLE = r"(d0cf11e[\x00-\x66]+)\}"
-#: Hex blobs in RTF text: after a control word's end, a group's end or a brace, up to a closing brace.
-RTF_BLOB = r"(?:\\[a-z]+-?\d*|[}{])((?:[0-9a-fA-F]{2}){50,})"
+#: Hex blobs in RTF text, blanks among them: after a control word, its number and the blank that ends it, or after a brace.
+RTF_BLOB = r"(?:\\[a-z]+(?:-?\d+)?[ \t\r\n]|[}{])([0-9a-fA-F \t\r\n]{100,})"
 RTF_AUX = r"[A-Za-z]\}?((?:[0-9a-fA-F]{2}){50,})(?:\{|\\|\})"
 FUNCTION_NAME = r"Function [A-Za-z0-9_]{3,20}"
 # Record marks of the legacy workbook format.
@@ -93,8 +93,15 @@ def carve_rtf_ole(df: DataFrame) -> DataFrame:
 
 
 def carve_rtf_blobs(df: DataFrame) -> DataFrame:
-    """Hex blobs after a control word or brace."""
-    return _blobs(df, RTF_BLOB).withColumn("content", unhexed(F.col("hex")))
+    """Hex blobs after a control word or brace, whole bytes from their first digit on.
+
+    Control words are found before blanks are deleted (G5): a word ends at its blank, so digits
+    after it belong to the blob.
+    """
+    found = df.select("artifact_id", F.posexplode(all_matches(F.col("t"), RTF_BLOB, 1)).alias("pos", "run"))
+    digits = found.select("artifact_id", "pos", rtf_clean_hex(F.col("run")).alias("digits"))
+    whole = F.expr("left(digits, length(digits) - length(digits) % 2)")
+    return digits.select("artifact_id", "pos", whole.alias("hex")).where(F.length("hex") > MIN_BLOB).withColumn("content", unhexed(F.col("hex")))
 
 
 def carve_rtf_aux(df: DataFrame) -> DataFrame:
@@ -177,9 +184,10 @@ def carve_boundsheets(df: DataFrame) -> DataFrame:
 
 
 def sheet_name(t: Column, offset: Column) -> Column:
-    """What is printable of the at most 16 bytes after a record, up to the next record mark."""
-    after = F.regexp_extract(F.substring(t, offset + 11, F.lit(16)), r"^([^\x85\x0a]*)", 1)
-    return F.regexp_replace(after, r"[^\x20-\x7e]", "")
+    """What is printable of the name after a record: its number of characters, a flag for two bytes each, then they."""
+    wide = byte_at(t, offset + 11).bitwiseAND(F.lit(1).cast("bigint"))
+    name = F.substring(t, offset + 13, byte_at(t, offset + 10) * (wide + 1))
+    return F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\x20-\x7e]", "")
 
 
 def valid_sheets(sheets: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -16,17 +16,18 @@ def union_findings(families: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), families)
 
 
-def first_per_key(findings: DataFrame) -> DataFrame:
-    """The first finding of each description of an artifact.
+def first_per_key(findings: DataFrame, by_rule: bool = False) -> DataFrame:
+    """The first finding of each description of an artifact, or of each rule and description.
 
     An aggregate rather than a window: a description that a third of the rows share is combined before the shuffle.
     """
-    rest = [c for c in findings.columns if c not in ("artifact_id", "description")]
+    keys = ["artifact_id", "description", *(["rule_id"] if by_rule else [])]
+    rest = [c for c in findings.columns if c not in keys]
     best = F.min(F.struct("seq", *[c for c in rest if c != "seq"])).alias("first")
-    return findings.groupBy("artifact_id", "description").agg(best).select("artifact_id", "description", "first.*")
+    return findings.groupBy(*keys).agg(best).select(*keys, "first.*")
 
 
-def drop_known(findings: DataFrame) -> DataFrame:
+def drop_known(findings: DataFrame, by_rule: bool = False) -> DataFrame:
     """Findings whose description no earlier finding of the artifact holds, in either column.
 
     Equal descriptions and equal containers are combined before they meet: what is compared
@@ -34,7 +35,7 @@ def drop_known(findings: DataFrame) -> DataFrame:
     """
     texts = findings.select("artifact_id", "seq", F.explode(F.array("description", "indication")).alias("text"))
     held = texts.groupBy("artifact_id", "text").agg(F.min("seq").alias("seq"))
-    d, e = first_per_key(findings).alias("d"), held.alias("e")
+    d, e = first_per_key(findings, by_rule).alias("d"), held.alias("e")
     earlier = (
         (F.col("d.artifact_id") == F.col("e.artifact_id"))
         & (F.col("e.seq") < F.col("d.seq"))
@@ -43,12 +44,12 @@ def drop_known(findings: DataFrame) -> DataFrame:
     return d.join(e, earlier, "left_anti").select(*findings.columns)
 
 
-def dedup_findings(findings: DataFrame, mode: str = "exact") -> DataFrame:
-    """K1: exact keeps the first of equal descriptions; contains also drops those held by an earlier finding."""
+def dedup_findings(findings: DataFrame, mode: str = "exact", by_rule: bool = False) -> DataFrame:
+    """K1: exact keeps the first of equal descriptions (of a rule, with by_rule); contains also drops those held by an earlier finding."""
     if mode == "exact":
-        return first_per_key(findings)
+        return first_per_key(findings, by_rule)
     if mode == "contains":
-        return drop_known(findings)
+        return drop_known(findings, by_rule)
     raise ValueError(f"mode is exact or contains, not {mode}")
 
 

@@ -142,10 +142,17 @@ def encrypted_containers(parts: DataFrame) -> DataFrame:
     return parts.where(marked).select("artifact_id", F.lit("E11").alias("rule_id"), F.lit("info").alias("severity"), F.col("part_path").alias("description"))
 
 
+def encrypted_ole(items: DataFrame) -> DataFrame:
+    """E11 on OLE files: a directory entry, whose name stands as UTF-16 before zero bytes, that names encryption."""
+    names = F.array(*[F.when(F.contains("t", F.lit("".join(c + "\0" for c in name) + "\0\0")), F.lit(name)) for name in ENCRYPTED_STREAMS])
+    found = items.select("artifact_id", F.explode(F.array_compact(names)).alias("description"))
+    return found.withColumn("rule_id", F.lit("E11")).withColumn("severity", F.lit("info"))
+
+
 def embedded_ole_findings(embedded: DataFrame) -> DataFrame:
     """E5: OLE files inside parts (artifact_id, offset)."""
     place = F.concat(F.lit("at byte "), F.col("offset").cast("string"))
-    return embedded.select("artifact_id", _finding("E5", "info", "embedded OLE file", place).alias("f")).select("artifact_id", "f.*")
+    return embedded.select("artifact_id", "offset", _finding("E5", "info", "embedded OLE file", place).alias("f")).select("artifact_id", "offset", "f.*")
 
 
 def hex_ole_findings(blobs: DataFrame) -> DataFrame:

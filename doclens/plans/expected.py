@@ -10,7 +10,6 @@ PRINTABLE_RUN = r"[\x20-\x7e\t\n\r\x0b\x0c]{7,}"
 BASE64_RUN = r"(?:[A-Za-z0-9+/]{4}){13,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"
 PDF_OBJECT = r"[0-9]+ [0-9]+ obj[\x00-\xff]*?endobj"
 RTF_OLE = r"(d0cf11e[\x00-\x66]+)\}"
-RTF_BLOB = r"(?:\\[a-z]+-?[0-9]*|[}{])((?:[0-9a-fA-F]{2}){50,})"
 RTF_AUX = r"[A-Za-z]\}?((?:[0-9a-fA-F]{2}){50,})(?:\{|\\|\})"
 FUNCTION_NAME = r"Function [A-Za-z0-9_]{3,20}"
 URI = r"URI ?\([^)]*\)"

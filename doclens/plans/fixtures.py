@@ -38,8 +38,8 @@ def _bof(kind: int) -> str:
     return _BOF.format(kind=kind)
 
 
-def _sheet(offset: int, visibility: str, xlm: str, name: str = "'S'||lpad(cast(doc_id AS VARCHAR(20)), 6, '0')") -> str:
-    return f"{_bytes(133, 0, 14, 0, offset, 0, 0, 0)}||{visibility}||{xlm}||{name}"
+def _sheet(offset: int, visibility: str, xlm: str, name: str = "'S'||lpad(cast(doc_id AS VARCHAR(20)), 6, '0')", size: int = 7) -> str:
+    return f"{_bytes(133, 0, 14, 0, offset, 0, 0, 0)}||{visibility}||{xlm}||{_bytes(size, 0)}||{name}"
 
 
 def _unless_plain(value: int) -> str:
@@ -49,10 +49,12 @@ def _unless_plain(value: int) -> str:
 
 # A name that no sheet may have, in every seventh workbook.
 _ODD_NAME = "CASE WHEN doc_id % 7 = 3 THEN 'S?'||lpad(cast(doc_id AS VARCHAR(20)), 5, '0') ELSE 'S'||lpad(cast(doc_id AS VARCHAR(20)), 6, '0') END"
+# Ten characters: their number is the first byte of an end mark.
+_TEN = "'T'||lpad(cast(doc_id AS VARCHAR(20)), 9, '0')"
 _EOF = _bytes(10, 0, 0, 0)
 XLS = (
-    f"SELECT doc_id AS artifact_id, {_HEADER}||'Microsoft Excel'||{_bof(5)}||{_sheet(67, 'chr(0)', 'chr(0)')}"
-    f"||{_sheet(83, _unless_plain(2), _unless_plain(1), _ODD_NAME)}||{_sheet(99, _unless_plain(1), 'chr(0)')}"
+    f"SELECT doc_id AS artifact_id, {_HEADER}||'Microsoft Excel'||{_bof(5)}||{_sheet(76, 'chr(0)', 'chr(0)')}"
+    f"||{_sheet(92, _unless_plain(2), _unless_plain(1), _ODD_NAME)}||{_sheet(108, _unless_plain(1), 'chr(0)', _TEN, 10)}"
     f"||{_EOF}||{_bof(16)}||{_EOF}||CASE WHEN doc_id % 5 = 0 THEN {_bof(16)} ELSE {_bof(64)} END||{_EOF}||{_bof(16)}||{_EOF} AS t FROM documents"
 )
 
@@ -64,7 +66,7 @@ _PDF = (
     "||'123 0 obj <</Type /EmbeddedFile>> this.exportDataObject('||BODY||') endobj'||chr(10)"
     "||'5 0 obj <</Type /Filespec /F (downl.SettingContent-ms)>> /Type /ObjStm endobj'||chr(10)"
     "||'6 0 obj <</Type/Filespec /F (plain.txt) /F(' || " + f"{BS}||{BS}||'10.1.2.3'||{BS}||'share)>> endobj'||chr(10)"
-    "||'7 0 obj <</Filter /ASCIIHexDecode>> stream '||lower(hex(" + f"{BS}||'rtf1 '||BODY" + "))||' endstream endobj'"
+    "||'7 0 obj <</Filter /ASCIIHexDecode>> stream '||lower(hex(" + f"{BS}||'rtf1 var x '||BODY" + "))||' endstream endobj'"
 )
 PDF = f"SELECT doc_id AS artifact_id, {_PDF} AS t FROM documents"
 
@@ -92,7 +94,7 @@ def _probe(tokens: list[str], bare: int = -1) -> str:
 
 
 STRING_PROBE = _probe(
-    ["'URLMON'", "'http://a.test/x'", "'CreateFile'", "'cmd /c dir'", "'p.exe'", "'DOS mode'", "'Equation'", "'http://a.microsoft.test/x'", "'kernel32.dll'", "repeat('x.exe', 24)", "'none here'"],
+    ["'URLMON'", "'http://a.test/x'", "'CreateFile'", "'cmd /c dir'", "'p.exe'", "'DOS mode'", "'Equation'", "'http://a.microsoft.test/x'", "'kernel32.dll'", "repeat('x.exe', 24)", "'none here'", "repeat('QUJD', 20)"],
     bare=4,
 )
 MACRO_PROBE = _probe(
@@ -108,10 +110,16 @@ PART_PROBE = (
     f"CASE doc_id % 6 WHEN 0 THEN BODY||'Microsoft Equation 3.0'||{_CLSID} WHEN 1 THEN BODY||{_CLSID} WHEN 2 THEN BODY||'Microsoft Equation 3.0' "
     f"WHEN 3 THEN 'Microsoft Equation 3.0' WHEN 4 THEN BODY||{OLE}||BODY||{_MONIKER} ELSE BODY||{_SHORTCUT}||chr(19)||' DDEAUTO cmd '||BODY||chr(20) END AS t FROM documents"
 )
+# What the hex of an RTF file says, before it is put there: by turns an OLE1 head with an equation, a script, an OLE file, a program.
+RTF_HEX = (
+    "SELECT doc_id AS artifact_id, doc_id % 4 AS k, BODY AS body, CASE doc_id % 4 "
+    "WHEN 0 THEN '01050000020000000b000000'||lower(hex('Equation.3'||chr(0)||BODY)) WHEN 1 THEN lower(hex('Function abc Sub '||BODY))||'0' "
+    "WHEN 2 THEN 'd0cf11e0a1b11ae1'||lower(hex(BODY)) ELSE '4d5a'||repeat('0a', 60)||'546869732070726f6772616d'||repeat('20', 60) END AS h FROM documents"
+)
+# After a control word and its blank, or after a group; with a line end among the digits, or none.
 RTF_PROBE = (
-    f"SELECT doc_id AS artifact_id, '{{'||{BS}||'rtf1 '||{BS}||'objdata '||CASE doc_id % 4 "
-    "WHEN 0 THEN lower(hex('x Equation '||BODY)) WHEN 1 THEN lower(hex('Function abc Sub '||BODY))||'0' "
-    "WHEN 2 THEN 'd0cf11e0a1b11ae1'||lower(hex(BODY)) ELSE '4d5a'||repeat('0a', 60)||'546869732070726f6772616d'||repeat('20', 60) END||'}' AS t FROM documents"
+    f"SELECT artifact_id, '{{'||{BS}||'rtf1 '||CASE WHEN artifact_id % 8 < 4 THEN {BS}||'objdata ' ELSE {BS}||'objupdate{{'||{BS}||'*'||{BS}||'objdata}}'||chr(10) END"
+    f"||left(h, 64)||CASE WHEN artifact_id % 3 = 0 THEN chr(13)||chr(10) ELSE '' END||substr(h, 65)||'}}' AS t FROM ({RTF_HEX}) AS hexes"
 )
 AUX_PROBE = "SELECT doc_id AS artifact_id, '{q z'||lower(hex(BODY))||'{' AS t FROM documents"
 WIDE_PROBE = (
@@ -128,6 +136,7 @@ _PARTS = [
     ("xl/workbook.xml", "'x>&lt;'||BODY"),
     ("_rels/.rels", "'second'"),
     ("ppt/slides/slide1.xml", "'<p>'||BODY||'</p>'"),
+    ("EncryptedPackage", "BODY"),
 ]
 _RELS = (
     "'<Relationships><Relationship Type=\"'||CASE doc_id % 5 "
@@ -168,9 +177,19 @@ FINDINGS = _several(
     )),
     len(_FINDINGS),
 )
+# Files that hold each other, seven of each kind shared by all documents: (a) an OLE file, (b) RTF with its hex, (c) PDF with
+# that in hex, (d) an OLE file around (a). Text with its bytes as characters, and in hex.
+_LEAF = "'shared leaf '||cast(doc_id % 7 AS VARCHAR(20))||repeat(' powershell cmd', 20)"
+_LEAF_HEX = f"'d0cf11e0a1b11ae1'||lower(hex({_LEAF}))"
+_RTF = f"'{{'||{BS}||'rtf1 '||{BS}||'objdata '||{_LEAF_HEX}||'}}'"
+NESTED = (
+    f"SELECT doc_id AS artifact_id, doc_id % 7 AS g, {OLE}||{_LEAF} AS a, {_RTF} AS b, "
+    f"'%PDF-1.4 1 0 obj <</Filter /ASCIIHexDecode>> stream '||lower(hex({_RTF}))||' endstream endobj' AS c, "
+    f"{OLE}||'outer '||{OLE}||{_LEAF} AS d, {_LEAF_HEX} AS a_hex, 'd0cf11e0a1b11ae1'||lower(hex('outer '))||{_LEAF_HEX} AS d_hex, BODY AS body FROM documents"
+)
 TABLES = {
     "xls": XLS, "pdf": PDF, "mixed": MIXED, "string_probe": STRING_PROBE, "macro_probe": MACRO_PROBE, "part_probe": PART_PROBE,
-    "rtf_probe": RTF_PROBE, "aux_probe": AUX_PROBE, "wide_probe": WIDE_PROBE, "parts": PARTS, "findings": FINDINGS,
+    "rtf_hex": RTF_HEX, "rtf_probe": RTF_PROBE, "nested": NESTED, "aux_probe": AUX_PROBE, "wide_probe": WIDE_PROBE, "parts": PARTS, "findings": FINDINGS,
 }
 
 

@@ -16,7 +16,7 @@ from doclens.operators import biff, carve, findings, ooxml, pdf, rules, signatur
 from doclens.plans import expected, fixtures
 from doclens.plans.fixtures import cte, table
 from doclens.sources import artifacts as sources
-from doclens.sources.tables import new_path
+from doclens.sources.tables import new_path, written
 from doclens.streaming import stream
 
 FLAGSHIP = "flagship_top_risky"
@@ -127,8 +127,13 @@ def _deflated_objects(spark, d) -> DataFrame:
 
     turn = F.col("artifact_id") % 3
     text = F.concat(F.when(turn == 0, F.lit("{\\rtf1 ")).when(turn == 1, F.lit("var x; ")).otherwise(F.lit("")), F.col("t"))
-    body = F.concat(F.lit("4 0 obj <</Filter /FlateDecode>> stream\r\n"), lens(deflated(text)), F.lit("\r\nendstream endobj"))
-    return docs(spark, d).select("artifact_id", F.lit(0).alias("ordinal"), body.alias("body"))
+    data = docs(spark, d).select("artifact_id", lens(deflated(text)).alias("data"))
+    # As embedded files have them: a type that ends in -stream, and by turns the length, none, and what only looks like one.
+    length = F.when(turn == 0, F.concat(F.lit(" /Length "), F.length("data").cast("string"))).when(turn == 1, F.lit(" /Length 9 0 R")).otherwise(F.lit(""))
+    head = F.concat(F.lit("4 0 obj <</Filter /FlateDecode /Subtype /application#2Foctet-stream"), length, F.lit(">>"))
+    ends = F.when(turn == 0, F.lit("\r\n")).when(turn == 1, F.lit("\n")).otherwise(F.lit(" "))
+    body = F.concat(head, F.lit(" stream"), ends, F.col("data"), F.lit("\nendstream endobj"))
+    return data.select("artifact_id", F.lit(0).alias("ordinal"), body.alias("body"))
 
 
 _STREAMS = "WITH " + DOCS + r""", streams AS (SELECT artifact_id, CASE artifact_id % 3 WHEN 0 THEN '{\rtf1 ' WHEN 1 THEN 'var x; ' ELSE '' END || t AS t FROM docs)"""
@@ -264,12 +269,16 @@ def g5_g6_f1_carve_rtf_ole(spark, d):
     return _hex(carve.carve_rtf_ole(table(spark, d, "rtf_probe")))
 
 
-@query(cte("rtf_probe") + f", {_clean('rtf_probe')} SELECT artifact_id, pos, value AS hex, {VALID_HEX} AS content_hex FROM {every('cleaned', expected.RTF_BLOB, 1)} WHERE length(value) > 200")
+# The digits as they were put in, whole bytes of them: no pattern finds them here.
+BLOBS = "blobs AS (SELECT artifact_id, k, body, left(h, length(h) - length(h) % 2) AS hex FROM rtf_hex WHERE length(h) - length(h) % 2 > 200)"
+
+
+@query(cte("rtf_hex") + f", {BLOBS} SELECT artifact_id, 0::BIGINT AS pos, hex, hex AS content_hex FROM blobs")
 def g7_carve_rtf_blobs(spark, d):
     return _hex(carve.carve_rtf_blobs(table(spark, d, "rtf_probe")))
 
 
-@query(cte("aux_probe") + f", {_clean('aux_probe')}, first AS (SELECT artifact_id FROM {every('cleaned', expected.RTF_BLOB, 1)} WHERE length(value) > 200) SELECT artifact_id, pos, value AS hex, {VALID_HEX} AS content_hex FROM {every('cleaned', expected.RTF_AUX, 1)} WHERE length(value) > 200 AND artifact_id NOT IN (SELECT artifact_id FROM first)")
+@query(cte("aux_probe") + f", {_clean('aux_probe')} SELECT artifact_id, pos, value AS hex, {VALID_HEX} AS content_hex FROM {every('cleaned', expected.RTF_AUX, 1)} WHERE length(value) > 200")
 def g8_carve_rtf_aux(spark, d):
     return _hex(carve.carve_rtf_aux(table(spark, d, "aux_probe")))
 
@@ -290,8 +299,8 @@ def g12_decode_pdf_ascii_hex(spark, d):
     return longs(carve.decode_pdf_ascii_hex(objects).drop("content"))
 
 
-BOFS = "bofs AS (SELECT artifact_id, unnest([527, 594, 610, 626])::BIGINT AS \"offset\", unnest(['globals', 'worksheet', CASE WHEN artifact_id % 5 = 0 THEN 'worksheet' ELSE 'xlm' END, 'worksheet']) AS substream FROM xls)"
-SHEETS = "sheets AS (SELECT artifact_id, unnest([1, 2, 3])::BIGINT AS sheet_no, unnest([67, 83, 99])::BIGINT AS bof_offset, unnest(CASE WHEN artifact_id % 5 = 0 THEN ['visible', 'visible', 'visible'] ELSE ['visible', 'very hidden', 'hidden'] END) AS visibility, unnest([false, artifact_id % 5 <> 0, false]) AS xlm, t FROM xls)"
+BOFS = "bofs AS (SELECT artifact_id, unnest([527, 603, 619, 635])::BIGINT AS \"offset\", unnest(['globals', 'worksheet', CASE WHEN artifact_id % 5 = 0 THEN 'worksheet' ELSE 'xlm' END, 'worksheet']) AS substream FROM xls)"
+SHEETS = "sheets AS (SELECT artifact_id, unnest([1, 2, 3])::BIGINT AS sheet_no, unnest([76, 92, 108])::BIGINT AS bof_offset, unnest(CASE WHEN artifact_id % 5 = 0 THEN ['visible', 'visible', 'visible'] ELSE ['visible', 'very hidden', 'hidden'] END) AS visibility, unnest([false, artifact_id % 5 <> 0, false]) AS xlm, t FROM xls)"
 # Read from the bytes, not from the layout: places of the marks, one after the other.
 MARKS = "SELECT artifact_id, i::BIGINT AS \"offset\" FROM (SELECT artifact_id, t, unnest(range(length(t))) AS i FROM xls) WHERE substr(t, i + 1, {n}) = {mark}"
 
@@ -301,7 +310,7 @@ def g13_x2_carve_bof(spark, d):
     return longs(carve.carve_bof(table(spark, d, "xls")))
 
 
-@query(cte("xls") + "SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY i) AS sheet_no, i::BIGINT AS record_offset, ord(t[i + 5])::BIGINT AS bof_offset, CASE ord(t[i + 9]) WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' ELSE 'very hidden' END AS visibility, ord(t[i + 10]) = 1 AS xlm, regexp_extract(substr(t, i + 11, 16), '^(S[0-9?]+)', 1) AS sheet_name FROM (SELECT artifact_id, t, unnest(range(length(t) - 9)) AS i FROM xls) WHERE substr(t, i + 1, 4) = chr(133)||chr(0)||chr(14)||chr(0)")
+@query(cte("xls") + "SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY i) AS sheet_no, i::BIGINT AS record_offset, ord(t[i + 5])::BIGINT AS bof_offset, CASE ord(t[i + 9]) WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' ELSE 'very hidden' END AS visibility, ord(t[i + 10]) = 1 AS xlm, regexp_extract(substr(t, i + 13, 10), '^([ST][0-9?]+)', 1) AS sheet_name FROM (SELECT artifact_id, t, unnest(range(length(t) - 9)) AS i FROM xls) WHERE substr(t, i + 1, 4) = chr(133)||chr(0)||chr(14)||chr(0)")
 def g14_g15_carve_boundsheets(spark, d):
     return longs(carve.carve_boundsheets(table(spark, d, "xls")))
 
@@ -348,7 +357,7 @@ def v6_v7_attributes(spark, d):
 
 
 @query(cte("xls") + "SELECT artifact_id, bool_or(contains(t, r3)) AS x3_hidden_sheet, bool_or(contains(t, r4)) AS x4_xlm_sheet, bool_or(contains(t, r2)) AS x2_xlm_substream FROM "
-    + "(SELECT *, chr(133)||chr(0)||chr(14)||chr(0)||chr(83)||chr(0)||chr(0)||chr(0) AS r, r||chr(2) AS r3, r||chr(2)||chr(1) AS r4, chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr(64) AS r2 FROM xls) GROUP BY artifact_id")
+    + "(SELECT *, chr(133)||chr(0)||chr(14)||chr(0)||chr(92)||chr(0)||chr(0)||chr(0) AS r, r||chr(2) AS r3, r||chr(2)||chr(1) AS r4, chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr(64) AS r2 FROM xls) GROUP BY artifact_id")
 def a2_x2_x3_x4_sheet_flags(spark, d):
     xls = table(spark, d, "xls")
     return biff.sheet_flags(carve.carve_boundsheets(xls), carve.carve_bof(xls))
@@ -365,10 +374,15 @@ def e11_f8_encrypted(spark, d):
     return rules.encrypted_containers(table(spark, d, "part_probe"))
 
 
-@query(cte("rtf_probe") + f""", {_clean('rtf_probe')}, blobs AS (SELECT artifact_id, value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', expected.RTF_BLOB, 1)} WHERE length(value) > 200),
-t AS (SELECT artifact_id, hex, coalesce(decode(from_hex(ok), 'replace'), '') AS t FROM blobs WHERE ok IS NULL OR NOT contains(ok, 'd0cf11'))
-SELECT artifact_id, 'E4' AS rule_id FROM t WHERE regexp_matches(t, '(?i)equation') UNION ALL SELECT artifact_id, 'E7' FROM t
-UNION ALL SELECT artifact_id, 'E8' FROM t WHERE contains(t, 'Function') OR contains(t, 'Sub ') UNION ALL SELECT artifact_id, 'E9' FROM t WHERE regexp_matches(hex, '{expected.PE_IN_HEX}')""")
+def _blob_rules_sql(columns: str = "artifact_id, ") -> str:
+    """E4, E7, E8 and E9 by what the blobs say in clear."""
+    return (
+        f"SELECT {columns}'E4' AS rule_id FROM blobs WHERE k = 0 OR k < 3 AND regexp_matches(body, '(?i)equation') UNION ALL SELECT {columns}'E7' FROM blobs "
+        f"UNION ALL SELECT {columns}'E8' FROM blobs WHERE k = 1 OR k < 3 AND (contains(body, 'Function') OR contains(body, 'Sub ')) UNION ALL SELECT {columns}'E9' FROM blobs WHERE k = 3"
+    )
+
+
+@query(cte("rtf_hex") + f", {BLOBS}, found AS ({_blob_rules_sql()}) SELECT artifact_id, rule_id FROM found WHERE artifact_id % 4 <> 2")
 def e4_e7_e8_e9_blob_findings(spark, d):
     blobs = carve.carve_rtf_blobs(table(spark, d, "rtf_probe")).where("content is null or not contains(lower(hex), 'd0cf11')")
     return rules.blob_findings(blobs.withColumn("t", lens("content"))).select("artifact_id", "rule_id")
@@ -610,102 +624,185 @@ def flagship_top_risky(spark, d):
     return findings.top_risky(findings.dedup_findings(found), 20)
 
 
-_DEPTH = f"""{{cte}}, c AS (SELECT artifact_id, regexp_extract(translate(t, ' ', ''), '(d0cf11e[\\x00-\\x66]+)\\}}', 1) AS h FROM rtf_probe)
-SELECT artifact_id AS root_id, 0::BIGINT AS depth, 'rtf' AS kind FROM rtf_probe
-UNION ALL SELECT artifact_id, 1::BIGINT, 'ole' FROM c WHERE length(h) > 200 AND length(h) % 2 = 0"""
-
-
-@query(_DEPTH.replace("{cte}", cte("rtf_probe")).replace("\\}}", "\\}"))
+@query(cte("rtf_hex") + "SELECT artifact_id AS root_id, 0::BIGINT AS depth, 'rtf' AS kind FROM rtf_hex UNION ALL SELECT artifact_id, 1::BIGINT, 'ole' FROM rtf_hex WHERE k = 2 AND length(h) > 200")
 def c1_triage(spark, d):
     return triage.triage(table(spark, d, "rtf_probe"), 2).select("root_id", "depth", "kind")
 
 
-def _triage_roots(spark, d) -> DataFrame:
-    """Artifacts of every kind from the derived tables: text, RTF, PDF, workbooks, parts, and containers zipped from parts."""
+def _zip(members: dict[str, bytes]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for path, data in members.items():
+            z.writestr(zipfile.ZipInfo(path), data, zipfile.ZIP_DEFLATED)  # without the time: equal members make equal files
+    return buffer.getvalue()
+
+
+def _zipped(rows: DataFrame) -> DataFrame:
+    """(artifact_id, t) of containers of the members (artifact_id, ordinal, part_path, t); U1: a path's first member."""
 
     def zipped(members: pa.Table) -> pa.Table:
-        buffer = io.BytesIO()
-        rows = members.sort_by("ordinal").to_pylist()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for path, r in {r["part_path"]: r for r in reversed(rows)}.items():  # U1: a path's first member
-                z.writestr(path, r["t"])
-        return pa.table({"artifact_id": pa.array([rows[0]["artifact_id"]], pa.int64()), "content": pa.array([buffer.getvalue()], pa.binary())})
-
-    containers = table(spark, d, "parts").select("artifact_id", "ordinal", "part_path", "t").groupBy("artifact_id").applyInArrow(zipped, "artifact_id long, content binary")
-    tables = [
-        table(spark, d, "macro_probe").select("artifact_id", F.col("value").alias("t")),
-        *[table(spark, d, name).select("artifact_id", "t") for name in ("rtf_probe", "pdf", "xls", "part_probe")],
-        containers.select("artifact_id", lens("content").alias("t")),
-    ]
-    numbered = [t.select((F.col("artifact_id") * 8 + k).alias("artifact_id"), "t") for k, t in enumerate(tables)]
-    every_kind = numbered[0]
+        found = members.sort_by("ordinal").to_pylist()
+        data = _zip({r["part_path"]: r["t"].encode("latin-1") for r in reversed(found)})
+        return pa.table({"artifact_id": pa.array([found[0]["artifact_id"]], pa.int64()), "content": pa.array([data], pa.binary())})
+
+    return rows.groupBy("artifact_id").applyInArrow(zipped, "artifact_id long, content binary").select("artifact_id", lens("content").alias("t"))
+
+
+ROOT_TABLES = ("macro_probe", "rtf_probe", "pdf", "xls", "part_probe", "parts", "string_probe")
+
+
+def _triage_roots(spark, d) -> DataFrame:
+    """Artifacts of every kind from the derived tables, containers zipped from parts; and one container a document that holds them all."""
+    tables = []
+    for name in ROOT_TABLES:
+        rows = table(spark, d, name)
+        rows = rows.withColumnRenamed("value", "t") if "value" in rows.columns else rows
+        tables.append(_zipped(rows.select("artifact_id", "ordinal", "part_path", "t")) if name == "parts" else rows.select("artifact_id", "t"))
+    numbered = [t.select("artifact_id", F.lit(k).cast("bigint").alias("ordinal"), F.lit(f"m{k}.bin").alias("part_path"), "t") for k, t in enumerate(tables)]
+    members = numbered[0]
     for t in numbered[1:]:
-        every_kind = every_kind.unionByName(t)
-    return every_kind
+        members = members.unionByName(t)
+    members = written(members, "fixture-members")
+    single = members.select((F.col("artifact_id") * 8 + F.col("ordinal")).alias("artifact_id"), "t")
+    return single.unionByName(_zipped(members).withColumn("artifact_id", F.col("artifact_id") * 8 + 7))
 
 
 def _triage_sql() -> str:
-    """Findings of every family, by rule and depth, from the derived tables alone."""
+    """Findings of every family, by rule, severity and depth, from the derived tables alone."""
     ctes = [
-        f"hexed AS (SELECT artifact_id, regexp_extract(translate(t, ' ', ''), '{expected.RTF_OLE}', 1) AS h FROM rtf_probe)",
-        f"ole AS (SELECT artifact_id * 8 + 3 AS artifact_id, 0 AS depth, t FROM xls UNION ALL SELECT artifact_id * 8 + 1, 1, {OLE} || decode(from_hex(substr(h, 17))) FROM hexed WHERE length(h) > 200 AND length(h) % 2 = 0 "
-        f"UNION ALL SELECT artifact_id * 8 + 4, 1, substr(t, instr(t, {OLE})) FROM part_probe WHERE instr(t, {OLE}) > 1)",
-        "content AS (SELECT * FROM ole UNION ALL SELECT artifact_id * 8, 0, value FROM macro_probe UNION ALL SELECT artifact_id * 8 + 4, 0, t FROM part_probe "
-        "UNION ALL SELECT artifact_id * 8 + 2, 1, chr(92) || 'rtf1 ' || regexp_extract(t, '123 0 obj <</Type /EmbeddedFile>> this.exportDataObject.(.*). endobj', 1) FROM pdf "
-        "UNION ALL SELECT artifact_id * 8 + 5, 1, t FROM parts WHERE part_path LIKE '%.bin')",
-        f"strings AS (SELECT artifact_id, depth, value FROM {every('content', expected.ASCII_RUN, keep='artifact_id, depth')} "
-        f"UNION ALL SELECT artifact_id, depth, replace(value, chr(0), '') FROM {every('content', expected.WIDE_RUN, keep='artifact_id, depth')})",
-        f"objects AS (SELECT artifact_id, value AS body FROM {every('pdf', expected.PDF_OBJECT)})",
+        BLOBS,
+        f"ole AS (SELECT 0 AS depth, t FROM xls UNION ALL SELECT 1, {OLE} || body FROM rtf_hex WHERE k = 2 AND length(h) > 200 "
+        f"UNION ALL SELECT 1, substr(t, instr(t, {OLE})) FROM part_probe WHERE instr(t, {OLE}) > 1)",
+        "content AS (SELECT * FROM ole UNION ALL SELECT 0, value FROM macro_probe UNION ALL SELECT 0, t FROM part_probe UNION ALL SELECT 0, value FROM string_probe "
+        "UNION ALL SELECT 1, chr(92) || 'rtf1 var x ' || regexp_extract(t, '123 0 obj <</Type /EmbeddedFile>> this.exportDataObject.(.*). endobj', 1) FROM pdf "
+        "UNION ALL SELECT 1, t FROM parts WHERE part_path LIKE '%.bin')",
+        f"strings AS (SELECT depth, value FROM {every('content', expected.ASCII_RUN, keep='depth')} UNION ALL SELECT depth, replace(value, chr(0), '') FROM {every('content', expected.WIDE_RUN, keep='depth')})",
+        f"objects AS (SELECT value AS body FROM {every('pdf', expected.PDF_OBJECT)})",
         _clean("rtf_probe"),
-        f"blobs AS (SELECT artifact_id, value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', expected.RTF_BLOB, 1)} WHERE length(value) > 200)",
-        f"aux AS (SELECT artifact_id, value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', expected.RTF_AUX, 1)} WHERE length(value) > 200 AND artifact_id NOT IN (SELECT artifact_id FROM blobs))",
-        "every_blob AS (SELECT artifact_id, hex, coalesce(CASE WHEN starts_with(ok, 'd0cf11e0a1b11ae1') THEN decode(from_hex(substr(ok, 17))) ELSE decode(from_hex(ok), 'replace') END, '') AS t FROM (SELECT * FROM blobs UNION ALL SELECT * FROM aux))",
-        "members AS (SELECT artifact_id * 8 + 5 AS artifact_id, part_path, arg_min(t, ordinal) AS t FROM parts GROUP BY ALL)",
-        "cells AS (SELECT artifact_id, regexp_extract(t, '<v>([^<]*)</v>', 1) AS value FROM members WHERE part_path LIKE '%worksheets%' UNION ALL SELECT artifact_id, 'inline' FROM members WHERE part_path LIKE '%worksheets%')",
+        f"aux AS (SELECT value AS hex, {VALID_HEX} AS ok FROM {every('cleaned', expected.RTF_AUX, 1)} WHERE length(value) > 200 AND artifact_id NOT IN (SELECT artifact_id FROM blobs))",
+        "aux_text AS (SELECT hex, coalesce(decode(from_hex(ok), 'replace'), '') AS t FROM aux)",
+        "members AS (SELECT artifact_id, part_path, arg_min(t, ordinal) AS t FROM parts GROUP BY ALL)",
+        "cells AS (SELECT regexp_extract(t, '<v>([^<]*)</v>', 1) AS value FROM members WHERE part_path LIKE '%worksheets%' UNION ALL SELECT 'inline' FROM members WHERE part_path LIKE '%worksheets%')",
     ]
     flags = [
-        ("D2", "/Type ?/EmbeddedFile"), ("D3", "/Type ?/ObjStm"), ("D8", r"/AA\b"), ("D9", "/OpenAction"), ("D12", "/Launch"), ("D14", "/SubmitForm"),
-        ("D4", expected.EXPORT), ("D6", expected.UNC), ("D7", "JS [0-9]+ 0 R"), ("D10", "/O [0-9]+ 0 R"), ("D11", "/OpenAction [0-9]+ 0 R"), ("D13", "/GoTo[RE]?"),
+        ("D2", "/Type ?/EmbeddedFile", "high"), ("D3", "/Type ?/ObjStm", "medium"), ("D8", r"/AA\b", "info"), ("D9", "/OpenAction", "info"), ("D12", "/Launch", "info"), ("D14", "/SubmitForm", "info"),
+        ("D4", expected.EXPORT, "high"), ("D6", expected.UNC, "high"), ("D7", "JS [0-9]+ 0 R", "info"), ("D10", "/O [0-9]+ 0 R", "info"), ("D11", "/OpenAction [0-9]+ 0 R", "info"), ("D13", "/GoTo[RE]?", "info"),
     ]
     rels = "CASE " + " ".join(f"WHEN regexp_matches(t, {quoted(p)}) THEN '{r}'" for r, p in expected.RELS) + " END"
-    sheets = "chr(133)||chr(0)||chr(14)||chr(0)||chr(83)||chr(0)||chr(0)||chr(0)||chr(2)"
+    sheets = "chr(133)||chr(0)||chr(14)||chr(0)||chr(92)||chr(0)||chr(0)||chr(0)||chr(2)"
+    blob_severity = "CASE rule_id WHEN 'E4' THEN 'high' WHEN 'E9' THEN 'high' ELSE 'medium' END"
     found = [
-        f"SELECT rule_id, depth FROM ({rules_sql('strings', 'artifact_id, depth', expected.STRING_RULES)})",
-        f"SELECT rule_id, depth FROM ({rules_sql('content', 'artifact_id, depth', expected.MACRO_RULES, v='t')})",
-        f"SELECT CASE WHEN c AND p THEN 'E1' WHEN c THEN 'E2' ELSE 'E3' END, depth FROM (SELECT depth, contains(t, {fixtures._CLSID}) AS c, contains(t, 'Microsoft Equation 3.0') AS p FROM content WHERE length(t) > 50) WHERE c OR p",
-        f"SELECT 'E12', depth FROM content WHERE regexp_matches(t, '{expected.BASE64_RUN}')",
-        f"SELECT 'D16', depth FROM {every('content', chr(92) + 'x13' + chr(92) + 's*DDEAUTO[^' + chr(92) + 'x14]+', keep='artifact_id, depth')}",
-        f"SELECT 'J1', depth FROM ole, {_CLASS_IDS} WHERE contains(t, sig)",
-        f"SELECT 'X3', depth FROM ole WHERE contains(t, {sheets})",
-        f"SELECT 'X4', depth FROM ole WHERE contains(t, {sheets}||chr(1))",
-        "SELECT 'X2', depth FROM ole WHERE contains(t, chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr(64))",
-        "SELECT 'E6', 0 FROM hexed WHERE length(h) > 200",
-        "SELECT 'E7', 0 FROM every_blob",
-        "SELECT 'E4', 0 FROM every_blob WHERE regexp_matches(t, '(?i)equation')",
-        "SELECT 'E8', 0 FROM every_blob WHERE contains(t, 'Function') OR contains(t, 'Sub ')",
-        f"SELECT 'E9', 0 FROM every_blob WHERE regexp_matches(hex, '{expected.PE_IN_HEX}')",
-        f"SELECT 'D1', 0 FROM {every('pdf', expected.URI)}",
-        *[f"SELECT '{r}', 0 FROM objects WHERE regexp_matches(body, '{p}')" for r, p in flags],
-        f"SELECT 'D5', 0 FROM objects WHERE regexp_matches(body, '/Type ?/Filespec') AND regexp_matches(body, '{expected.FILE_REF}')",
-        "SELECT 'E10', 0 FROM pdf",
-        f"SELECT {rels}, 0 FROM members WHERE part_path LIKE '%.rels' AND {rels} IS NOT NULL",
-        "SELECT 'O5', 0 FROM members WHERE part_path LIKE '%webSettings%'",
-        "SELECT 'O6', 0 FROM members WHERE part_path LIKE '%document.xml'",
-        "SELECT 'O7', 0 FROM members WHERE part_path LIKE '%workbook.xml'",
-        "SELECT 'O8', 0 FROM members WHERE part_path LIKE '%worksheets%'",
-        "SELECT 'O9', 0 FROM members WHERE part_path LIKE '%sharedStrings%'",
-        "SELECT 'O10', 0 FROM members WHERE part_path LIKE '%activeX%'",
-        f"SELECT rule_id, 0 FROM ({rules_sql('cells', 'artifact_id', expected.STRING_RULES)})",
+        f"SELECT rule_id, severity, depth FROM ({rules_sql('strings', 'depth', expected.STRING_RULES)}) WHERE length(description) > 8",
+        f"SELECT rule_id, severity, depth FROM ({rules_sql('content', 'depth', expected.MACRO_RULES, v='t')})",
+        f"SELECT CASE WHEN c AND p THEN 'E1' WHEN c THEN 'E2' ELSE 'E3' END, CASE WHEN c THEN 'high' ELSE 'info' END, depth FROM (SELECT depth, contains(t, {fixtures._CLSID}) AS c, contains(t, 'Microsoft Equation 3.0') AS p FROM content WHERE length(t) > 50) WHERE c OR p",
+        f"SELECT 'E5', 'info', depth FROM content WHERE instr(t, {OLE}) > 1",
+        f"SELECT 'E12', 'low', depth FROM content WHERE regexp_matches(t, '{expected.BASE64_RUN}')",
+        f"SELECT 'D16', 'high', depth FROM {every('content', chr(92) + 'x13' + chr(92) + 's*DDEAUTO[^' + chr(92) + 'x14]+', keep='depth')}",
+        f"SELECT 'J1', 'info', depth FROM ole, {_CLASS_IDS} WHERE contains(t, sig)",
+        f"SELECT 'X3', 'high', depth FROM ole WHERE contains(t, {sheets})",
+        f"SELECT 'X4', 'info', depth FROM ole WHERE contains(t, {sheets}||chr(1))",
+        "SELECT 'X2', 'high', depth FROM ole WHERE contains(t, chr(9)||chr(8)||chr(16)||chr(0)||chr(0)||chr(6)||chr(64))",
+        "SELECT 'E6', 'medium', 0 FROM rtf_hex WHERE k = 2 AND length(h) > 200",
+        f"SELECT rule_id, {blob_severity}, 0 FROM ({_blob_rules_sql('')})",
+        "SELECT 'E7', 'medium', 0 FROM aux_text UNION ALL SELECT 'E4', 'high', 0 FROM aux_text WHERE regexp_matches(t, '(?i)equation') UNION ALL SELECT 'E8', 'medium', 0 FROM aux_text WHERE contains(t, 'Function') OR contains(t, 'Sub ')",
+        f"SELECT 'D1', 'medium', 0 FROM {every('pdf', expected.URI)}",
+        *[f"SELECT '{r}', '{severity}', 0 FROM objects WHERE regexp_matches(body, '{p}')" for r, p, severity in flags],
+        f"SELECT 'D5', CASE WHEN contains(body, 'downl.SettingContent-ms') THEN 'high' ELSE 'info' END, 0 FROM objects WHERE regexp_matches(body, '/Type ?/Filespec') AND regexp_matches(body, '{expected.FILE_REF}')",
+        "SELECT 'E10', 'high', 0 FROM pdf UNION ALL SELECT 'D15', 'info', 0 FROM pdf",
+        f"SELECT {rels}, CASE WHEN {rels} = 'O2' THEN 'medium' ELSE 'high' END, 0 FROM members WHERE part_path LIKE '%.rels' AND {rels} IS NOT NULL",
+        "SELECT 'O5', 'high', 0 FROM members WHERE part_path LIKE '%webSettings%'",
+        "SELECT 'O6', 'high', 0 FROM members WHERE part_path LIKE '%document.xml'",
+        "SELECT 'O7', 'info', 0 FROM members WHERE part_path LIKE '%workbook.xml'",
+        "SELECT 'O8', 'medium', 0 FROM members WHERE part_path LIKE '%worksheets%'",
+        "SELECT 'O9', 'info', 0 FROM members WHERE part_path LIKE '%sharedStrings%'",
+        "SELECT 'O10', 'low', 0 FROM members WHERE part_path LIKE '%activeX%'",
+        "SELECT 'E11', 'info', 0 FROM members WHERE part_path = 'EncryptedPackage'",
+        f"SELECT rule_id, severity, 0 FROM ({rules_sql('cells', '1', expected.STRING_RULES)})",
     ]
-    tables = cte("macro_probe", "rtf_probe", "pdf", "xls", "part_probe", "parts").rstrip()
-    return f"{tables}, {', '.join(ctes)}, found(rule_id, depth) AS ({' UNION ALL '.join(found)}) SELECT rule_id, depth::BIGINT AS depth, count(*) AS n FROM found GROUP BY ALL"
+    tables = cte("macro_probe", "rtf_hex", "rtf_probe", "pdf", "xls", "part_probe", "parts", "string_probe").rstrip()
+    return (
+        f"{tables}, {', '.join(ctes)}, own(rule_id, severity, depth) AS ({' UNION ALL '.join(found)}), "
+        "found AS (SELECT * FROM own UNION ALL SELECT rule_id, severity, depth + 1 FROM own) "  # once by itself, once in the container that holds all
+        "SELECT rule_id, severity, depth::BIGINT AS depth, count(*) AS n FROM found GROUP BY ALL"
+    )
 
 
 @query(_triage_sql())
 def triage_all_families(spark, d):
-    """Every rule of every family over artifacts of all kinds, and what is embedded in them: findings by rule and depth."""
-    found = triage.triage_all(_triage_roots(spark, d), 2, dedup=None)
-    return found.groupBy("rule_id", "depth").agg(F.count("*").alias("n"))
+    """Every rule of every family over artifacts of all kinds, alone and inside a container: findings by rule, severity and depth."""
+    found = triage.triage_all(_triage_roots(spark, d), dedup=None)
+    return found.groupBy("rule_id", "severity", "depth").agg(F.count("*").alias("n"))
+
+
+def _nested_roots(spark, d) -> DataFrame:
+    """By turns: a container around a shared container around a shared PDF; the PDF; RTF; OLE around OLE; the shared container."""
+
+    @F.arrow_udf("binary")
+    def container(paths: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+        """first under a path, and second beside it where there is one."""
+        rows = zip(paths.to_pylist(), first.to_pylist(), second.to_pylist(), strict=True)
+        return pa.array([_zip({p: a, **({"d.txt": b.encode()} if b is not None else {})}) for p, a, b in rows], pa.binary())
+
+    rows, turn = table(spark, d, "nested"), F.col("artifact_id") % 5
+    shared = container(F.lit("word/embeddings/p.bin"), unlens("c"), F.lit(None).cast("string"))
+    rows = rows.select("*", shared.alias("shared")).select("*", container(F.lit("in.docx"), F.col("shared"), F.col("body")).alias("whole"))
+    t = F.when(turn == 0, lens("whole")).when(turn == 1, F.col("c")).when(turn == 2, F.col("b")).when(turn == 3, F.col("d")).otherwise(lens("shared"))
+    return rows.select("artifact_id", t.alias("t"))
+
+
+_NESTED_SQL = """WITH RECURSIVE {tables},
+label AS (SELECT artifact_id AS root_id, CASE artifact_id % 5 WHEN 0 THEN 'w' || g || body WHEN 1 THEN 'c' || g WHEN 2 THEN 'b' || g WHEN 3 THEN 'd' || g ELSE 's' || g END AS node, g FROM nested),
+names AS (
+  SELECT DISTINCT 'a' || g AS node, 'ole' AS kind, sha256(from_hex(a_hex)) AS sha256 FROM nested UNION SELECT 'b' || g, 'rtf', sha256(b) FROM nested UNION SELECT 'c' || g, 'pdf', sha256(c) FROM nested
+  UNION SELECT 'd' || g, 'ole', sha256(from_hex(d_hex)) FROM nested UNION SELECT 's' || g, 'ooxml', NULL FROM nested UNION SELECT node, 'ooxml', NULL FROM label WHERE starts_with(node, 'w')),
+holds AS (
+  SELECT DISTINCT node AS parent, 's' || g AS child FROM label WHERE starts_with(node, 'w') UNION SELECT 's' || g, 'c' || g FROM nested
+  UNION SELECT 'c' || g, 'b' || g FROM nested UNION SELECT 'b' || g, 'a' || g FROM nested UNION SELECT 'd' || g, 'a' || g FROM nested),
+reach AS (SELECT root_id, node, 0 AS depth FROM label UNION SELECT root_id, child, depth + 1 FROM reach JOIN holds ON parent = node)
+"""
+
+
+def _nested_sql(select: str) -> str:
+    return _NESTED_SQL.format(tables=cte("nested").removeprefix("WITH ").rstrip()) + select
+
+
+@query(_nested_sql("SELECT root_id, depth::BIGINT AS depth, kind, sha256 FROM reach JOIN names USING (node)"))
+def c1_closure(spark, d):
+    """What each artifact holds, up to four levels down; a container's digest is left out, as SQL cannot deflate."""
+    found = triage.closure(_nested_roots(spark, d)).reached
+    return found.select("root_id", "depth", "kind", F.when(F.col("kind") != "ooxml", F.col("sha256")).alias("sha256"))
+
+
+@query(_nested_sql("SELECT kind, count(DISTINCT node) AS n_opened, count(*) AS n_held FROM reach JOIN names USING (node) GROUP BY kind"))
+def c1_opened_once(spark, d):
+    """How many contents of each kind were opened, and how often artifacts hold them."""
+    corpus = triage.closure(_nested_roots(spark, d))
+    held = corpus.reached.groupBy("kind").agg(F.count("*").alias("n_held"))
+    return corpus.nodes.groupBy("kind").agg(F.count("*").alias("n_opened")).join(held, "kind").select("kind", "n_opened", "n_held")
+
+
+_LOSS_SQL = """, kinds AS (SELECT CASE artifact_id % 4 WHEN 0 THEN 'S3 container' WHEN 1 THEN CASE WHEN length(body) > 1000 THEN 'S3 larger than max_bytes' END WHEN 2 THEN 'S4 damaged' ELSE 'C1 deeper than max_depth' END AS loss FROM nested)
+SELECT loss, count(*) AS n FROM kinds WHERE loss IS NOT NULL GROUP BY loss"""
+
+
+@query(cte("nested") + _LOSS_SQL)
+def c1_losses(spark, d):
+    """What was not read, by reason: cut containers, members beyond the limit, damaged streams, levels beyond the depth asked for."""
+
+    @F.arrow_udf("binary")
+    def container(ids: pa.Array, bodies: pa.Array, leaves: pa.Array) -> pa.Array:
+        out = []
+        for k, body, leaf in zip(ids.to_pylist(), bodies.to_pylist(), leaves.to_pylist(), strict=True):
+            data = _zip({"x.bin": body.encode(), "n": str(k).encode()}) if k % 4 < 2 else _zip({"in.docx": _zip({"a.bin": leaf}), "n": str(k).encode()})
+            out.append(data[: len(data) // 2] if k % 4 == 0 else data)
+        return pa.array(out, pa.binary())
+
+    rows = table(spark, d, "nested")
+    broken = F.concat(F.lit("%PDF-1.4 1 0 obj <</Filter /FlateDecode>> stream\nxx"), F.col("artifact_id").cast("string"), F.lit("\nendstream endobj"))
+    t = F.when(F.col("artifact_id") % 4 == 2, broken).otherwise(lens(container("artifact_id", "body", unlens("a"))))
+    found = triage.triage_all(rows.select("artifact_id", t.alias("t")), max_depth=1, dedup=None, max_bytes=1000).where("rule_id in ('S3', 'S4', 'C1')")
+    reason = F.regexp_extract("description", "(larger than max_bytes|damaged|deeper than max_depth|container)", 1)
+    return found.groupBy(F.concat_ws(" ", "rule_id", reason).alias("loss")).agg(F.count("*").alias("n"))
 
 
 # --- streams ---

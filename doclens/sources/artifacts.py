@@ -45,19 +45,23 @@ def artifacts_from_table(df: DataFrame, id_col: str, value_col: str) -> DataFram
     return rows.withColumn("length", F.octet_length("content").cast("bigint")).withColumn("t", lens("content"))
 
 
-PARTS = "artifact_id bigint, ordinal int, part_path string, content binary, problem string"
+#: Limits of what is unpacked: members of a container, and bytes of a member or stream.
+MAX_PARTS, MAX_BYTES = 10_000, 64 << 20
 
 
-def expand_archives(artifacts: DataFrame, max_parts: int = 10_000, max_bytes: int = 64 << 20) -> DataFrame:
+def expand_archives(artifacts: DataFrame, max_parts: int = MAX_PARTS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """S3: the members of zip containers, one row each; a path that repeats is kept once.
 
     Members beyond max_parts or larger than max_bytes, and archives that cannot be read,
     come back as one row with the reason in problem and no content. Rows are dealt anew by
-    artifact first, since a few large archives often come from one input split.
+    artifact first, since a few large archives often come from one input split. artifact_id may
+    be a number or a string.
     """
+    by_text = dict(artifacts.dtypes)["artifact_id"] == "string"
+    id_type = "string" if by_text else "bigint"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
+        kinds = [pa.string() if by_text else pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
         names = ["artifact_id", "ordinal", "part_path", "content", "problem"]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -93,11 +97,12 @@ def expand_archives(artifacts: DataFrame, max_parts: int = 10_000, max_bytes: in
                 if rows:
                     yield batch_of(rows)
 
-    keyed = artifacts.select(F.col("artifact_id").cast("bigint").alias("artifact_id"), "content")
-    return keyed.repartition("artifact_id").mapInArrow(expand, PARTS)
+    keyed = artifacts.select(F.col("artifact_id").cast(id_type).alias("artifact_id"), "content")
+    schema = f"artifact_id {id_type}, ordinal int, part_path string, content binary, problem string"
+    return keyed.repartition("artifact_id").mapInArrow(expand, schema)
 
 
-def inflate(stream: Column, max_bytes: int = 64 << 20) -> Column:
+def inflate(stream: Column, max_bytes: int = MAX_BYTES) -> Column:
     """(content, problem) of a zlib stream in a binary column; content is null where problem says why."""
 
     @F.arrow_udf("struct<content: binary, problem: string>")
