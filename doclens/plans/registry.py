@@ -16,6 +16,7 @@ from doclens.operators import biff, carve, findings, ooxml, pdf, rules, signatur
 from doclens.plans import expected, fixtures
 from doclens.plans.fixtures import cte, table
 from doclens.sources import artifacts as sources
+from doclens.sources import ranges as range_source
 from doclens.sources.tables import new_path, written
 from doclens.streaming import stream
 
@@ -118,6 +119,22 @@ def s3_expand_archives(spark, d):
     return sources.expand_archives(packed).select("artifact_id", "part_path", F.sha2("content", 256).alias("sha256"))
 
 
+def _range_sql() -> str:
+    """Strings by kind over all texts, each ended by a byte that no string holds."""
+    kinds = (("ascii", expected.ASCII_RUN), ("printable", expected.PRINTABLE_RUN), ("base64", expected.BASE64_RUN))
+    found = " UNION ALL ".join(f"SELECT '{k}' AS kind, value FROM {every('docs', p)}" for k, p in kinds)
+    return "WITH " + DOCS + f" SELECT kind, value, count(*) AS n FROM ({found}) GROUP BY ALL"
+
+
+@query(_range_sql())
+def s1_range_strings(spark, d):
+    """Documents as a few large files, read in ranges far smaller than the files: their strings, wherever a range ends."""
+    path = new_path(spark, "range-files")
+    docs(spark, d).select("t").coalesce(2).write.option("lineSep", "\x01").text(path)
+    found = range_source.carve_range_strings(range_source.scan_ranges(spark, path, 50_000), ("ascii", "printable", "base64"))
+    return found.groupBy("kind", F.decode("value", "UTF-8").alias("value")).agg(F.count("*").alias("n"))
+
+
 def _deflated_objects(spark, d) -> DataFrame:
     """Every document as a deflated stream of its whole text, by turns after an RTF head, after script, or bare."""
 
