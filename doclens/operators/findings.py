@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from doclens.operators.anchored import holding_pairs
+
 SEVERITIES = ["info", "low", "medium", "high"]
 
 
@@ -116,5 +118,13 @@ def shared_indicators(findings: DataFrame) -> DataFrame:
 
 
 def match_signatures(parts: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Signatures (sig, label) that a part's lens text holds; Spark broadcasts the table when it is small."""
-    return parts.join(signatures, F.contains(parts["t"], signatures["sig"])).select("artifact_id", "label")
+    """(artifact_id, label) of the signatures (sig, label) that a part's lens text holds.
+
+    For tables of any size: parts and signatures meet by each signature's rarest gram, and the
+    signatures of a part are then looked for in its text, once for all its labels.
+    """
+    rows = signatures.groupBy(F.col("sig").alias("pattern")).agg(F.collect_list("label").alias("labels"))
+    rows = rows.select("pattern", F.struct("pattern", "labels").alias("pattern_id"))
+    may_hold = holding_pairs(parts.select("artifact_id", "t"), rows, ["artifact_id"], "t")
+    held = F.filter("pattern_ids", lambda p: F.contains(F.col("t"), p["pattern"]))
+    return may_hold.select("artifact_id", F.explode(F.flatten(F.transform(held, lambda p: p["labels"]))).alias("label"))

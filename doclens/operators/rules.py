@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclens.functions.lens import any_of
+from doclens.operators.anchored import holding_pairs
 
 
 @dataclass(frozen=True)
@@ -86,13 +87,19 @@ def apply_rules(strings: DataFrame, rules: list[Rule] = STRING_RULES, value: str
 
 
 def match_rule_table(strings: DataFrame, rules: DataFrame, value: str = "value") -> DataFrame:
-    """J2 for rules in a table (rule_id, includes, excludes): a theta join with the small side broadcast by Spark.
+    """J2 for rules in a table (rule_id, includes, excludes) of any size: (artifact_id, rule_id, description).
 
-    User rules come as a DataFrame; each string is tested against each rule by array functions.
+    Strings and rules meet by the rarest gram of each include word; a string's candidate rules
+    are then tested whole. A string matches a rule once, whatever number of its words it holds.
     """
-    v = F.col(value)
+    words = rules.select("rule_id", F.explode(F.array_distinct("includes")).alias("pattern"))
+    may_hold = holding_pairs(strings.select("artifact_id", value), words.select(F.col("rule_id").alias("pattern_id"), "pattern"), ["artifact_id"], value)
+    tried = may_hold.select("artifact_id", F.col(value).alias("description"), F.explode("pattern_ids").alias("rule_id"))
+    # Only the words travel; rules are met by their ids.
+    joined = tried.join(rules.select("rule_id", "includes", "excludes"), "rule_id")
+    v = F.col("description")
     hit = F.exists("includes", lambda x: F.contains(v, x)) & ~F.exists("excludes", lambda x: F.contains(v, x))
-    return strings.join(rules, hit, "inner").select("artifact_id", "rule_id", v.alias("description"))
+    return joined.where(hit).select("artifact_id", "rule_id", "description")
 
 
 def macro_url(value: Column) -> Column:

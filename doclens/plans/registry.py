@@ -598,8 +598,8 @@ def j8_shared_indicators(spark, d):
 
 
 _CLASS_IDS = (
-    f"(VALUES ({fixtures._CLSID}, 'equation editor'), ({fixtures._SHORTCUT}, 'Windows LNK Shortcut file'), "
-    f"({fixtures._MONIKER}, 'Script Moniker, aka Moniker to a Windows Script Component (may trigger CVE-2017-0199)')) AS ids(sig, label)"
+    f"(VALUES ({fixtures._CLSID}, 'equation: editor of version 3'), ({fixtures._SHORTCUT}, 'shell: shortcut file'), "
+    f"({fixtures._MONIKER}, 'script: moniker of a component')) AS ids(sig, label)"
 )
 
 
@@ -608,6 +608,33 @@ def j1_match_signatures(spark, d):
     return findings.match_signatures(table(spark, d, "part_probe"), signatures.table(spark))
 
 
+# Pieces of every text by its number, long and short, as signatures; and as rules of an include word or two and an exclude word.
+_MANY = (
+    "many AS (SELECT doc_id, substr(coalesce(text, ''), cast(1 + doc_id % 50 AS INT), cast(3 + doc_id % 14 AS INT)) AS sig, "
+    "substr(coalesce(text, ''), 30, 8) AS word, substr(coalesce(text, ''), 3, 9) AS other FROM documents)"
+)
+
+
+@query(f"WITH {DOCS}, {_MANY}, s AS (SELECT DISTINCT sig FROM many WHERE sig <> '') SELECT artifact_id, sig AS label FROM docs JOIN s ON contains(t, sig)")
+def j1_many_signatures(spark, d):
+    """As many signatures as there are documents, looked for in all of them."""
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")
+    many = spark.sql(f"WITH {_MANY} SELECT DISTINCT sig, sig AS label FROM many WHERE sig <> ''")
+    return findings.match_signatures(docs(spark, d), many)
+
+
+@query(
+    f"WITH {DOCS}, {_MANY}, r AS (SELECT * FROM many WHERE sig <> '' OR word <> '') "
+    "SELECT artifact_id, 'M' || doc_id AS rule_id, t AS description FROM docs JOIN r ON (sig <> '' AND contains(t, sig) OR word <> '' AND contains(t, word)) AND NOT (other <> '' AND contains(t, other))"
+)
+def j2_many_rules(spark, d):
+    """A rule for every document (words of its text, and one that must not occur), over all documents."""
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents")
+    many = spark.sql(f"WITH {_MANY} SELECT 'M' || doc_id AS rule_id, array(sig, word) AS includes, array(other) AS excludes FROM many")
+    filled = [F.filter(c, lambda x: x != "").alias(c) for c in ("includes", "excludes")]
+    return rules.match_rule_table(docs(spark, d).withColumnRenamed("t", "value"), many.select("rule_id", *filled))
+
+
 @query(
     cte("string_probe", "macro_probe", "part_probe", "parts")
     + f"SELECT rule_id, count(*) AS n FROM ({rules_sql('string_probe', 'artifact_id', expected.STRING_RULES)} UNION ALL {rules_sql('macro_probe', 'artifact_id', expected.MACRO_RULES)} "

@@ -59,17 +59,18 @@ def test_streams_hold_whole_texts(spark):
 
 def test_signatures_of_many_class_ids(spark):
     planted = {
-        "00021401-0000-0000-C000-000000000046": "LNK",
-        "06290BD3-48AA-11D2-8432-006008C3FBFC": "Script Moniker",
-        "3050F4D8-98B5-11CF-BB82-00AA00BDCE0B": "HTML Application",
-        "C08AFD90-F2A1-11D1-8455-00A0C91F3880": "ShellBrowserWindow",
-        "44F9A03B-A3EC-4F3B-9364-08E0007F21DF": "Control.TaskSymbol",
-        "6E182020-F460-11CE-9BCD-00AA00608E01": "Forms.Frame",
-        "02CE0200-0000-0000-C000-000000000046": "equation editor",
+        "00021401-0000-0000-C000-000000000046": "shortcut",
+        "06290BD3-48AA-11D2-8432-006008C3FBFC": "moniker",
+        "3050F4D8-98B5-11CF-BB82-00AA00BDCE0B": "HTML application",
+        "C08AFD90-F2A1-11D1-8455-00A0C91F3880": "browser window",
+        "44F9A03B-A3EC-4F3B-9364-08E0007F21DF": "task symbol",
+        "6E182020-F460-11CE-9BCD-00AA00608E01": "frame",
+        "02CE0200-0000-0000-C000-000000000046": "equation: editor",
     }
     orders = [(uid, getattr(uuid.UUID(uid), order)) for uid in planted for order in ("bytes", "bytes_le")]
     parts = spark.createDataFrame([(k, "x" * 60 + b.decode("latin-1") + "y") for k, (_, b) in enumerate(orders)], "artifact_id long, t string")
     found = registry.findings.match_signatures(parts, signatures.table(spark)).collect()
+    assert sorted(found) == sorted(signatures.labels(parts).collect())
     assert sorted(r.artifact_id for r in found) == list(range(len(orders)))
     assert all(planted[orders[r.artifact_id][0]] in r.label for r in found)
     assert len({sig for sig, _ in signatures.signature_rows()}) == len(signatures.signature_rows()) == 90
