@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doclens.llm.shared import BLANKS, documents, new_path, written
 
 DIGEST = "text_sha256"
-INDEX_SCHEMA = f"{DIGEST} STRING, keep_id BIGINT, n_code_points BIGINT"
+INDEX_SCHEMA = f"{DIGEST} STRING, keep_id BIGINT, n_code_points BIGINT, batch STRING"
 
 
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -61,10 +61,10 @@ class DigestIndex:
         return other
 
     def append(self, keepers: DataFrame) -> None:
-        """Add (text_sha256, keep_id, n_code_points) rows whose digests are new; each digest at most once."""
+        """Add (text_sha256, keep_id, n_code_points, batch) rows whose digests are new; each digest at most once."""
         (
             self.unseen(keepers)
-            .select(DIGEST, "keep_id", "n_code_points")
+            .select(DIGEST, "keep_id", "n_code_points", "batch")
             .repartition(self.buckets, DIGEST)
             .write.bucketBy(self.buckets, DIGEST)
             .sortBy(DIGEST)
@@ -77,7 +77,12 @@ class DigestIndex:
 
 
 def exact_dedup(
-    docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+    docs: DataFrame,
+    index: DigestIndex,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    row_col: str | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """Deduplicate docs against themselves and the index, then append what is new to it.
 
@@ -87,7 +92,12 @@ def exact_dedup(
     keep_id and no row of docs is kept. Of rows that tie in all this, ids included, one
     stays: that with the smallest row_col, a number that tells rows apart, if given (all with
     that number do). Then the result has it as row_no. Empty input gives an empty result.
+
+    batch names the input in the index. What the index has from the same batch is not counted
+    as seen before, so a job that failed after the append may run again with the same rows and
+    the same name, and gets the same result. Without a name each call is a batch of its own.
     """
+    batch = batch or uuid.uuid4().hex
     digests = written(with_digest(docs, id_col, text_col, row_col), "digests")
     order = F.struct(-F.col("n_code_points"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_no"))
     groups = written(
@@ -103,7 +113,8 @@ def exact_dedup(
         "groups",
     )
     # One row per digest: no digest is hot here, however often its text occurs.
-    known = index.rows().select(DIGEST, F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
+    earlier = index.rows().where(~F.col("batch").eqNullSafe(F.lit(batch)))
+    known = earlier.select(DIGEST, F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
     verdicts = written(
         groups.join(known.hint("merge"), DIGEST, "left").select(
             DIGEST,
@@ -114,7 +125,7 @@ def exact_dedup(
         ),
         "verdicts",
     )
-    index.append(groups.withColumn("keep_id", F.col("best_id")))
+    index.append(groups.select(DIGEST, F.col("best_id").alias("keep_id"), "n_code_points", F.lit(batch).alias("batch")))
     # Both sides come straight from tables, so Spark may split the shuffle partition of a hot text.
     return digests.join(verdicts, DIGEST).select(
         "doc_id",
