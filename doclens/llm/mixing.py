@@ -10,7 +10,10 @@ from doclens.llm.shared import documents, without, words_of, written
 #: Exponent of the default target weights: token shares to this power, made to sum to 1.
 TEMPERATURE = 0.5
 SEED = "mix-1"
-MIX_COLUMNS = ("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_cdf", "mix_u")
+MIX_COLUMNS = ("mix_rate", "mix_copies", "mix_copy", "mix_key", "mix_source", "mix_salt", "mix_part", "mix_u")
+#: Sources, of about 100 bytes each, whose rates are broadcast; more meet their documents by a salted join.
+BROADCAST_SOURCES = 100_000
+SALTS = 16
 
 
 def unit_hash(*parts: str | Column) -> Column:
@@ -20,23 +23,26 @@ def unit_hash(*parts: str | Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Cumulative probabilities P(X <= 0), P(X <= 1), ... as far as a 52-bit number can reach."""
+def poisson_count(rate: Column, u: Column) -> Column:
+    """How many of P(X <= 0), P(X <= 1), ... lie below u: the count that u inverts to.
+
+    The probabilities are summed one after the other, as far as a 52-bit number can reach, and
+    not kept; the steps are as many as the copies that the rate makes.
+    """
     last = F.ceil(rate + 10 * F.sqrt(rate) + 40).cast("int")
-    logs = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.array(-rate),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.ln(rate / k))),
-    )
-    return F.aggregate(
-        F.slice(F.transform(logs, lambda x: F.exp(x)), 2, last),
-        F.array(F.exp(-rate)),
-        lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p)),
-    )
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.when(F.exp(-rate) < u, 1).otherwise(0).cast("bigint").alias("n"))
+
+    def step(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.ln(rate / k)
+        total = acc["sum"] + F.exp(log)
+        return F.struct(log.alias("log"), total.alias("sum"), (acc["n"] + F.when(total < u, 1).otherwise(0)).alias("n"))
+
+    found = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["n"])
+    return F.when(rate > 0, found).otherwise(F.lit(0).cast("bigint"))
 
 
 def source_rates(sizes: DataFrame, weights: dict[str, float] | None, temperature: float) -> DataFrame:
-    """(source, rate, cdf): mean repetitions that bring each source to its share of the tokens.
+    """(source, rate): mean repetitions that bring each source to its share of the tokens.
 
     The total number of tokens stays what it is. Without weights, a source's target is its
     token share to the power temperature. A source without tokens, or absent from given
@@ -59,10 +65,16 @@ def source_rates(sizes: DataFrame, weights: dict[str, float] | None, temperature
         "source",
         F.when(F.col("tokens") > 0, F.col("wanted") * F.lit(scale) / F.col("tokens")).otherwise(0.0).alias("rate"),
     )
-    return written(
-        rated.withColumn("cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0)))),
-        "source-rates",
-    )
+    return written(rated, "source-rates")
+
+
+def with_rates(docs: DataFrame, rates: DataFrame, source_col: str, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
+    """docs with the mix_rate of their source, by null-safe equality; documents of a large source are not moved together."""
+    if rates.count() <= broadcast_sources:
+        return docs.join(F.broadcast(rates), docs[source_col].eqNullSafe(rates["mix_source"]))
+    salted = docs.withColumn("mix_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    many = rates.withColumn("mix_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(many.hint("merge"), (salted["mix_salt"] == many["mix_part"]) & salted[source_col].eqNullSafe(many["mix_source"]))
 
 
 def poisson_mix(
@@ -73,6 +85,7 @@ def poisson_mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    broadcast_sources: int = BROADCAST_SOURCES,
 ) -> DataFrame:
     """Repeat every document a Poisson number of times so that sources meet target weights.
 
@@ -87,14 +100,12 @@ def poisson_mix(
     docs = without(docs, MIX_COLUMNS)
     sizes = docs.select(F.col(source_col).alias("source"), F.size(words_of(text_col)).alias("n_words"))
     rates = source_rates(sizes, weights, temperature).select(
-        F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("cdf").alias("mix_cdf")
-    )
-    drawn = docs.join(rates, docs[source_col].eqNullSafe(rates["mix_source"])).withColumn(
-        "mix_u", unit_hash(F.lit(seed), id_col)
-    )
-    counted = drawn.withColumn(
-        "mix_copies", F.size(F.filter(F.col("mix_cdf"), lambda c: c < F.col("mix_u"))).cast("bigint")
+        F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate")
     )
+    drawn = with_rates(docs, rates, source_col, broadcast_sources)
+    # A generator keeps the optimizer from drawing the number again for every step of the count.
+    drawn = drawn.withColumn("mix_u", F.explode(F.array(unit_hash(F.lit(seed), id_col))))
+    counted = drawn.withColumn("mix_copies", F.explode(F.array(poisson_count(F.col("mix_rate"), F.col("mix_u")))))
     copies = counted.where(F.col("mix_copies") > 0).withColumn(
         "mix_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mix_copies") - 1))
     )
