@@ -18,10 +18,12 @@ def relabelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for every node of links (a, b): one comp for all nodes that are connected.
 
-    Every step hooks each node to the smallest of its neighbours and itself, and that one to
-    its own, then contracts the links to what is left between different labels. Labels only
-    fall, so hooks make no circles; a step at least halves the nodes that still have links.
-    Links and labels are written between steps. Nodes without links are not in the result.
+    Every step hooks each node to the smallest of its neighbours and itself, follows the hooks to
+    their ends by pointer jumping, and contracts the links to what is left between different
+    ends. Labels only fall, so hooks make no circles. A chain of n hooks takes log n jumps; a node
+    that hooks to none has, after a step, only neighbours that are smaller, so every other step
+    halves the nodes that have links. Links and labels are written between steps. Nodes without
+    links are not in the result.
     """
     edges = written(
         links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges"
@@ -29,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     steps = []
     while True:
         up = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-        labels = written(relabelled(up, "comp", up), "labels")
+        labels = followed(written(up, "hooks"))
         steps.append(labels)
         edges = written(relabelled(relabelled(edges, "a", labels), "b", labels).where("a <> b").distinct(), "edges")
         if edges.isEmpty():
@@ -38,3 +40,14 @@ def components(links: DataFrame) -> DataFrame:
     for labels in steps[1:]:
         found = relabelled(found, "comp", labels)
     return found if len(steps) == 1 else written(found, "labels")
+
+
+def followed(labels: DataFrame) -> DataFrame:
+    """labels (node, comp) with comp at the end of its chain: each jump doubles how far a label sees."""
+    while True:
+        once = labels.withColumn("before", F.col("comp"))
+        labels = written(relabelled(once, "comp", labels), "labels")
+        moved = labels.where("comp <> before")
+        labels = labels.select("node", "comp")
+        if moved.isEmpty():
+            return labels
