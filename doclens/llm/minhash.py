@@ -205,6 +205,14 @@ def both_sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFr
     return pairs
 
 
+def n_common(one: np.ndarray, two: np.ndarray) -> int:
+    """How many numbers two sorted arrays of different numbers share, without a copy of either as a set."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(small):
+        return 0
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
 class Sets:
     """Shingle sets of nodes in one task, and the components that similar pairs have joined so far."""
 
@@ -212,7 +220,6 @@ class Sets:
         self.place = {n: k for k, n in enumerate(table.column("node").to_pylist())}
         self.items = [np.frombuffer(b, np.uint64) for b in table.column("items").to_pylist()]
         self.counts = table.column("counts").to_pylist()
-        self.plain: dict[int, set] = {}
         self.up: dict[int, int] = {}
 
     def top(self, x: int) -> int:
@@ -221,11 +228,6 @@ class Sets:
             up[x] = x = up.get(up[x], up[x])
         return x
 
-    def plain_set(self, k: int) -> set:
-        if k not in self.plain:
-            self.plain[k] = set(self.items[k].tolist())
-        return self.plain[k]
-
     def joins(self, a: int, b: int, ca: int, cb: int) -> bool:
         """Whether nodes a and b are similar and their components ca and cb not joined yet; then joins them."""
         ra, rb = self.top(ca), self.top(cb)
@@ -236,7 +238,7 @@ class Sets:
         if not self.counts[i] and not self.counts[j]:  # all weights are 1: plain Jaccard
             if min(n, m) < SIMILARITY * max(n, m) - 1e-9:
                 return False
-            common = len(self.plain_set(i) & self.plain_set(j))
+            common = n_common(self.items[i], self.items[j])
             value = common / (n + m - common)
         else:
             value = probability_jaccard(self.items[i], weights_of(self.counts[i], n), self.items[j], weights_of(self.counts[j], m))
