@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from doclens.operators.anchored import holding_pairs
+from doclens.operators.anchored import anchored_candidates, holding_pairs
+from doclens.sources.tables import written
 
 SEVERITIES = ["info", "low", "medium", "high"]
 
@@ -32,18 +33,26 @@ def first_per_key(findings: DataFrame, by_rule: bool = False) -> DataFrame:
 def drop_known(findings: DataFrame, by_rule: bool = False) -> DataFrame:
     """Findings whose description no earlier finding of the artifact holds, in either column.
 
-    Equal descriptions and equal containers are combined before they meet: what is compared
-    are the different texts of an artifact, each at its first place.
+    Equal descriptions and equal containers are combined first. A description then meets only
+    those texts of its artifact that hold its rarest gram there and are no shorter, and is looked
+    for in them: an artifact of very many findings is dealt out by grams, not compared in pairs.
     """
-    texts = findings.select("artifact_id", "seq", F.explode(F.array("description", "indication")).alias("text"))
-    held = texts.groupBy("artifact_id", "text").agg(F.min("seq").alias("seq"))
-    d, e = first_per_key(findings, by_rule).alias("d"), held.alias("e")
-    earlier = (
-        (F.col("d.artifact_id") == F.col("e.artifact_id"))
-        & (F.col("e.seq") < F.col("d.seq"))
-        & F.contains(F.col("e.text"), F.col("d.description"))
-    )
-    return d.join(e, earlier, "left_anti").select(*findings.columns)
+    texts = findings.select("artifact_id", "seq", F.explode(F.array("description", "indication")).alias("text")).where("text is not null")
+    held = texts.groupBy("artifact_id", "text").agg(F.min("seq").alias("text_seq"))
+    held = written(held.withColumn("text_key", F.xxhash64("artifact_id", "text")), "finding-texts")
+    first = written(first_per_key(findings, by_rule).withColumn("pattern_id", F.xxhash64("artifact_id", "description")), "first-findings")
+    scope = F.xxhash64("artifact_id").alias("scope")
+    patterns = first.select("pattern_id", F.col("description").alias("pattern"), scope).distinct()
+    pairs = anchored_candidates(held.select("text_key", F.col("text").alias("t"), scope), patterns)
+    own = first.select(F.col("artifact_id").alias("own_id"), "pattern_id", F.col("description").alias("own"), F.col("seq").alias("own_seq"))
+    met = pairs.join(own, "pattern_id").join(held, "text_key").where(F.col("artifact_id").eqNullSafe(F.col("own_id")) & (F.col("text_seq") < F.col("own_seq")))
+    known = met.where((F.length("text") >= F.length("own")) & F.contains("text", F.col("own")))
+    # An empty description lies in any text.
+    least = held.groupBy("artifact_id").agg(F.min("text_seq").alias("text_seq"))
+    empty = own.where("own = ''").join(least, F.col("own_id").eqNullSafe(F.col("artifact_id"))).where("text_seq < own_seq")
+    gone = known.select("own_id", "own", "own_seq").unionByName(empty.select("own_id", "own", "own_seq")).distinct()
+    same = F.col("artifact_id").eqNullSafe(F.col("own_id")) & (F.col("description") == F.col("own")) & (F.col("seq") == F.col("own_seq"))
+    return first.join(gone, same, "left_anti").select(*findings.columns)
 
 
 def dedup_findings(findings: DataFrame, mode: str = "exact", by_rule: bool = False) -> DataFrame:

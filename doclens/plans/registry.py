@@ -18,7 +18,7 @@ from doclens.plans.fixtures import cte, table
 from doclens.sources import artifacts as sources
 from doclens.sources import ranges as range_source
 from doclens.sources.tables import new_path, written
-from doclens.streaming import stream
+from doclens.streaming import state, stream
 
 FLAGSHIP = "flagship_top_risky"
 QUERIES: dict = {}
@@ -887,3 +887,37 @@ def t2_dedup_stream(spark, d):
 def t3_findings_per_window(spark, d):
     timed = docs(spark, d).withColumn("modificationTime", F.timestamp_seconds(F.col("artifact_id") % 7200))
     return stream.findings_per_window(stream.stream_findings(timed)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def _in_batches(spark, rows: DataFrame, parts: int, last: DataFrame, build) -> DataFrame:
+    """rows as a stream of several batches in no order, and last as its end; what build makes of it, read back."""
+    base = new_path(spark, "stream")
+    rows.repartition(parts, F.xxhash64(*rows.columns)).write.parquet(f"{base}/in")
+    last.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    before = spark.conf.get(state.STATE_STORE[0])
+    spark.conf.set(*state.STATE_STORE)
+    try:
+        read = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        out = build(read)
+        q = out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+        state.run_to_end(q)
+    finally:
+        spark.conf.set(state.STATE_STORE[0], before)
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query(cte("findings") + "SELECT * FROM findings d WHERE NOT EXISTS (SELECT 1 FROM findings e WHERE e.artifact_id = d.artifact_id AND e.seq < d.seq AND (contains(e.description, d.description) OR contains(e.indication, d.description)))")
+def t2_contains_stream(spark, d):
+    """Findings in no order over several batches, held in state by artifact: what contains mode leaves of the table."""
+    rows = table(spark, d, "findings").withColumn("modificationTime", F.timestamp_seconds(100_000 + F.col("artifact_id") % 600 + F.col("seq") * 10))
+    end = rows.limit(1).select(*[F.col(c) if c not in ("artifact_id", "modificationTime") else (F.lit(-1).cast("bigint") if c == "artifact_id" else F.timestamp_seconds(F.lit(900_000))).alias(c) for c in rows.columns])
+    found = _in_batches(spark, rows, 3, end, lambda r: state.dedup_contains_stream(r, "1 hour"))
+    return found.where("artifact_id >= 0")
+
+
+@query("WITH a AS (SELECT doc_id AS artifact_id, sha256(text) AS value FROM documents WHERE text IS NOT NULL) SELECT value, count(*) - 1 AS n_again FROM a GROUP BY value HAVING count(*) > 1")
+def j7_seen_before_stream(spark, d):
+    """Digests over several batches: how many artifacts of each came after another with the same content."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("artifact_id"), F.sha2("text", 256).alias("sha256"))
+    found = _in_batches(spark, rows, 3, rows.limit(0), lambda r: state.seen_before(r, "sha256"))
+    return found.groupBy("value").agg(F.countDistinct("artifact_id").alias("n_again"))

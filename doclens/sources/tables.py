@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made inside each open temporary_tables block.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
@@ -28,7 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/doclens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/doclens/{label}-{uuid.uuid4().hex}"
+    for paths in _open:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go at the end: for results that are committed elsewhere before it, such as a stream's batch."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

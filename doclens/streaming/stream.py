@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from doclens.operators import triage
 from doclens.sources.artifacts import BINARY_FILE, as_artifacts
+from doclens.sources.tables import temporary_tables
 
 
 def artifact_stream(spark: SparkSession, path: str, glob: str = "*", files_per_batch: int = 1000) -> DataFrame:
@@ -49,14 +50,16 @@ def triage_stream(spark: SparkSession, path: str, out: str, checkpoint: str, ded
     return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def triage_all_stream(artifacts: DataFrame, out: str, checkpoint: str, max_depth: int = 3) -> StreamingQuery:
+def triage_all_stream(artifacts: DataFrame, out: str, checkpoint: str, max_depth: int | None = None) -> StreamingQuery:
     """All families on a stream of artifacts, over what is present: each batch's findings as Parquet below out.
 
     A batch is triaged as a table is (triage_all); a batch that runs again replaces its folder.
+    The tables between its jobs are removed when its output is written.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        found = triage.triage_all(batch.select("artifact_id", "t"), max_depth)
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with temporary_tables(batch.sparkSession):
+            found = triage.triage_all(batch.select("artifact_id", "t"), max_depth)
+            found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return artifacts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
