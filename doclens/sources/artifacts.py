@@ -26,11 +26,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scan_artifacts(spark: SparkSession, path: str, glob: str = "*", max_length: int | None = None) -> DataFrame:
-    """One row per file below path, with artifact_id (hash of the path) and lens text t."""
+    """One row per file below path, with artifact_id (hash of the path) and lens text t.
+
+    Files longer than max_length are not read: their row has no content, and says so in problem.
+    For files of any size, see sources.ranges.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
-    if max_length is not None:
-        files = files.where(F.col("length") <= max_length)
-    return as_artifacts(files)
+    if max_length is None:
+        return as_artifacts(files)
+    long = files.where(F.col("length") > max_length).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    whole = files.where(F.col("length") <= max_length).withColumn("problem", F.lit(None).cast("string"))
+    return as_artifacts(whole.unionByName(long.withColumn("problem", F.lit("larger than max_length"))))
 
 
 def as_artifacts(files: DataFrame) -> DataFrame:
