@@ -918,6 +918,7 @@ def t2_contains_stream(spark, d):
 @query("WITH a AS (SELECT doc_id AS artifact_id, sha256(text) AS value FROM documents WHERE text IS NOT NULL) SELECT value, count(*) - 1 AS n_again FROM a GROUP BY value HAVING count(*) > 1")
 def j7_seen_before_stream(spark, d):
     """Digests over several batches: how many artifacts of each came after another with the same content."""
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("artifact_id"), F.sha2("text", 256).alias("sha256"))
+    time = F.timestamp_seconds(100_000 + F.col("doc_id") % 600).alias("modificationTime")
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").alias("artifact_id"), F.sha2("text", 256).alias("sha256"), time)
     found = _in_batches(spark, rows, 3, rows.limit(0), lambda r: state.seen_before(r, "sha256"))
     return found.groupBy("value").agg(F.countDistinct("artifact_id").alias("n_again"))

@@ -95,31 +95,47 @@ SEEN = "value STRING, artifact_id BIGINT, first_artifact BIGINT, n_before BIGINT
 
 
 class SeenValues(StatefulProcessor):
-    """How many artifacts had a value before, and which was the first; forgotten after a time without news."""
+    """How many artifacts had a value before, and which was the first; forgotten a time after its last news."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "first BIGINT, n BIGINT", ttlDurationMs=self.keep_ms)
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "first BIGINT, n BIGINT, due BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ids = sorted({int(x) for batch in rows for x in batch["artifact_id"]})
-        first, n = tuple(self.seen.get()) if self.seen.exists() else (ids[0], 0)
-        out = [(key[0], x, int(first), int(n) + k) for k, x in enumerate(ids) if n + k > 0]
-        self.seen.update((int(first), int(n) + len(ids)))
-        yield pd.DataFrame(out, columns=["value", "artifact_id", "first_artifact", "n_before"])
+        ids, last = set(), 0
+        for batch in rows:
+            if len(batch):
+                ids |= {int(x) for x in batch["artifact_id"]}
+                last = max(last, int(batch["modificationTime"].max().timestamp() * 1000))
+        if not ids:
+            return
+        ids = sorted(ids)
+        first, n, due = (int(v) for v in self.seen.get()) if self.seen.exists() else (ids[0], 0, None)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = max(due or 0, last + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(due)
+        self.seen.update((first, n + len(ids), due))
+        yield pd.DataFrame([(key[0], x, first, n + k) for k, x in enumerate(ids) if n + k > 0], columns=["value", "artifact_id", "first_artifact", "n_before"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-def seen_before(values: DataFrame, value_col: str, keep_ms: int = 30 * 86_400_000) -> DataFrame:
+def seen_before(values: DataFrame, value_col: str, delay: str = "1 hour", keep_ms: int = 30 * 86_400_000) -> DataFrame:
     """J7 and J8 across batches: (value, artifact_id, first_artifact, n_before) of values that another artifact had before.
 
-    With sha256 as the value these are copies, with a finding's description shared indicators. An
-    artifact has a value once in a batch; within a batch artifacts count by id. State is two
-    numbers a value, and goes keep_ms after its last news.
+    With sha256 as the value these are copies, with a finding's description shared indicators.
+    Within a batch artifacts count by id, once each. State is three numbers a value, and goes when
+    the watermark is keep_ms past its last modificationTime; rows later than delay are dropped.
     """
-    rows = values.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("value"), "artifact_id")
-    return rows.groupBy("value").transformWithStateInPandas(SeenValues(keep_ms), SEEN, "Append", "ProcessingTime")
+    timed = values.where(F.col(value_col).isNotNull()).withWatermark("modificationTime", delay)
+    rows = timed.select(F.col(value_col).alias("value"), "artifact_id", "modificationTime")
+    return rows.groupBy("value").transformWithStateInPandas(SeenValues(keep_ms), SEEN, "Append", "EventTime")
