@@ -116,6 +116,8 @@ class SeenValues(StatefulProcessor):
         first, n, due = (int(v) for v in self.seen.get()) if self.seen.exists() else (ids[0], 0, None)
         if due is not None:
             self.handle.deleteTimer(due)
+            if due <= timerValues.getCurrentWatermarkInMs():  # over already: timers come after a batch's rows
+                first, n, due = ids[0], 0, None
         due = max(due or 0, last + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1)
         self.handle.registerTimer(due)
         self.seen.update((first, n + len(ids), due))
