@@ -165,7 +165,7 @@ def line_dedup(
     ends = docs.agg(F.min(id_col).alias("least"), F.max(id_col).alias("most")).first()
     least, most = (ends["least"], ends["most"]) if ends["most"] is not None else (0, 0)
     stretch = F.floor((F.lit(float(most)) - F.col("doc_id").cast("double")) * batches / float(most - least + 1))
-    stretch = F.coalesce(F.least(F.greatest(stretch, F.lit(0)), F.lit(batches - 1)), F.lit(batches - 1)).cast("int")
+    stretch = F.when(F.col("doc_id").isNull(), batches - 1).otherwise(F.least(F.greatest(stretch, F.lit(0)), F.lit(batches - 1))).cast("int")
     path = new_path(spark, "line-keys")
     keyed = line_keys(docs, min_points, id_col, text_col)
     keyed.withColumn("stretch", stretch).write.partitionBy("stretch").parquet(path)
