@@ -163,6 +163,24 @@ PARTS = _several(
     + _by_number([f"'{path}'" for path, _ in _PARTS]) + " AS part_path, " + _by_number([t.replace("RELS", _RELS) for _, t in _PARTS]) + " AS t",
     len(_PARTS),
 )
+# Workbooks as real ones are: prefixes, references, CDATA, runs with their sounds, cells that name strings; every fifth list
+# of strings and every seventh sheet is cut short.
+_STRING_LIST = (
+    "'<?xml version=\"1.0\" encoding=\"UTF-8\"?><x:sst xmlns:x=\"http://a.test\" count=\"4\"><x:si><x:t xml:space=\"preserve\"> a &amp; &#112;owershell '||BODY||'</x:t></x:si><x:si/>'"
+    "||'<x:si><x:r><x:rPr><x:b/></x:rPr><x:t>'||BODY||'</x:t></x:r><x:r><x:t>-rich</x:t></x:r><x:rPh sb=\"0\"><x:t>sound</x:t></x:rPh></x:si>'"
+    "||'<x:si><x:t><![CDATA[<'||BODY||'&amp;>]]>z</x:t></x:si>'||CASE WHEN doc_id % 5 = 0 THEN '' ELSE '</x:sst>' END"
+)
+_CELLS = (
+    "'<ws><sheetData><row r=\"1\"><c r=\"A1\" t=\"s\"><v>0</v></c><c t=\"s\" r=\"B1\"><v>2</v></c><c r=\"C1\" t=\"s\"><v>3</v></c></row><row/>'"
+    "||'<row><c r=\"D2\" t=\"s\"><v>1</v></c><c r=\"E2\" t=\"s\"><v>99</v></c><c r=\"F2\" s=\"1\"/><c r=\"G2\" t=\"inlineStr\"><is><r><t>in</t></r><r><t>line&#x41;</t></r></is></c>'"
+    "||'<c r=\"H2\" t=\"str\"><f>A1</f><v>x&lt;'||BODY||'</v></c><c r=\"I2\"><v>7</v></c></row>'||CASE WHEN doc_id % 7 = 0 THEN '' ELSE '</sheetData></ws>' END"
+)
+XML_PARTS = _several(
+    "doc_id AS artifact_id, cast(k AS BIGINT) AS ordinal, "
+    + _by_number(["'xl/sharedStrings.xml'", "'xl/worksheets/sheet1.xml'", "'xl/macrosheets/sheet1.xml'"]) + " AS part_path, "
+    + _by_number([_STRING_LIST, _CELLS, "'<m:s xmlns:m=\"http://m.test\"><m:sheetData><m:row><m:c r=\"A1\" t=\"str\"><m:v>=EXEC(&quot;cmd '||BODY||'&quot;)</m:v></m:c></m:row></m:sheetData></m:s>'"]) + " AS t",
+    3,
+)
 _FINDINGS = [
     ("'seen'", "'long '||BODY||' tail'", "high"),
     ("'part'", "'long '||BODY", "medium"),
@@ -187,9 +205,11 @@ NESTED = (
     f"'%PDF-1.4 1 0 obj <</Filter /ASCIIHexDecode>> stream '||lower(hex({_RTF}))||' endstream endobj' AS c, "
     f"{OLE}||'outer '||{OLE}||{_LEAF} AS d, {_LEAF_HEX} AS a_hex, 'd0cf11e0a1b11ae1'||lower(hex('outer '))||{_LEAF_HEX} AS d_hex, BODY AS body FROM documents"
 )
+BODIES = "SELECT doc_id AS artifact_id, BODY AS body FROM documents"
 TABLES = {
+    "bodies": BODIES,
     "xls": XLS, "pdf": PDF, "mixed": MIXED, "string_probe": STRING_PROBE, "macro_probe": MACRO_PROBE, "part_probe": PART_PROBE,
-    "rtf_hex": RTF_HEX, "rtf_probe": RTF_PROBE, "nested": NESTED, "aux_probe": AUX_PROBE, "wide_probe": WIDE_PROBE, "parts": PARTS, "findings": FINDINGS,
+    "rtf_hex": RTF_HEX, "rtf_probe": RTF_PROBE, "nested": NESTED, "aux_probe": AUX_PROBE, "wide_probe": WIDE_PROBE, "parts": PARTS, "xml_parts": XML_PARTS, "findings": FINDINGS,
 }
 
 

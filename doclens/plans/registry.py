@@ -429,6 +429,37 @@ def s6_f7_cells(spark, d):
     return ooxml.xml_cells(table(spark, d, "parts"))
 
 
+def _said(places: dict[str, str], part: str) -> str:
+    """What the fixture says at each place of a part, as text."""
+    return " UNION ALL ".join(f"SELECT artifact_id, '{part}' AS part_path, '{place}' AS place, {value} AS value FROM said" for place, value in places.items())
+
+
+_STRING_VALUES = {"0": "' a & powershell ' || body", "2": "body || '-rich'", "3": "'<' || body || '&amp;>z'"}
+_CELL_VALUES = {"A1": _STRING_VALUES["0"], "B1": _STRING_VALUES["2"], "C1": _STRING_VALUES["3"], "G2": "'inlineA'", "H2": "'x<' || body"}
+
+
+@query(
+    "WITH said AS (" + fixtures.sql_of("bodies", "duckdb") + ") "
+    + _said(_STRING_VALUES | {"1": "''"}, "xl/sharedStrings.xml") + " UNION ALL " + _said(_CELL_VALUES, "xl/worksheets/sheet1.xml")
+    + " UNION ALL " + _said({"A1": """'=EXEC("cmd ' || body || '")'"""}, "xl/macrosheets/sheet1.xml")
+)
+def s5_s6_xml_structure(spark, d):
+    """Shared strings by number and cells with their strings, of workbooks with prefixes, references, CDATA, runs and cut parts."""
+    parts = table(spark, d, "xml_parts")
+    strings = ooxml.shared_strings(parts).withColumn("place", F.col("idx").cast("string"))
+    cells = ooxml.xml_cells(parts).withColumn("place", F.col("cell_ref"))
+    return strings.select("artifact_id", "part_path", "place", "value").unionByName(cells.select("artifact_id", "part_path", "place", "value"))
+
+
+@query(
+    "SELECT doc_id AS artifact_id, 'xl/sharedStrings.xml' AS part_path FROM documents WHERE doc_id % 5 = 0 "
+    "UNION ALL SELECT doc_id, 'xl/worksheets/sheet1.xml' FROM documents WHERE doc_id % 7 = 0"
+)
+def s5_s6_damaged_parts(spark, d):
+    """The parts that are no well-formed XML."""
+    return ooxml.damaged_parts(table(spark, d, "xml_parts")).select("artifact_id", "part_path")
+
+
 @query(cte("parts") + "SELECT artifact_id, part_path, CASE WHEN part_path LIKE '%.bin' THEN 'binary' WHEN part_path LIKE '%.rels' THEN 'relationships' WHEN part_path LIKE '%sharedStrings.xml%' THEN 'shared strings' WHEN part_path LIKE '%webSettings.xml%' THEN 'web settings' WHEN part_path LIKE '%document.xml%' OR part_path LIKE '%workbook.xml%' THEN 'main' WHEN part_path LIKE '%xl/worksheets/%' THEN 'sheet' END AS part_role FROM parts")
 def f11_part_role(spark, d):
     return ooxml.with_role(table(spark, d, "parts")).select("artifact_id", "part_path", "part_role")
