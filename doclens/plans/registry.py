@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doclens.functions import artifact_columns as columns
 from doclens.functions.lens import lens, unlens
-from doclens.operators import biff, carve, findings, ooxml, pdf, rules, signatures, triage
+from doclens.operators import biff, carve, findings, ooxml, pdf, rollups, rules, signatures, sketches, triage
 from doclens.plans import expected, fixtures
 from doclens.plans.fixtures import cte, table
 from doclens.sources import artifacts as sources
@@ -607,6 +607,43 @@ def a7_verdict(spark, d):
     return findings.verdict(table(spark, d, "findings").where("seq >= artifact_id % 4"))
 
 
+@query(
+    cte("findings") + ", f AS (SELECT artifact_id, rule_id, CASE rule_id WHEN 'R1' THEN 'high' ELSE severity END AS severity FROM findings "
+    "WHERE rule_id IN ('R0', 'R1') OR rule_id = 'R2' AND artifact_id % 3 <> 0 UNION ALL SELECT artifact_id, 'R3', 'info' FROM findings WHERE seq = 3), "
+    f"c AS (SELECT artifact_id, {_COUNTS} FROM f GROUP BY artifact_id) "
+    "SELECT *, CASE WHEN n_high > 0 THEN 'high' WHEN n_medium > 0 THEN 'medium' WHEN n_low > 0 THEN 'low' ELSE 'info' END AS verdict FROM c"
+)
+def a5_a7_rollup_ledger(spark, d):
+    """Two batches, one of them twice, then new versions of three rules (other severity, fewer findings, other findings): rollups of the sum."""
+    found = table(spark, d, "findings")
+    ledger = rollups.Ledger(spark, new_path(spark, "ledger"))
+    odd = F.col("artifact_id") % 2 == 1
+    for change, rows in (("batch-1", found.where(~odd)), ("batch-2", found.where(odd)), ("batch-2", found.where(odd))):
+        ledger.add(rows, change)
+    ledger.change_rule("R1", found.where("rule_id = 'R1'").withColumn("severity", F.lit("high")), "R1-v2")
+    ledger.change_rule("R2", found.where("rule_id = 'R2' and artifact_id % 3 <> 0"), "R2-v2")
+    ledger.change_rule("R3", found.where("seq = 3").withColumn("rule_id", F.lit("R3")).withColumn("severity", F.lit("info")), "R3-v2")
+    return ledger.rollup()
+
+
+@query(cte("findings") + "SELECT rule_id, count(DISTINCT artifact_id) AS n_artifacts, count(*) AS n_findings, true AS within FROM findings GROUP BY rule_id")
+def a6_prevalence_sketches(spark, d):
+    """Prevalence from merged sketches of days: the exact numbers, and whether the estimate is within three standard errors."""
+    found = table(spark, d, "findings").withColumn("day", F.col("artifact_id") % 30)
+    estimated = sketches.prevalence(sketches.prevalence_sketches(found, "day")).withColumnRenamed("n_artifacts", "estimate")
+    exact = found.groupBy("rule_id").agg(F.countDistinct("artifact_id").alias("n_artifacts"))
+    off = F.abs(F.col("estimate") - F.col("n_artifacts"))
+    within = off <= F.col("n_artifacts") * (3 * sketches.relative_error()) + 1
+    return exact.join(estimated, "rule_id").select("rule_id", "n_artifacts", "n_findings", within.alias("within"))
+
+
+@query(cte("findings") + "SELECT description, count(*) AS n_findings, count(DISTINCT artifact_id) AS n_artifacts FROM findings GROUP BY description HAVING count(*) > (SELECT count(*) FROM findings) * 0.01")
+def j8_frequent_indicators(spark, d):
+    """Descriptions of more than a hundredth of all findings, by sketches of days and one count of the candidates."""
+    found = table(spark, d, "findings").withColumn("day", F.col("artifact_id") % 30)
+    return sketches.frequent_indicators(found, sketches.indicator_sketches(found, "day"), 0.01)
+
+
 @query(cte("findings") + "SELECT * FROM findings ORDER BY artifact_id, seq")
 def l1_document_order(spark, d):
     return findings.document_order(table(spark, d, "findings"))
