@@ -31,8 +31,8 @@ def first_per_key(findings: DataFrame, by_rule: bool = False) -> DataFrame:
     return findings.groupBy(*keys).agg(best).select(*keys, "first.*")
 
 
-def drop_known(findings: DataFrame, by_rule: bool = False) -> DataFrame:
-    """Findings whose description no earlier finding of the artifact holds, in either column.
+def _drop_known_of_many(findings: DataFrame, by_rule: bool) -> DataFrame:
+    """drop_known for artifacts of very many findings.
 
     Equal descriptions and equal containers are combined first. A description then meets only
     those texts of its artifact that hold its rarest gram there and are no shorter, and is looked
@@ -56,6 +56,32 @@ def drop_known(findings: DataFrame, by_rule: bool = False) -> DataFrame:
     return first.join(gone, same, "left_anti").select(*findings.columns)
 
 
+#: Findings of an artifact, and characters of their texts, up to which they are compared in pairs.
+PAIRED_ROWS, PAIRED_CHARS = 1000, 8 << 20
+
+
+def drop_known(findings: DataFrame, by_rule: bool = False) -> DataFrame:
+    """Findings whose description no earlier finding of the artifact holds, in either column.
+
+    An artifact's findings meet each other in a join that moves each text once, by artifact alone;
+    those of an artifact with very many findings or characters (and of a null id) are dealt out by grams.
+    """
+    chars = F.coalesce(F.length("description"), F.lit(0)) + F.coalesce(F.length("indication"), F.lit(0))
+    sizes = findings.groupBy("artifact_id").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
+    many = written(sizes.where((F.col("n") > PAIRED_ROWS) | (F.col("chars") > PAIRED_CHARS) | F.col("artifact_id").isNull()).select(F.col("artifact_id").alias("many_id")), "artifacts-of-many")
+    some = not many.isEmpty()
+    own = findings.where("artifact_id is not null")
+    own = own.join(many, F.col("artifact_id") == F.col("many_id"), "left_anti") if some else own
+    later, earlier = own.alias("later"), own.alias("earlier")
+    held = F.contains("earlier.description", F.col("later.description")) | F.contains("earlier.indication", F.col("later.description"))
+    known = (F.col("earlier.artifact_id") == F.col("later.artifact_id")) & (F.col("earlier.seq") < F.col("later.seq")) & held
+    kept = first_per_key(later.join(earlier.hint("merge"), known, "left_anti"), by_rule).select(*findings.columns)
+    if not some:
+        return kept
+    rest = findings.join(many, F.col("artifact_id").eqNullSafe(F.col("many_id")), "left_semi")
+    return kept.unionByName(_drop_known_of_many(rest, by_rule))
+
+
 def dedup_findings(findings: DataFrame, mode: str = "exact", by_rule: bool = False) -> DataFrame:
     """K1: exact keeps the first of equal descriptions (of a rule, with by_rule); contains also drops those held by an earlier finding."""
     if mode == "exact":

@@ -1,6 +1,7 @@
 """Words held by texts, in blocks and shards; contains mode by artifact, without tables of grams."""
 
 import random
+from pathlib import Path
 
 from doclens.operators import findings, held, rules
 
@@ -23,3 +24,26 @@ def test_words_of_every_length(spark, monkeypatch):
     want = [(k, r, t) for k, t in texts for r, i, x in rows if t and x is not None and any(w and w in t for w in i) and not any(w in t for w in x)]
     assert sorted(map(tuple, found)) == sorted(want)
 
+
+def test_contains_by_artifact(spark, monkeypatch):
+    dice = random.Random(6)
+    words = ["", "a", "ab", "xaby", "note ab", "other", None]
+    rows = [(dice.choice([1, 2, 3, 4, None]), k // 2, "R", "low", dice.choice(words), dice.choice(words)) for k in range(60)]
+    table = spark.createDataFrame(rows, "artifact_id long, seq long, rule_id string, severity string, indication string, description string")
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2], r[3], r[4] is not None, r[4] or "")):
+        first.setdefault((r[0], r[5]), r)
+    want = [r for r in first.values() if r[5] is None or not any(e[0] == r[0] and e[1] < r[1] and any(x is not None and r[5] in x for x in e[4:]) for e in rows)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "doclens"
+
+    def grams():
+        return len(list(folder.glob("text-grams-*")))
+
+    known = table.where("artifact_id is not null")
+    before = grams()
+    found = findings.dedup_findings(known, "contains").select(*table.columns).collect()
+    assert grams() == before
+    assert sorted(map(repr, map(tuple, found))) == sorted(repr(r) for r in want if r[0] is not None)
+    monkeypatch.setattr(findings, "PAIRED_ROWS", 12)
+    found = findings.dedup_findings(table, "contains").select(*table.columns).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
