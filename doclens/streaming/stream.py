@@ -31,8 +31,13 @@ def stream_findings(artifacts: DataFrame) -> DataFrame:
 
 
 def dedup_stream(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The first of equal (artifact, description) findings within the delay."""
-    return findings.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["artifact_id", "description"])
+    """The first of equal (artifact, description) findings within the delay.
+
+    Until there is a watermark Spark takes the epoch for it, and drops what is not after it: rows of the epoch or before count as just after.
+    """
+    time, first = F.col("modificationTime"), F.timestamp_millis(F.lit(1))
+    timed = findings.withColumn("event_time", F.when(time < first, first).otherwise(time)).withWatermark("event_time", delay)
+    return timed.dropDuplicatesWithinWatermark(["artifact_id", "description"]).drop("event_time")
 
 
 def findings_per_window(findings: DataFrame, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
