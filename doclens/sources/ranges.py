@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from doclens.sources.tables import written
+
 RANGES = "path STRING, length BIGINT, start BIGINT, size BIGINT, before BIGINT, content BINARY"
 #: Bytes of a range; bytes read beyond it on either side, which hold any mark and any bounded string that starts in it.
 RANGE_BYTES, HALO = 8 << 20, 1024
@@ -108,7 +110,8 @@ KINDS = {
         Kind("base64", rb"[A-Za-z0-9+/=]+", rb"(?:[A-Za-z0-9+/]{4}){13,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"),
     )
 }
-FOUND = "path string, kind string, offset bigint, value binary, run_end bigint, tail binary"
+FOUND = "path string, kind string, offset bigint, value binary"
+PIECES = FOUND + ", run_end bigint, tail binary"
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -117,35 +120,62 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
+#: Bytes of rows, about, that a step hands on at a time.
+OUT_BYTES = 4 << 20
+
+
 def _per_row(schema: str, of_row: Callable[[dict], list[tuple]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow step that turns each row into rows, one row's at a time."""
+    """A mapInArrow step that turns each row into rows, one row's at a time; they are handed on in batches of about OUT_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = of_row(batch.slice(k, 1).to_pylist()[0])
-                if rows:
+                more = of_row(batch.slice(k, 1).to_pylist()[0])
+                rows += more
+                size += sum(64 + sum(len(v) for v in r if isinstance(v, bytes)) for r in more)
+                if size >= OUT_BYTES:
                     yield _rows(schema, rows)
+                    rows, size = [], 0
+        if rows:
+            yield _rows(schema, rows)
 
     return run
 
 
-def _runs_of(kinds: list[Kind]) -> Callable[[dict], list[tuple]]:
-    """Matches of the runs inside a range, and the pieces of runs that touch its ends (run_end set), for stitching."""
+def _borders(kind: Kind, r: dict, own: bytes) -> tuple[int, int]:
+    """How much of a range belongs to a run that touches its start, and from where on to one that touches its end."""
+    head = re.match(kind.run, own) if r["start"] > 0 else None
+    last = re.match(kind.run, own[::-1]) if r["start"] + r["size"] < r["length"] else None  # a run is a set of characters either way
+    return (head.end() if head else 0), len(own) - (last.end() if last else 0)
+
+
+def _inside_of(kinds: list[Kind]) -> Callable[[dict], list[tuple]]:
+    """Matches of the runs inside a range. As none leaves its run, they are those of the stretch between the border runs."""
+
+    def of_row(r: dict) -> list[tuple]:
+        own, out = r["content"][r["before"] : r["before"] + r["size"]], []
+        for kind in kinds:
+            low, high = _borders(kind, r, own)
+            out += [(r["path"], kind.name, r["start"] + m.start(), m[0]) for m in re.compile(kind.pattern).finditer(own, low, max(low, high))]
+        return out
+
+    return of_row
+
+
+def _pieces_of(kinds: list[Kind]) -> Callable[[dict], list[tuple]]:
+    """The pieces of runs that touch a range's ends, for stitching."""
 
     def of_row(r: dict) -> list[tuple]:
         own = r["content"][r["before"] : r["before"] + r["size"]]
         after = r["content"][r["before"] + r["size"] :]
         out = []
         for kind in kinds:
-            for m in re.finditer(kind.run, own):
-                begin, end = r["start"] + m.start(), r["start"] + m.end()
-                at_border = (m.start() == 0 and r["start"] > 0) or (m.end() == len(own) and r["start"] + r["size"] < r["length"])
-                if at_border:
-                    more = re.match(kind.run, after[: kind.longest]) if kind.longest and m.end() == len(own) else None
-                    out.append((r["path"], kind.name, begin, m[0], end, more[0] if more else b""))
-                else:
-                    out += [(r["path"], kind.name, begin + x.start(), x[0], None, None) for x in re.finditer(kind.pattern, m[0])]
+            low, high = _borders(kind, r, own)
+            for begin, end in [(0, len(own))] if low > high else [(0, low), (high, len(own))]:
+                if begin < end:
+                    more = re.match(kind.run, after[: kind.longest]) if kind.longest and end == len(own) else None
+                    out.append((r["path"], kind.name, r["start"] + begin, own[begin:end], r["start"] + end, more[0] if more else b""))
         return out
 
     return of_row
@@ -159,7 +189,7 @@ def _stitched(kinds: dict[str, Kind]) -> Callable[[dict], list[tuple]]:
         if kind.longest:  # the piece's own matches start at whole lengths from the run's start
             first = -(r["offset"] - r["run_start"]) % kind.longest
         matches = re.compile(kind.pattern).finditer(r["value"] + r["tail"], first)
-        return [(r["path"], r["kind"], r["offset"] + m.start(), m[0], None, None) for m in matches if m.start() < len(r["value"])]
+        return [(r["path"], r["kind"], r["offset"] + m.start(), m[0]) for m in matches if m.start() < len(r["value"])]
 
     return of_row
 
@@ -174,8 +204,8 @@ def carve_range_strings(ranges: DataFrame, kinds: tuple[str, ...] = ("ascii", "w
     (and below 2 GiB). The halo must be as long as the longest bounded match.
     """
     own = {k: KINDS[k] for k in kinds}
-    found = ranges.mapInArrow(_per_row(FOUND, _runs_of(list(own.values()))), FOUND)
-    whole, pieces = found.where("run_end is null"), found.where("run_end is not null")
+    whole = ranges.mapInArrow(_per_row(FOUND, _inside_of(list(own.values()))), FOUND)
+    pieces = written(ranges.mapInArrow(_per_row(PIECES, _pieces_of(list(own.values()))), PIECES), "range-pieces")
     order = W.partitionBy("path", "kind").orderBy("offset")
     ends = pieces.select("path", "kind", "offset", "run_end")
     starts = ends.withColumn("fresh", F.when(F.coalesce(F.lag("run_end").over(order), F.lit(-1)) != F.col("offset"), F.col("offset")))

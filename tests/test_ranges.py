@@ -79,3 +79,11 @@ def test_records_over_ranges(spark, files):
     for size in (5, 10**6):
         found = ranges.carve_range_bof(ranges.scan_ranges(spark, top, size)).collect()
         assert len(found) == len(wanted) and {(r.path, r.offset, bytes(r.value)) for r in found} == wanted
+
+
+def test_ranges_are_read_once_beside_their_borders(spark, files):
+    """What touches the ranges' ends comes from its own table; no other step carves the ranges again."""
+    top, _ = files
+    found = ranges.carve_range_strings(ranges.scan_ranges(spark, top, 4096))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("artifact_ranges") == 1 and plan.count("MapInArrow") == 2
