@@ -31,3 +31,30 @@ def test_values_are_forgotten(spark, tmp_path):
 def test_first_texts_in_any_order():
     rows = [(3, "R", "s", "i", "part"), (1, "R", "s", "i", "long part"), (2, "R", "s", "holds word", "x"), (4, "R", "s", "i", "word"), (5, "R", "s", None, None)]
     assert [r[0] for r in state.first_texts(rows)] == [1, 2]
+
+
+def test_findings_are_held_while_the_next_comes_within_the_delay(spark, tmp_path):
+    """Findings of one artifact over 100 minutes, the last of them in a batch after the watermark has passed the first by an hour."""
+    minute = 60
+    batches = [
+        [(1, 1, "long text", 0), (1, 2, "other", 50 * minute)],
+        [(2, 1, "p", 125 * minute)],
+        [(2, 2, "q", 126 * minute)],
+        [(1, 3, "text", 100 * minute), (2, 3, "p", 126 * minute)],
+        [(9, 1, "end", 900 * minute)],
+    ]
+    schema = "artifact_id long, seq long, description string, s long"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    before = spark.conf.get(state.STATE_STORE[0])
+    spark.conf.set(*state.STATE_STORE)
+    try:
+        read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+        timed = read.select("artifact_id", "seq", F.lit("R").alias("rule_id"), F.lit("s").alias("severity"), F.lit(None).cast("string").alias("indication"), "description", F.timestamp_seconds("s").alias("modificationTime"))
+        found = state.dedup_contains_stream(timed)
+        q = found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        state.run_to_end(q)
+    finally:
+        spark.conf.set(state.STATE_STORE[0], before)
+    kept = spark.read.schema(found.schema).parquet(f"file://{tmp_path}/out").collect()
+    assert sorted((r.artifact_id, r.seq) for r in kept) == [(1, 1), (1, 2), (2, 1), (2, 2)]
