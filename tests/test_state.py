@@ -1,7 +1,11 @@
 """Keyed state of streams: what is forgotten, and findings in any order."""
 
+from types import SimpleNamespace
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from doclens.plans import registry
 from doclens.streaming import state
 
 
@@ -58,3 +62,25 @@ def test_findings_are_held_while_the_next_comes_within_the_delay(spark, tmp_path
         spark.conf.set(state.STATE_STORE[0], before)
     kept = spark.read.schema(found.schema).parquet(f"file://{tmp_path}/out").collect()
     assert sorted((r.artifact_id, r.seq) for r in kept) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_a_value_costs_three_calls_of_state():
+    """Rows of one value, seen for the first time: one look, one timer, one update, and no frame of its own."""
+    calls = []
+    seen = SimpleNamespace(get=lambda: calls.append("get"), update=lambda v: calls.append(v))
+    handle = SimpleNamespace(getValueState=lambda *_: seen, registerTimer=lambda at: calls.append(at))
+    processor = state.SeenValues(1000)
+    processor.init(handle)
+    rows = iter([Row(value="v", artifact_id=k, at=5000 + k) for k in (7, 3, 7)])
+    found = processor.handleInputRows(("v",), rows, SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))
+    assert list(found) == [Row(value="v", artifact_id=7, first_artifact=3, n_before=1)]
+    assert calls == ["get", 6007, (3, 2, 6007)]
+
+
+def test_batches_are_written_by_all_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "new_path", lambda *_: f"file://{tmp_path}/s")
+    rows = spark.range(0, 1000, 1, 8).select("id")
+    found = registry._in_batches(spark, rows, 3, rows.limit(0), lambda r: r)
+    assert sorted(r.id for r in found.collect()) == list(range(1000))
+    assert len(list(tmp_path.glob("s/in/*.parquet"))) >= 8
+    assert len(list(tmp_path.glob("s/checkpoint/commits/[0-9]"))) == 2
