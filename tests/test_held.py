@@ -3,6 +3,9 @@
 import random
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+
 from doclens.operators import findings, held, rules
 
 ODD = ["", "a", "ab", "abcdefgh", "abcdefghi", "0123456789abcdef", "0123456789abcdefg", "0123456789abcdefXY" * 3, "äöü", "\x00\x00", "\U0001f600x", "é"]
@@ -47,3 +50,26 @@ def test_contains_by_artifact(spark, monkeypatch):
     monkeypatch.setattr(findings, "PAIRED_ROWS", 12)
     found = findings.dedup_findings(table, "contains").select(*table.columns).collect()
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
+def test_words_across_the_places_looked_up_at_a_time(monkeypatch):
+    monkeypatch.setattr(held, "PLACES", 64)
+    schema = pa.schema([("artifact_id", pa.int64()), ("labels", pa.list_(pa.string()))])
+    words = ["0123456789abcdef"[:n] for n in range(1, 17)] + ["0123456789abcdef and more"]
+    texts = [("." * k + words[-1]) for k in range(40, 70)] + ["." * 30 + words[15] + "." * 300]
+    shard = held._Rules(pa.table({"label": words, "includes": [[w] for w in words], "excludes": [[] for _ in words]}))
+    table = pa.table({"artifact_id": np.arange(len(texts)), "t": texts})
+    found = {(r["artifact_id"], x) for b in shard.matched(table, schema) for r in b.to_pylist() for x in r["labels"]}
+    assert found == {(k, w) for k, t in enumerate(texts) for w in words if w in t}
+
+
+def test_texts_and_rules_are_not_copied_by_a_shuffle(spark, monkeypatch):
+    """Blocks meet shards without a shuffle of either, however many there are."""
+    monkeypatch.setattr(held, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(held, "SHARD_BYTES", 200)
+    texts = spark.createDataFrame([(k, f"text {k} " * 20) for k in range(50)], "artifact_id long, t string")
+    words = spark.createDataFrame([(f"R{k}", [f"xt {k} t"], []) for k in range(50)], "label string, includes array<string>, excludes array<string>")
+    found = held.held_labels(texts, words)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert sorted((r.artifact_id, x) for r in found.collect() for x in r.labels) == [(k, f"R{k}") for k in range(50)]
