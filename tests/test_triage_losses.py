@@ -3,6 +3,7 @@
 import io
 import zipfile
 import zlib
+from pathlib import Path
 
 from doclens.operators import biff, carve, findings, pdf, rules, triage
 from doclens.sources import artifacts as sources
@@ -134,3 +135,14 @@ def test_long_files_are_named(spark, tmp_path):
     scanned = sources.scan_artifacts(spark, f"file://{tmp_path}", max_length=50)
     assert {(r.length, r.problem, r.content is None) for r in scanned.collect()} == {(5, None, False), (100, "larger than max_length", True)}
     assert [(r.rule_id, r.description) for r in triage.triage_all(scanned).collect()] == [("S1", "file: larger than max_length")]
+
+
+def test_known_contents_are_not_kept_twice(spark):
+    """The children of a level go once their digests and what is fresh of them are written; places that repeat make one node."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "doclens"
+    before = set(folder.glob("triage-*"))
+    ole = "\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+    roots = [(k, f"{ole}outer {k % 3}{ole}inner") for k in range(9)] + [(9, f"{ole}inner")]
+    corpus = triage.closure(spark.createDataFrame(roots, "artifact_id long, t string"))
+    assert corpus.nodes.count() == 4 and corpus.edges.count() == 3 and corpus.reached.where("depth = 1").count() == 9
+    assert not [p for p in set(folder.glob("triage-*")) - before if p.name.startswith("triage-children")]
