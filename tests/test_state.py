@@ -84,3 +84,19 @@ def test_batches_are_written_by_all_partitions(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in found.collect()) == list(range(1000))
     assert len(list(tmp_path.glob("s/in/*.parquet"))) >= 8
     assert len(list(tmp_path.glob("s/checkpoint/commits/[0-9]"))) == 2
+
+
+def test_rows_of_a_stream_are_written_where_they_are(spark, tmp_path, monkeypatch):
+    """No shuffle before the stream: a file has rows of one partition, and two batches take all files."""
+    monkeypatch.setattr(registry, "new_path", lambda *_: f"file://{tmp_path}/s")
+    rows = spark.range(0, 1000, 1, 8).select("id")
+    found = registry._in_batches(spark, rows, 3, spark.range(5000, 5001).select("id"), lambda r: r)
+    assert sorted(r.id for r in found.collect()) == [*range(1000), 5000]
+    read = spark.read.parquet(f"file://{tmp_path}/s/in").withColumn("file", F.input_file_name()).where("id < 1000")
+    assert read.groupBy("file").agg(F.countDistinct((F.col("id") / 125).cast("int")).alias("n")).where("n > 1").count() == 0
+    assert len(list(tmp_path.glob("s/checkpoint/commits/[0-9]"))) == 2
+
+
+def test_held_texts_are_deflated(spark):
+    found = state._deflated(state.pa.array(["text " * 100, "", None, "ä\x00"])).to_pylist()
+    assert len(found[0]) < 50 and [state._inflated(x) for x in found] == ["text " * 100, "", None, "ä\x00"]
